@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from impactlake.llm import language_id, packing, quality_rules, url_filters
+from impactlake.llm import bpe, html_text, language_id, packing, quality_rules, url_filters
 from impactlake.llm.common import crc_mod
 
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -31,6 +31,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learned = language_id.fit_dictionaries(docs.filter(crc_mod(F.col("doc_id"), 3) != 1), F.col("text"), F.col("lang"))
@@ -45,5 +49,9 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(pages, outcomes, RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_best_fit_packing, op6_language_id, op7_url_filters)}
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_and_decode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_best_fit_packing, op5_html_text, op6_language_id, op7_url_filters, op9_bpe)}
 ORACLE_SQL: dict[str, str] = {}
