@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from impactlake.llm import bpe, html_text, language_id, neighbours, packing, quality_rules, url_filters
+from impactlake.llm import bpe, html_text, language_id, neighbours, packing, quality_rules, token_counts, url_filters
 from impactlake.llm.common import crc_mod
 
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -31,6 +31,14 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after three edits; chars_encoded is what the edits made it encode again."""
+    path = vocabulary("byte_bpe_50k.json")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("edits", token_counts.sample_edits(F.col("text")))
+    edited = token_counts.apply_edits(token_counts.build_trees(docs, path), path, "edits", with_state=False)
+    return edited.select("doc_id", "n_tokens", "tokens_after", "chars_encoded")
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -57,5 +65,5 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_best_fit_packing, op5_html_text, op6_language_id, op7_url_filters, op9_bpe, op10_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_best_fit_packing, op4_token_counts, op5_html_text, op6_language_id, op7_url_filters, op9_bpe, op10_neighbours)}
 ORACLE_SQL: dict[str, str] = {}

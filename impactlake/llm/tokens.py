@@ -78,6 +78,14 @@ class ChunkEncoder(dict):
         first, *rest = text.replace("\n", " \n").split(" ")
         return self.plain(first) + b"".join(map(self.__getitem__, rest))
 
+    def count(self, text: str) -> int:
+        """The number of tokens of a text, which may begin with a space (as a leaf of a document does)."""
+        if text[:1] != " ":
+            return len(self.encode(text)) // 4
+        if any(a in text for a in self.added) or text[1:].replace("\n", " ").split(" ") != text.split():
+            return len(self.encode(text)) // 4
+        return sum(map(len, map(self.__getitem__, text[1:].replace("\n", " \n").split(" ")))) // 4
+
 
 _encoders: dict[str, ChunkEncoder] = {}
 
