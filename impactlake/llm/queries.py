@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from impactlake.llm import bpe, html_text, language_id, neighbours, packing, quality_rules, token_counts, url_filters
+from impactlake.llm import bpe, html_text, language_id, neighbours, ngram_join, packing, quality_rules, token_counts, url_filters
 from impactlake.llm.common import crc_mod
 
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -57,6 +59,10 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(pages, outcomes, RULES)
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), Fraction(90, 100), width=3)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_and_decode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -65,5 +71,5 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_best_fit_packing, op4_token_counts, op5_html_text, op6_language_id, op7_url_filters, op9_bpe, op10_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_best_fit_packing, op4_token_counts, op5_html_text, op6_language_id, op7_url_filters, op8_ngram_join, op9_bpe, op10_neighbours)}
 ORACLE_SQL: dict[str, str] = {}
