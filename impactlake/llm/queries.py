@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from impactlake.llm import bpe, html_text, language_id, neighbours, ngram_join, packing, quality_rules, token_counts, url_filters
+from impactlake.llm import bpe, html_text, language_id, neighbours, ngram_join, packing, quality_rules, suffix_dedup, token_counts, url_filters
 from impactlake.llm.common import crc_mod
 
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -29,6 +29,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(docs).select("doc_id", "quality.*")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = suffix_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), width=400)
+    found = F.col("repeats")
+    return docs.select("doc_id", found["n_bytes"].alias("n_bytes"), found["n_removed"].alias("n_removed"), F.size(found["spans"]).cast("long").alias("n_spans"), found["kept_sha256"].alias("kept_sha256"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
@@ -71,5 +77,5 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_best_fit_packing, op4_token_counts, op5_html_text, op6_language_id, op7_url_filters, op8_ngram_join, op9_bpe, op10_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_best_fit_packing, op4_token_counts, op5_html_text, op6_language_id, op7_url_filters, op8_ngram_join, op9_bpe, op10_neighbours)}
 ORACLE_SQL: dict[str, str] = {}
