@@ -8,8 +8,10 @@ overlaps are counted over whole rows.
 
 Documents with equal sets are one class. In each column the smallest class is the pivot: first every class is
 multiplied with its pivots, which is linear in the column; classes that this connects need no further product.
-What is left of a column (classes not yet connected) is multiplied in blocks of bounded size inside the tasks,
-which send a spanning forest of the links and never the pairs.
+What is left of the columns (classes not yet connected, of sizes that can link) is multiplied in blocks of
+bounded size inside the tasks, which send a spanning forest of the links and never the pairs. Columns of near
+copies have mostly the same rows, so each class's largest column is multiplied first and columns within those
+are settled by it.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from impactlake.llm import sketches
-from impactlake.llm.common import WordHashes, bounded_batches, mix64, written
+from impactlake.llm.common import WordHashes, bounded_batches, free_name, mix64, written
 from impactlake.llm.components import components, spanning
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -99,9 +101,9 @@ def block_links(classes: np.ndarray, sets: list[np.ndarray], labels: np.ndarray,
 
 
 def similar_classes(docs: DataFrame, threshold: Fraction, width: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(a row per document: id, n, c; a row per class that is not its component's smallest: node, label).
+    """(a row per document: id, key, n, c; a row per class that is not its component's smallest: node, label).
 
-    c is the class of documents with equal sets, null without words. docs must be a stored table: it is read
+    key is the text's md5; c is the class of documents with equal sets, null without words. docs must be a stored table: it is read
     three times.
     """
     spark = docs.sparkSession
@@ -125,12 +127,20 @@ def similar_classes(docs: DataFrame, threshold: Fraction, width: int, id_col: st
         if clash.isEmpty():
             break
     entries = classes.select("c", "n", F.explode("prefix").alias("h"))
-    columns = entries.groupBy("h").agg(F.min(F.struct("c", "n")).alias("pivot"), F.count("*").alias("m"), F.sum("n").alias("grams")).filter("m > 1")
+    columns = entries.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h")
     members = written(entries.join(columns, "h"), "ngram-columns")  # entries of columns with two rows or more
+    pivots = members.groupBy("h").agg(F.min(F.struct("c", "n")).alias("pivot"))
+    members = members.join(pivots, "h")
     t, small, large = threshold, F.least("n", "pivot.n"), F.greatest("n", "pivot.n")
     pairs = members.filter(F.col("c") != F.col("pivot.c")).filter(small * t.denominator >= large * t.numerator)
     pairs = written(pairs.groupBy("c", F.col("pivot.c").alias("p")).agg(F.count("*").alias("shared")), "ngram-pairs")
-    sets = written(_sets(docs, members, width, seed, text_col), "ngram-sets")
+    # rows other than pivots, by column and size: sizes that can link are in one of two neighbouring steps together
+    step = F.floor(F.log(F.col("n").cast("double")) / -math.log(float(t)))
+    rest = members.filter(F.col("c") != F.col("pivot.c")).select("h", "c", "n", F.explode(F.array(step, step + 1)).alias("s"))
+    groups = rest.groupBy("h", "s").agg(F.count("*").alias("m"), F.sum("n").alias("grams")).filter("m > 1")
+    rest = written(rest.join(groups, ["h", "s"]), "ngram-rest")
+    needed = pairs.select("c").unionByName(pairs.select(F.col("p").alias("c"))).unionByName(rest.select("c")).distinct()
+    sets = written(_sets(docs, needed, width, seed, text_col), "ngram-sets")
 
     def multiply(batches):
         for batch in batches:
@@ -144,22 +154,42 @@ def similar_classes(docs: DataFrame, threshold: Fraction, width: int, id_col: st
     both = pairs.join(sets.select("c", F.col("grams").alias("x")), "c").join(sets.select(F.col("c").alias("p"), F.col("grams").alias("y")), "p")
     first = written(both.select("c", "p", "x", "y").mapInArrow(multiply, "u long, v long"), "ngram-links")
     stars = components(first, "u", "v")
-    labelled = members.select("h", "c", "m", "grams").join(stars.select(F.col("node").alias("c"), "label"), "c", "left").withColumn("label", F.coalesce("label", "c"))
-    open_ = labelled.groupBy("h").agg((F.min("label") != F.max("label")).alias("open")).filter("open").select("h")
-    labelled = written(labelled.join(open_, "h"), "ngram-open")
+    labelled = rest.join(stars.select(F.col("node").alias("c"), "label"), "c", "left").withColumn("label", F.coalesce("label", "c"))
+    open_ = labelled.groupBy("h", "s").agg((F.min("label") != F.max("label")).alias("open")).filter("open").select("h", "s")
+    left = written(labelled.join(open_, ["h", "s"]).select(F.xxhash64("h", "s").alias("g"), "m", "grams", "c", "label"), "ngram-open")
+    links = [stars.select(F.col("node").alias("u"), F.col("label").alias("v"))]
+    for last in (False, False, True):
+        now = left
+        if not last:  # the largest column of each class: most others of its rows are within these
+            chosen = left.groupBy("c").agg(F.max(F.struct("m", "g")).alias("x")).select(F.col("x.g").alias("g")).distinct()
+            now = left.join(chosen, "g", "left_semi")
+        links.append(written(_products(now, sets, t), "ngram-links"))
+        if last:
+            break
+        # a column is settled if one that was multiplied has all its rows
+        within = left.select("g", "m", "c").join(now.select("c", F.col("g").alias("done")), "c").groupBy("g", "done").agg(F.count("*").alias("have"), F.first("m").alias("m"))
+        left = written(left.join(within.filter("have = m").select("g").distinct(), "g", "left_anti"), "ngram-open")
+        if left.isEmpty():
+            break
+    edges = links[0]
+    for x in links[1:]:
+        edges = edges.unionByName(x)
+    return rows.select("id", "key", "n", "c"), components(edges, "u", "v")
+
+
+def _products(columns: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+    """Links between rows of columns(g, m, grams, c, label) whose labels differ, as spanning forests of blocks of bounded size."""
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
     own = F.pmod(F.xxhash64("c"), F.col("k")).cast("int")
-    cells = labelled.withColumn("k", blocks).withColumn("own", own).select("h", "c", "label", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
-    cells = cells.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "c", "label").join(sets, "c")
+    cells = columns.withColumn("k", blocks).withColumn("own", own).select("g", "c", "label", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
+    cells = cells.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "c", "label").join(sets, "c")
 
-    def product(batch: pa.Table) -> pa.Table:
-        classes_, labels = (batch[k].to_numpy() for k in ("c", "label"))
-        found = block_links(classes_, [np.frombuffer(x, np.uint64) for x in batch["grams"].to_pylist()], labels, t) if len(set(labels.tolist())) > 1 else []
+    def product(rows: pa.Table) -> pa.Table:
+        classes, labels = (rows[k].to_numpy() for k in ("c", "label"))
+        found = block_links(classes, [np.frombuffer(x, np.uint64) for x in rows["grams"].to_pylist()], labels, t) if len(set(labels.tolist())) > 1 else []
         return pa.table([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
-    second = cells.select("h", "i", "j", "c", "label", "grams").groupBy("h", "i", "j").applyInArrow(product, "u long, v long")
-    links = written(stars.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(second), "ngram-links")
-    return rows.select("id", "n", "c"), components(links, "u", "v")
+    return cells.groupBy("g", "i", "j").applyInArrow(product, "u long, v long")
 
 
 def _rows(docs, frequency, shift, t: Fraction, width: int, seed: int, id_col: str, text_col: str) -> DataFrame:
@@ -176,22 +206,22 @@ def _rows(docs, frequency, shift, t: Fraction, width: int, seed: int, id_col: st
                 rare = np.lexsort((g, frequency.value[(g >> shift).astype(np.int64)]))[: prefix_size(len(g), t)]
                 out.append((len(g), class_of(g, seed), class_of(g, seed + 100), g[rare].view(np.int64)))
             columns = list(zip(*out)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))))], ["id", "n", "c", "c2", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))))], ["id", "key", "n", "c", "c2", "prefix"])
 
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(rows, "id long, n long, c long, c2 long, prefix array<bigint>")
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.unhex(F.md5(text_col)).alias("key"))
+    return own.mapInArrow(rows, "id long, key binary, n long, c long, c2 long, prefix array<bigint>")
 
 
-def _sets(docs, members: DataFrame, width: int, seed: int, text_col: str) -> DataFrame:
-    """c, grams of the classes that stand in a column with others; a bit array of fixed size tells the tasks which."""
+def _sets(docs, needed: DataFrame, width: int, seed: int, text_col: str) -> DataFrame:
+    """c, grams of the needed classes; a bit array of fixed size tells the tasks which, and lets a few others pass."""
     spark = docs.sparkSession
-    n = members.select(F.approx_count_distinct("c")).first()[0]
+    n = needed.count()
     bits = min(24, max(16, math.ceil(math.log2(16 * n + 1))))
 
     def mark(own, batch):
         own[batch.column(0).to_numpy() & ((1 << bits) - 1)] |= 1
 
-    wanted = spark.sparkContext.broadcast(sketches.sums(members.select("c"), 1 << bits, mark) > 0)
+    wanted = spark.sparkContext.broadcast(sketches.sums(needed, 1 << bits, mark) > 0)
 
     def rows(batches):
         sets, seen = GramSets(width), set()
@@ -226,3 +256,23 @@ def jaccard_components(docs: DataFrame, threshold: Fraction = Fraction(8, 10), w
     of_class = ids.select("c", "label").join(least, "label").select("c", "component")
     joined = rows.join(of_class, "c", "left")
     return joined.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, threshold: Fraction = Fraction(8, 10), width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the documents that another one of their component stands for: the smallest id stays (null ids last).
+
+    Of repeated rows one stays. Texts that are null or have no word are linked with nothing and all stay. Columns
+    and their names are those of docs, which must be a stored table.
+    """
+    rows, labels = similar_classes(docs, threshold, width, id_col, text_col)
+    labelled = rows.filter("c is not null").select("key", "c").distinct().join(labels.select(F.col("node").alias("c"), "label"), "c", "left")
+    labelled = labelled.select("key", F.coalesce("label", "c").alias("label"))
+    named = free_name(docs, "row_mark", "row_key")
+    text, mark, key = F.col(text_col).cast("string"), *map(F.col, named)
+    worded = F.coalesce(text.rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    marked = docs.filter(worded).withColumns({named[0]: F.xxhash64(*docs.columns), named[1]: F.unhex(F.md5(text))})
+    order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), mark.alias("mark"), key.alias("key"))
+    small = marked.select(order.alias("order"), key.alias("key"))
+    first = small.join(labelled, "key").groupBy("label").agg(F.min("order").alias("order")).select(F.col("order.mark").alias(named[0]), F.col("order.key").alias(named[1]))
+    stay = marked.join(first, named, "left_semi").dropDuplicates(named).select(*docs.columns)
+    return stay.unionByName(docs.filter(~worded))

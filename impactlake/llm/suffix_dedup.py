@@ -217,7 +217,7 @@ def merged(runs: list, width: int) -> list[tuple[int, int]]:
 
 
 def without_repeats(docs: DataFrame, width: int = 400, text_col: str = "text") -> DataFrame:
-    """docs with a struct column `repeats`: n_bytes, n_removed, spans (removed byte ranges), kept (remaining bytes), kept_sha256.
+    """docs with a struct column `repeats`: n_bytes, n_removed, spans (removed byte ranges), kept (remaining bytes), kept_text (their whole characters), kept_sha256.
 
     A byte goes if a string of `width` bytes that covers it also starts anywhere else, in the same text or any
     other row's. Null and empty texts and those shorter than width lose nothing (null counts as empty). Repeated
@@ -241,8 +241,8 @@ def without_repeats(docs: DataFrame, width: int = 400, text_col: str = "text") -
                 spans = merged([(r["lo"], r["hi"]) for r in found or ()], width)
                 ends = [0, *(x for s in spans for x in s), len(raw)]
                 kept = b"".join(raw[a:b] for a, b in zip(ends[0::2], ends[1::2]))
-                out.append({"n_bytes": len(raw), "n_removed": len(raw) - len(kept), "spans": [{"start": a, "end": b} for a, b in spans], "kept": kept, "kept_sha256": hashlib.sha256(kept).hexdigest()})
-            kind = pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary()), ("kept_sha256", pa.string())])
+                out.append({"n_bytes": len(raw), "n_removed": len(raw) - len(kept), "spans": [{"start": a, "end": b} for a, b in spans], "kept": kept, "kept_text": kept.decode("utf-8", "ignore"), "kept_sha256": hashlib.sha256(kept).hexdigest()})
+            kind = pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary()), ("kept_text", pa.string()), ("kept_sha256", pa.string())])
             yield pa.RecordBatch.from_arrays([*batch.columns[:places], pa.array(out, kind)], [*batch.schema.names[:places], name])
 
-    return joined.mapInArrow(cut, schema_with(docs, name, "n_bytes long, n_removed long, spans array<struct<start:bigint,end:bigint>>, kept binary, kept_sha256 string"))
+    return joined.mapInArrow(cut, schema_with(docs, name, "n_bytes long, n_removed long, spans array<struct<start:bigint,end:bigint>>, kept binary, kept_text string, kept_sha256 string"))
