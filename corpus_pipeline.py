@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from impactlake.llm import language_id, packing, quality_rules
+from impactlake.llm import language_id, ngram_join, packing, quality_rules, suffix_dedup
 from impactlake.llm.common import crc_mod, free_name, written
 from impactlake.llm.queries import vocabulary
 
@@ -23,12 +25,27 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return language_id.identify(docs, learned).filter(~F.col(name)["rejected"]).select(*docs.columns)
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links of similarity 0.8 or more over five-word shingles connect."""
+    return ngram_join.one_of_each(docs, Fraction(8, 10), width=5)
+
+
+def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without the bytes of 400-byte strings that occur twice or more; characters cut in two go too."""
+    (name,) = free_name(docs, "repeats")
+    found = F.col(name)
+    changed = {"text": F.when(found["n_removed"] > 0, found["kept_text"]).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(found["n_removed"] > 0, F.length(found["kept_text"]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return suffix_dedup.without_repeats(docs, width=400).withColumns(changed).select(*docs.columns)
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all pieces of the documents in sequences of 1024 tokens."""
     return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
-STAGES = [("quality_rules", quality_stage), ("language_id", language_stage), ("best_fit_packing", packing_stage)]
+STAGES = [("quality_rules", quality_stage), ("language_id", language_stage), ("near_duplicates", near_duplicate_stage), ("repeated_passages", repeated_passage_stage), ("best_fit_packing", packing_stage)]
 #: Perplexities, compressed sizes and tokens cannot be had in SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
