@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from impactlake.llm.common import written
+from impactlake.llm.common import drop, written
 
 
 def spanning(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -58,10 +58,9 @@ def components(edges: DataFrame, u: str, v: str) -> DataFrame:
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("a"), "m"), F.struct(F.col("v").alias("a"), "m"))).alias("e")).select(F.col("e.a").alias("u"), F.col("e.m").alias("v"))
         new = written(small.filter("u != v").distinct(), "stars")
-        if new.exceptAll(star).isEmpty() and star.exceptAll(new).isEmpty():
+        done = new.exceptAll(star).isEmpty() and star.exceptAll(new).isEmpty()
+        drop(star)
+        if done:
             return new.select(F.col("u").alias("node"), F.col("v").alias("label"))
         star = new
 
-
-def no_edges(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "u long, v long")

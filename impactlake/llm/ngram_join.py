@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from impactlake.llm import sketches
-from impactlake.llm.common import WordHashes, bounded_batches, free_name, mix64, written
+from impactlake.llm.common import WordHashes, bounded_batches, drop, free_name, mix64, written
 from impactlake.llm.components import components, spanning
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -126,17 +126,18 @@ def similar_classes(docs: DataFrame, threshold: Fraction, width: int, id_col: st
         clash = rows.filter("n > 0").groupBy("c").agg((F.min("c2") != F.max("c2")).alias("x")).filter("x")
         if clash.isEmpty():
             break
+        drop(rows)
     entries = classes.select("c", "n", F.explode("prefix").alias("h"))
     columns = entries.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h")
     members = written(entries.join(columns, "h"), "ngram-columns")  # entries of columns with two rows or more
     pivots = members.groupBy("h").agg(F.min(F.struct("c", "n")).alias("pivot"))
-    members = members.join(pivots, "h")
+    with_pivot = members.join(pivots, "h")
     t, small, large = threshold, F.least("n", "pivot.n"), F.greatest("n", "pivot.n")
-    pairs = members.filter(F.col("c") != F.col("pivot.c")).filter(small * t.denominator >= large * t.numerator)
+    pairs = with_pivot.filter(F.col("c") != F.col("pivot.c")).filter(small * t.denominator >= large * t.numerator)
     pairs = written(pairs.groupBy("c", F.col("pivot.c").alias("p")).agg(F.count("*").alias("shared")), "ngram-pairs")
     # rows other than pivots, by column and size: sizes that can link are in one of two neighbouring steps together
     step = F.floor(F.log(F.col("n").cast("double")) / -math.log(float(t)))
-    rest = members.filter(F.col("c") != F.col("pivot.c")).select("h", "c", "n", F.explode(F.array(step, step + 1)).alias("s"))
+    rest = with_pivot.filter(F.col("c") != F.col("pivot.c")).select("h", "c", "n", F.explode(F.array(step, step + 1)).alias("s"))
     groups = rest.groupBy("h", "s").agg(F.count("*").alias("m"), F.sum("n").alias("grams")).filter("m > 1")
     rest = written(rest.join(groups, ["h", "s"]), "ngram-rest")
     needed = pairs.select("c").unionByName(pairs.select(F.col("p").alias("c"))).unionByName(rest.select("c")).distinct()
@@ -157,6 +158,7 @@ def similar_classes(docs: DataFrame, threshold: Fraction, width: int, id_col: st
     labelled = rest.join(stars.select(F.col("node").alias("c"), "label"), "c", "left").withColumn("label", F.coalesce("label", "c"))
     open_ = labelled.groupBy("h", "s").agg((F.min("label") != F.max("label")).alias("open")).filter("open").select("h", "s")
     left = written(labelled.join(open_, ["h", "s"]).select(F.xxhash64("h", "s").alias("g"), "m", "grams", "c", "label"), "ngram-open")
+    lefts = [left]
     links = [stars.select(F.col("node").alias("u"), F.col("label").alias("v"))]
     for last in (False, False, True):
         now = left
@@ -169,12 +171,15 @@ def similar_classes(docs: DataFrame, threshold: Fraction, width: int, id_col: st
         # a column is settled if one that was multiplied has all its rows
         within = left.select("g", "m", "c").join(now.select("c", F.col("g").alias("done")), "c").groupBy("g", "done").agg(F.count("*").alias("have"), F.first("m").alias("m"))
         left = written(left.join(within.filter("have = m").select("g").distinct(), "g", "left_anti"), "ngram-open")
+        lefts.append(left)
         if left.isEmpty():
             break
     edges = links[0]
     for x in links[1:]:
         edges = edges.unionByName(x)
-    return rows.select("id", "key", "n", "c"), components(edges, "u", "v")
+    labels, rows_ = components(edges, "u", "v"), written(rows.select("id", "key", "n", "c"), "ngram-rows")
+    drop(rows, members, pairs, rest, sets, first, *lefts, *links[1:])
+    return rows_, labels
 
 
 def _products(columns: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from impactlake.llm import sketches
-from impactlake.llm.common import bounded_batches, free_name, schema_with, written
+from impactlake.llm.common import bounded_batches, drop, free_name, schema_with, written
 
 GRAM, CELL, SEGMENT = 32, 24, 1 << 20
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -119,15 +119,16 @@ def _spans(batches, width: int):
 RUN = "key binary, a long, lo long, hi long, digit long, span binary"
 
 
-def radix_pass(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """(rows whose span occurs twice, rows that go on to the next digit); counting has partial sums, so hot groups are spread."""
+def radix_pass(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(the judged rows, those whose span occurs twice, those that go on to the next digit); rows are dropped. Counting has partial sums, so hot groups are spread."""
     twice = rows.groupBy("digit").agg(F.count("*").alias("n")).filter("n > 1").select("digit")
     left = written(rows.join(twice, "digit"), name)
     by_span = left.groupBy("span").agg(F.count("*").alias("n"), F.min(F.struct("key", "a", "lo")).alias("rep"))
     judged = left.join(by_span, "span").select(*left.columns, (F.col("n") > 1).alias("whole"), (F.struct("key", "a", "lo") == F.col("rep")).alias("is_rep"))
     judged = written(judged, name)
+    drop(left, rows)
     open_ = judged.filter("not whole").select("digit").distinct()
-    return judged.filter("whole").select("key", "lo", "hi"), judged.filter("not whole or is_rep").join(open_, "digit", "left_semi").select("key", "a", "lo", "hi").distinct()
+    return judged, judged.filter("whole").select("key", "lo", "hi"), judged.filter("not whole or is_rep").join(open_, "digit", "left_semi").select("key", "a", "lo", "hi").distinct()
 
 
 def _slot(key: bytes, a: int, bits: int) -> int:
@@ -135,7 +136,7 @@ def _slot(key: bytes, a: int, bits: int) -> int:
 
 
 def repeated_runs(texts: DataFrame, width: int = 400) -> DataFrame:
-    """key, lo, hi: for texts(key, text) every run of starts lo..hi whose windows are repeated; key is the text's md5.
+    """key, runs: for texts(key, text) the runs (lo, hi) of starts whose windows are repeated; key is the text's md5.
 
     texts must be a stored table (it is read twice), without nulls.
     """
@@ -144,7 +145,7 @@ def repeated_runs(texts: DataFrame, width: int = 400) -> DataFrame:
     spark = texts.sparkSession
     bounded_batches(spark, 500)
     rows = written(texts.select("key", "text").mapInArrow(lambda b: _spans(b, width), RUN), "suffix-runs")
-    whole, left = radix_pass(rows, "suffix-pass1")
+    judged, whole, left = radix_pass(rows, "suffix-pass1")
     left = written(left, "suffix-left")
     bits = min(24, max(16, math.ceil(math.log2(32 * left.count() + 1))))
 
@@ -184,7 +185,7 @@ def repeated_runs(texts: DataFrame, width: int = 400) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 6, (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["key", "a", "lo", "hi", "digit", "span"])
 
     cell_rows = written(around.select("key", "a", "lo", "hi", "bytes").mapInArrow(cells, RUN), "suffix-cells")
-    whole2, left2 = radix_pass(cell_rows, "suffix-pass2")
+    judged2, whole2, left2 = radix_pass(cell_rows, "suffix-pass2")
     inside = (F.col("c.lo") >= F.col("x.lo")) & (F.col("c.lo") <= F.col("x.hi"))
     open_cells = left2.alias("c").join(around.alias("x"), (F.col("c.key") == F.col("x.key")) & (F.col("c.a") == F.col("x.a")) & inside).select("c.key", "c.lo", "c.hi", F.expr("substring(x.bytes, cast(c.lo - x.lo + 1 as int), cast(c.hi - c.lo + " + str(width) + " as int))").alias("bytes"))
 
@@ -197,7 +198,10 @@ def repeated_runs(texts: DataFrame, width: int = 400) -> DataFrame:
     window_rows = written(open_cells.mapInArrow(windows, "key binary, lo long, span binary"), "suffix-windows")
     twice = window_rows.groupBy("span").agg(F.count("*").alias("n")).filter("n > 1").select("span")
     last = window_rows.join(twice, "span").select("key", "lo", F.col("lo").alias("hi"))
-    return whole.unionByName(whole2).unionByName(last)
+    every = whole.unionByName(whole2).unionByName(last)
+    out = written(every.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("runs")), "suffix-repeats")
+    drop(judged, left, around, judged2, window_rows)
+    return out
 
 
 def _digit(raw: bytes, lo: int, a: int, j: int, width: int) -> int:
@@ -228,7 +232,7 @@ def without_repeats(docs: DataFrame, width: int = 400, text_col: str = "text") -
     key, runs_name, name = free_name(docs, "key", "runs", "repeats")
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     runs = repeated_runs(docs.select(_key(docs[text_col]).alias("key"), text.alias("text")).filter(F.octet_length("text") >= width), width)
-    runs = runs.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("runs")).select(F.col("key").alias(key), F.col("runs").alias(runs_name))
+    runs = runs.select(F.col("key").alias(key), F.col("runs").alias(runs_name))
     joined = docs.withColumn(key, _key(docs[text_col])).join(runs, key, "left").select(*docs.columns, runs_name)
     at, places = docs.columns.index(text_col), len(docs.columns)
     bounded_batches(spark, 500)
