@@ -226,13 +226,13 @@ def _sets(docs, needed: DataFrame, width: int, seed: int, text_col: str) -> Data
     def mark(own, batch):
         own[batch.column(0).to_numpy() & ((1 << bits) - 1)] |= 1
 
-    wanted = spark.sparkContext.broadcast(sketches.sums(needed, 1 << bits, mark) > 0)
+    wanted = spark.sparkContext.broadcast(sketches.sums(needed, 1 << bits, mark, np.uint8) > 0)
 
     def rows(batches):
         sets, seen = GramSets(width), set()
         for batch in batches:
             sets.hashes.trim()
-            if len(seen) > 1_000_000:
+            if len(seen) > 200_000:
                 seen.clear()
             out = []
             for x in batch.column(0).to_pylist():

@@ -10,15 +10,15 @@ from pyspark.sql import DataFrame
 BLOCK = 1 << 16
 
 
-def sums(rows: DataFrame, size: int, fill) -> np.ndarray:
-    """The sum over all tasks of the uint32 array of `size` (a power of two, at most 2**24) that fill(array, batch) adds to.
+def sums(rows: DataFrame, size: int, fill, kind=np.uint32) -> np.ndarray:
+    """The sum over all tasks of the array (uint32, or another kind) of `size` (a power of two, at most 2**24) that fill(array, batch) adds to.
 
     Tasks send compressed blocks; a block's owner adds them one by one. Sums end at 2**32 - 1; the driver gets
     them once, on a logarithmic scale of 256 steps, one byte each.
     """
 
     def send(batches):
-        own = np.zeros(size, np.uint32)
+        own = np.zeros(size, kind)
         any_ = False
         for batch in batches:
             fill(own, batch)
@@ -33,7 +33,7 @@ def sums(rows: DataFrame, size: int, fill) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for b, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                part = np.frombuffer(zstandard.decompress(part), np.uint32)
+                part = np.frombuffer(zstandard.decompress(part), kind)
                 total[b] = total[b] + part if b in total else part.astype(np.uint64)
         for b, x in total.items():
             steps = np.minimum(255, np.ceil(np.log2(x + 1.0) * 8)).astype(np.uint8)

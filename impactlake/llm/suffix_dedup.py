@@ -153,14 +153,14 @@ def repeated_runs(texts: DataFrame, width: int = 400) -> DataFrame:
         for key, a in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             own[_slot(key, a, bits)] = 1
 
-    wanted = spark.sparkContext.broadcast(sketches.sums(left.select("key", "a"), 1 << bits, mark) > 0)
+    wanted = spark.sparkContext.broadcast(sketches.sums(left.select("key", "a"), 1 << bits, mark, np.uint8) > 0)
 
     def contexts(batches):
         """The bytes around the undecided anchors; the bit array lets a few others pass, which does no harm."""
         seen: set[tuple[bytes, int, int]] = set()
         for batch in batches:
             keys, docs = batch.column(0).to_pylist(), [t.encode() for t in batch.column(1).to_pylist()]
-            if len(seen) > 500_000:
+            if len(seen) > 100_000:
                 seen.clear()
             for found in anchors(docs, width):
                 out = []

@@ -72,11 +72,11 @@ def _shrunk(nodes: DataFrame, settings: Reputation) -> tuple[DataFrame, float]:
 def reputation(outcomes: DataFrame, hosts: DataFrame, settings: Reputation = Reputation()) -> DataFrame:
     """For each distinct host of `hosts`: host, n, k, mean, bound (lower posterior bound of the bad rate), blocked.
 
-    outcomes(host, bad 0/1) are the labelled pages; rows with a null host or outcome take no part. A host without
+    outcomes(host, bad 0/1) are the labelled pages; rows with a null or empty host or a null outcome take no part. A host without
     labelled pages gets its domain's rate, else its suffix's, else the overall one, with n = 0. Without any
     outcome the overall rate is 0.5 and nothing is learned.
     """
-    own = outcomes.filter("host is not null and bad is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").cast("long").alias("k"))
+    own = outcomes.filter("host != '' and bad is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").cast("long").alias("k"))
     own = written(own.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "k"), "hosts")
     total = own.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
     overall = ((total["k"] or 0) + 1) / ((total["n"] or 0) + 2)
@@ -86,7 +86,7 @@ def reputation(outcomes: DataFrame, hosts: DataFrame, settings: Reputation = Rep
     domain, _ = _shrunk(own.groupBy("suffix", "domain").agg(*counts).join(suffix, "suffix").withColumnRenamed("suffix_mean", "prior"), settings)
     domain = domain.select("domain", F.col("mean").alias("domain_mean"))
     _, weight = _shrunk(own.join(domain, "domain").withColumnRenamed("domain_mean", "prior"), settings)
-    all_hosts = hosts.select("host").filter("host is not null").distinct().withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    all_hosts = hosts.select("host").filter("host != ''").distinct().withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
     found = all_hosts.join(own.select("host", "n", "k"), "host", "left").join(domain, "domain", "left").join(suffix, "suffix", "left")
     prior, n, k = F.coalesce("domain_mean", "suffix_mean", F.lit(overall)), F.coalesce("n", F.lit(0)), F.coalesce("k", F.lit(0))
     mean, size = (weight * prior + k) / (weight + n), weight + n
@@ -98,8 +98,7 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str
     """One row per page: page_id, host, path, rule, verdict (allow or block).
 
     outcomes(url, bad 0/1) are labelled pages. The longest fitting rule decides; without one the host's posterior
-    bound does. Null urls and those without "://" have an empty host and path, fit no rule and are allowed unless
-    the empty host itself is blocked. Repeated rows are judged alike; an empty table gives no rows.
+    bound does. Null urls and those without "://" have an empty host and path, fit no rule and are allowed. Repeated rows are judged alike; an empty table gives no rows.
     """
     url = F.col("url")
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url")).select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
