@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 #: Fixed value: the shape of a DOI; it ends at white space, brackets or quotes.
 DOI = r"10\.\d{4,9}/[^\s;()<>\"']+"
@@ -52,7 +53,7 @@ def all_dois(c: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda x: x.isNotNull()))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def unaccent(s: pd.Series) -> pd.Series:
     """Compatibility decomposition without combining marks; Spark has no such built-in."""
     return s.map(lambda x: None if x is None else "".join(ch for ch in unicodedata.normalize("NFKD", x) if not unicodedata.combining(ch)))

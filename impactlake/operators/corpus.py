@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from impactlake.functions.text import norm_doi, norm_title, title_similarity, tokens
 
@@ -102,7 +103,7 @@ def crosswalk(concepts: DataFrame, table: DataFrame, key: str, best: bool = True
     return concepts.join(table.drop("line"), key, "left")
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """100 * normalised Indel similarity (2 * longest common subsequence over both lengths) of names with sorted words."""
 
