@@ -64,3 +64,20 @@ def top_share(records: DataFrame, score: str, by: list[str] | None = None, p: fl
         joined = records.crossJoin(F.broadcast(thresholds))  # one row
     hit = v >= F.col("_thr") if ties == ">=threshold" else v > F.col("_thr")
     return joined.withColumn(share_column(p), F.coalesce(hit, F.lit(False)).cast("int")).drop("_thr", *[f"_k_{c}" for c in by])
+
+
+def target_pairs(records: DataFrame, domain: str = "domain_id", year: str = "year") -> DataFrame:
+    """The distinct fields and years that baselines are needed for; pairs with a missing part are left out."""
+    return records.select(F.col(domain).cast("string").alias("domain_id"), F.col(year).try_cast("int").alias("year")).dropna().distinct()
+
+
+def with_min_metrics(df: DataFrame, score: str, by: list[str]) -> DataFrame:
+    """df with cf and PPg_top10 where it lacks them: by the group's own mean, and its top tenth over two keys at most."""
+    out = df
+    if "PPg_top10" not in df.columns:
+        out = top_share(out, score, by[:2], 0.9).withColumnRenamed("pp10", "PPg_top10")
+    if "cf" not in df.columns:
+        means = df.groupBy(*by).agg(F.avg(number(F.col(score))).alias("_m")).select(*[F.col(c).alias(f"_g_{c}") for c in by], "_m")
+        out = out.join(means, [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in by], "left")
+        out = out.withColumn("cf", F.when(F.col("_m") > 0, number(F.col(score)) / F.col("_m"))).drop("_m", *[f"_g_{c}" for c in by])
+    return out

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from impactlake.functions import text as T
-from impactlake.operators import baselines, corpus, counting, dedupe, graph, normalise, search, selection, units
+from impactlake.operators import baselines, convert, corpus, counting, dedupe, graph, normalise, search, selection, units
 
 BY = ["domain_id", "year"]
 
@@ -368,6 +368,60 @@ def bibtex_entries(spark, sf_dir):
     return search.bibtex(p.select(F.col("p_name").alias("title"), F.lit("Ada Byron; Alan M. Turing").alias("authors"), F.lit(1999).alias("year"), F.concat(F.lit("10.1/"), F.col("p_partkey")).alias("doi"), F.lit("article").alias("type")))
 
 
+def export_rows(spark, sf_dir):
+    """Customers as works: their name is the title, their segment the type, the nation the only author."""
+    c = table(spark, sf_dir, "customer")
+    author = F.struct(F.struct(F.lit(None).cast("string").alias("id"), F.concat(F.lit("N"), F.col("c_nationkey")).alias("display_name")).alias("author"))
+    concepts = F.array(F.struct(F.col("c_mktsegment").alias("display_name")), F.struct(F.lit("A").alias("display_name")), F.struct(F.col("c_mktsegment").alias("display_name")))
+    works = c.select(F.concat(F.lit("https://x/W"), F.col("c_custkey")).alias("id"), F.concat(F.lit("https://doi.org/10.1234/C"), F.col("c_custkey")).alias("doi"), F.col("c_name").alias("title"), F.lit("2001").alias("publication_year"), F.lit("x").alias("cited_by_count"), F.col("c_mktsegment").alias("type"), F.array(author).alias("authorships"), concepts.alias("concepts"))
+    out = convert.export_rows(works)
+    return out.toDF(*[c.lower().replace(" ", "_") for c in out.columns])
+
+
+def download_lines(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.lit("A; B").alias("authors"), F.concat(F.lit("12. "), F.col("p_name")).alias("title"), F.lit(1999).alias("year"), F.nullif(F.col("p_partkey").cast("string"), F.lit("3")).alias("doi"))
+    return convert.download_lines(p)
+
+
+def visible_graph(spark, sf_dir):
+    nodes, edges = nation_graph(spark, sf_dir)
+    kept, inside = graph.visible(graph.degrees(nodes, edges), edges, 2)
+    return inside
+
+
+def target_pairs(spark, sf_dir):
+    return normalise.target_pairs(records(spark, sf_dir))
+
+
+def min_metrics(spark, sf_dir):
+    out = normalise.with_min_metrics(records(spark, sf_dir).select("idx", "domain_label", "year", "c_use"), "c_use", ["domain_label", "year"])
+    return rounded(out.groupBy("domain_label", "year").agg(F.sum("PPg_top10").alias("n10"), F.max("cf").alias("cf")), "cf")
+
+
+def histogram_counts(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("domain_id"), "l_quantity")
+    return baselines.histogram(li, ["domain_id"], "l_quantity")
+
+
+def dedupe_stats(spark, sf_dir):
+    d = documents_keyed(spark, sf_dir).withColumn("doi", F.when(F.col("doc_id") % 2 == 0, F.col("doi")))
+    return dedupe.chain_stats(d, "doi", "oa_id", "title", "lang", "n_chars")
+
+
+def majority_label(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select((F.col("c_nationkey") % 5).alias("community"), "c_mktsegment")
+    return graph.majority_labels(c, "c_mktsegment")
+
+
+def references_ordered(spark, sf_dir):
+    """An order's items as references to parts; the parts of even keys are in the corpus."""
+    li = table(spark, sf_dir, "lineitem").filter("l_orderkey <= 2000")
+    refs = li.groupBy(F.concat(F.lit("o"), "l_orderkey").alias("oa_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: F.concat(F.lit("p"), x["l_partkey"])).alias("referenced_works"))
+    works = refs.select("oa_id", F.lit(None).cast("string").alias("doi"), "referenced_works").unionByName(table(spark, sf_dir, "part").filter("p_partkey % 2 = 0").select(F.concat(F.lit("p"), "p_partkey").alias("oa_id"), F.concat(F.lit("10.1/"), "p_partkey").alias("doi"), F.array().cast("array<string>").alias("referenced_works")))
+    out = corpus.references_to_dois(works, idx="oa_id")
+    return out.filter("oa_id like 'o%'").select("oa_id", F.array_join("ref_dois", ",").alias("refs"))
+
+
 _SELECT = {"select_mode_a": "WHERE rn = 1 ORDER BY cf DESC, c_use DESC, idx LIMIT 10", "select_mode_c": "WHERE rn <= 2 ORDER BY cf DESC, c_use DESC, idx LIMIT 30", "select_mode_d": "WHERE rn <= 3"}
 _MATCH = r"list_filter(list_distinct(string_split(trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g')), ' ')), lambda x: x <> '')"
 
@@ -416,8 +470,19 @@ ORACLE_SQL = {
       SELECT r_regionkey AS key, r_name, target_id, target_label, confidence FROM region LEFT JOIN l ON key = r_regionkey AND rn = 1""",
     "authorship_explode": "SELECT conv_id AS work_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) - 1 AS position, 'A' || turn AS author_id, role AS author_name, '0000-' || turn AS orcid, role AS institution, 'XX' AS country FROM conversations",
     "sheet_quality": "WITH f AS (SELECT count(*) AS rows, (count(nullif(substring(text, 1, 1), 'T')) / count(*) + count(lang) / count(*) + count(source) / count(*)) / 3 AS filled FROM documents) SELECT rows, 0.75::DOUBLE AS fields, round(filled, 6) AS filled, round(0.6 * 0.75 + 0.4 * filled, 6) AS score FROM f",
+    "export_rows": "SELECT 'N' || c_nationkey AS authors, c_name AS title, 2001 AS year, CAST(NULL AS VARCHAR) AS source_title, CAST(NULL AS BIGINT) AS cited_by, '10.1234/c' || c_custkey AS doi, 'https://x/W' || c_custkey AS link, CAST(NULL AS VARCHAR) AS abstract, 'A; ' || c_mktsegment AS author_keywords, c_mktsegment AS document_type, 'W' || c_custkey AS eid FROM customer",
+    "download_lines": "SELECT concat_ws('; ', 'A; B', p_name, '1999', nullif(CAST(p_partkey AS VARCHAR), '3')) AS line FROM part",
+    "target_pairs": f"WITH {RECORDS} SELECT DISTINCT domain_id, year FROM records WHERE domain_id IS NOT NULL AND year IS NOT NULL",
+    "min_metrics": f"WITH {RECORDS}, g AS (SELECT domain_label, year, avg(c_use) AS m, quantile_cont(c_use, 0.9) AS q FROM records GROUP BY ALL) SELECT domain_label, year, CAST(sum(CAST(c_use >= q AS INTEGER)) AS BIGINT) AS n10, round(max(c_use / m), 6) AS cf FROM records JOIN g USING (domain_label, year) GROUP BY ALL",
+    "histogram_counts": "SELECT l_returnflag AS domain_id, l_quantity AS k, count(*) AS n FROM lineitem GROUP BY ALL",
+    "dedupe_stats": f"""WITH {KEYED}, k AS (SELECT CASE WHEN doc_id % 2 = 0 AND trim(doi) <> '' THEN 'doi' WHEN oa_id IS NOT NULL THEN 'id' WHEN trim(title) <> '' THEN 'tay' END AS kind, CASE WHEN doc_id % 2 = 0 AND trim(doi) <> '' THEN trim(lower(doi)) WHEN oa_id IS NOT NULL THEN oa_id ELSE trim(lower(title)) || '|' || lang || '|' || n_chars END AS key FROM d),
+      c AS (SELECT kind, count(*) AS n, count(DISTINCT key) AS m FROM k GROUP BY kind)
+      SELECT CAST(sum(n) AS BIGINT) AS input, CAST(sum(CASE WHEN kind IS NULL THEN n ELSE m END) AS BIGINT) AS kept, CAST(coalesce(sum(n - m) FILTER (WHERE kind = 'doi'), 0) AS BIGINT) AS duplicates_doi, CAST(coalesce(sum(n - m) FILTER (WHERE kind = 'id'), 0) AS BIGINT) AS duplicates_id, CAST(coalesce(sum(n - m) FILTER (WHERE kind = 'tay'), 0) AS BIGINT) AS duplicates_tay, CAST(coalesce(sum(n) FILTER (WHERE kind IS NULL), 0) AS BIGINT) AS keyless FROM c""",
+    "majority_label": "SELECT c_nationkey % 5 AS community, c_mktsegment AS community_label FROM customer GROUP BY c_nationkey % 5, c_mktsegment QUALIFY row_number() OVER (PARTITION BY c_nationkey % 5 ORDER BY count(*) DESC, c_mktsegment) = 1",
+    "references_ordered": """WITH l AS (SELECT l_orderkey, l_partkey, min(l_linenumber) AS pos FROM lineitem WHERE l_orderkey <= 2000 GROUP BY ALL)
+      SELECT 'o' || l_orderkey AS oa_id, coalesce(string_agg('10.1/' || l_partkey, ',' ORDER BY pos, l_partkey) FILTER (WHERE l_partkey % 2 = 0), '') AS refs FROM l GROUP BY l_orderkey""",
     "query_filter_sort": "SELECT doc_id AS id, n_chars AS cited_by_count FROM documents WHERE (lower(text) LIKE '%the%' OR lower(text) LIKE '%les%') AND lower(text) LIKE '%an%' AND lang IN ('en', 'fr') AND source IN ('src1', 'src2') AND NOT regexp_matches(text, '!{2,}')",
 }
 
-_NAMES = "local_baseline mncs_pp_records integer_summary ppx_top_decile ppx_strict_ties ppx_global hist_mean_quantiles hist_hazen fractional_summary_equal fractional_summary_score unit_summary overview sensitivity_delta goldset_prf citation_edges degree pagerank betweenness communities window_citations_k self_citation_excluded dedupe_keep_missing dedupe_collapse_missing dedupe_key_chain union_or_search dense_index title_jaccard_match doi_extract label_normalise year_extract abstract_rebuild select_mode_a select_mode_b select_mode_c select_mode_d reading_lists zscore minmax crosswalk_best authorship_explode sheet_quality bootstrap_ci baseline_errors fuzzy_clusters query_filter_sort bibtex_entries"
+_NAMES = "local_baseline mncs_pp_records integer_summary ppx_top_decile ppx_strict_ties ppx_global hist_mean_quantiles hist_hazen fractional_summary_equal fractional_summary_score unit_summary overview sensitivity_delta goldset_prf citation_edges degree pagerank betweenness communities window_citations_k self_citation_excluded dedupe_keep_missing dedupe_collapse_missing dedupe_key_chain union_or_search dense_index title_jaccard_match doi_extract label_normalise year_extract abstract_rebuild select_mode_a select_mode_b select_mode_c select_mode_d reading_lists zscore minmax crosswalk_best authorship_explode sheet_quality bootstrap_ci baseline_errors fuzzy_clusters query_filter_sort bibtex_entries export_rows download_lines visible_graph target_pairs min_metrics histogram_counts dedupe_stats majority_label references_ordered"
 QUERIES = {name: globals()[name] for name in _NAMES.split()}
