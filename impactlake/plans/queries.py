@@ -373,7 +373,7 @@ def export_rows(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     author = F.struct(F.struct(F.lit(None).cast("string").alias("id"), F.concat(F.lit("N"), F.col("c_nationkey")).alias("display_name")).alias("author"))
     concepts = F.array(F.struct(F.col("c_mktsegment").alias("display_name")), F.struct(F.lit("A").alias("display_name")), F.struct(F.col("c_mktsegment").alias("display_name")))
-    works = c.select(F.concat(F.lit("https://x/W"), F.col("c_custkey")).alias("id"), F.concat(F.lit("https://doi.org/10.1234/C"), F.col("c_custkey")).alias("doi"), F.col("c_name").alias("title"), F.lit("2001").alias("publication_year"), F.lit("x").alias("cited_by_count"), F.col("c_mktsegment").alias("type"), F.array(author).alias("authorships"), concepts.alias("concepts"))
+    works = c.select(F.concat(F.lit("https://x/W"), F.col("c_custkey")).alias("id"), F.concat(F.lit("https://doi.org/10.1234/C"), F.col("c_custkey")).alias("doi"), F.col("c_name").alias("title"), F.lit("2001").alias("publication_year"), F.col("c_custkey").cast("string").alias("cited_by_count"), F.col("c_mktsegment").alias("type"), F.array(author).alias("authorships"), concepts.alias("concepts"))
     out = convert.export_rows(works)
     return out.toDF(*[c.lower().replace(" ", "_") for c in out.columns])
 
@@ -470,7 +470,7 @@ ORACLE_SQL = {
       SELECT r_regionkey AS key, r_name, target_id, target_label, confidence FROM region LEFT JOIN l ON key = r_regionkey AND rn = 1""",
     "authorship_explode": "SELECT conv_id AS work_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) - 1 AS position, 'A' || turn AS author_id, role AS author_name, '0000-' || turn AS orcid, role AS institution, 'XX' AS country FROM conversations",
     "sheet_quality": "WITH f AS (SELECT count(*) AS rows, (count(nullif(substring(text, 1, 1), 'T')) / count(*) + count(lang) / count(*) + count(source) / count(*)) / 3 AS filled FROM documents) SELECT rows, 0.75::DOUBLE AS fields, round(filled, 6) AS filled, round(0.6 * 0.75 + 0.4 * filled, 6) AS score FROM f",
-    "export_rows": "SELECT 'N' || c_nationkey AS authors, c_name AS title, 2001 AS year, CAST(NULL AS VARCHAR) AS source_title, CAST(NULL AS BIGINT) AS cited_by, '10.1234/c' || c_custkey AS doi, 'https://x/W' || c_custkey AS link, CAST(NULL AS VARCHAR) AS abstract, 'A; ' || c_mktsegment AS author_keywords, c_mktsegment AS document_type, 'W' || c_custkey AS eid FROM customer",
+    "export_rows": "SELECT 'N' || c_nationkey AS authors, c_name AS title, 2001 AS year, CAST(NULL AS VARCHAR) AS source_title, c_custkey AS cited_by, '10.1234/c' || c_custkey AS doi, 'https://x/W' || c_custkey AS link, CAST(NULL AS VARCHAR) AS abstract, 'A; ' || c_mktsegment AS author_keywords, c_mktsegment AS document_type, 'W' || c_custkey AS eid FROM customer",
     "download_lines": "SELECT concat_ws('; ', 'A; B', p_name, '1999', nullif(CAST(p_partkey AS VARCHAR), '3')) AS line FROM part",
     "target_pairs": f"WITH {RECORDS} SELECT DISTINCT domain_id, year FROM records WHERE domain_id IS NOT NULL AND year IS NOT NULL",
     "min_metrics": f"WITH {RECORDS}, g AS (SELECT domain_label, year, avg(c_use) AS m, quantile_cont(c_use, 0.9) AS q FROM records GROUP BY ALL) SELECT domain_label, year, CAST(sum(CAST(c_use >= q AS INTEGER)) AS BIGINT) AS n10, round(max(c_use / m), 6) AS cf FROM records JOIN g USING (domain_label, year) GROUP BY ALL",
