@@ -139,7 +139,7 @@ def similar_classes(docs: DataFrame, threshold: Fraction, width: int, id_col: st
     step = F.floor(F.log(F.col("n").cast("double")) / -math.log(float(t)))
     rest = with_pivot.filter(F.col("c") != F.col("pivot.c")).select("h", "c", "n", F.explode(F.array(step, step + 1)).alias("s"))
     groups = rest.groupBy("h", "s").agg(F.count("*").alias("m"), F.sum("n").alias("grams")).filter("m > 1")
-    rest = written(rest.join(groups, ["h", "s"]), "ngram-rest")
+    rest = written(_salted(rest, groups, ["h", "s"]), "ngram-rest")
     needed = pairs.select("c").unionByName(pairs.select(F.col("p").alias("c"))).unionByName(rest.select("c")).distinct()
     sets = written(_sets(docs, needed, width, seed, text_col), "ngram-sets")
 
@@ -157,7 +157,7 @@ def similar_classes(docs: DataFrame, threshold: Fraction, width: int, id_col: st
     stars = components(first, "u", "v")
     labelled = rest.join(stars.select(F.col("node").alias("c"), "label"), "c", "left").withColumn("label", F.coalesce("label", "c"))
     open_ = labelled.groupBy("h", "s").agg((F.min("label") != F.max("label")).alias("open")).filter("open").select("h", "s")
-    left = written(labelled.join(open_, ["h", "s"]).select(F.xxhash64("h", "s").alias("g"), "m", "grams", "c", "label"), "ngram-open")
+    left = written(_salted(labelled, open_, ["h", "s"]).select(F.xxhash64("h", "s").alias("g"), "m", "grams", "c", "label"), "ngram-open")
     lefts = [left]
     links = [stars.select(F.col("node").alias("u"), F.col("label").alias("v"))]
     for last in (False, False, True):
@@ -182,6 +182,13 @@ def similar_classes(docs: DataFrame, threshold: Fraction, width: int, id_col: st
     return rows_, labels
 
 
+def _salted(rows: DataFrame, keys: DataFrame, on: list[str], salts: int = 16) -> DataFrame:
+    """rows joined with one row a key, a key's rows dealt to several tasks by their class."""
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("c"), F.lit(salts)))
+    each = keys.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return dealt.join(each, [*on, "salt"]).drop("salt")
+
+
 def _products(columns: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     """Links between rows of columns(g, m, grams, c, label) whose labels differ, as spanning forests of blocks of bounded size."""
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from impactlake.llm import sketches
 from impactlake.llm.common import bounded_batches, drop, free_name, schema_with, written
 
-GRAM, CELL, SEGMENT = 32, 24, 1 << 20
+GRAM, CELL, SEGMENT = 32, 24, 1 << 19
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -143,7 +143,7 @@ def repeated_runs(texts: DataFrame, width: int = 400) -> DataFrame:
     if width < 2 * GRAM:
         raise ValueError(f"width must be {2 * GRAM} or more")
     spark = texts.sparkSession
-    bounded_batches(spark, 500)
+    bounded_batches(spark, 250)
     rows = written(texts.select("key", "text").mapInArrow(lambda b: _spans(b, width), RUN), "suffix-runs")
     judged, whole, left = radix_pass(rows, "suffix-pass1")
     left = written(left, "suffix-left")
@@ -235,7 +235,7 @@ def without_repeats(docs: DataFrame, width: int = 400, text_col: str = "text") -
     runs = runs.select(F.col("key").alias(key), F.col("runs").alias(runs_name))
     joined = docs.withColumn(key, _key(docs[text_col])).join(runs, key, "left").select(*docs.columns, runs_name)
     at, places = docs.columns.index(text_col), len(docs.columns)
-    bounded_batches(spark, 500)
+    bounded_batches(spark, 250)
 
     def cut(batches):
         for batch in batches:
