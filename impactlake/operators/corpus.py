@@ -38,6 +38,19 @@ def references_to_dois(records: DataFrame, idx: str = "idx", refs: str = "refere
     return records.select(idx).join(listed, idx, "left").select(idx, F.coalesce("ref_dois", F.array().cast("array<string>")).alias("ref_dois"))
 
 
+def inverted_indexes(works: DataFrame, work_id: str, text: str, name: str = "abstract_inverted_index") -> DataFrame:
+    """works with the inverted index map<word, positions> of their texts, whose words stand between spaces.
+
+    A join and two aggregations, so a long text costs no more than its words; a null text has a null index, one
+    without words an empty one. Ids are unique.
+    """
+    words = works.select(work_id, F.posexplode(F.filter(F.split(text, " "), lambda w: w != "")).alias("_at", "_word"))
+    by_word = words.groupBy(work_id, "_word").agg(F.sort_array(F.collect_list("_at")).alias("_at"))
+    index = by_word.groupBy(work_id).agg(F.map_from_entries(F.collect_list(F.struct("_word", "_at"))).alias(name))
+    empty = F.when(F.col(text).isNotNull(), F.create_map().cast("map<string,array<int>>"))
+    return works.join(index, work_id, "left").withColumn(name, F.coalesce(name, empty))
+
+
 def citers(works: DataFrame, focal: DataFrame, types: list[str] | None = None, work_id: str = "oa_id", refs: str = "referenced_works") -> DataFrame:
     """cited and all columns of the works that cite a focal work, optionally of some types only."""
     rows = works.filter(F.col("type").isin(types)) if types else works

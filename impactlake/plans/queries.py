@@ -180,13 +180,19 @@ def degree(spark, sf_dir):
 
 
 def nation_graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Nations, and edges from a customer's to a supplier's nation in orders of the first quarter of 1995."""
-    o = table(spark, sf_dir, "orders").filter("o_orderdate < '1995-02-01'").select("o_orderkey", "o_custkey")
+    """Nations, and edges from a customer's to a supplier's nation where more is ordered than between two nations on average."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     c, s = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     e = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
     nodes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("idx"))
-    return nodes, graph.clean_edges(e.select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")), nodes)
+    pairs = e.groupBy(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).agg(F.count("*").alias("n"))
+    often = pairs.crossJoin(F.broadcast(pairs.agg(F.avg("n").alias("mean")))).filter("n > mean")  # one row
+    return nodes, graph.clean_edges(often, nodes)
+
+
+NATION_EDGES = """c AS (SELECT CAST(c_nationkey AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) AS dst, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
+  e AS (SELECT src, dst FROM c WHERE n > (SELECT avg(n) FROM c) AND src <> dst), d AS (SELECT idx, count(*) AS deg FROM (SELECT src AS idx FROM e UNION ALL SELECT dst FROM e) GROUP BY idx)"""
 
 
 def pagerank(spark, sf_dir):
@@ -227,13 +233,13 @@ def _citing_sql(extra: str) -> str:
 
 
 def documents_keyed(spark, sf_dir) -> DataFrame:
-    """doc_id with a key that many documents share: the first words of the text; one source has no key."""
+    """doc_id with keys that documents share: a digest of the whole text (one source has none), the length, language and source."""
     d = table(spark, sf_dir, "documents")
-    key = F.when(F.col("source") != "src3", F.substring("text", 1, 20))
-    return d.select("doc_id", key.alias("doi"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("w"), F.col("n_chars"))).alias("oa_id"), F.substring("text", 1, 12).alias("title"), "lang", "n_chars")
+    key = F.when(F.col("source") != "src3", F.md5("text"))
+    return d.select("doc_id", key.alias("doi"), F.when(F.col("lang") != "en", F.concat(F.lit("w"), F.col("n_chars"))).alias("oa_id"), F.concat_ws(" ", "lang", "source").alias("title"), "lang", "n_chars")
 
 
-KEYED = "d AS (SELECT doc_id, CASE WHEN source <> 'src3' THEN substring(text, 1, 20) END AS doi, CASE WHEN doc_id % 3 = 0 THEN 'w' || n_chars END AS oa_id, substring(text, 1, 12) AS title, lang, n_chars FROM documents)"
+KEYED = "d AS (SELECT doc_id, CASE WHEN source <> 'src3' THEN md5(text) END AS doi, CASE WHEN lang <> 'en' THEN 'w' || n_chars END AS oa_id, concat_ws(' ', lang, source) AS title, lang, n_chars FROM documents)"
 
 
 def dedupe_keep_missing(spark, sf_dir):
@@ -259,9 +265,9 @@ def dense_index(spark, sf_dir):
 
 
 def title_jaccard_match(spark, sf_dir):
-    """Benchmark items against the documents' first 400 characters as titles."""
+    """Benchmark items against the documents' whole texts."""
     b, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
-    return rounded(corpus.title_matches(b, d.select("doc_id", F.substring("text", 1, 400).alias("t")), "item_id", "text", "doc_id", "t", 0.2), "similarity")
+    return rounded(corpus.title_matches(b, d.select("doc_id", F.col("text").alias("t")), "item_id", "text", "doc_id", "t", 0.2), "similarity")
 
 
 def doi_extract(spark, sf_dir):
@@ -280,9 +286,9 @@ def year_extract(spark, sf_dir):
 
 
 def abstract_rebuild(spark, sf_dir):
-    """The first 300 characters' inverted index turned back into their words."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring(F.regexp_replace("text", r"\s+", " "), 1, 300).alias("t"))
-    return d.select("doc_id", T.abstract_from_index(T.index_from_abstract(F.col("t"))).alias("abstract"))
+    """The inverted index of each whole text turned back into its words."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"\s+", " ").alias("t"))
+    return corpus.inverted_indexes(d, "doc_id", "t").select("doc_id", T.abstract_from_index(F.col("abstract_inverted_index")).alias("abstract"))
 
 
 def parts(spark, sf_dir) -> DataFrame:
@@ -337,7 +343,7 @@ def authorship_explode(spark, sf_dir):
 
 
 def sheet_quality(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").withColumn("title", F.nullif(F.substring("text", 1, 1), F.lit("T")))
+    d = table(spark, sf_dir, "documents").withColumn("title", F.nullif("source", F.lit("src3")))
     return rounded(units.completeness(d, ["title", "lang", "source", "year"], ["cf"]), "filled", "score")
 
 
@@ -385,7 +391,7 @@ def download_lines(spark, sf_dir):
 
 def visible_graph(spark, sf_dir):
     nodes, edges = nation_graph(spark, sf_dir)
-    kept, inside = graph.visible(graph.degrees(nodes, edges), edges, 2)
+    kept, inside = graph.visible(graph.degrees(nodes, edges), edges, 24)
     return inside
 
 
@@ -414,10 +420,10 @@ def majority_label(spark, sf_dir):
 
 
 def references_ordered(spark, sf_dir):
-    """An order's items as references to parts; the parts of even keys are in the corpus."""
-    li = table(spark, sf_dir, "lineitem").filter("l_orderkey <= 2000")
+    """An order's items as references to parts; the parts of a size over 25 have a DOI."""
+    li = table(spark, sf_dir, "lineitem")
     refs = li.groupBy(F.concat(F.lit("o"), "l_orderkey").alias("oa_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: F.concat(F.lit("p"), x["l_partkey"])).alias("referenced_works"))
-    works = refs.select("oa_id", F.lit(None).cast("string").alias("doi"), "referenced_works").unionByName(table(spark, sf_dir, "part").filter("p_partkey % 2 = 0").select(F.concat(F.lit("p"), "p_partkey").alias("oa_id"), F.concat(F.lit("10.1/"), "p_partkey").alias("doi"), F.array().cast("array<string>").alias("referenced_works")))
+    works = refs.select("oa_id", F.lit(None).cast("string").alias("doi"), "referenced_works").unionByName(table(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("oa_id"), F.when(F.col("p_size") > 25, F.concat(F.lit("10.1/"), "p_partkey")).alias("doi"), F.array().cast("array<string>").alias("referenced_works")))
     out = corpus.references_to_dois(works, idx="oa_id")
     return out.filter("oa_id like 'o%'").select("oa_id", F.array_join("ref_dois", ",").alias("refs"))
 
@@ -452,7 +458,7 @@ ORACLE_SQL = {
       SELECT doc_id FROM k QUALIFY key IS NULL OR row_number() OVER (PARTITION BY key ORDER BY doc_id) = 1""",
     "union_or_search": f"""WITH {KEYED}, k AS (SELECT doc_id, lang, coalesce(nullif(trim(lower(doi)), ''), oa_id) AS key FROM d WHERE lang = 'en' OR n_chars > 1000) SELECT doc_id, lang FROM k WHERE key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY key ORDER BY doc_id) = 1""",
     "dense_index": "SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS idx FROM documents",
-    "title_jaccard_match": f"""WITH q AS (SELECT item_id, {_MATCH.format('text')} AS a FROM benchmark), t AS (SELECT doc_id, {_MATCH.format('substring(text, 1, 400)')} AS b FROM documents),
+    "title_jaccard_match": f"""WITH q AS (SELECT item_id, {_MATCH.format('text')} AS a FROM benchmark), t AS (SELECT doc_id, {_MATCH.format('text')} AS b FROM documents),
       s AS (SELECT item_id, doc_id, len(list_intersect(a, b)) AS i, len(a) + len(b) AS n FROM q, t)
       SELECT item_id, doc_id, round(i / (n - i), 6) AS similarity FROM s WHERE i / (n - i) >= 0.2 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY i / (n - i) DESC, doc_id) = 1""",
     "doi_extract": "SELECT page_id, '10.5555/ab' || page_id || 'x' AS doi, '10.1/X' || page_id AS bare FROM pages",
@@ -460,7 +466,7 @@ ORACLE_SQL = {
     + " ".join(f"WHEN regexp_matches(lower(p_type), '{w}') THEN '{n}'" for n, w in T.MACRO_AREAS)
     + " ELSE 'Other' END AS area FROM part",
     "year_extract": "SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders",
-    "abstract_rebuild": r"SELECT doc_id, trim(substring(regexp_replace(text, '\s+', ' ', 'g'), 1, 300)) AS abstract FROM documents",
+    "abstract_rebuild": r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS abstract FROM documents",
     **{k: f"WITH {RANKED} SELECT idx, area FROM p {v}" for k, v in _SELECT.items()},
     "select_mode_b": f"""WITH {RANKED}, c AS (SELECT area, 40 * count(*) / (SELECT count(*) FROM part) AS x FROM p GROUP BY area), q AS (SELECT area, floor(x) AS q, row_number() OVER (ORDER BY x - floor(x) DESC, area) AS r FROM c), g AS (SELECT area, q + CAST(r <= 40 - (SELECT sum(q) FROM q) AS INTEGER) AS n FROM q)
       SELECT idx, p.area FROM p JOIN g ON p.area = g.area WHERE rn <= n""",
@@ -469,7 +475,7 @@ ORACLE_SQL = {
     "crosswalk_best": """WITH l AS (SELECT n_regionkey AS key, CAST(n_nationkey AS VARCHAR) AS target_id, n_name AS target_label, CASE n_nationkey % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS confidence, row_number() OVER (PARTITION BY n_regionkey ORDER BY CASE n_nationkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END DESC, n_nationkey) AS rn FROM nation)
       SELECT r_regionkey AS key, r_name, target_id, target_label, confidence FROM region LEFT JOIN l ON key = r_regionkey AND rn = 1""",
     "authorship_explode": "SELECT conv_id AS work_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) - 1 AS position, 'A' || turn AS author_id, role AS author_name, '0000-' || turn AS orcid, role AS institution, 'XX' AS country FROM conversations",
-    "sheet_quality": "WITH f AS (SELECT count(*) AS rows, (count(nullif(substring(text, 1, 1), 'T')) / count(*) + count(lang) / count(*) + count(source) / count(*)) / 3 AS filled FROM documents) SELECT rows, 0.75::DOUBLE AS fields, round(filled, 6) AS filled, round(0.6 * 0.75 + 0.4 * filled, 6) AS score FROM f",
+    "sheet_quality": "WITH f AS (SELECT count(*) AS rows, (count(nullif(source, 'src3')) / count(*) + count(lang) / count(*) + count(source) / count(*)) / 3 AS filled FROM documents) SELECT rows, 0.75::DOUBLE AS fields, round(filled, 6) AS filled, round(0.6 * 0.75 + 0.4 * filled, 6) AS score FROM f",
     "export_rows": "SELECT 'N' || c_nationkey AS authors, c_name AS title, 2001 AS year, CAST(NULL AS VARCHAR) AS source_title, c_custkey AS cited_by, '10.1234/c' || c_custkey AS doi, 'https://x/W' || c_custkey AS link, CAST(NULL AS VARCHAR) AS abstract, 'A; ' || c_mktsegment AS author_keywords, c_mktsegment AS document_type, 'W' || c_custkey AS eid FROM customer",
     "download_lines": "SELECT concat_ws('; ', 'A; B', p_name, '1999', nullif(CAST(p_partkey AS VARCHAR), '3')) AS line FROM part",
     "target_pairs": f"WITH {RECORDS} SELECT DISTINCT domain_id, year FROM records WHERE domain_id IS NOT NULL AND year IS NOT NULL",
@@ -479,8 +485,9 @@ ORACLE_SQL = {
       c AS (SELECT kind, count(*) AS n, count(DISTINCT key) AS m FROM k GROUP BY kind)
       SELECT CAST(sum(n) AS BIGINT) AS input, CAST(sum(CASE WHEN kind IS NULL THEN n ELSE m END) AS BIGINT) AS kept, CAST(coalesce(sum(n - m) FILTER (WHERE kind = 'doi'), 0) AS BIGINT) AS duplicates_doi, CAST(coalesce(sum(n - m) FILTER (WHERE kind = 'id'), 0) AS BIGINT) AS duplicates_id, CAST(coalesce(sum(n - m) FILTER (WHERE kind = 'tay'), 0) AS BIGINT) AS duplicates_tay, CAST(coalesce(sum(n) FILTER (WHERE kind IS NULL), 0) AS BIGINT) AS keyless FROM c""",
     "majority_label": "SELECT c_nationkey % 5 AS community, c_mktsegment AS community_label FROM customer GROUP BY c_nationkey % 5, c_mktsegment QUALIFY row_number() OVER (PARTITION BY c_nationkey % 5 ORDER BY count(*) DESC, c_mktsegment) = 1",
-    "references_ordered": """WITH l AS (SELECT l_orderkey, l_partkey, min(l_linenumber) AS pos FROM lineitem WHERE l_orderkey <= 2000 GROUP BY ALL)
-      SELECT 'o' || l_orderkey AS oa_id, coalesce(string_agg('10.1/' || l_partkey, ',' ORDER BY pos, l_partkey) FILTER (WHERE l_partkey % 2 = 0), '') AS refs FROM l GROUP BY l_orderkey""",
+    "visible_graph": f"WITH {NATION_EDGES} SELECT src, dst FROM e WHERE src IN (SELECT idx FROM d WHERE deg >= 24) AND dst IN (SELECT idx FROM d WHERE deg >= 24)",
+    "references_ordered": """WITH l AS (SELECT l_orderkey, l_partkey, min(l_linenumber) AS pos FROM lineitem GROUP BY ALL)
+      SELECT 'o' || l_orderkey AS oa_id, coalesce(string_agg('10.1/' || l_partkey, ',' ORDER BY pos, l_partkey) FILTER (WHERE p_size > 25), '') AS refs FROM l LEFT JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey""",
     "query_filter_sort": "SELECT doc_id AS id, n_chars AS cited_by_count FROM documents WHERE (lower(text) LIKE '%the%' OR lower(text) LIKE '%les%') AND lower(text) LIKE '%an%' AND lang IN ('en', 'fr') AND source IN ('src1', 'src2') AND NOT regexp_matches(text, '!{2,}')",
 }
 
