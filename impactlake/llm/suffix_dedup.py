@@ -119,16 +119,22 @@ def _spans(batches, width: int):
 RUN = "key binary, a long, lo long, hi long, digit long, span binary"
 
 
-def radix_pass(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(the judged rows, those whose span occurs twice, those that go on to the next digit); rows are dropped. Counting has partial sums, so hot groups are spread."""
-    twice = rows.groupBy("digit").agg(F.count("*").alias("n")).filter("n > 1").select("digit")
+def radix_pass(rows: DataFrame, name: str) -> tuple[list[DataFrame], DataFrame, DataFrame]:
+    """(tables to drop when the others have been read, rows whose span occurs twice, those that go on to the next digit); rows are dropped.
+
+    Counting has partial sums, and what was counted is written before it is joined: it is then broadcast, or both
+    sides come straight from a shuffle and adaptive execution splits a hot digit or span.
+    """
+    twice = written(rows.groupBy("digit").agg(F.count("*").alias("n")).filter("n > 1").select("digit"), name)
     left = written(rows.join(twice, "digit"), name)
-    by_span = left.groupBy("span").agg(F.count("*").alias("n"), F.min(F.struct("key", "a", "lo")).alias("rep"))
-    judged = left.join(by_span, "span").select(*left.columns, (F.col("n") > 1).alias("whole"), (F.struct("key", "a", "lo") == F.col("rep")).alias("is_rep"))
+    drop(rows, twice)
+    by_span = written(left.groupBy("span").agg(F.count("*").alias("n"), F.min(F.struct("key", "a", "lo")).alias("rep")).filter("n > 1").select("span", "rep"), name)
+    found = F.col("rep").isNotNull()
+    judged = left.join(by_span, "span", "left").select(*left.columns, found.alias("whole"), (found & (F.struct("key", "a", "lo") == F.col("rep"))).alias("is_rep"))
     judged = written(judged, name)
-    drop(left, rows)
-    open_ = judged.filter("not whole").select("digit").distinct()
-    return judged, judged.filter("whole").select("key", "lo", "hi"), judged.filter("not whole or is_rep").join(open_, "digit", "left_semi").select("key", "a", "lo", "hi").distinct()
+    drop(left, by_span)
+    open_ = written(judged.filter("not whole").select("digit").distinct(), name)
+    return [judged, open_], judged.filter("whole").select("key", "lo", "hi"), judged.filter("not whole or is_rep").join(open_, "digit", "left_semi").select("key", "a", "lo", "hi").distinct()
 
 
 def _slot(key: bytes, a: int, bits: int) -> int:
@@ -145,7 +151,7 @@ def repeated_runs(texts: DataFrame, width: int = 400) -> DataFrame:
     spark = texts.sparkSession
     bounded_batches(spark, 250)
     rows = written(texts.select("key", "text").mapInArrow(lambda b: _spans(b, width), RUN), "suffix-runs")
-    judged, whole, left = radix_pass(rows, "suffix-pass1")
+    done, whole, left = radix_pass(rows, "suffix-pass1")
     left = written(left, "suffix-left")
     bits = min(24, max(16, math.ceil(math.log2(32 * left.count() + 1))))
 
@@ -185,7 +191,7 @@ def repeated_runs(texts: DataFrame, width: int = 400) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 6, (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["key", "a", "lo", "hi", "digit", "span"])
 
     cell_rows = written(around.select("key", "a", "lo", "hi", "bytes").mapInArrow(cells, RUN), "suffix-cells")
-    judged2, whole2, left2 = radix_pass(cell_rows, "suffix-pass2")
+    done2, whole2, left2 = radix_pass(cell_rows, "suffix-pass2")
     inside = (F.col("c.lo") >= F.col("x.lo")) & (F.col("c.lo") <= F.col("x.hi"))
     open_cells = left2.alias("c").join(around.alias("x"), (F.col("c.key") == F.col("x.key")) & (F.col("c.a") == F.col("x.a")) & inside).select("c.key", "c.lo", "c.hi", F.expr("substring(x.bytes, cast(c.lo - x.lo + 1 as int), cast(c.hi - c.lo + " + str(width) + " as int))").alias("bytes"))
 
@@ -196,11 +202,11 @@ def repeated_runs(texts: DataFrame, width: int = 400) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 3, (pa.binary(), pa.int64(), pa.binary()))], ["key", "lo", "span"])
 
     window_rows = written(open_cells.mapInArrow(windows, "key binary, lo long, span binary"), "suffix-windows")
-    twice = window_rows.groupBy("span").agg(F.count("*").alias("n")).filter("n > 1").select("span")
+    twice = written(window_rows.groupBy("span").agg(F.count("*").alias("n")).filter("n > 1").select("span"), "suffix-windows")
     last = window_rows.join(twice, "span").select("key", "lo", F.col("lo").alias("hi"))
     every = whole.unionByName(whole2).unionByName(last)
     out = written(every.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("runs")), "suffix-repeats")
-    drop(judged, left, around, judged2, window_rows)
+    drop(*done, left, around, *done2, window_rows, twice)
     return out
 
 
