@@ -103,7 +103,8 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str
     url = F.col("url")
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url")).select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
     scored = reputation(outcomes.select(host_of(F.col("url").cast("string")).alias("host"), "bad"), own.select("host"), settings)
-    bad = scored.filter("blocked").select("host", F.lit(True).alias("blocked"))
+    # written, it is broadcast or comes straight from a shuffle: adaptive execution can split a hot host's pages
+    bad = written(scored.filter("blocked").select("host", F.lit(True).alias("blocked")), "blocked-hosts")
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     learned = F.when(F.col("blocked"), F.lit("block")).otherwise(F.lit("allow"))
     return own.join(bad, "host", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, learned).alias("verdict"))
