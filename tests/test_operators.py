@@ -134,3 +134,9 @@ def test_search(spark):
     hits = search.exclude(d.filter(search.predicate(title="robot OR cats", languages=["en"])), ["!{2}", "("], ["title"])
     assert [r["id"] for r in hits.collect()] == ["1"]
     assert [r["id"] for r in search.sort_works(d, "newest").collect()] == ["1", "2", "3"]
+
+
+def test_inverted_indexes(spark):
+    d = spark.createDataFrame([(1, "b a  b c"), (2, ""), (3, None)], "id long, t string")
+    out = {r["id"]: r["abstract_inverted_index"] for r in corpus.inverted_indexes(d, "id", "t").collect()}
+    assert out == {1: {"b": [0, 2], "a": [1], "c": [3]}, 2: {}, 3: None}
