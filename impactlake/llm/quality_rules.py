@@ -28,12 +28,17 @@ _ASCII[ord("a") : ord("z") + 1] = _ASCII[ord("A") : ord("Z") + 1] = range(1, 27)
 
 @dataclass(frozen=True)
 class Bands:
-    """Documents outside [q1 - spread * (q3 - q1) - slack / sqrt(n), q3 + ...] of their language's log perplexity are rejected; q1 and q3 are its quartiles, n the characters scored. A language of fewer than min_docs documents has no band."""
+    """Documents are rejected whose log perplexity lies more than z * sigma / sqrt(n) from their language's median; n is the characters scored.
 
-    spread: float = 4.0
-    slack: float = 6.0
+    sigma is the robust spread (quartiles' distance over 1.349) of the language's (log perplexity - median) * sqrt(n),
+    so it is the spread that its documents show at any length. A language of fewer than min_docs documents has its
+    own median and the sigma of all documents about their languages' medians.
+    """
+
+    z: float = 3.5
     min_docs: int = 50
-    bin_width: float = 0.005
+    bin_width: float = 0.002
+    length_steps: int = 8  # a doubling of length
 
 
 def classes(text: str) -> np.ndarray:
@@ -203,30 +208,44 @@ def fit_models(docs: DataFrame, text: Column, lang: Column) -> dict[str, KneserN
     return {name: KneserNey(part["gram"].to_numpy(), part["n"].to_numpy()) for name, part in table.sort_values(["lang", "gram"]).groupby("lang", sort=True)}
 
 
+def spread(x: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """Median of x and distance of its quartiles, by weights n."""
+    order = np.argsort(x, kind="stable")
+    cum = np.cumsum(n[order])
+    q1, q2, q3 = (float(x[order][np.searchsorted(cum, q * cum[-1])]) for q in (0.25, 0.5, 0.75))
+    return q2, q3 - q1
+
+
 def fit_bands(docs: DataFrame, text: Column, lang: Column, models, bands: Bands) -> dict[str, tuple[float, float]]:
-    """Per language the quartiles of its documents' log perplexities, from a histogram over all documents."""
+    """Per language the median of its documents' log perplexities and sigma, from a histogram over all documents."""
 
     def score(batches):
         scorer, total = Scorer(models.value), {}
         for batch in batches:
             langs = batch.column(1).to_pylist()
-            logs, _ = scorer(batch.column(0).to_pylist(), langs)
-            for lang_, x in zip(langs, logs):
+            logs, lengths = scorer(batch.column(0).to_pylist(), langs)
+            for lang_, x, size in zip(langs, logs, lengths):
                 if x == x:
-                    key = (lang_ or "", int(x / bands.bin_width))
+                    key = (lang_ or "", int(x / bands.bin_width), int(round(bands.length_steps * np.log2(size))))
                     total[key] = total.get(key, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.int64()), pa.array(list(total.values()), pa.int64())], ["lang", "bin", "n"])
-
-    rows = docs.select(text.cast("string").alias("text"), lang.cast("string").alias("lang")).mapInArrow(score, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect()  # a few thousand bins a language
-    out = {}
-    for name in sorted({r["lang"] for r in rows}):
-        own = sorted((r["bin"], r["n"]) for r in rows if r["lang"] == name)
-        cum = np.cumsum([n for _, n in own])
-        if cum[-1] >= bands.min_docs:
-            q1, q3 = (own[int(np.searchsorted(cum, q * cum[-1]))][0] * bands.bin_width for q in (0.25, 0.75))
-            width = max(q3 - q1, bands.bin_width)
-            out[name] = (q1 - bands.spread * width, q3 + bands.spread * width)
-    return out
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), *(pa.array([k[i] for k in total], pa.int64()) for i in (1, 2)), pa.array(list(total.values()), pa.int64())], ["lang", "bin", "size", "n"])
+
+    rows = docs.select(text.cast("string").alias("text"), lang.cast("string").alias("lang")).mapInArrow(score, "lang string, bin long, size long, n long").groupBy("lang", "bin", "size").agg(F.sum("n").alias("n")).toArrow().to_pandas()  # some ten thousand cells a language
+    return bands_of(rows, bands)
+
+
+def bands_of(rows, bands: Bands) -> dict[str, tuple[float, float]]:
+    """lang -> (median, sigma) from a histogram (lang, bin, size, n) of log perplexities and lengths."""
+    if not len(rows):
+        return {}
+    rows = rows.sort_values(["lang", "bin", "size"], ignore_index=True)
+    x, root = (rows["bin"].to_numpy() + 0.5) * bands.bin_width, 2.0 ** (rows["size"].to_numpy() / (2 * bands.length_steps))
+    n, at = rows["n"].to_numpy(), rows.groupby("lang").indices
+    medians = {name: spread(x[i], n[i])[0] for name, i in at.items()}
+    scaled = (x - rows["lang"].map(medians).to_numpy()) * root
+    sigma = lambda i: max(spread(scaled[i], n[i])[1], bands.bin_width * float(np.average(root[i], weights=n[i]))) / 1.349
+    pooled = sigma(np.arange(len(rows)))
+    return {name: (medians[name], sigma(i) if n[i].sum() >= bands.min_docs else pooled) for name, i in at.items()}
 
 
 def text_counts(texts: list, hashes: WordHashes) -> dict[str, np.ndarray]:
@@ -302,11 +321,9 @@ def quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", ban
             c = text_counts(texts, hashes)
             c["log_perplexity"], n = scorer(texts, langs)
             c["base_failed"] = (c["n_words"] < min_words) | (100 * c["n_repeat_words"] > max_repeat_percent * c["n_words"])
-            band = [limits.get(x or "", (-np.inf, np.inf)) for x in langs]
-            low, high = (np.array([b[k] for b in band], float) for k in (0, 1))
-            slack = bands.slack / np.sqrt(np.maximum(n, 1))
+            centre, sigma = (np.array([limits.get(x or "", (0.0, np.inf))[k] for x in langs], float) for k in (0, 1))
             with np.errstate(invalid="ignore"):
-                outside = (c["log_perplexity"] < low - slack) | (c["log_perplexity"] > high + slack)
+                outside = np.abs(c["log_perplexity"] - centre) > bands.z * sigma / np.sqrt(np.maximum(n, 1))
             c["kept"] = ~c["base_failed"] & ~outside
             column = pa.StructArray.from_arrays([pa.array(c[k], t, from_pandas=True) for k, t in fields], [k for k, _ in fields])
             yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, name])

@@ -94,6 +94,33 @@ def test_perplexity_bands_reject_foreign_text(spark):
     assert sum(q["kept"] for q in kept.values()) >= 295
 
 
+def prose(rng, n, vocabulary):
+    return " ".join(rng.choices(vocabulary, k=n))
+
+
+def spam_and_tables(spark):
+    """300 clean documents, 12 of words with symbols, 12 of one symbol run repeated between few words, 12 tables of words, some of a rare language."""
+    rng = random.Random(11)
+    vocabulary = sorted({words(rng, 1, 5) for _ in range(500)})
+    clean = [(i, prose(rng, 60 + i % 200, vocabulary), "en") for i in range(300)]
+    spam = [(1000 + i, " ".join(w + rng.choice("#*$%&") * 3 for w in rng.choices(vocabulary, k=150)), "en") for i in range(12)]
+    runs = [(2000 + i, " ".join(" ".join(rng.sample(vocabulary[:12], 8)) + " " + "-" * (40 + i) for _ in range(12)), "en") for i in range(12)]
+    tables = [(3000 + i, " | ".join(rng.choices(vocabulary, k=150)), "en") for i in range(12)]
+    rare = [(4000 + i, prose(rng, 100, vocabulary), "xx") for i in range(20)] + [(5000, " ".join("".join(rng.choices("QWZ#@!~^0987", k=6)) for _ in range(40)), "xx")]
+    return written(spark.createDataFrame(clean + spam + runs + tables + rare, "doc_id long, text string, lang string"), "docs")
+
+
+def test_perplexity_bands_reject_spam_and_tables(spark):
+    kept = {r["doc_id"]: r["quality"] for r in quality_rules.quality(spam_and_tables(spark)).collect()}
+    assert not any(q["base_failed"] for q in kept.values())
+    middle = sorted(kept[i]["log_perplexity"] for i in range(300))[150]
+    for first in (1000, 2000, 3000):
+        assert not any(kept[first + i]["kept"] for i in range(12)), first
+    assert {kept[i]["log_perplexity"] > middle for i in (1000, 2000)} == {True, False}  # either side of the band
+    assert not kept[5000]["kept"] and all(kept[4000 + i]["kept"] for i in range(20))
+    assert sum(kept[i]["kept"] for i in range(300)) >= 297
+
+
 # -- 2 ------------------------------------------------------------------------------------------------------------
 
 
