@@ -31,13 +31,13 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without the bytes of 400-byte strings that occur twice or more; characters cut in two go too."""
+    """The documents without the passages of 50 words or more that occur twice or more."""
     (name,) = free_name(docs, "repeats")
     found = F.col(name)
     changed = {"text": F.when(found["n_removed"] > 0, found["kept_text"]).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(found["n_removed"] > 0, F.length(found["kept_text"]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return suffix_dedup.without_repeats(docs, width=400).withColumns(changed).select(*docs.columns)
+    return suffix_dedup.without_repeats(docs, width=50, unit="words").withColumns(changed).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

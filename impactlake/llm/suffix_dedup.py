@@ -14,12 +14,16 @@ The first digit is chosen so that few suffixes enter: of the k-grams inside a wi
 3. what is left is grouped window by window.
 
 Of spans that occur twice one representative goes on, where windows with the same digit still are undecided.
+
+With a width in words the same passes run over the texts' words, each as its hash of WORD bytes: equal windows begin
+and end with words (a match that begins inside a hash would need 64 equal bits by chance).
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +32,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from impactlake.llm import sketches
-from impactlake.llm.common import bounded_batches, drop, free_name, schema_with, written
+from impactlake.llm.common import WordHashes, bounded_batches, drop, free_name, schema_with, written
 
 GRAM, CELL, SEGMENT = 32, 24, 1 << 19
+WORD = 8
+_WORDS = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -105,10 +111,29 @@ def _key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit(""))))
 
 
+def _raw(text: str | bytes) -> bytes:
+    return text.encode() if isinstance(text, str) else text
+
+
+def _as_words(batches):
+    """Each text as the hashes of its words."""
+    hashes = WordHashes()
+    for batch in batches:
+        hashes.trim()
+        coded = [hashes.of(t.encode().split()).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(coded, pa.binary())], ["key", "text"])
+
+
+def _byte_ranges(raw: bytes, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The bytes from the first to the last word of each range of word hashes; part of a hash is a chance match."""
+    at = [m.span() for m in _WORDS.finditer(raw)] if found else []
+    return [(at[-(-a // WORD)][0], at[b // WORD - 1][1]) for a, b in found]
+
+
 def _spans(batches, width: int):
     """First pass: a row per anchor. digit is its k-gram, span all bytes that its windows cover."""
     for batch in batches:
-        keys, texts = batch.column(0).to_pylist(), [t.encode() for t in batch.column(1).to_pylist()]
+        keys, texts = batch.column(0).to_pylist(), [_raw(t) for t in batch.column(1).to_pylist()]
         for found in anchors(texts, width):
             t, a, lo, hi = (x.tolist() for x in found)
             digit = [short_hash(texts[i][x : x + GRAM]) for i, x in zip(t, a)]
@@ -142,7 +167,7 @@ def _slot(key: bytes, a: int, bits: int) -> int:
 
 
 def repeated_runs(texts: DataFrame, width: int = 400) -> DataFrame:
-    """key, runs: for texts(key, text) the runs (lo, hi) of starts whose windows are repeated; key is the text's md5.
+    """key, runs: for texts(key, text or bytes) the runs (lo, hi) of starts whose windows are repeated; key is the text's md5.
 
     texts must be a stored table (it is read twice), without nulls.
     """
@@ -165,7 +190,7 @@ def repeated_runs(texts: DataFrame, width: int = 400) -> DataFrame:
         """The bytes around the undecided anchors; the bit array lets a few others pass, which does no harm."""
         seen: set[tuple[bytes, int, int]] = set()
         for batch in batches:
-            keys, docs = batch.column(0).to_pylist(), [t.encode() for t in batch.column(1).to_pylist()]
+            keys, docs = batch.column(0).to_pylist(), [_raw(t) for t in batch.column(1).to_pylist()]
             if len(seen) > 100_000:
                 seen.clear()
             for found in anchors(docs, width):
@@ -226,22 +251,29 @@ def merged(runs: list, width: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def without_repeats(docs: DataFrame, width: int = 400, text_col: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, width: int = 400, text_col: str = "text", unit: str = "bytes") -> DataFrame:
     """docs with a struct column `repeats`: n_bytes, n_removed, spans (removed byte ranges), kept (remaining bytes), kept_text (their whole characters), kept_sha256.
 
     A byte goes if a string of `width` bytes that covers it also starts anywhere else, in the same text or any
-    other row's. Null and empty texts and those shorter than width lose nothing (null counts as empty). Repeated
+    other row's. With unit="words" width counts words (between ASCII white space, which itself does not matter); what
+    goes are the bytes from the first to the last word of a repeated passage. Null and empty texts and those shorter than width lose nothing (null counts as empty). Repeated
     rows are copies of each other. An empty table gives no rows; names are never taken twice. docs must be a
     stored table.
     """
-    spark = docs.sparkSession
+    if unit not in ("bytes", "words"):
+        raise ValueError("unit must be bytes or words")
+    spark, by_words = docs.sparkSession, unit == "words"
+    width *= WORD if by_words else 1
     key, runs_name, name = free_name(docs, "key", "runs", "repeats")
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    runs = repeated_runs(docs.select(_key(docs[text_col]).alias("key"), text.alias("text")).filter(F.octet_length("text") >= width), width)
+    bounded_batches(spark, 250)
+    own = docs.select(_key(docs[text_col]).alias("key"), text.alias("text"))
+    if by_words:
+        own = own.mapInArrow(_as_words, "key binary, text binary")
+    runs = repeated_runs(own.filter(F.octet_length("text") >= width), width)
     runs = runs.select(F.col("key").alias(key), F.col("runs").alias(runs_name))
     joined = docs.withColumn(key, _key(docs[text_col])).join(runs, key, "left").select(*docs.columns, runs_name)
     at, places = docs.columns.index(text_col), len(docs.columns)
-    bounded_batches(spark, 250)
 
     def cut(batches):
         for batch in batches:
@@ -249,6 +281,7 @@ def without_repeats(docs: DataFrame, width: int = 400, text_col: str = "text") -
             for text, found in zip(batch.column(at).to_pylist(), batch.column(places).to_pylist()):
                 raw = (text or "").encode()
                 spans = merged([(r["lo"], r["hi"]) for r in found or ()], width)
+                spans = _byte_ranges(raw, spans) if by_words else spans
                 ends = [0, *(x for s in spans for x in s), len(raw)]
                 kept = b"".join(raw[a:b] for a, b in zip(ends[0::2], ends[1::2]))
                 out.append({"n_bytes": len(raw), "n_removed": len(raw) - len(kept), "spans": [{"start": a, "end": b} for a, b in spans], "kept": kept, "kept_text": kept.decode("utf-8", "ignore"), "kept_sha256": hashlib.sha256(kept).hexdigest()})

@@ -35,3 +35,19 @@ def test_stages_take_an_empty_table(spark, sf_dir, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
         assert docs.count() == 0
+
+
+def test_repeated_passages_are_counted_in_words(spark, sf_dir):
+    import random
+
+    rng = random.Random(4)
+    own = lambda n: " ".join("".join(rng.choices("abcdefghij", k=rng.randrange(3, 8))) for _ in range(n))
+    passage, short = own(51), own(49)
+    assert len(passage) < 400
+    a, b, c, d = own(80), own(70), own(60), own(90)
+    texts = [f"{a} {passage} {b}", f"{c}\n{passage.replace(' ', chr(10))} é {d}", f"{a[:50]} {short}", f"{b[:40]} {short}", " ".join(["é" * 9] * 49), None]
+    docs = written(spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], DOC), "docs")
+    out = {r["doc_id"]: r for r in corpus_pipeline.repeated_passage_stage(spark, docs, sf_dir).collect()}
+    assert out[0]["text"] == f"{a}  {b}" and out[1]["text"] == f"{c}\n é {d}"
+    assert [out[i]["text"] for i in (2, 3, 4, 5)] == texts[2:]
+    assert out[0]["n_chars"] == len(out[0]["text"])
