@@ -163,7 +163,7 @@ def _put_back(docs: pa.Table, coded: pa.Table, path: str, n_buckets: int, full:
     for doc_ids, texts in payloads:
         for doc, t in zip(doc_ids, texts):
             own = words(t)
-            raw, decoded = b"".join([ids[w] for w in own]), b" ".join([pieces[w] for w in own])
+            raw, decoded = b"".join([ids[w] for w in own]), b" ".join([p for w in own if (p := pieces[w])])
             row = (doc, len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded).hexdigest())
             out.append(row + (np.frombuffer(raw, "<i4").tolist(), decoded.decode()) if full else row)
     kinds = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())][: 6 if full else 4]
@@ -174,7 +174,8 @@ def _put_back(docs: pa.Table, coded: pa.Table, path: str, n_buckets: int, full:
 def encode_and_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", full: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text; with full=True also ids and the decoded text.
 
-    For vocabularies that drop white space and have no decoder: a decoded text is its pieces joined by a space.
+    For vocabularies that drop white space and have no decoder: a decoded text is its pieces joined by a space; words
+    without an id (a no-break space between blanks) have no pieces.
     A null text is empty (no ids, hashes of nothing); repeated rows, null and repeated ids come out each for
     itself; an empty table gives no rows; other columns are ignored.
     """

@@ -421,6 +421,16 @@ def test_bpe_odd_texts(spark):
         assert r["ids"] == ids and r["decoded"] == library.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_words_without_ids(spark):
+    library = Tokenizer.from_file(WORD)
+    texts = ["a \u00a0 b", "a \u00a0", "\u3000", "\u2028 a \u3000 b \u00a0\u00a0 c", " \u00a0 a"]
+    df = written(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "docs")
+    for r in bpe.encode_and_decode(df, WORD, full=True).collect():
+        ids = library.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+        assert r["ids"] == ids and r["decoded"] == library.decode(ids, skip_special_tokens=False)
+        assert r["decoded_sha256"] == hashlib.sha256(r["decoded"].encode()).hexdigest()
+
+
 # -- 10 -----------------------------------------------------------------------------------------------------------
 
 
