@@ -25,7 +25,7 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 #: Their content is not page text.
 DROPPED = set("script style noscript template svg iframe object canvas textarea select button head title audio video map".split())
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption hr".split())
-BOILER_TAGS = set("nav footer aside form menu dialog".split())
+BOILER_TAGS = set("nav footer aside menu dialog".split())
 CONTENT_TAGS = {"article", "main"}
 #: Words in class, id or role that speak for a label.
 BOILER_WORDS = set(
@@ -33,38 +33,55 @@ BOILER_WORDS = set(
 )
 CONTENT_WORDS = set("article content main post story entry body".split())
 SURE_BOILER, SURE_CONTENT, OUTSIDE, SMOOTH = -8.0, 6.0, -3.0, 1.0
+#: Costs of an ancestor whose name is made of boilerplate words ("cookie-notice"), or has one among others ("has-sidebar").
+NAMED, HINTED = 12.0, 6.0
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "depth", "boiler", "content", "dropped", "link", "header")
+    __slots__ = ("tag", "parent", "depth", "boiler", "content", "dropped", "link", "name", "above", "held", "held_content")
 
     def __init__(self, tag: str, parent: _Element | None, attributes: str):
         self.tag, self.parent = tag, parent
         up = parent or self
         self.depth = parent.depth + 1 if parent else 0
         self.boiler, self.content, self.dropped, self.link = (bool(parent) and getattr(up, k) for k in ("boiler", "content", "dropped", "link"))
-        self.header = False
         self.dropped |= tag in DROPPED
         self.link |= tag == "a"
         self.boiler |= tag in BOILER_TAGS
+        words, named, hinted, hidden = _names(attributes) if "=" in attributes or "hidden" in attributes else (set(), False, False, False)
         outer = tag in ("html", "body", "article", "main")
-        words = _names(attributes) if "=" in attributes or "hidden" in attributes else ()
-        if words and not outer:
-            self.boiler |= not BOILER_WORDS.isdisjoint(words) or "\0hidden" in words
-        if tag == "header" or "header" in words and not outer:  # of the page; an article's own holds its title
+        if hidden and not outer:
+            self.boiler = True
+        if tag == "header":  # of the page; an article's own holds its title
             self.boiler |= not self.content
+        elif "header" in words and not self.content:
+            named, hinted = named or len(words) == 1, True
+        self.name = 0.0 if outer else NAMED if named or tag == "form" else HINTED if hinted else 0.0
+        self.held = self.held_content = 0  # characters of text inside
+        above = parent.above if parent else ()  # elements with a name's cost, from here to the top
+        if tag == "main":
+            above = ()
+        elif tag == "article":  # hints of wrappers end here, and those of comments and the like do not
+            above = tuple(e for e in above if e.name == NAMED)
+        self.above = (self, *above) if self.name else above
         self.content |= tag in CONTENT_TAGS or (tag in ("div", "section", "td") and not CONTENT_WORDS.isdisjoint(words))
 
 
-def _names(attributes: str) -> set[str]:
-    out: set[str] = set()
+def _names(attributes: str) -> tuple[set[str], bool, bool, bool]:
+    """The words of class, id and role; whether all words of one of their tokens, or some, speak for boilerplate; whether the element is hidden."""
+    words: set[str] = set()
+    named = hinted = hidden = False
     for name, value in _NAME.findall(attributes):
         name = name.lower()
         if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value) or name == "aria-hidden" and "true" in value:
-            out.add("\0hidden")
+            hidden = True
         elif name in ("class", "id", "role"):
-            out.update(p.lower() for p in _PART.findall(value))
-    return out
+            for token in value.strip("\"'").split():
+                parts = {p.lower() for p in _PART.findall(token)}
+                words |= parts
+                named |= bool(parts) and parts <= BOILER_WORDS
+                hinted |= not parts.isdisjoint(BOILER_WORDS)
+    return words, named, hinted, hidden
 
 
 class Block:
@@ -148,13 +165,27 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def score(block: Block, has_main: bool) -> float:
+def weigh(found: list[Block]) -> None:
+    """Count the text that named elements hold."""
+    for b in found:
+        for e in b.parent.above:
+            e.held += len(b.text)
+            if b.parent.content and not b.parent.boiler:
+                e.held_content += len(b.text)
+
+
+def name_cost(e: _Element, size: int, content: int) -> float:
+    """The greatest cost of the names above; a wrapper of half of the page's text or more costs nothing, if no content is outside it."""
+    return max((x.name for x in e.above if 2 * x.held < size or x.held_content < content and x.name == NAMED), default=0.0)
+
+
+def score(block: Block, has_main: bool, cost: float = 0.0) -> float:
     """The classifier's log odds for content."""
     e = block.parent
     if e.boiler:
         return SURE_BOILER
     words = block.text.count(" ") + 1
-    own = min(2.0, words / 15) - (0.8 if has_main else 0.3) - 3.0 * min(1.0, block.linked / len(block.text)) + (0.5 if block.text[-1] in ".!?:;\"'”»…" else 0.0)
+    own = min(2.0, words / 15) - (0.8 if has_main else 0.3) - 3.0 * min(1.0, block.linked / len(block.text)) + (0.5 if block.text[-1] in ".!?:;\"'”»…" else 0.0) - cost
     if e.content:
         return SURE_CONTENT + own
     return own + (OUTSIDE if has_main else 0.0)
@@ -235,7 +266,10 @@ def main_text(page: str | None) -> str:
     found = blocks(page) if page else []
     if not found:
         return ""
-    has_main = any(b.parent.content and not b.parent.boiler for b in found)
+    weigh(found)
+    size, content = sum(len(b.text) for b in found), sum(len(b.text) for b in found if b.parent.content and not b.parent.boiler)
+    costs = [name_cost(b.parent, size, content) for b in found]
+    has_main = any(b.parent.content and not b.parent.boiler and c < NAMED for b, c in zip(found, costs))
     edges, last = [], {}
     for i, b in enumerate(found):
         before = last.get(id(b.parent.parent))
@@ -244,7 +278,7 @@ def main_text(page: str | None) -> str:
         if before is not None and before < i - 1:
             edges.append((before, i, SMOOTH / 6))
         last[id(b.parent.parent)] = i
-    keep = min_cut([score(b, has_main) for b in found], edges)
+    keep = min_cut([score(b, has_main, c) for b, c in zip(found, costs)], edges)
     return " ".join(b.text for b, k in zip(found, keep) if k)
 
 

@@ -279,6 +279,26 @@ def test_html_text(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+ARTICLE = "<article><h1>A title</h1><p>First sentence of the article, long enough to count.<p>Second sentence of the article, just as long as the first.</article>"
+KEPT = "A title First sentence of the article, long enough to count. Second sentence of the article, just as long as the first."
+
+
+@pytest.mark.parametrize("outer", ["class='site has-sidebar'", "id='page-with-nav'", "class=search-result-page", "class=no-comments", "class='social-policy'", "class='site has-header'", "id=footerless-comments-page"])
+def test_html_text_in_named_wrappers(outer):
+    menu, ad = "<nav><a href=1>One</a></nav>", "<div class='ad'>Buy now, buy here, buy cheap.</div>"
+    assert html_text.main_text(f"<body><div {outer}>{menu}{ARTICLE}{ad}</div><footer>me</footer>") == KEPT
+    plain = [html_text.main_text(f"<body>{menu}<div {x}>{ARTICLE.replace('article>', 'div>')}</div>{ad}<footer>me</footer>") for x in (outer, "class=x")]
+    assert plain[0] == plain[1] and plain[0] in KEPT and "First sentence" in plain[0]
+    assert html_text.main_text(f"<body><form action=/><div {outer}>{ARTICLE}</div></form>{ad}") == KEPT
+
+
+def test_html_text_leaves_named_boilerplate_out():
+    comments = "<section class='comments'><article><p>" + "I liked this a lot, said a reader at length. " * 9 + "</article></section>"
+    cookies = "<div id='cookie-consent'>" + "<p>We use cookies on this site, please accept all of them now.</p>" * 9 + "</div>"
+    assert html_text.main_text(f"<body>{cookies}{ARTICLE}{comments}") == KEPT
+    assert html_text.main_text(f"<body>{ARTICLE.replace('</article>', comments + '</article>')}{cookies}") == KEPT
+
+
 def test_min_cut_is_least():
     rng = random.Random(2)
     for _ in range(200):
