@@ -52,14 +52,16 @@ def components(edges: DataFrame, u: str, v: str) -> DataFrame:
     star = written(star, "stars")
     while True:
         both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # written, it is broadcast or comes straight from a shuffle: adaptive execution can split a hub's edges
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "stars")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
+        down = written(down, "stars")
+        low = written(down.groupBy("u").agg(F.min("v").alias("m")), "stars")
         small = down.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("a"), "m"), F.struct(F.col("v").alias("a"), "m"))).alias("e")).select(F.col("e.a").alias("u"), F.col("e.m").alias("v"))
         new = written(small.filter("u != v").distinct(), "stars")
         done = new.exceptAll(star).isEmpty() and star.exceptAll(new).isEmpty()
-        drop(star)
+        drop(star, least, down, low)
         if done:
             return new.select(F.col("u").alias("node"), F.col("v").alias("label"))
         star = new
