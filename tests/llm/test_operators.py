@@ -461,7 +461,7 @@ def test_neighbours(spark):
     vectors[10] = (10, vectors[20][1])
     odd = [(5000, None), (5001, [0.0] * 16), (5002, [float("nan")] * 16), (5003, [None, 1.0]), (5004, []), (None, [1.0] * 16), (6000, [1.0, 2.0]), (6100, [1.0, 3.0])]
     df = written(spark.createDataFrame(vectors + odd, "vec_id long, embedding array<double>"), "vectors")
-    found = neighbours.search(df, F.col("vec_id") % 100 == 0, 10, neighbours.Settings(shard_rows=500)).collect()
+    found = neighbours.search(df, F.col("vec_id") % 100 == 0, 10, neighbours.Settings(part_rows=500)).collect()
     got = {}
     for r in found:
         got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
@@ -477,3 +477,26 @@ def test_neighbours(spark):
     assert hit / 300 >= 0.9
     assert got[6000] == {1: (6100, 1.0)} and set(got) == {*range(0, 3000, 100), 6000, 6100}
     assert neighbours.search(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_neighbours_of_equal_vectors(spark):
+    """Copies are ranked by id, a hot vector's bucket is dealt over several parts, repeated ids count once, other columns may clash."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [1.0, 2.0, 3.0, 4.0] if i % 3 == 0 else rng.normal(size=4).round(1).tolist(), "x", 1.0) for i in range(900)]
+    rows += [(0, rows[0][1], "again", 2.0), (7, [9.0, 9.0, 9.0, 9.0], "other", 0.0)]
+    df = written(spark.createDataFrame(rows, "vec_id long, embedding array<float>, part string, score double"), "vectors")
+    got = {}
+    for r in neighbours.search(df, F.col("vec_id") % 100 == 0, 10, neighbours.Settings(part_rows=100, query_rows=2)).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    points = [(i, np.array(v, np.float32).astype(float)) for i, v, *_ in rows]
+    hit = 0
+    for q in range(0, 900, 100):
+        best = {}
+        for i, v in points:
+            if i != q:
+                best[i] = min(best.get(i, np.inf), float(np.sqrt(((v - points[q][1]) ** 2).sum())))
+        want = sorted(best.items(), key=lambda x: (x[1], x[0]))[:10]
+        hit += len(set(want) & set(got[q]))
+        if q % 3 == 0:
+            assert got[q] == want
+    assert hit / 90 >= 0.9 and len(got) == 9
