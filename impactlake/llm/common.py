@@ -13,15 +13,19 @@ from pyspark.sql.types import StructField, StructType
 
 #: ASCII white space; words are maximal runs of anything else (what bytes.split() does).
 ASCII_SPACE = b" \t\n\r\x0b\x0c"
-BATCH_ROWS = 2000
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches small: texts may be long. An own, smaller setting of the session stays."""
+    """Keep Arrow batches small, in rows and in bytes (one row at least): texts may be long. Own, smaller settings of the session stay."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
         spark.conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, str(1 << 26)).rstrip("b")
+    if now.isdigit() and int(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -76,7 +80,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hash of a word (bytes), remembered; trim() keeps the memory bounded."""
 
-    limit = 1_500_000
+    limit = 400_000
 
     def __missing__(self, word: bytes) -> int:
         value = self[word] = xxhash.xxh3_64_intdigest(word)

@@ -30,9 +30,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = suffix_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), width=400)
+    """The contract's columns, and n_passages: passages of 50 words or more that occur twice, which may be shorter than 400 bytes and then stay."""
+    docs = suffix_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), width=400, mark_words=50)
     found = F.col("repeats")
-    return docs.select("doc_id", found["n_bytes"].alias("n_bytes"), found["n_removed"].alias("n_removed"), F.size(found["spans"]).cast("long").alias("n_spans"), found["kept_sha256"].alias("kept_sha256"))
+    n = lambda c: F.size(found[c]).cast("long")
+    return docs.select("doc_id", found["n_bytes"].alias("n_bytes"), found["n_removed"].alias("n_removed"), n("spans").alias("n_spans"), found["kept_sha256"].alias("kept_sha256"), n("passages").alias("n_passages"))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -251,41 +251,54 @@ def merged(runs: list, width: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def without_repeats(docs: DataFrame, width: int = 400, text_col: str = "text", unit: str = "bytes") -> DataFrame:
-    """docs with a struct column `repeats`: n_bytes, n_removed, spans (removed byte ranges), kept (remaining bytes), kept_text (their whole characters), kept_sha256.
+def _runs(docs: DataFrame, text_col: str, width: int, by_words: bool) -> DataFrame:
+    """key, runs of the texts that have repeated windows; with by_words width is in bytes of word hashes."""
+    own = docs.select(_key(docs[text_col]).alias("key"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    if by_words:
+        own = own.mapInArrow(_as_words, "key binary, text binary")
+    return repeated_runs(own.filter(F.octet_length("text") >= width), width)
+
+
+def without_repeats(docs: DataFrame, width: int = 400, text_col: str = "text", unit: str = "bytes", mark_words: int = 0) -> DataFrame:
+    """docs with a struct column `repeats`: n_bytes, n_removed, spans (removed byte ranges), kept (remaining bytes), kept_text (their whole characters), kept_sha256, passages.
 
     A byte goes if a string of `width` bytes that covers it also starts anywhere else, in the same text or any
     other row's. With unit="words" width counts words (between ASCII white space, which itself does not matter); what
-    goes are the bytes from the first to the last word of a repeated passage. Null and empty texts and those shorter than width lose nothing (null counts as empty). Repeated
+    goes are the bytes from the first to the last word of a repeated passage. passages are the byte ranges of passages
+    of mark_words words or more (0: none are looked for) that occur twice, whether or not they are removed. Null and
+    empty texts and those shorter than width lose nothing (null counts as empty). Repeated
     rows are copies of each other. An empty table gives no rows; names are never taken twice. docs must be a
     stored table.
     """
     if unit not in ("bytes", "words"):
         raise ValueError("unit must be bytes or words")
-    spark, by_words = docs.sparkSession, unit == "words"
+    by_words = unit == "words"
     width *= WORD if by_words else 1
-    key, runs_name, name = free_name(docs, "key", "runs", "repeats")
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    bounded_batches(spark, 250)
-    own = docs.select(_key(docs[text_col]).alias("key"), text.alias("text"))
-    if by_words:
-        own = own.mapInArrow(_as_words, "key binary, text binary")
-    runs = repeated_runs(own.filter(F.octet_length("text") >= width), width)
-    runs = runs.select(F.col("key").alias(key), F.col("runs").alias(runs_name))
-    joined = docs.withColumn(key, _key(docs[text_col])).join(runs, key, "left").select(*docs.columns, runs_name)
+    key, runs_name, marks_name, name = free_name(docs, "key", "runs", "marks", "repeats")
+    bounded_batches(docs.sparkSession, 250)
+    joined = docs.withColumn(key, _key(docs[text_col])).join(_runs(docs, text_col, width, by_words).withColumnsRenamed({"key": key, "runs": runs_name}), key, "left")
+    if mark_words:
+        joined = joined.join(_runs(docs, text_col, mark_words * WORD, True).withColumnsRenamed({"key": key, "runs": marks_name}), key, "left")
+    else:
+        joined = joined.withColumn(marks_name, F.lit(None).cast("array<struct<lo:bigint,hi:bigint>>"))
+    joined = joined.select(*docs.columns, runs_name, marks_name)
     at, places = docs.columns.index(text_col), len(docs.columns)
 
     def cut(batches):
         for batch in batches:
             out = []
-            for text, found in zip(batch.column(at).to_pylist(), batch.column(places).to_pylist()):
+            for text, found, marked in zip(*(batch.column(i).to_pylist() for i in (at, places, places + 1))):
                 raw = (text or "").encode()
                 spans = merged([(r["lo"], r["hi"]) for r in found or ()], width)
                 spans = _byte_ranges(raw, spans) if by_words else spans
+                passages = _byte_ranges(raw, merged([(r["lo"], r["hi"]) for r in marked or ()], mark_words * WORD))
                 ends = [0, *(x for s in spans for x in s), len(raw)]
                 kept = b"".join(raw[a:b] for a, b in zip(ends[0::2], ends[1::2]))
-                out.append({"n_bytes": len(raw), "n_removed": len(raw) - len(kept), "spans": [{"start": a, "end": b} for a, b in spans], "kept": kept, "kept_text": kept.decode("utf-8", "ignore"), "kept_sha256": hashlib.sha256(kept).hexdigest()})
-            kind = pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary()), ("kept_text", pa.string()), ("kept_sha256", pa.string())])
+                ranges = lambda x: [{"start": a, "end": b} for a, b in x]
+                out.append({"n_bytes": len(raw), "n_removed": len(raw) - len(kept), "spans": ranges(spans), "kept": kept, "kept_text": kept.decode("utf-8", "ignore"), "kept_sha256": hashlib.sha256(kept).hexdigest(), "passages": ranges(passages)})
+            span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            kind = pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", span), ("kept", pa.binary()), ("kept_text", pa.string()), ("kept_sha256", pa.string()), ("passages", span)])
             yield pa.RecordBatch.from_arrays([*batch.columns[:places], pa.array(out, kind)], [*batch.schema.names[:places], name])
 
-    return joined.mapInArrow(cut, schema_with(docs, name, "n_bytes long, n_removed long, spans array<struct<start:bigint,end:bigint>>, kept binary, kept_text string, kept_sha256 string"))
+    ranges = "array<struct<start:bigint,end:bigint>>"
+    return joined.mapInArrow(cut, schema_with(docs, name, f"n_bytes long, n_removed long, spans {ranges}, kept binary, kept_text string, kept_sha256 string, passages {ranges}"))

@@ -155,6 +155,18 @@ def test_suffix_dedup_random_overlaps(spark):
     assert rows_of(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == Counter((i, *x) for i, x in enumerate(repeats(texts, 64)))
 
 
+def test_suffix_dedup_marks_passages_of_words(spark):
+    rng = random.Random(8)
+    own = lambda n: " ".join("".join(rng.choices("abcdefghij", k=rng.randrange(3, 8))) for _ in range(n))
+    passage, short = own(50), own(49)
+    texts = [f"{own(80)} {passage} {own(70)}", f"{own(60)}\t{passage.replace(' ', chr(10))} é", f"{own(20)} {short}", f"{short} {own(9)}", None, ""]
+    df = written(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "docs")
+    for r in suffix_dedup.without_repeats(df, 400, mark_words=50).collect():
+        raw, found = (r["text"] or "").encode(), r["repeats"]["passages"]
+        assert [raw[s["start"] : s["end"]].split() for s in found] == ([passage.encode().split()] if r["doc_id"] < 2 else [])
+        assert r["repeats"]["n_removed"] == 0
+
+
 def test_suffix_dedup_empty_and_clash(no_docs):
     assert suffix_dedup.without_repeats(no_docs).count() == 0
     assert suffix_dedup.without_repeats(no_docs.withColumn("repeats", F.lit(1))).columns[-1] == "_repeats"
