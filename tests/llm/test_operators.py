@@ -75,13 +75,70 @@ def test_quality_counts(docs, no_docs):
     assert quality_rules.quality(clash).columns == [*clash.columns, "_quality"]
 
 
+def plain_kneser_ney(texts):
+    """p(character | four before it) of interpolated modified Kneser-Ney, from dicts."""
+    grams = Counter()
+    for t in texts:
+        line = "\x02" * 4 + t.lower()
+        grams.update(line[i : i + 5] for i in range(len(line) - 4))
+    levels = {5: grams}
+    for n in (4, 3, 2, 1):
+        levels[n] = Counter(g[1:] for g in levels[n + 1])
+    cuts = {n: quality_rules.discounts(*(sum(v == k for v in c.values()) for k in (1, 2, 3, 4))) for n, c in levels.items()}
+    by_context = {n: {} for n in levels}
+    for n, c in levels.items():
+        for g, v in c.items():
+            by_context[n].setdefault(g[:-1], []).append(v)
+
+    def p(g):
+        n = len(g)
+        if not n:
+            return 1 / (len(levels[1]) + 1)
+        own, below = by_context[n].get(g[:-1]), p(g[1:])
+        if not own:
+            return below
+        cut = lambda v: cuts[n][min(v, 3) - 1]
+        v = levels[n].get(g, 0)
+        return ((v - cut(v) if v else 0) + sum(map(cut, own)) * below) / sum(own)
+
+    return p
+
+
+@pytest.mark.parametrize("limits", [(10**6, 10**9), (300, 10**9), (300, 20_000)])
+def test_perplexity_is_that_of_kneser_ney(docs, limits):
+    """Whether the model is one part or many, in one round or several."""
+    rows = docs.collect()
+    scored = {r["lang"]: plain_kneser_ney([x["text"] for x in rows if x["lang"] == r["lang"] and x["text"] is not None]) for r in rows}
+    found = quality_rules.quality(docs, part_grams=limits[0], model_bytes=limits[1]).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        text = (r["text"] or "").lower()
+        n = len(text.encode().split())
+        if not n:
+            assert r["quality"]["log_perplexity"] is None
+        elif len(text) < 3000:
+            line = "\x02" * 4 + text
+            want = -sum(math.log(scored[r["lang"]](line[i : i + 5])) for i in range(len(text))) / n
+            assert math.isclose(r["quality"]["log_perplexity"], want, rel_tol=1e-4), text[:50]
+
+
 def test_kneser_ney_sums_to_one():
-    rng = np.random.default_rng(1)
-    grams = rng.integers(0, quality_rules.CLASSES**quality_rules.ORDER, 3000)
-    model = quality_rules.KneserNey(np.unique(grams), rng.integers(1, 9, len(np.unique(grams))))
-    for context in [int(g) // quality_rules.CLASSES for g in grams[:20]] + [12345]:
-        every = context * quality_rules.CLASSES + np.arange(quality_rules.CLASSES)
-        assert math.isclose(np.exp(model.log_probabilities(every)).sum(), 1.0, rel_tol=1e-4)
+    p, alphabet = plain_kneser_ney(["abracadabra", "cabbage bag", "a bad cab"]), sorted(set("abracadabracabbage bag"))
+    for context in ("\x02\x02\x02\x02", "abra", " bag", "zzzz"):
+        assert math.isclose(sum(p(context + x) for x in [*alphabet, "?"]), 1.0, rel_tol=1e-9)
+
+
+def test_characters_are_not_folded_together(spark):
+    """Cyrillic prose and shuffled Cyrillic letters differ, as symbols do; long texts are scored whole."""
+    rng = random.Random(2)
+    vocabulary = ["".join(rng.choices("абвгдежзиклмнопрст", k=rng.randrange(2, 8))) for _ in range(60)]
+    rows = [(i, " ".join(rng.choices(vocabulary, k=120)), "ru") for i in range(200)]
+    junk = "".join(rng.choices("абвгдежзиклмнопрст ", k=700))
+    rows += [(1000, " ".join(junk[i : i + 6] for i in range(0, 600, 6)), "ru"), (1001, " ".join(rng.choices(vocabulary, k=90_000)), "ru")]
+    kept = {r["doc_id"]: r["quality"] for r in quality_rules.quality(written(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "docs")).collect()}
+    assert not kept[1000]["kept"] and not kept[1000]["base_failed"]
+    assert sum(kept[i]["kept"] for i in range(200)) >= 197
+    assert abs(kept[1001]["log_perplexity"] - sorted(kept[i]["log_perplexity"] for i in range(200))[100]) < 0.3
 
 
 def test_perplexity_bands_reject_foreign_text(spark):
