@@ -15,8 +15,8 @@ The first digit is chosen so that few suffixes enter: of the k-grams inside a wi
 
 Of spans that occur twice one representative goes on, where windows with the same digit still are undecided.
 
-With a width in words the same passes run over the texts' words, each as its hash of WORD bytes: equal windows begin
-and end with words (a match that begins inside a hash would need 64 equal bits by chance).
+With a width in words the same passes run over the texts' words, each as its 64-bit hash: equal windows begin and end
+with words.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,25 +35,45 @@ from pyspark.sql import functions as F
 from impactlake.llm import sketches
 from impactlake.llm.common import WordHashes, bounded_batches, drop, free_name, schema_with, written
 
-GRAM, CELL, SEGMENT = 32, 24, 1 << 19
-WORD = 8
 _WORDS = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _LOW = np.uint64(0xFFFFFFFF)
 
 
-def gram_hashes(raw: bytes) -> np.ndarray:
-    """A 64-bit hash of the GRAM bytes from each place on."""
+@dataclass(frozen=True)
+class Unit:
+    """What windows are counted in: bytes of one place in a coded text, places of an anchor's k-gram and of a cell, places handled at once."""
+
+    size: int
+    gram: int
+    cell: int
+    segment: int
+
+    def coded(self, texts: list) -> list[bytes]:
+        raws = [(t or "").encode() for t in texts]
+        if self.size == 1:
+            return raws
+        hashes = WordHashes()
+        return [hashes.of(r.split()).astype("<u8").tobytes() for r in raws]
+
+
+BYTES, WORDS = Unit(1, 32, 24, 1 << 19), Unit(8, 4, 4, 1 << 17)
+
+
+def gram_hashes(raw: bytes, unit: Unit) -> np.ndarray:
+    """A 64-bit hash of the 32 bytes from each place on."""
     n = len(raw)
-    load = np.empty(n - 7, np.uint64)
-    for r in range(8):
-        part = np.frombuffer(raw, "<u8", (n - r) // 8, r)
-        load[r::8] = part
-    m = n - GRAM + 1
+    if unit.size == 8:
+        load, step = np.frombuffer(raw, "<u8"), 1
+    else:
+        load, step = np.empty(n - 7, np.uint64), 8
+        for r in range(8):
+            load[r::8] = np.frombuffer(raw, "<u8", (n - r) // 8, r)
+    m = n // unit.size - unit.gram + 1
     h = load[:m] * _C[0]
     for i in (1, 2, 3):
         h ^= h >> np.uint64(29)
-        h += load[8 * i : 8 * i + m]
+        h += load[step * i : step * i + m]
         h *= _C[i]
     h ^= h >> np.uint64(32)
     h *= _C[0]
@@ -68,15 +89,15 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(after[: n - w + 1], before[w - 1 : n])
 
 
-def anchors(texts: list[bytes], width: int):
-    """(text, anchor, first start, last start) arrays of all runs of windows with one anchor, about SEGMENT bytes at a time."""
+def anchors(texts: list[bytes], width: int, unit: Unit = BYTES):
+    """(text, anchor, first start, last start) arrays of all runs of windows with one anchor, about a segment at a time."""
+    k = unit.size
 
     def run(parts: list[tuple[int, int, bytes]]):
-        raw = b"".join(p for _, _, p in parts)
-        h = gram_hashes(raw)
+        h = gram_hashes(b"".join(p for _, _, p in parts), unit)
         at = np.arange(len(h), dtype=np.uint64)
-        least = sliding_min((h & ~_LOW) | at, width - GRAM + 1) & _LOW
-        size = np.array([len(p) for _, _, p in parts])
+        least = sliding_min((h & ~_LOW) | at, width - unit.gram + 1) & _LOW
+        size = np.array([len(p) // k for _, _, p in parts])
         base = np.concatenate([[0], np.cumsum(size)[:-1]])
         starts = size - width + 1
         s = np.repeat(base - np.concatenate([[0], np.cumsum(starts)[:-1]]), starts) + np.arange(starts.sum())
@@ -89,10 +110,10 @@ def anchors(texts: list[bytes], width: int):
 
     held, n = [], 0
     for t, raw in enumerate(texts):
-        for off in range(0, max(0, len(raw) - width + 1), SEGMENT):
-            held.append((t, off, raw[off : off + SEGMENT + width - 1]))
-            n += len(held[-1][2])
-            if n >= SEGMENT:
+        for off in range(0, max(0, len(raw) // k - width + 1), unit.segment):
+            held.append((t, off, raw[off * k : (off + unit.segment + width - 1) * k]))
+            n += len(held[-1][2]) // k
+            if n >= unit.segment:
                 yield run(held)
                 held, n = [], 0
     if held:
@@ -111,39 +132,35 @@ def _key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit(""))))
 
 
-def _raw(text: str | bytes) -> bytes:
-    return text.encode() if isinstance(text, str) else text
-
-
-def _as_words(batches):
-    """Each text as the hashes of its words."""
-    hashes = WordHashes()
-    for batch in batches:
-        hashes.trim()
-        coded = [hashes.of(t.encode().split()).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(coded, pa.binary())], ["key", "text"])
-
-
 def _byte_ranges(raw: bytes, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The bytes from the first to the last word of each range of word hashes; part of a hash is a chance match."""
+    """The bytes from the first to the last word of each range of words."""
     at = [m.span() for m in _WORDS.finditer(raw)] if found else []
-    return [(at[-(-a // WORD)][0], at[b // WORD - 1][1]) for a, b in found]
+    return [(at[a][0], at[b - 1][1]) for a, b in found]
 
 
-def _spans(batches, width: int):
-    """First pass: a row per anchor. digit is its k-gram, span all bytes that its windows cover."""
+def _spans(batches, width: int, unit: Unit):
+    """First pass: a row per anchor. digit is its k-gram, span all that its windows cover."""
+    u = unit.size
     for batch in batches:
-        keys, texts = batch.column(0).to_pylist(), [_raw(t) for t in batch.column(1).to_pylist()]
-        for found in anchors(texts, width):
+        keys, texts = batch.column(0).to_pylist(), unit.coded(batch.column(1).to_pylist())
+        for found in anchors(texts, width, unit):
             t, a, lo, hi = (x.tolist() for x in found)
-            digit = [short_hash(texts[i][x : x + GRAM]) for i, x in zip(t, a)]
-            span = [long_hash(texts[i][x : y + width]) for i, x, y in zip(t, lo, hi)]
+            digit = [short_hash(texts[i][x * u : (x + unit.gram) * u]) for i, x in zip(t, a)]
+            span = [long_hash(texts[i][x * u : (y + width) * u]) for i, x, y in zip(t, lo, hi)]
             yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in t], pa.binary()), pa.array(a, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(digit, pa.int64()), pa.array(span, pa.binary())], ["key", "a", "lo", "hi", "digit", "span"])
 
 
 RUN = "key binary, a long, lo long, hi long, digit long, span binary"
 
 
+def _maybe(rows: DataFrame, digits: DataFrame) -> DataFrame:
+    """rows whose digit may be one of the digits, by a table of 2**24 bits (of at most 2**18 lines, so it is broadcast): what it rules out need not be shuffled."""
+    slot = lambda d: d.bitwiseAND(F.lit((1 << 24) - 1))
+    word, bit = lambda d: F.shiftright(slot(d), 6).alias("_word"), lambda d: d.bitwiseAND(F.lit(63)).cast("int")
+    table = digits.groupBy(word(F.col("digit"))).agg(F.bit_or(F.expr("shiftleft(1L, cast(digit & 63 as int))")).alias("_bits"))
+    return rows.join(F.broadcast(table), word(F.col("digit")) == F.col("_word")).filter(F.getbit("_bits", bit(F.col("digit"))) == 1).select(*rows.columns)
+
+
 def radix_pass(rows: DataFrame, name: str) -> tuple[list[DataFrame], DataFrame, DataFrame]:
     """(tables to drop when the others have been read, rows whose span occurs twice, those that go on to the next digit); rows are dropped.
 
@@ -151,7 +168,7 @@ def radix_pass(rows: DataFrame, name: str) -> tuple[list[DataFrame], DataFrame,
     sides come straight from a shuffle and adaptive execution splits a hot digit or span.
     """
     twice = written(rows.groupBy("digit").agg(F.count("*").alias("n")).filter("n > 1").select("digit"), name)
-    left = written(rows.join(twice, "digit"), name)
+    left = written(_maybe(rows, twice).join(twice, "digit"), name)
     drop(rows, twice)
     by_span = written(left.groupBy("span").agg(F.count("*").alias("n"), F.min(F.struct("key", "a", "lo")).alias("rep")).filter("n > 1").select("span", "rep"), name)
     found = F.col("rep").isNotNull()
@@ -166,16 +183,17 @@ def _slot(key: bytes, a: int, bits: int) -> int:
     return xxhash.xxh3_64_intdigest(key, a & 0xFFFFFFFF) & ((1 << bits) - 1)
 
 
-def repeated_runs(texts: DataFrame, width: int = 400) -> DataFrame:
-    """key, runs: for texts(key, text or bytes) the runs (lo, hi) of starts whose windows are repeated; key is the text's md5.
+def repeated_runs(texts: DataFrame, width: int = 400, unit: Unit = BYTES) -> DataFrame:
+    """key, runs: for texts(key, text) the runs (lo, hi) of starts whose windows of `width` units are repeated; key is the text's md5.
 
     texts must be a stored table (it is read twice), without nulls.
     """
-    if width < 2 * GRAM:
-        raise ValueError(f"width must be {2 * GRAM} or more")
+    if width < 2 * unit.gram:
+        raise ValueError(f"width must be {2 * unit.gram} or more")
+    u, cell = unit.size, unit.cell
     spark = texts.sparkSession
     bounded_batches(spark, 250)
-    rows = written(texts.select("key", "text").mapInArrow(lambda b: _spans(b, width), RUN), "suffix-runs")
+    rows = written(texts.select("key", "text").mapInArrow(lambda b: _spans(b, width, unit), RUN), "suffix-runs")
     done, whole, left = radix_pass(rows, "suffix-pass1")
     left = written(left, "suffix-left")
     bits = min(24, max(16, math.ceil(math.log2(32 * left.count() + 1))))
@@ -190,15 +208,15 @@ def repeated_runs(texts: DataFrame, width: int = 400) -> DataFrame:
         """The bytes around the undecided anchors; the bit array lets a few others pass, which does no harm."""
         seen: set[tuple[bytes, int, int]] = set()
         for batch in batches:
-            keys, docs = batch.column(0).to_pylist(), [_raw(t) for t in batch.column(1).to_pylist()]
+            keys, docs = batch.column(0).to_pylist(), unit.coded(batch.column(1).to_pylist())
             if len(seen) > 100_000:
                 seen.clear()
-            for found in anchors(docs, width):
+            for found in anchors(docs, width, unit):
                 out = []
                 for t, a, lo, hi in zip(*(x.tolist() for x in found)):
                     if wanted.value[_slot(keys[t], a, bits)] and (keys[t], a, lo) not in seen:
                         seen.add((keys[t], a, lo))
-                        out.append((keys[t], a, lo, hi, docs[t][lo : hi + width]))
+                        out.append((keys[t], a, lo, hi, docs[t][lo * u : (hi + width) * u]))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["key", "a", "lo", "hi", "bytes"])
 
@@ -206,24 +224,24 @@ def repeated_runs(texts: DataFrame, width: int = 400) -> DataFrame:
     around = written(around.groupBy("key", "a", "lo").agg(F.first("hi").alias("hi"), F.first("bytes").alias("bytes")), "suffix-around")
 
     def cells(batches):
-        """Second pass: a row per cell. Places count from the anchor: o = a - start, cell j has o in [j * CELL, (j + 1) * CELL)."""
+        """Second pass: a row per cell. Places count from the anchor: o = a - start, cell j has o in [j * cell, (j + 1) * cell)."""
         for batch in batches:
             out = []
             for key, a, lo, hi, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                for j in range((a - hi) // CELL, (a - lo) // CELL + 1):
-                    s1, s2 = max(lo, a - (j + 1) * CELL + 1), min(hi, a - j * CELL)
-                    out.append((key, a, s1, s2, _digit(raw, lo, a, j, width), long_hash(raw[s1 - lo : s2 - lo + width])))
+                for j in range((a - hi) // cell, (a - lo) // cell + 1):
+                    s1, s2 = max(lo, a - (j + 1) * cell + 1), min(hi, a - j * cell)
+                    out.append((key, a, s1, s2, _digit(raw, lo, a, j, width, unit), long_hash(raw[(s1 - lo) * u : (s2 - lo + width) * u])))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 6, (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["key", "a", "lo", "hi", "digit", "span"])
 
     cell_rows = written(around.select("key", "a", "lo", "hi", "bytes").mapInArrow(cells, RUN), "suffix-cells")
     done2, whole2, left2 = radix_pass(cell_rows, "suffix-pass2")
     inside = (F.col("c.lo") >= F.col("x.lo")) & (F.col("c.lo") <= F.col("x.hi"))
-    open_cells = left2.alias("c").join(around.alias("x"), (F.col("c.key") == F.col("x.key")) & (F.col("c.a") == F.col("x.a")) & inside).select("c.key", "c.lo", "c.hi", F.expr("substring(x.bytes, cast(c.lo - x.lo + 1 as int), cast(c.hi - c.lo + " + str(width) + " as int))").alias("bytes"))
+    open_cells = left2.alias("c").join(around.alias("x"), (F.col("c.key") == F.col("x.key")) & (F.col("c.a") == F.col("x.a")) & inside).select("c.key", "c.lo", "c.hi", F.expr(f"substring(x.bytes, cast((c.lo - x.lo) * {u} + 1 as int), cast((c.hi - c.lo + {width}) * {u} as int))").alias("bytes"))
 
     def windows(batches):
         """Last pass: a row per window; span is all of it."""
         for batch in batches:
-            out = [(key, s, long_hash(raw[s - lo : s - lo + width])) for key, lo, hi, raw in zip(*(c.to_pylist() for c in batch.columns)) for s in range(lo, hi + 1)]
+            out = [(key, s, long_hash(raw[(s - lo) * u : (s - lo + width) * u])) for key, lo, hi, raw in zip(*(c.to_pylist() for c in batch.columns)) for s in range(lo, hi + 1)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 3, (pa.binary(), pa.int64(), pa.binary()))], ["key", "lo", "span"])
 
     window_rows = written(open_cells.mapInArrow(windows, "key binary, lo long, span binary"), "suffix-windows")
@@ -235,9 +253,9 @@ def repeated_runs(texts: DataFrame, width: int = 400) -> DataFrame:
     return out
 
 
-def _digit(raw: bytes, lo: int, a: int, j: int, width: int) -> int:
-    """What all windows of cell j have in common, whether or not all of them are there: from a - j * CELL to a - (j + 1) * CELL + 1 + width. It lies inside any one of them."""
-    return short_hash(raw[max(0, a - j * CELL - lo) : a - (j + 1) * CELL + 1 + width - lo])
+def _digit(raw: bytes, lo: int, a: int, j: int, width: int, unit: Unit) -> int:
+    """What all windows of cell j have in common, whether or not all of them are there: from a - j * cell to a - (j + 1) * cell + 1 + width. It lies inside any one of them."""
+    return short_hash(raw[max(0, a - j * unit.cell - lo) * unit.size : (a - (j + 1) * unit.cell + 1 + width - lo) * unit.size])
 
 
 def merged(runs: list, width: int) -> list[tuple[int, int]]:
@@ -251,12 +269,10 @@ def merged(runs: list, width: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _runs(docs: DataFrame, text_col: str, width: int, by_words: bool) -> DataFrame:
-    """key, runs of the texts that have repeated windows; with by_words width is in bytes of word hashes."""
+def _runs(docs: DataFrame, text_col: str, width: int, unit: Unit) -> DataFrame:
+    """key, runs of the texts that have repeated windows."""
     own = docs.select(_key(docs[text_col]).alias("key"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    if by_words:
-        own = own.mapInArrow(_as_words, "key binary, text binary")
-    return repeated_runs(own.filter(F.octet_length("text") >= width), width)
+    return repeated_runs(own.filter(F.octet_length("text") >= (width if unit is BYTES else 2 * width - 1)), width, unit)
 
 
 def without_repeats(docs: DataFrame, width: int = 400, text_col: str = "text", unit: str = "bytes", mark_words: int = 0) -> DataFrame:
@@ -273,12 +289,11 @@ def without_repeats(docs: DataFrame, width: int = 400, text_col: str = "text", u
     if unit not in ("bytes", "words"):
         raise ValueError("unit must be bytes or words")
     by_words = unit == "words"
-    width *= WORD if by_words else 1
     key, runs_name, marks_name, name = free_name(docs, "key", "runs", "marks", "repeats")
     bounded_batches(docs.sparkSession, 250)
-    joined = docs.withColumn(key, _key(docs[text_col])).join(_runs(docs, text_col, width, by_words).withColumnsRenamed({"key": key, "runs": runs_name}), key, "left")
+    joined = docs.withColumn(key, _key(docs[text_col])).join(_runs(docs, text_col, width, WORDS if by_words else BYTES).withColumnsRenamed({"key": key, "runs": runs_name}), key, "left")
     if mark_words:
-        joined = joined.join(_runs(docs, text_col, mark_words * WORD, True).withColumnsRenamed({"key": key, "runs": marks_name}), key, "left")
+        joined = joined.join(_runs(docs, text_col, mark_words, WORDS).withColumnsRenamed({"key": key, "runs": marks_name}), key, "left")
     else:
         joined = joined.withColumn(marks_name, F.lit(None).cast("array<struct<lo:bigint,hi:bigint>>"))
     joined = joined.select(*docs.columns, runs_name, marks_name)
@@ -291,7 +306,7 @@ def without_repeats(docs: DataFrame, width: int = 400, text_col: str = "text", u
                 raw = (text or "").encode()
                 spans = merged([(r["lo"], r["hi"]) for r in found or ()], width)
                 spans = _byte_ranges(raw, spans) if by_words else spans
-                passages = _byte_ranges(raw, merged([(r["lo"], r["hi"]) for r in marked or ()], mark_words * WORD))
+                passages = _byte_ranges(raw, merged([(r["lo"], r["hi"]) for r in marked or ()], mark_words))
                 ends = [0, *(x for s in spans for x in s), len(raw)]
                 kept = b"".join(raw[a:b] for a, b in zip(ends[0::2], ends[1::2]))
                 ranges = lambda x: [{"start": a, "end": b} for a, b in x]
