@@ -90,7 +90,7 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors(texts: list[bytes], width: int, unit: Unit = BYTES):
-    """(text, anchor, first start, last start) arrays of all runs of windows with one anchor, about a segment at a time."""
+    """(text, anchor, first start, last start, hash of the anchor's k-gram) arrays of all runs of windows with one anchor, about a segment at a time."""
     k = unit.size
 
     def run(parts: list[tuple[int, int, bytes]]):
@@ -106,7 +106,7 @@ def anchors(texts: list[bytes], width: int, unit: Unit = BYTES):
         first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (part[1:] != part[:-1])]))
         last = np.append(first[1:], len(s)) - 1
         shift = np.array([off for _, off, _ in parts])[part[first]] - base[part[first]]
-        return np.array([t for t, _, _ in parts])[part[first]], a[first] + shift, s[first] + shift, s[last] + shift
+        return np.array([t for t, _, _ in parts])[part[first]], a[first] + shift, s[first] + shift, s[last] + shift, h[a[first]].view(np.int64)
 
     held, n = [], 0
     for t, raw in enumerate(texts):
@@ -144,10 +144,9 @@ def _spans(batches, width: int, unit: Unit):
     for batch in batches:
         keys, texts = batch.column(0).to_pylist(), unit.coded(batch.column(1).to_pylist())
         for found in anchors(texts, width, unit):
-            t, a, lo, hi = (x.tolist() for x in found)
-            digit = [short_hash(texts[i][x * u : (x + unit.gram) * u]) for i, x in zip(t, a)]
+            t, a, lo, hi = (x.tolist() for x in found[:4])
             span = [long_hash(texts[i][x * u : (y + width) * u]) for i, x, y in zip(t, lo, hi)]
-            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in t], pa.binary()), pa.array(a, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(digit, pa.int64()), pa.array(span, pa.binary())], ["key", "a", "lo", "hi", "digit", "span"])
+            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in t], pa.binary()), pa.array(a, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(found[4]), pa.array(span, pa.binary())], ["key", "a", "lo", "hi", "digit", "span"])
 
 
 RUN = "key binary, a long, lo long, hi long, digit long, span binary"
@@ -179,6 +178,9 @@ def radix_pass(rows: DataFrame, name: str) -> tuple[list[DataFrame], DataFrame,
     return [judged, open_], judged.filter("whole").select("key", "lo", "hi"), judged.filter("not whole or is_rep").join(open_, "digit", "left_semi").select("key", "a", "lo", "hi").distinct()
 
 
+ANY = 0xFFFFFFFF  # stands for any of a text's anchors
+
+
 def _slot(key: bytes, a: int, bits: int) -> int:
     return xxhash.xxh3_64_intdigest(key, a & 0xFFFFFFFF) & ((1 << bits) - 1)
 
@@ -200,7 +202,7 @@ def repeated_runs(texts: DataFrame, width: int = 400, unit: Unit = BYTES) -> Dat
 
     def mark(own, batch):
         for key, a in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own[_slot(key, a, bits)] = 1
+            own[_slot(key, a, bits)] = own[_slot(key, ANY, bits)] = 1
 
     wanted = spark.sparkContext.broadcast(sketches.sums(left.select("key", "a"), 1 << bits, mark, np.uint8) > 0)
 
@@ -208,12 +210,16 @@ def repeated_runs(texts: DataFrame, width: int = 400, unit: Unit = BYTES) -> Dat
         """The bytes around the undecided anchors; the bit array lets a few others pass, which does no harm."""
         seen: set[tuple[bytes, int, int]] = set()
         for batch in batches:
+            open_ = [bool(wanted.value[_slot(k, ANY, bits)]) for k in batch.column(0).to_pylist()]
+            if not any(open_):
+                continue
+            batch = batch.filter(pa.array(open_))
             keys, docs = batch.column(0).to_pylist(), unit.coded(batch.column(1).to_pylist())
             if len(seen) > 100_000:
                 seen.clear()
             for found in anchors(docs, width, unit):
                 out = []
-                for t, a, lo, hi in zip(*(x.tolist() for x in found)):
+                for t, a, lo, hi in zip(*(x.tolist() for x in found[:4])):
                     if wanted.value[_slot(keys[t], a, bits)] and (keys[t], a, lo) not in seen:
                         seen.add((keys[t], a, lo))
                         out.append((keys[t], a, lo, hi, docs[t][lo * u : (hi + width) * u]))
