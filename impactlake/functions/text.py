@@ -15,14 +15,14 @@ DOI = r"10\.\d{4,9}/[^\s;()<>\"']+"
 TRAILING = ".,;)]}"
 #: Ordered keyword rules for broad areas; the first that occurs in a label wins.
 MACRO_AREAS = [
-    ("Health", "medic|health|clinic|nurs|disease"),
-    ("Life sciences", "biolog|genet|ecolog|agri"),
-    ("Engineering", "engineer|robot|steel|material"),
-    ("Computing", "comput|software|data|network"),
-    ("Physical sciences", "physic|chemi|math|astro"),
-    ("Earth", "geolog|climat|earth|environment"),
-    ("Social sciences", "social|econom|business|educat|law"),
-    ("Humanities", "histor|philosoph|art|literat"),
+    ("Physics & Astronomy", "physic|astro"),
+    ("Mathematics", "math|algebra|geometry"),
+    ("Computer Science", "computer|computat|intelligence|software"),
+    ("Biology & Medicine", "bio|medic|genet|clini"),
+    ("Chemistry & Materials", "chem|material|polymer"),
+    ("Engineering", "engin|mechan|electr"),
+    ("Earth & Environmental", "geo|earth|envir"),
+    ("Social Sciences", "social|econ|psych|educ"),
 ]
 TRUE_WORDS, FALSE_WORDS = ("1", "true", "t", "yes", "y", "sim", "s", "verdadeiro"), ("0", "false", "f", "no", "n", "nao", "não", "falso")
 
@@ -87,10 +87,22 @@ def year_of(c: Column) -> Column:
 
 
 def macro_area(c: Column) -> Column:
-    low, out = F.lower(c), F.lit("Other")
+    """The broad area of a label; a label that no rule fits stays as it is, null is "Unknown"."""
+    low, out = F.lower(c), c
     for name, words in reversed(MACRO_AREAS):
         out = F.when(low.rlike(words), F.lit(name)).otherwise(out)
-    return F.when(c.isNull(), F.lit("Unknown")).otherwise(out)
+    return F.coalesce(out, F.lit("Unknown"))
+
+
+def macro_area_confidence(c: Column) -> Column:
+    """low where a keyword rule fits, else unknown."""
+    return F.when(F.lower(c).rlike("|".join(words for _, words in MACRO_AREAS)), "low").otherwise("unknown")
+
+
+def hyperlink(doi: Column, year: Column, title: Column) -> Column:
+    """A spreadsheet formula that links "year; title" to its DOI; the text alone without one."""
+    shown = F.concat_ws("; ", F.coalesce(year.cast("string"), F.lit("")), F.replace(F.coalesce(title, F.lit("")), F.lit('"'), F.lit("'")))
+    return F.when(blank_to_null(doi).isNotNull(), F.concat(F.lit('=HYPERLINK("https://doi.org/'), doi, F.lit('", "'), shown, F.lit('")'))).otherwise(shown)
 
 
 def abstract_from_index(index: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,13 +16,41 @@ TOPS = {"top25": 0.75, "top10": 0.90, "top1": 0.99}
 
 
 def local_baselines(records: DataFrame, by: list[str], score: str) -> DataFrame:
-    """Mean, count and linear quantiles of a score per group, null groups included; one aggregation."""
+    """Mean, count and linear quantiles of a score per group, null groups included."""
     v = number(F.col(score))
-    q = F.percentile(v, F.array(*[F.lit(p) for p in TOPS.values()]))
-    out = records.groupBy(*by).agg(F.avg(v).alias("c0_mean"), F.count(v).alias("c0_n"), q.alias("q"))
+    own = records.groupBy(*by).agg(F.avg(v).alias("c0_mean"), F.count(v).alias("c0_n"))
+    q = quantiles(records, by, v, list(TOPS.values())).select(*[F.col(c).alias(f"_q_{c}") for c in by], "q")
+    out = own.join(q, [F.col(c).eqNullSafe(F.col(f"_q_{c}")) for c in by], "left")
     return out.select(*by, "c0_mean", *[F.col("q")[i].alias(f"thr_{k}") for i, k in enumerate(TOPS)], "c0_n", F.lit(True).alias("c0_complete"), F.lit("linear").alias("quantile_method"))
 
 
+def quantiles(records: DataFrame, by: list[str], value: Column, shares: list[float], cells: int = 1024) -> DataFrame:
+    """by, q: linear quantiles of a group's values, exact; groups without a value are left out.
+
+    Values are counted, the counts summed in cells between the group's limits, and only the cells that hold a wanted
+    rank are looked at value by value: no task holds a group, and sums are partial before each shuffle.
+    """
+    rows = records.select(*by, value.alias("_v")).filter("_v is not null").groupBy(*by, "_v").agg(F.count("*").alias("_n"))
+    limits = rows.groupBy(*by).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.sum("_n").alias("_all"))
+    keys = [F.col(c).alias(f"_l_{c}") for c in by]
+    same = lambda tag: [F.col(c).eqNullSafe(F.col(f"{tag}{c}")) for c in by] or F.lit(True)
+    share = F.try_divide(F.col("_v") - F.col("_low"), F.col("_high") - F.col("_low"))
+    placed = rows.join(limits.select(*keys, "_low", "_high", "_all"), same("_l_")).withColumn("_cell", F.least(F.lit(cells - 1), F.floor(F.coalesce(share, F.lit(0.0)) * cells)).cast("int"))
+    sizes = placed.groupBy(*by, "_cell").agg(F.sum("_n").alias("_in"), F.first("_all").alias("_total"))
+    before = F.sum("_in").over(Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))  # at most `cells` rows a group
+    ranks = {(p, f): f(F.lit(p) * (F.col("_total") - 1)) for p in shares for f in (F.floor, F.ceil)}
+    sizes = sizes.withColumn("_before", F.coalesce(before, F.lit(0)))
+    holds = lambda low, n: reduce(or_, [(r >= F.col(low)) & (r < F.col(low) + F.col(n)) for r in ranks.values()])
+    wanted = sizes.filter(holds("_before", "_in")).select(*[F.col(c).alias(f"_w_{c}") for c in by], F.col("_cell").alias("_w_cell"), "_before", "_total")
+    near = placed.join(wanted, [*(same("_w_") if by else []), F.col("_cell") == F.col("_w_cell")])
+    inside = F.sum("_n").over(Window.partitionBy(*by, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1))
+    near = near.withColumn("_at", F.col("_before") + F.coalesce(inside, F.lit(0)))
+    at = lambda r: F.max(F.when((r >= F.col("_at")) & (r < F.col("_at") + F.col("_n")), F.col("_v")))
+    found = near.groupBy(*by).agg(F.first("_total").alias("_total"), *[at(ranks[p, f]).alias(f"_{k}{i}") for i, p in enumerate(shares) for k, f in (("a", F.floor), ("b", F.ceil))])
+    between = lambda i, p: F.when(F.col(f"_a{i}") == F.col(f"_b{i}"), F.col(f"_a{i}")).otherwise(F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * (F.lit(p) * (F.col("_total") - 1) - ranks[p, F.floor]))
+    return found.select(*by, F.array(*[between(i, p) for i, p in enumerate(shares)]).alias("q"))
+
+
 def histogram(records: DataFrame, by: list[str], score: str) -> DataFrame:
     """(by, k, n): how many records of a group have the count k."""
     return records.withColumn("k", number(F.col(score))).filter("k is not null").groupBy(*by, "k").agg(F.count("*").alias("n"))
@@ -60,5 +91,30 @@ def baseline_errors(hist: DataFrame, by: list[str], replicates: int = 800, seed:
     return hist.groupBy(*by).applyInPandas(errors, schema)
 
 
-def quantile_column(p: float, score: str) -> Column:
-    return F.percentile(number(F.col(score)), F.lit(p))
+COUNTS_JSON = "c0_counts_json"
+GLOBAL_COLUMNS = ["domain_id", "year", "c0_mean", "thr_top1", "thr_top10", "thr_top25", "c0_n", "c0_complete", COUNTS_JSON, "err_c0_pct", "err_thr25_pct", "err_thr10_pct", "err_thr1_pct", "quantile_method", "ties_policy"]
+
+
+def swept(works: DataFrame, pairs: DataFrame, types: list[str] | None = None, domains: str = "domain_ids", year: str = "year", count: str = "cited_by_count", max_rows: int | None = None, order: str = "id") -> tuple[DataFrame, Column]:
+    """(domain_id, year, k, n: how many works of a wanted field and year have k citations, whether all were counted).
+
+    Missing counts are 0. With max_rows a sweep ends after so many works of a field and year, in order, as a report
+    that is limited on purpose; without it all works count.
+    """
+    rows = works.filter(F.col("type").isin(types)) if types else works
+    rows = rows.select(F.explode(F.array_distinct(domains)).alias("domain_id"), F.col(year).try_cast("int").alias("year"), F.coalesce(F.col(count).try_cast("long"), F.lit(0)).alias("k"), F.col(order).alias("_order"))
+    rows = rows.join(pairs.select(F.col("domain_id").cast("string"), F.col("year").try_cast("int").alias("year")).dropna().distinct(), ["domain_id", "year"], "left_semi")
+    if max_rows is not None:
+        rows = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("domain_id", "year").orderBy("_order"))).filter(F.col("_rn") <= max_rows)
+    return rows.groupBy("domain_id", "year", "k").agg(F.count("*").alias("n")), F.lit(max_rows is None)
+
+
+def global_baselines(works: DataFrame, pairs: DataFrame, ties: str = "closed_ge", types: list[str] | None = None, replicates: int = 800, **sweep) -> DataFrame:
+    """GLOBAL_COLUMNS for each wanted field and year that has works: pairs are taken once, those without works have no row."""
+    hist, complete = swept(works, pairs, types, **sweep)
+    method, by = "hazen" if ties == "hazen" else "cdf_min", ["domain_id", "year"]
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("k", "n"))), lambda x: F.concat(F.lit('"'), x["k"], F.lit('": '), x["n"]))
+    counts = hist.groupBy(*by).agg(F.concat(F.lit("{"), F.array_join(listed, ", "), F.lit("}")).alias(COUNTS_JSON))
+    errors = baseline_errors(hist, by, replicates).withColumnsRenamed({f"err_{k}_pct": f"err_thr{k[3:]}_pct" for k in TOPS})
+    out = distribution(hist, by, method).join(counts, by).join(errors, by)
+    return out.withColumns({"c0_complete": complete, "quantile_method": F.lit(method), "ties_policy": F.lit(ties)}).select(*GLOBAL_COLUMNS)

@@ -44,6 +44,13 @@ def first_author_last_name(authors: Column) -> Column:
 
 
 def download_lines(df: DataFrame, authors: str = "authors", title: str = "title", year: str = "year", doi: str = "doi") -> DataFrame:
-    """line: authors; title; year; doi, with a leading number of the title taken off and empty parts left out."""
-    bare = F.regexp_replace(F.col(title), r"^\s*\d+[.)]\s+", "")
-    return df.select(F.concat_ws("; ", blank_to_null(F.col(authors)), blank_to_null(bare), F.col(year).cast("string"), blank_to_null(F.col(doi))).alias("line"))
+    """line: "authors; title; year; doi" for a download script.
+
+    Numbers before authors are taken off, semicolons inside become commas, missing authors and titles have a stand-in,
+    other missing parts are empty; the line does not begin with separators.
+    """
+    text = lambda c, missing: F.coalesce(c.cast("string"), F.lit(missing))
+    comma = lambda c: F.replace(c, F.lit(";"), F.lit(","))
+    who = comma(F.trim(F.regexp_replace(text(F.col(authors), "Unknown Author"), r"(?:^|[\s;])\d+[.)\s]?\s*", " ")))
+    line = F.concat(who, F.lit("; "), comma(text(F.col(title), "No Title")), F.lit("; "), text(F.col(year), ""), F.lit("; "), text(F.col(doi), ""))
+    return df.select(F.regexp_replace(line, "^[; ]+", "").alias("line"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-from impactlake.functions.text import norm_doi, norm_title, title_similarity, tokens
+from impactlake.functions.text import blank_to_null, norm_doi, norm_title, title_similarity, tokens
 
 
 def flat_record(works: DataFrame, level: int) -> DataFrame:
@@ -83,39 +83,113 @@ def authorship_rows(works: DataFrame) -> DataFrame:
     return rows.select("work_id", "position", "author_id", "author_name", "orcid", F.col("i.ror").alias("ror"), F.col("i.display_name").alias("institution"), F.col("i.country_code").alias("country"))
 
 
-def title_matches(queries: DataFrame, titles: DataFrame, query_id: str, query_title: str, title_id: str, title: str, at_least: float = 0.6, fold=None) -> DataFrame:
+def title_matches(queries: DataFrame, titles: DataFrame, query_id: str, query_title: str, title_id: str, title: str, at_least: float = 0.6, fold=None, query_year: str | None = None, year: str | None = None) -> DataFrame:
     """query_id, title_id, similarity: the most similar title of each query, ties to the smallest id, if it reaches at_least.
 
-    A pair of Jaccard similarity t shares one of the query's n - ceil(t * n) + 1 rarest tokens, so only these are
-    joined; frequent tokens make no pairs.
+    With both years, titles within a year of the query's are looked at first and the others only for queries that
+    found none. A pair of Jaccard similarity t has sizes within a factor of t and shares one of the query's
+    n - ceil(t * n) + 1 rarest tokens, so only these are joined and counted; the counts bound the similarity from
+    above, and what passes is compared in full.
     """
     key = lambda c: tokens(norm_title(F.col(c), fold))
-    q = queries.select(F.col(query_id).alias("q"), key(query_title).alias("qt")).filter(F.size("qt") > 0)
-    d = titles.select(F.col(title_id).alias("d"), key(title).alias("dt")).filter(F.size("dt") > 0)
-    often = d.select(F.explode("dt").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
-    words = q.select("q", F.size("qt").alias("n"), F.explode("qt").alias("w")).join(often, "w", "left")
+    given = lambda c: (F.col(c).try_cast("int") if c else F.lit(None).cast("int"))
+    q = queries.select(F.col(query_id).alias("q"), key(query_title).alias("qt"), given(query_year).alias("qy")).filter(F.size("qt") > 0)
+    d = titles.select(F.col(title_id).alias("d"), key(title).alias("dt"), given(year).alias("dy")).filter(F.size("dt") > 0)
+    words = q.select("q", "qy", F.size("qt").alias("n"), F.explode("qt").alias("w"))
+    each = d.select("d", "dy", F.size("dt").alias("m"), F.explode("dt").alias("w"))
+    often = each.join(words.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count("*").alias("df"))
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.coalesce("df", F.lit(0)), "w"))
-    probes = words.withColumn("rn", rank).filter(F.col("rn") <= F.col("n") - F.ceil(at_least * F.col("n")) + 1).select("q", "w")
-    pairs = d.select("d", F.explode("dt").alias("w")).join(probes, "w").select("q", "d").distinct()
-    scored = pairs.join(q, "q").join(d, "d").select("q", "d", title_similarity(F.col("qt"), F.col("dt")).alias("similarity")).filter(F.col("similarity") >= at_least)
-    best = scored.groupBy("q").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "d")).alias("x"))
+    probes = words.join(often, "w", "left").withColumn("rn", rank).withColumn("probes", F.col("n") - F.ceil(at_least * F.col("n")) + 1).filter("rn <= probes").drop("rn", "df")
+    sizes = (F.col("m") >= at_least * F.col("n")) & (at_least * F.col("m") <= F.col("n"))
+    shared = each.join(probes, "w").filter(sizes).groupBy("q", "d").agg(F.count("*").alias("c"), *[F.first(x).alias(x) for x in ("n", "m", "probes", "qy", "dy")])
+    most = F.least(F.col("c") + F.col("n") - F.col("probes"), F.least("n", "m"))
+    pairs = shared.filter(most >= (at_least - 1e-9) * (F.col("n") + F.col("m") - most)).select("q", "d", F.coalesce(F.abs(F.col("qy") - F.col("dy")) <= 1, F.lit(False)).alias("near"))
+    scored = pairs.join(q.select("q", "qt"), "q").join(d.select("d", "dt"), "d").select("q", "d", "near", title_similarity(F.col("qt"), F.col("dt")).alias("similarity")).filter(F.col("similarity") >= at_least)
+    best = scored.groupBy("q").agg(F.min(F.struct((~F.col("near")).alias("far"), (-F.col("similarity")).alias("s"), "d")).alias("x"))
     return best.select(F.col("q").alias(query_id), F.col("x.d").alias(title_id), (-F.col("x.s")).alias("similarity"))
 
 
+def works_by_doi(dois: DataFrame, works: DataFrame, doi: str = "doi") -> DataFrame:
+    """Every DOI with its work, null columns where there is none; of several works of a DOI the smallest id."""
+    own = works.withColumn("_doi", norm_doi(F.col(doi))).filter("_doi is not null")
+    first = own.withColumn("_rn", F.row_number().over(Window.partitionBy("_doi").orderBy("id"))).filter("_rn = 1").drop("_rn", doi)
+    return dois.select(norm_doi(F.col(doi)).alias("doi")).join(first, F.col("doi") == F.col("_doi"), "left").drop("_doi")
+
+
+def found_focal(records: DataFrame, works: DataFrame, doi: str = "doi", title: str = "title", year: str = "year", at_least: float = 0.6) -> DataFrame:
+    """The works of the records' DOIs, each once; if no record has a DOI, those that titles and years lead to and that have a DOI."""
+    known = records.select(norm_doi(F.col(doi)).alias("doi")).dropna().distinct()
+    if known.isEmpty():
+        named = records.filter(F.col(title).isNotNull()).select(F.xxhash64(title, F.col(year).cast("string")).alias("_q"), title, F.col(year).alias("_year")).distinct()
+        hits = title_matches(named, works.filter(norm_doi(F.col("doi")).isNotNull()), "_q", title, "id", "title", at_least, query_year="_year", year="publication_year")
+        return works.join(hits.select("id").distinct(), "id", "left_semi")
+    return works.join(known, norm_doi(works["doi"]) == known["doi"], "left_semi").withColumn("_rn", F.row_number().over(Window.partitionBy(norm_doi(F.col("doi"))).orderBy("id"))).filter("_rn = 1").drop("_rn")
+
+
+def fetched(works: DataFrame, order: list[str], doi: str = "doi", work_id: str = "id", limit: int | None = None) -> DataFrame:
+    """Works once per DOI, else once per id, in order; optionally the first `limit` of them."""
+    key = F.coalesce(norm_doi(F.col(doi)), F.col(work_id))
+    first = works.withColumn("_key", key).filter("_key is not null").withColumn("_rn", F.row_number().over(Window.partitionBy("_key").orderBy(*order))).filter("_rn = 1").drop("_rn", "_key")
+    return first.orderBy(*order).limit(limit) if limit is not None else first
+
+
 CONFIDENCE = {"high": 3, "medium": 2, "low": 1}
 
 
 def crosswalk(concepts: DataFrame, table: DataFrame, key: str, best: bool = True) -> DataFrame:
     """concepts with target_id, target_label, confidence of the mapping(key, target_id, target_label, confidence, line): the surest, earliest line, or all."""
-    rank = F.lit(0)
-    for name, value in CONFIDENCE.items():
-        rank = F.when(F.lower("confidence") == name, value).otherwise(rank)
     if best:
-        w = Window.partitionBy(key).orderBy(rank.desc(), "line")
+        w = Window.partitionBy(key).orderBy(_sureness("confidence").desc(), "line")
         table = table.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
     return concepts.join(table.drop("line"), key, "left")
 
 
+def _sureness(column: str) -> Column:
+    rank = F.lit(0)
+    for name, value in CONFIDENCE.items():
+        rank = F.when(F.lower(column) == name, value).otherwise(rank)
+    return rank
+
+
+#: Columns of a crosswalk and the words that two of them may hold.
+CROSSWALK = ["source_scheme", "source_id", "source_label", "source_level", "target_scheme", "target_id", "target_label", "mapping_type", "confidence", "provenance", "version", "notes"]
+MAPPING_TYPES = ["exact", "close", "broad", "narrow", "related", "manual", "unknown", ""]
+CONFIDENCES = ["high", "medium", "low", "unknown", ""]
+
+
+def crosswalk_problems(table: DataFrame) -> DataFrame:
+    """problem: missing columns and, of the two columns with fixed words, every other word that occurs, with its rows."""
+    spark = table.sparkSession
+    missing = [(f"missing column: {c}", None) for c in CROSSWALK if c not in table.columns]
+    out = spark.createDataFrame(missing, "problem string, rows long")
+    for column, words in (("mapping_type", MAPPING_TYPES), ("confidence", CONFIDENCES)):
+        if column in table.columns:
+            value = F.coalesce(F.col(column).cast("string"), F.lit(""))
+            bad = table.select(value.alias("v")).filter(~F.col("v").isin(words)).groupBy("v").agg(F.count("*").alias("rows"))
+            out = out.unionByName(bad.select(F.concat(F.lit(f"invalid {column}: "), "v").alias("problem"), "rows"))
+    return out
+
+
+def mapped_concepts(concepts: DataFrame, table: DataFrame, source_scheme: str, target_scheme: str, best: bool = True) -> DataFrame:
+    """concepts(source_id, source_label) with target_id, target_label, mapping_type, confidence and a warning where nothing fits.
+
+    A concept with an id is looked up by it, one without by its label, white space and case aside; of several lines
+    the surest, earliest counts, or all with best=False. table has CROSSWALK's columns and line.
+    """
+    label = lambda c: F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))
+    rows = table.filter((F.col("source_scheme") == source_scheme) & (F.col("target_scheme") == target_scheme))
+    ids = rows.select(F.concat(F.lit("i:"), F.col("source_id").cast("string")).alias("_key"), "*")
+    both = ids.unionByName(rows.select(F.concat(F.lit("l:"), label(F.col("source_label"))).alias("_key"), "*"))
+    if best:
+        both = both.withColumn("_rn", F.row_number().over(Window.partitionBy("_key").orderBy(_sureness("confidence").desc(), "line"))).filter("_rn = 1").drop("_rn")
+    key = F.when(F.col("source_id").isNotNull(), F.concat(F.lit("i:"), F.col("source_id").cast("string"))).when(F.col("source_label").isNotNull(), F.concat(F.lit("l:"), label(F.col("source_label"))))
+    found = both.select("_key", blank_to_null(F.col("target_id").cast("string")).alias("target_id"), blank_to_null(F.col("target_label")).alias("target_label"), F.coalesce(blank_to_null(F.col("mapping_type")), F.lit("unknown")).alias("mapping_type"), F.coalesce(blank_to_null(F.col("confidence")), F.lit("unknown")).alias("confidence"))
+    out = concepts.withColumn("_k", key).join(found, F.col("_k") == F.col("_key"), "left")
+    warning = F.when(F.col("_k").isNull(), "no source id or label").when(F.col("_key").isNull(), F.concat(F.lit(f"no mapping for {source_scheme}: "), F.coalesce(F.col("source_id").cast("string"), F.col("source_label"))))
+    unknown = lambda c: F.coalesce(c, F.lit("unknown")).alias(c)
+    return out.select(*concepts.columns, "target_id", "target_label", unknown("mapping_type"), unknown("confidence"), warning.alias("warning"))
+
+
 @pandas_udf(DoubleType())
 def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """100 * normalised Indel similarity (2 * longest common subsequence over both lengths) of names with sorted words."""
@@ -138,16 +212,30 @@ def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def fuzzy_clusters(names: DataFrame, column: str, threshold: float = 95.0) -> DataFrame:
-    """name, head: names mapped to the first name (in order) of a similar group.
+    """name, head: names mapped to the smallest name that is similar enough, or to themselves; independent of row order.
 
-    Candidates share a word, or its first letters, and a length that the threshold allows; a name goes to the
-    smallest name that is similar enough, which makes the result independent of row order.
+    A ratio of t allows (1 - t / 100) times both lengths of single-character edits, each of which spoils two pairs of
+    neighbouring characters of the name with sorted words; so of each name's pairs in one common order, rarest
+    first, two an edit and one more are enough to share one with every similar name. Names too short for this
+    meet by their possible lengths instead. No pair is lost and frequent pairs of characters make no candidates.
     """
     distinct = names.select(F.col(column).alias("name")).filter("name is not null").distinct()
-    words = F.array_distinct(F.transform(F.filter(F.split(F.lower("name"), r"\s+"), lambda w: w != ""), lambda w: F.substring(w, 1, 5)))
-    keyed = distinct.select("name", F.explode(words).alias("k"))
-    other = keyed.select(F.col("name").alias("head"), "k")
-    slack = (200 - threshold) / threshold
-    pairs = keyed.join(other, "k").filter("head < name").filter(F.length("name") <= slack * F.length("head")).filter(F.length("head") <= slack * F.length("name")).select("name", "head").distinct()
-    best = pairs.filter(token_sort_ratio("name", "head") >= threshold).groupBy("name").agg(F.min("head").alias("head"))
+    sorted_ = F.array_join(F.array_sort(F.filter(F.split(F.lower("name"), r"\s+"), lambda w: w != "")), " ")
+    rows = distinct.select("name", sorted_.alias("s")).withColumn("m", F.length("s"))
+    slack = (200 - threshold) / threshold  # the longest similar name's length, over this one's
+    rows = rows.withColumn("edits", F.floor((1 - threshold / 100) * (1 + slack) * F.col("m") + 1e-9).cast("int"))
+    pieces = F.transform(F.sequence(F.lit(1), F.col("m") - 1), lambda i: F.substring("s", i, F.lit(2)))
+    pairs = rows.filter("m >= 2").select("name", "m", "edits", F.posexplode(pieces).alias("at", "g"))
+    nth = F.row_number().over(Window.partitionBy("name", "g").orderBy("at"))  # a repeated pair counts each time
+    pairs = pairs.withColumn("k", F.concat("g", nth.cast("string")))
+    often = pairs.groupBy("k").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("name").orderBy("n", "k"))
+    keys = pairs.join(often, "k").withColumn("rn", rank).filter(F.col("rn") <= 2 * F.col("edits") + 1).select("name", "m", "k")
+    short = rows.filter(F.col("m") - 1 <= 2 * F.col("edits"))
+    lengths = F.sequence(F.ceil(F.col("m") / slack).cast("int"), F.floor(F.col("m") * slack).cast("int"))
+    reach = short.select("name", "m", F.explode(lengths).alias("other"))
+    by_key = keys.join(keys.select(F.col("name").alias("head"), F.col("m").alias("hm"), "k"), "k").filter("head < name").filter((F.col("m") <= slack * F.col("hm")) & (F.col("hm") <= slack * F.col("m"))).select("name", "head")
+    every = rows.select(F.col("name").alias("head"), F.col("m").alias("other"))
+    met = reach.join(every, "other").filter("head != name").select(F.greatest("name", "head").alias("name"), F.least("name", "head").alias("head"))
+    best = by_key.unionByName(met).distinct().filter(token_sort_ratio("name", "head") >= threshold).groupBy("name").agg(F.min("head").alias("head"))
     return distinct.join(best, "name", "left").select("name", F.coalesce("head", "name").alias("head"))

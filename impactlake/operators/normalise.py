@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from impactlake.functions.text import number
-from impactlake.operators.baselines import TOPS
+from impactlake.operators.baselines import TOPS, quantiles
 
 STRICT = "open_gt"
 
@@ -25,13 +25,12 @@ def top_flag(count: Column, threshold: Column, ties: str = "closed_ge") -> Colum
 def with_baseline(records: DataFrame, baselines: DataFrame, keys: list[str], ties: str = "closed_ge", raw: str = "c_use") -> DataFrame:
     """records with baseline columns, cf and PPg flags; null keys match null keys.
 
-    Baselines have one row a key: they come from an aggregation by these keys, or repeated keys raise an error.
-    Catalyst broadcasts them when their size allows it.
+    Baselines have one row a key; a repeated key fails the job. Catalyst broadcasts them when their size allows it.
     """
     own = [c for c in baselines.columns if c not in keys]
-    if baselines.groupBy(*keys).count().filter("count > 1").limit(1).count():
-        raise ValueError("a baseline key occurs twice")
-    right = baselines.select(*[F.col(c).alias(f"_b_{c}") for c in keys], *own)
+    counted = baselines.groupBy(*keys).agg(*[F.first(c).alias(c) for c in own], F.count("*").alias("_n"))
+    single = F.assert_true(F.col("_n") == 1, F.lit("a baseline key occurs twice")).isNull()
+    right = counted.filter(single).select(*[F.col(c).alias(f"_b_{c}") for c in keys], *own)
     on = [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in keys]
     count = effective_count(records, raw)
     joined = records.withColumn("c_use", count).join(right, on, "left").drop(*[f"_b_{c}" for c in keys])
@@ -47,7 +46,8 @@ def share_column(p: float) -> str:
 def top_share(records: DataFrame, score: str, by: list[str] | None = None, p: float = 0.9, ties: str = ">=threshold") -> DataFrame:
     """records with a 0/1 flag for scores at or above their group's linear quantile; missing scores get 0.
 
-    Groups are aggregated and joined back, so a large group is not sorted in one task. Null groups are groups.
+    Thresholds come from counts of values and are joined back, so a large group is not held in one task. Null groups
+    are groups.
     """
     if not 0 < p <= 1:
         raise ValueError("p must be in (0, 1]")
@@ -57,11 +57,11 @@ def top_share(records: DataFrame, score: str, by: list[str] | None = None, p: fl
         raise ValueError("ties must be >=threshold or >threshold")
     by = by or []
     v = number(F.col(score))
-    thresholds = records.groupBy(*by).agg(F.percentile(v, F.lit(p)).alias("_thr")).select(*[F.col(c).alias(f"_k_{c}") for c in by], "_thr")
+    thresholds = quantiles(records, by, v, [p]).select(*[F.col(c).alias(f"_k_{c}") for c in by], F.col("q")[0].alias("_thr"))
     if by:
         joined = records.join(thresholds, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by], "left")
     else:
-        joined = records.crossJoin(F.broadcast(thresholds))  # one row
+        joined = records.join(F.broadcast(thresholds), F.lit(True), "left")  # one row
     hit = v >= F.col("_thr") if ties == ">=threshold" else v > F.col("_thr")
     return joined.withColumn(share_column(p), F.coalesce(hit, F.lit(False)).cast("int")).drop("_thr", *[f"_k_{c}" for c in by])
 

@@ -9,9 +9,9 @@ from impactlake.functions.text import as_binary, norm_key, number
 
 #: Names under which units are known.
 UNIT_NAMES = {
-    "institution": ["institution", "affiliation", "instituicao", "organization", "org"],
-    "country": ["country", "pais", "country_code", "nation"],
-    "author": ["author", "autor", "authors", "researcher"],
+    "institution": ["institution", "instituição", "instituicao", "affiliation", "affiliations", "organization", "organisation", "org", "unit", "unit_name", "unit_id", "inst", "inst_name"],
+    "author": ["author", "authors", "autor", "autores"],
+    "country": ["country", "país", "pais"],
 }
 
 
@@ -64,11 +64,29 @@ def gold_set(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     return counts.withColumns({"precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn)})
 
 
+ERRORS = ["err_c0_pct", "err_thr25_pct", "err_thr10_pct", "err_thr1_pct"]
+
+
+def mean_of(df: DataFrame, column: str) -> Column:
+    """The mean of the values that are numbers, null without one or without the column."""
+    return F.avg(number(F.col(column))) if column in df.columns else F.lit(None).cast("double")
+
+
 def overview(df: DataFrame, cf: str = "cf", flag: str = "PPg_top10") -> DataFrame:
     """One row: n, mean cf, PP10 percent."""
     return df.agg(F.count("*").alias("n"), F.avg(number(F.col(cf))).alias("mncs"), (100 * F.avg(number(F.col(flag)))).alias("pp10_pct"))
 
 
+def overview_with_errors(df: DataFrame, baselines: DataFrame, cf: str = "cf", target: float = 5.0) -> DataFrame:
+    """overview(), the error target, the baselines' mean errors and, where there is none, the realised shares of the top flags."""
+    flags = [c for c in ("PPg_top25", "PPg_top10", "PPg_top1") if c in df.columns]
+    own = df.agg(F.count("*").alias("n"), mean_of(df, cf).alias("mncs"), (100 * mean_of(df, "PPg_top10")).alias("pp10_pct"), *[(100 * mean_of(df, c)).alias(f"_{c}") for c in flags])
+    errors = baselines.agg(*[mean_of(baselines, c).alias(c) for c in ERRORS])
+    none = F.coalesce(*ERRORS).isNull()
+    both = own.crossJoin(errors)  # one row each
+    return both.select("n", "mncs", "pp10_pct", F.lit(target).alias("err_target"), *ERRORS, *[F.when(none, F.col(f"_{c}")).alias(f"realised_{c}") for c in flags])
+
+
 def min_max(c: str, low: float = 5.0, high: float = 30.0):
     """DataFrame -> DataFrame with c scaled to low..high: null as 0, the middle if all are equal."""
 
@@ -91,10 +109,29 @@ def z_scores(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.crossJoin(F.broadcast(stats)).withColumns({f"z_{c}": z(c) for c in columns}).drop(*stats.columns)
 
 
-def completeness(df: DataFrame, fields: list[str], metrics: list[str]) -> DataFrame:
-    """One row: rows, share of fields that are there, mean non-null share, quality score of a table (0.6 and 0.4, + 0.1 with metrics, then at most 1)."""
-    have = [c for c in fields if c in df.columns]
-    share = sum(F.try_divide(F.count(F.col(c)).cast("double"), F.count("*").cast("double")) for c in have) / max(1, len(have)) if have else F.lit(0.0)
-    out = df.agg(F.count("*").alias("rows"), F.lit(len(have) / len(fields)).alias("fields"), F.coalesce(share, F.lit(0.0)).alias("filled"))
+#: Names under which a table's fields are known, and how much the filled share of three of them counts.
+TABLE_FIELDS = {
+    "title": ["title", "document title", "ti", "titulo"],
+    "doi": ["doi", "doi number", "pr_doi"],
+    "year": ["year", "py", "publication year", "date", "ano"],
+    "author": ["authors", "author_names", "authors_list", "creator", "autores"],
+    "area": ["domain_label", "domain_id", "community_label", "area", "field", "ASJC", "WC"],
+}
+FILLED = {"title": 0.4, "doi": 0.3, "year": 0.3}
+METRIC_NAMES = ["cf", "mncs", "c_f", "c_use", "usage", "pagerank", "pr", "betweenness", "btw"]
+
+
+def completeness(df: DataFrame) -> DataFrame:
+    """One row: rows, columns, which fields the table has, their share, the weighted filled share, the quality score.
+
+    The score is 0.6 times the share of the five fields plus 0.4 times the filled share of title, DOI and year (0.4,
+    0.3, 0.3); a table with a metric gets 0.1 more, then 1 at most. A table without rows scores 0.
+    """
+    found = {k: resolve_column(df.columns, names) for k, names in TABLE_FIELDS.items()}
+    rows = F.count("*")
+    share = sum((w * F.try_divide(F.count(F.col(f"`{found[k]}`")).cast("double"), rows.cast("double")) for k, w in FILLED.items() if found[k]), F.lit(0.0))
+    fields = sum(c is not None for c in found.values()) / len(found)
+    metrics = any(resolve_column(df.columns, [m]) for m in METRIC_NAMES)
+    out = df.agg(rows.alias("rows"), F.lit(len(df.columns)).alias("columns"), *[F.lit(c is not None).alias(f"has_{k}") for k, c in found.items()], F.lit(metrics).alias("has_metrics"), F.lit(fields).alias("fields"), F.coalesce(share, F.lit(0.0)).alias("filled"))
     score = 0.6 * F.col("fields") + 0.4 * F.col("filled")
-    return out.withColumn("score", F.least(F.lit(1.0), score + 0.1) if any(m in df.columns for m in metrics) else score)
+    return out.withColumn("score", F.when(F.col("rows") == 0, 0.0).otherwise(F.least(F.lit(1.0), score + 0.1) if metrics else score))

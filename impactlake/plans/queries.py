@@ -146,8 +146,8 @@ def overview(spark, sf_dir):
 
 
 def sensitivity_delta(spark, sf_dir):
-    m = by_nation(spark, sf_dir)
-    out = units.sensitivity(m.filter("year < 1999"), m.filter("year >= 1997 and nation <> 'FRANCE'"), "country")
+    m = by_nation(spark, sf_dir).withColumnRenamed("nation", "country")
+    out = units.sensitivity(m.filter("year < 1999"), m.filter("year >= 1997 and country <> 'FRANCE'"), "country")
     return rounded(out, "MNCS_base", "PP10_base", "MNCS_var", "PP10_var", "d_MNCS", "d_PP10")
 
 
@@ -312,8 +312,22 @@ def select_mode_d(spark, sf_dir):
     return selection.per_area(parts(spark, sf_dir), 3, "area", "idx").select("idx", "area")
 
 
+def reading_parts(spark, sf_dir) -> DataFrame:
+    """Parts as works: a brand is the area, a third have no window count, the kind of the part ranks as PageRank and the name's length as betweenness."""
+    p = parts(spark, sf_dir).withColumn("year", F.lit(2000) + F.col("idx") % 20)
+    return p.withColumns({"c_use_window": F.when(F.col("idx") % 3 != 0, F.col("c_use") * 2), "pagerank": (F.col("idx") % 17) / 100.0, "betweenness": (F.col("idx") % 13) / 10.0})
+
+
 def reading_lists(spark, sf_dir):
-    return selection.reading_lists(parts(spark, sf_dir).withColumn("year", F.lit(2000) + F.col("idx") % 20), "area", "idx").select("list", "position", "idx")
+    return selection.reading_lists(reading_parts(spark, sf_dir), "area", "idx").select("list", "position", "idx")
+
+
+def download_union(spark, sf_dir):
+    """Works of a quota selection and of the reading lists, each (doi, title) once."""
+    rows = reading_parts(spark, sf_dir).withColumns({"doi": F.concat(F.lit("10.1/"), F.col("idx") % 500), "title": F.col("area"), "is_retracted": (F.col("idx") % 11 == 0).cast("int"), "is_focal": (F.col("idx") % 2).cast("int")})
+    keep = selection.eligible(rows)
+    main, read = selection.capped(keep, 40, 2, "area", "idx"), selection.reading_lists(keep, "area", "idx")
+    return selection.for_download([main, read.drop("list", "position")]).groupBy("doi", "title").agg(F.count("*").alias("n"))
 
 
 RANKED = "p AS (SELECT p_partkey AS idx, p_brand AS area, p_retailprice AS cf, p_size AS c_use, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_size DESC, p_partkey) AS rn FROM part)"
@@ -343,8 +357,9 @@ def authorship_explode(spark, sf_dir):
 
 
 def sheet_quality(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").withColumn("title", F.nullif("source", F.lit("src3")))
-    return rounded(units.completeness(d, ["title", "lang", "source", "year"], ["cf"]), "filled", "score")
+    """Documents as a table of works: a third has no title, a fifth no DOI, no year at all; the source is the area."""
+    d = table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 3 != 0, F.col("lang")).alias("Document Title"), F.when(F.col("doc_id") % 5 != 0, F.col("doc_id")).alias("DOI"), F.col("source").alias("Area"), F.col("n_chars").alias("usage"))
+    return rounded(units.completeness(d), "filled", "score")
 
 
 def bootstrap_ci(spark, sf_dir):
@@ -369,9 +384,129 @@ def query_filter_sort(spark, sf_dir):
     return search.sort_works(search.exclude(rows, [r"!{2,}", "("], ["title"]), "citations").select("id", "cited_by_count")
 
 
-def bibtex_entries(spark, sf_dir):
+def nested_works(spark, sf_dir) -> DataFrame:
+    """Parts as nested works with two authors, a venue, pages, and a name whose words give an inverted index."""
     p = table(spark, sf_dir, "part")
-    return search.bibtex(p.select(F.col("p_name").alias("title"), F.lit("Ada Byron; Alan M. Turing").alias("authors"), F.lit(1999).alias("year"), F.concat(F.lit("10.1/"), F.col("p_partkey")).alias("doi"), F.lit("article").alias("type")))
+    who = lambda n: F.struct(F.struct(F.lit(n).alias("display_name")).alias("author"))
+    source = F.struct(F.struct(F.col("p_brand").alias("display_name"), F.lit(None).cast("string").alias("publisher")).alias("source"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("http://x/"), F.col("p_partkey"))).alias("landing_page_url"), F.lit("http://pdf").alias("pdf_url"))
+    kind = F.when(F.col("p_partkey") % 3 == 0, "journal-article").when(F.col("p_partkey") % 3 == 1, "book-chapter").otherwise("other")
+    biblio = F.struct(F.lit("7").alias("volume"), F.lit(None).cast("string").alias("issue"), F.lit("1").alias("first_page"), F.when(F.col("p_partkey") % 5 == 0, "9").alias("last_page"))
+    return p.select(F.concat(F.lit("https://openalex.org/W"), F.col("p_partkey")).alias("id"), F.concat(F.lit("DNA of "), F.col("p_name")).alias("title"), F.concat(F.lit("DNA of "), F.col("p_name")).alias("display_name"), F.concat(F.lit("https://doi.org/10.1/"), F.col("p_partkey")).alias("doi"), kind.alias("type"), F.lit("EN").alias("language"), F.when(F.col("p_partkey") % 4 != 0, "1999-03-02").alias("publication_date"), F.lit(1998).alias("publication_year"), F.col("p_size").alias("cited_by_count"), F.array(who("Ada Byron"), who("Alan M. Turing")).alias("authorships"), source.alias("primary_location"), biblio.alias("biblio"))
+
+
+def bibtex_entries(spark, sf_dir):
+    return search.bibtex(nested_works(spark, sf_dir), fold=None)
+
+
+def flat_results(spark, sf_dir):
+    return search.flat_works(nested_works(spark, sf_dir))
+
+
+def html_rows(spark, sf_dir):
+    return search.html_table(search.flat_works(nested_works(spark, sf_dir)).select("id", "title", "url"))
+
+
+def search_flags(spark, sf_dir):
+    works = nested_works(spark, sf_dir).withColumns({"abstract": F.when(F.col("cited_by_count") > 10, F.col("title")), "is_oa": F.col("cited_by_count") % 2 == 0})
+    return works.filter(search.flags("article", has_abstract=True, is_oa=True, has_doi=True, dates=("1999-01-01", "1999-12-31"))).select("id")
+
+
+def works_found(spark, sf_dir):
+    """Half of the DOIs that are asked for belong to a work."""
+    works = nested_works(spark, sf_dir).withColumn("doi", F.concat(F.lit("doi:10.55555/"), F.regexp_extract("id", r"(\d+)$", 1).cast("long") % 700))
+    asked = table(spark, sf_dir, "part").filter("p_partkey <= 1400").select(F.concat(F.lit("10.55555/"), F.col("p_partkey") - 1).alias("doi"))
+    return corpus.works_by_doi(asked, works).select("doi", "id")
+
+
+def focal_works(spark, sf_dir):
+    works = nested_works(spark, sf_dir).withColumn("doi", F.concat(F.lit("10.55555/"), F.regexp_extract("id", r"(\d+)$", 1).cast("long") % 700))
+    asked = table(spark, sf_dir, "part").select(F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("https://doi.org/10.55555/"), F.col("p_partkey"))).alias("doi"), F.col("p_name").alias("title"), F.lit(None).cast("int").alias("year"))
+    return corpus.found_focal(asked, works).select("id", "doi")
+
+
+def fetched_works(spark, sf_dir):
+    works = nested_works(spark, sf_dir).withColumn("doi", F.when(F.col("cited_by_count") > 5, F.concat(F.lit("10.55555/"), F.col("cited_by_count"))))
+    return corpus.fetched(works, ["id"], limit=100).select("id")
+
+
+def concept_map(spark, sf_dir):
+    """Nations, some by id and some by label, mapped to regions by a crosswalk with lines of several confidences."""
+    n = table(spark, sf_dir, "nation")
+    lines = n.select(F.lit("N").alias("source_scheme"), (F.col("n_nationkey") % 20).cast("string").alias("source_id"), F.col("n_name").alias("source_label"), F.lit("R").alias("target_scheme"), F.col("n_regionkey").cast("string").alias("target_id"), F.lit("").alias("target_label"), F.lit("exact").alias("mapping_type"), F.when(F.col("n_nationkey") < 20, "low").otherwise("high").alias("confidence"), F.col("n_nationkey").cast("long").alias("line"))
+    asked = n.select(F.when(F.col("n_nationkey") % 2 == 0, F.col("n_nationkey").cast("string")).alias("source_id"), F.when(F.col("n_nationkey") % 5 != 0, F.concat(F.lit(" "), F.lower("n_name"), F.lit(" "))).alias("source_label"))
+    return corpus.mapped_concepts(asked, lines, "N", "R").select("source_id", "source_label", "target_id", "confidence", "warning")
+
+
+def crosswalk_check(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    return corpus.crosswalk_problems(n.select(F.col("n_name").alias("source_label"), F.when(F.col("n_regionkey") == 1, "sort of").otherwise("exact").alias("mapping_type"), F.when(F.col("n_regionkey") == 2, "sure").otherwise("high").alias("confidence")))
+
+
+def concept_works(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Orders as works whose fields are the line numbers of their items, and the fields and years of large orders."""
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.col("l_linenumber").cast("string")).alias("domain_ids"))
+    works = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("id"), "domain_ids", F.year("o_orderdate").alias("year"), (F.floor("o_totalprice") % 50).alias("cited_by_count"), F.col("o_orderstatus").alias("type"))
+    pairs = works.filter("id % 3 = 0").select(F.explode("domain_ids").alias("domain_id"), "year").filter("domain_id <> '7'").unionByName(works.limit(1).select(F.lit("99").alias("domain_id"), "year"))
+    return works, pairs
+
+
+def global_baselines(spark, sf_dir):
+    works, pairs = concept_works(spark, sf_dir)
+    out = baselines.global_baselines(works, pairs, replicates=50).select("domain_id", "year", "c0_mean", "thr_top1", "thr_top10", "thr_top25", "c0_n", "c0_complete", "c0_counts_json", "quantile_method", "ties_policy")
+    return rounded(out, "c0_mean")
+
+
+def sweep_counts(spark, sf_dir):
+    works, pairs = concept_works(spark, sf_dir)
+    hist, complete = baselines.swept(works, pairs, types=["O", "F"], max_rows=40)
+    return hist.groupBy("domain_id", "year").agg(F.sum("n").alias("n"), F.sum(F.col("k") * F.col("n")).alias("citations")).withColumn("complete", complete)
+
+
+def records_with_network(spark, sf_dir):
+    """Customers with their degrees; the network's own name column gives way to the records'."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("idx"), F.col("c_name").alias("name"))
+    net = graph.degrees(c.select("idx").filter("idx % 2 = 0"), trade(spark, sf_dir)).withColumnRenamed("idx", "node").withColumn("NAME", F.lit("x"))
+    return graph.with_network(c, net, "idx", "node")
+
+
+def partition_agreement(spark, sf_dir):
+    """How far a customer's nation and market segment say the same."""
+    c = table(spark, sf_dir, "customer")
+    return rounded(graph.normalised_mutual_information(c.select(F.col("c_custkey").alias("idx"), F.col("c_nationkey").alias("community")), c.select(F.col("c_custkey").alias("idx"), F.col("c_mktsegment").alias("community"))), "nmi")
+
+
+def louvain(spark, sf_dir):
+    """Customers and suppliers that order together, at resolution 1."""
+    return graph.modularity_communities(trade(spark, sf_dir).select(F.explode(F.array("src", "dst")).alias("idx")).distinct(), trade(spark, sf_dir))
+
+
+def styled_nodes(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("idx"), F.concat("p_name", F.lit(" "), F.col("p_type"), F.lit(" "), F.col("p_type"), F.lit(" "), F.col("p_type")).alias("title"), F.col("p_brand").alias("domain_label"), F.col("p_size").alias("deg"))
+    return rounded(graph.styled(p), "size").select("idx", "label", "size", "category", "category_rank", "hue", "tooltip")
+
+
+def overview_errors(spark, sf_dir):
+    m = metrics(spark, sf_dir)
+    errors = table(spark, sf_dir, "nation").select((F.col("n_nationkey") * 1.0).alias("err_c0_pct"), F.lit("bad").alias("err_thr10_pct"))
+    return rounded(units.overview_with_errors(m, errors), "mncs", "pp10_pct")
+
+
+def area_confidence(spark, sf_dir):
+    labels = F.concat("r_name", F.when(F.col("r_regionkey") == 1, " Bio Medicine").when(F.col("r_regionkey") == 2, " of ASTROnomy").otherwise(""))
+    return table(spark, sf_dir, "region").select("r_regionkey", T.macro_area(labels).alias("area"), T.macro_area_confidence(labels).alias("confidence"), T.hyperlink(F.when(F.col("r_regionkey") > 1, "10.1/x"), F.lit(1999), F.concat(F.col("r_name"), F.lit(' "q"'))).alias("link"))
+
+
+def topic_texts(spark, sf_dir):
+    from impactlake.sources.records import topic_documents
+
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), F.when(F.col("doc_id") % 3 != 0, F.col("source")).alias("title"), F.when(F.col("doc_id") % 2 != 0, F.col("text")).alias("abstract"))
+    return topic_documents(d)
+
+
+def topic_clusters(spark, sf_dir):
+    from impactlake.operators import topics
+
+    return topics.topics(table(spark, sf_dir, "embeddings"), "vec_id").groupBy("topic").agg(F.count("*").alias("n"))
 
 
 def export_rows(spark, sf_dir):
@@ -431,7 +566,61 @@ def references_ordered(spark, sf_dir):
 _SELECT = {"select_mode_a": "WHERE rn = 1 ORDER BY cf DESC, c_use DESC, idx LIMIT 10", "select_mode_c": "WHERE rn <= 2 ORDER BY cf DESC, c_use DESC, idx LIMIT 30", "select_mode_d": "WHERE rn <= 3"}
 _MATCH = r"list_filter(list_distinct(string_split(trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g')), ' ')), lambda x: x <> '')"
 
+READ = """r AS (SELECT p_partkey AS idx, p_brand AS area, p_retailprice AS cf, p_size AS c_use, 2000 + p_partkey % 20 AS year, CASE WHEN p_partkey % 3 <> 0 THEN p_size * 2 END AS win, (p_partkey % 17) / 100.0 AS pr, (p_partkey % 13) / 10.0 AS btw FROM part)"""
+_LISTS = {"core": ("cf DESC NULLS LAST, pr DESC NULLS LAST", 2), "recent": ("win DESC NULLS LAST, year DESC", 2), "bridge": ("btw DESC", 1), "diversity": ("score DESC", 1)}
+
+
+def _lists_sql(source: str) -> str:
+    z = lambda c: f"coalesce(({c} - avg({c}) OVER ()) / nullif(stddev_pop({c}) OVER (), 0), 0)"
+    scored = f"s AS (SELECT *, round(0.5 * {z('cf')} + 0.3 * {z('win')} + 0.2 * {z('pr')}, 9) AS score FROM {source})"
+    lists = " UNION ALL ".join(f"SELECT '{n}' AS list, idx, row_number() OVER (ORDER BY {o}, idx) AS position FROM (SELECT *, row_number() OVER (PARTITION BY area ORDER BY {o}, idx) AS rn FROM s) WHERE rn <= {k} QUALIFY position <= 15" for n, (o, k) in _LISTS.items())
+    return f"{scored}, lists AS ({lists})"
+
+
+_WORK = """w AS (SELECT p_partkey AS k, 'W' || p_partkey AS wid, 'DNA of ' || p_name AS title, CASE p_partkey % 3 WHEN 0 THEN 'journal-article' WHEN 1 THEN 'book-chapter' ELSE 'other' END AS type, CASE WHEN p_partkey % 4 <> 0 THEN '1999-03-02' END AS date, p_size, p_brand, CASE WHEN p_partkey % 5 = 0 THEN '1--9' ELSE '1' END AS pages FROM part)"""
+_ENTRY = """'@' || CASE type WHEN 'journal-article' THEN 'article' WHEN 'book-chapter' THEN 'incollection' ELSE 'misc' END || '{Byron' || coalesce(date[:4], '') || 'dnaof' || split_part(lower(title), ' ', 3) || ',' || chr(10) || '  title = {\\{DNA\\} of ' || title[8:] || '}' || coalesce(',' || chr(10) || '  year = {' || date[:4] || '}', '')
+      || ',' || chr(10) || '  doi = {https://doi.org/10.1/' || k || '},' || chr(10) || '  url = {https://openalex.org/' || wid || '},' || chr(10) || '  author = {Byron, Ada and Turing, Alan M.}' || CASE type WHEN 'journal-article' THEN ',' || chr(10) || '  journal = {' || p_brand || '}' WHEN 'book-chapter' THEN ',' || chr(10) || '  booktitle = {' || p_brand || '}' ELSE '' END
+      || ',' || chr(10) || '  volume = {7},' || chr(10) || '  pages = {' || pages || '},' || chr(10) || '  language = {EN},' || chr(10) || '  note = {Cited by ' || p_size || ' (OpenAlex)}' || chr(10) || '}'"""
+_URL = "CASE WHEN k % 2 = 0 THEN 'http://x/' || k ELSE 'http://pdf' END"
+_CONCEPT = """w AS (SELECT DISTINCT o_orderkey AS id, CAST(l_linenumber AS VARCHAR) AS domain_id, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(floor(o_totalprice) AS BIGINT) % 50 AS k, o_orderstatus AS type FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+  p AS (SELECT DISTINCT domain_id, year FROM w WHERE id % 3 = 0 AND domain_id <> '7')"""
+
 ORACLE_SQL = {
+    "reading_lists": f"WITH {READ}, {_lists_sql('r')} SELECT list, CAST(position AS INTEGER) AS position, idx FROM lists",
+    "download_union": f"""WITH {READ}, keep AS (SELECT * FROM r WHERE idx % 11 <> 0 AND idx % 2 = 1), {_lists_sql('keep')},
+      main AS (SELECT idx FROM (SELECT *, row_number() OVER (PARTITION BY area ORDER BY cf DESC, win DESC NULLS LAST, c_use DESC, pr DESC, btw DESC, idx) AS rn FROM keep) WHERE rn <= 2 ORDER BY cf DESC, win DESC NULLS LAST, c_use DESC, pr DESC, btw DESC, idx LIMIT 40),
+      every AS (SELECT idx FROM main UNION SELECT idx FROM lists) SELECT DISTINCT '10.1/' || (idx % 500) AS doi, area AS title, 1 AS n FROM every JOIN r USING (idx)""",
+    "bibtex_entries": f"WITH {_WORK} SELECT {_ENTRY} AS entry FROM w",
+    "flat_results": f"""WITH {_WORK} SELECT wid AS id, 'https://openalex.org/' || wid AS link, title, 'Ada Byron; Alan M. Turing' AS authors, CASE WHEN date IS NULL THEN '1998' ELSE '1999' END AS year, coalesce(date, '1998') AS publication_date, '' AS venue, type, 'en' AS language, p_size AS cited_by, '10.1/' || k AS doi, {_URL} AS url, '' AS abstract FROM w""",
+    "html_rows": f"""WITH {_WORK} SELECT '<tr><td>' || wid || '</td><td>' || title || '</td><td><a href=' || chr(39) || {_URL} || chr(39) || ' target=' || chr(39) || '_blank' || chr(39) || '>link</a></td></tr>' AS line FROM w""",
+    "search_flags": f"WITH {_WORK} SELECT 'https://openalex.org/' || wid AS id FROM w WHERE type = 'journal-article' AND p_size > 10 AND p_size % 2 = 0 AND date IS NOT NULL",
+    "works_found": "SELECT '10.55555/' || (a.p_partkey - 1) AS doi, min('https://openalex.org/W' || w.p_partkey) AS id FROM part a LEFT JOIN part w ON w.p_partkey % 700 = a.p_partkey - 1 WHERE a.p_partkey <= 1400 GROUP BY a.p_partkey",
+    "focal_works": "SELECT min('https://openalex.org/W' || w.p_partkey) AS id, '10.55555/' || a.p_partkey AS doi FROM part a JOIN part w ON w.p_partkey % 700 = a.p_partkey WHERE a.p_partkey % 2 = 0 GROUP BY a.p_partkey",
+    "fetched_works": "SELECT min('https://openalex.org/W' || p_partkey) AS id FROM part GROUP BY CASE WHEN p_size > 5 THEN p_size ELSE -p_partkey END ORDER BY id LIMIT 100",
+    "concept_map": """WITH a AS (SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN CAST(n_nationkey AS VARCHAR) END AS source_id, CASE WHEN n_nationkey % 5 <> 0 THEN ' ' || lower(n_name) || ' ' END AS source_label, n_name FROM nation),
+      t AS (SELECT *, CASE WHEN n_nationkey < 20 THEN 'low' ELSE 'high' END AS confidence FROM nation),
+      i AS (SELECT CAST(n_nationkey % 20 AS VARCHAR) AS id, n_regionkey, confidence FROM t QUALIFY row_number() OVER (PARTITION BY n_nationkey % 20 ORDER BY CASE confidence WHEN 'high' THEN 3 ELSE 1 END DESC, n_nationkey) = 1)
+      SELECT a.source_id, a.source_label, CAST(CASE WHEN a.source_id IS NOT NULL THEN i.n_regionkey WHEN a.source_label IS NOT NULL THEN t.n_regionkey END AS VARCHAR) AS target_id, coalesce(CASE WHEN a.source_id IS NOT NULL THEN i.confidence WHEN a.source_label IS NOT NULL THEN t.confidence END, 'unknown') AS confidence,
+        CASE WHEN a.source_id IS NULL AND a.source_label IS NULL THEN 'no source id or label' WHEN a.source_id IS NOT NULL AND i.id IS NULL THEN 'no mapping for N: ' || a.source_id END AS warning FROM a LEFT JOIN i ON i.id = a.source_id LEFT JOIN t ON t.n_name = a.n_name""",
+    "crosswalk_check": """SELECT 'missing column: ' || c AS problem, CAST(NULL AS BIGINT) AS rows FROM (SELECT unnest(['source_scheme', 'source_id', 'source_level', 'target_scheme', 'target_id', 'target_label', 'provenance', 'version', 'notes']) AS c)
+      UNION ALL SELECT 'invalid mapping_type: sort of', count(*) FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'invalid confidence: sure', count(*) FROM nation WHERE n_regionkey = 2""",
+    "global_baselines": f"""WITH {_CONCEPT}, h AS (SELECT domain_id, year, k, count(*) AS n FROM w JOIN p USING (domain_id, year) GROUP BY ALL),
+      c AS (SELECT *, sum(n) OVER (PARTITION BY domain_id, year ORDER BY k ROWS UNBOUNDED PRECEDING) AS cum, sum(n) OVER (PARTITION BY domain_id, year) AS total FROM h)
+      SELECT domain_id, year, round(sum(k * n) / sum(n), 6) AS c0_mean, min(k) FILTER (WHERE cum >= 0.99 * total) AS thr_top1, min(k) FILTER (WHERE cum >= 0.9 * total) AS thr_top10, min(k) FILTER (WHERE cum >= 0.75 * total) AS thr_top25, CAST(sum(n) AS BIGINT) AS c0_n, true AS c0_complete,
+        '{{' || string_agg('"' || k || '": ' || n, ', ' ORDER BY k) || '}}' AS c0_counts_json, 'cdf_min' AS quantile_method, 'closed_ge' AS ties_policy FROM c GROUP BY ALL""",
+    "sweep_counts": f"""WITH {_CONCEPT}, s AS (SELECT * FROM w JOIN p USING (domain_id, year) WHERE type IN ('O', 'F') QUALIFY row_number() OVER (PARTITION BY domain_id, year ORDER BY id) <= 40)
+      SELECT domain_id, year, count(*) AS n, CAST(sum(k) AS BIGINT) AS citations, false AS complete FROM s GROUP BY ALL""",
+    "records_with_network": f"""WITH {TRADE}, d AS (SELECT idx, CAST(sum(i) AS BIGINT) AS deg_in, CAST(sum(o) AS BIGINT) AS deg_out FROM (SELECT dst AS idx, 1 AS i, 0 AS o FROM trade UNION ALL SELECT src, 0, 1 FROM trade UNION ALL SELECT c_custkey, 0, 0 FROM customer WHERE c_custkey % 2 = 0) GROUP BY idx)
+      SELECT c_custkey AS idx, c_name AS name, deg_in, deg_out, deg_in + deg_out AS deg FROM customer LEFT JOIN d ON idx = c_custkey""",
+    "partition_agreement": """WITH c AS (SELECT c_nationkey AS x, c_mktsegment AS y, count(*) AS n FROM customer GROUP BY ALL), m AS (SELECT *, sum(n) OVER (PARTITION BY x) AS r, sum(n) OVER (PARTITION BY y) AS s, sum(n) OVER () AS t FROM c),
+      hx AS (SELECT sum(-(n / t) * ln(n / t)) AS h FROM (SELECT x, sum(n) AS n, any_value(t) AS t FROM m GROUP BY x)), hy AS (SELECT sum(-(n / t) * ln(n / t)) AS h FROM (SELECT y, sum(n) AS n, any_value(t) AS t FROM m GROUP BY y))
+      SELECT round(2 * (SELECT sum(n / t * ln(n * t / (r * s))) FROM m) / ((SELECT h FROM hx) + (SELECT h FROM hy)), 6) AS nmi""",
+    "styled_nodes": """WITH p AS (SELECT *, p_name || ' ' || p_type || ' ' || p_type || ' ' || p_type AS t, dense_rank() OVER (ORDER BY p_brand) - 1 AS r FROM part), b AS (SELECT count(DISTINCT p_brand) AS n, min(p_size) AS lo, max(p_size) AS hi FROM part)
+      SELECT p_partkey AS idx, CASE WHEN length(t) > 80 THEN t[:79] || '…' ELSE t END AS label, round(5 + 25 * (p_size - lo) / (hi - lo), 6) AS size, p_brand AS category, CAST(r AS INTEGER) AS category_rank, round(360 * r / n, 1) AS hue, t || chr(10) || 'domain_label: ' || p_brand || chr(10) || 'deg: ' || p_size AS tooltip FROM p, b""",
+    "overview_errors": f"""{WITH} SELECT count(*) AS n, round(avg(cf), 6) AS mncs, round(100 * avg(p10), 6) AS pp10_pct, 5.0 AS err_target, (SELECT avg(n_nationkey) FROM nation) AS err_c0_pct, CAST(NULL AS DOUBLE) AS err_thr25_pct, CAST(NULL AS DOUBLE) AS err_thr10_pct, CAST(NULL AS DOUBLE) AS err_thr1_pct, CAST(NULL AS DOUBLE) AS "realised_PPg_top25", CAST(NULL AS DOUBLE) AS "realised_PPg_top10", CAST(NULL AS DOUBLE) AS "realised_PPg_top1" FROM metrics""",
+    "area_confidence": """SELECT r_regionkey, CASE r_regionkey WHEN 1 THEN 'Biology & Medicine' WHEN 2 THEN 'Physics & Astronomy' ELSE r_name END AS area, CASE WHEN r_regionkey IN (1, 2) THEN 'low' ELSE 'unknown' END AS confidence,
+      CASE WHEN r_regionkey > 1 THEN '=HYPERLINK("https://doi.org/10.1/x", "1999; ' || r_name || ' ' || chr(39) || 'q' || chr(39) || '")' ELSE '1999; ' || r_name || ' ' || chr(39) || 'q' || chr(39) END AS link FROM region""",
+    "topic_texts": r"""SELECT idx, t AS text FROM (SELECT doc_id AS idx, concat_ws(' ', CASE WHEN doc_id % 3 <> 0 THEN nullif(trim(source), '') END, CASE WHEN doc_id % 2 <> 0 THEN nullif(trim(text, ' '), '') END) AS t FROM documents) WHERE t <> '' """,
     "local_baseline": f"WITH {RECORDS}, {BASE} SELECT domain_id, year, round(c0_mean, 6) AS c0_mean, round(thr_top25, 6) AS thr_top25, round(thr_top10, 6) AS thr_top10, round(thr_top1, 6) AS thr_top1, c0_n FROM base",
     "mncs_pp_records": f"{WITH} SELECT domain_id, year, count(*) AS n, round(avg(cf), 6) AS mncs, CAST(sum(p25) AS BIGINT) AS n25, CAST(sum(p10) AS BIGINT) AS n10, CAST(sum(p1) AS BIGINT) AS n1 FROM metrics GROUP BY ALL",
     "integer_summary": f'{WITH} SELECT domain_label, year, count(*) AS n, round(avg(cf), 6) AS "MNCS", round(avg(p1), 6) AS "PP1", round(avg(p10), 6) AS "PP10", round(avg(p25), 6) AS "PP25" FROM metrics GROUP BY ALL',
@@ -462,9 +651,9 @@ ORACLE_SQL = {
       s AS (SELECT item_id, doc_id, len(list_intersect(a, b)) AS i, len(a) + len(b) AS n FROM q, t)
       SELECT item_id, doc_id, round(i / (n - i), 6) AS similarity FROM s WHERE i / (n - i) >= 0.2 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY i / (n - i) DESC, doc_id) = 1""",
     "doi_extract": "SELECT page_id, '10.5555/ab' || page_id || 'x' AS doi, '10.1/X' || page_id AS bare FROM pages",
-    "label_normalise": r"""SELECT p_partkey, p_type || ' x' AS label, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS title, CASE """
-    + " ".join(f"WHEN regexp_matches(lower(p_type), '{w}') THEN '{n}'" for n, w in T.MACRO_AREAS)
-    + " ELSE 'Other' END AS area FROM part",
+    "label_normalise": r"""SELECT p_partkey, p_type || ' x' AS label, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS title, CASE WHEN p_type ILIKE '%physic%' OR p_type ILIKE '%astro%' THEN 'Physics & Astronomy' WHEN p_type ILIKE '%math%' OR p_type ILIKE '%algebra%' OR p_type ILIKE '%geometry%' THEN 'Mathematics'
+      WHEN p_type ILIKE '%computer%' OR p_type ILIKE '%computat%' OR p_type ILIKE '%intelligence%' OR p_type ILIKE '%software%' THEN 'Computer Science' WHEN p_type ILIKE '%bio%' OR p_type ILIKE '%medic%' OR p_type ILIKE '%genet%' OR p_type ILIKE '%clini%' THEN 'Biology & Medicine' WHEN p_type ILIKE '%chem%' OR p_type ILIKE '%material%' OR p_type ILIKE '%polymer%' THEN 'Chemistry & Materials'
+      WHEN p_type ILIKE '%engin%' OR p_type ILIKE '%mechan%' OR p_type ILIKE '%electr%' THEN 'Engineering' WHEN p_type ILIKE '%geo%' OR p_type ILIKE '%earth%' OR p_type ILIKE '%envir%' THEN 'Earth & Environmental' WHEN p_type ILIKE '%social%' OR p_type ILIKE '%econ%' OR p_type ILIKE '%psych%' OR p_type ILIKE '%educ%' THEN 'Social Sciences' ELSE p_type END AS area FROM part""",
     "year_extract": "SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders",
     "abstract_rebuild": r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS abstract FROM documents",
     **{k: f"WITH {RANKED} SELECT idx, area FROM p {v}" for k, v in _SELECT.items()},
@@ -475,9 +664,10 @@ ORACLE_SQL = {
     "crosswalk_best": """WITH l AS (SELECT n_regionkey AS key, CAST(n_nationkey AS VARCHAR) AS target_id, n_name AS target_label, CASE n_nationkey % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS confidence, row_number() OVER (PARTITION BY n_regionkey ORDER BY CASE n_nationkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END DESC, n_nationkey) AS rn FROM nation)
       SELECT r_regionkey AS key, r_name, target_id, target_label, confidence FROM region LEFT JOIN l ON key = r_regionkey AND rn = 1""",
     "authorship_explode": "SELECT conv_id AS work_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) - 1 AS position, 'A' || turn AS author_id, role AS author_name, '0000-' || turn AS orcid, role AS institution, 'XX' AS country FROM conversations",
-    "sheet_quality": "WITH f AS (SELECT count(*) AS rows, (count(nullif(source, 'src3')) / count(*) + count(lang) / count(*) + count(source) / count(*)) / 3 AS filled FROM documents) SELECT rows, 0.75::DOUBLE AS fields, round(filled, 6) AS filled, round(0.6 * 0.75 + 0.4 * filled, 6) AS score FROM f",
+    "sheet_quality": """WITH d AS (SELECT count(*) AS n, count(CASE WHEN doc_id % 3 <> 0 THEN 1 END) / count(*) AS t, count(CASE WHEN doc_id % 5 <> 0 THEN 1 END) / count(*) AS d FROM documents)
+      SELECT n AS rows, 4 AS columns, true AS has_title, true AS has_doi, false AS has_year, false AS has_author, true AS has_area, true AS has_metrics, 0.6 AS fields, round(0.4 * t + 0.3 * d, 6) AS filled, round(least(1, 0.36 + 0.4 * (0.4 * t + 0.3 * d) + 0.1), 6) AS score FROM d""",
     "export_rows": "SELECT 'N' || c_nationkey AS authors, c_name AS title, 2001 AS year, CAST(NULL AS VARCHAR) AS source_title, c_custkey AS cited_by, '10.1234/c' || c_custkey AS doi, 'https://x/W' || c_custkey AS link, CAST(NULL AS VARCHAR) AS abstract, 'A; ' || c_mktsegment AS author_keywords, c_mktsegment AS document_type, 'W' || c_custkey AS eid FROM customer",
-    "download_lines": "SELECT concat_ws('; ', 'A; B', p_name, '1999', nullif(CAST(p_partkey AS VARCHAR), '3')) AS line FROM part",
+    "download_lines": """SELECT 'A, B; 12. ' || p_name || '; 1999; ' || coalesce(nullif(CAST(p_partkey AS VARCHAR), '3'), '') AS line FROM part""",
     "target_pairs": f"WITH {RECORDS} SELECT DISTINCT domain_id, year FROM records WHERE domain_id IS NOT NULL AND year IS NOT NULL",
     "min_metrics": f"WITH {RECORDS}, g AS (SELECT domain_label, year, avg(c_use) AS m, quantile_cont(c_use, 0.9) AS q FROM records GROUP BY ALL) SELECT domain_label, year, CAST(sum(CAST(c_use >= q AS INTEGER)) AS BIGINT) AS n10, round(max(c_use / m), 6) AS cf FROM records JOIN g USING (domain_label, year) GROUP BY ALL",
     "histogram_counts": "SELECT l_returnflag AS domain_id, l_quantity AS k, count(*) AS n FROM lineitem GROUP BY ALL",
@@ -491,5 +681,5 @@ ORACLE_SQL = {
     "query_filter_sort": "SELECT doc_id AS id, n_chars AS cited_by_count FROM documents WHERE (lower(text) LIKE '%the%' OR lower(text) LIKE '%les%') AND lower(text) LIKE '%an%' AND lang IN ('en', 'fr') AND source IN ('src1', 'src2') AND NOT regexp_matches(text, '!{2,}')",
 }
 
-_NAMES = "local_baseline mncs_pp_records integer_summary ppx_top_decile ppx_strict_ties ppx_global hist_mean_quantiles hist_hazen fractional_summary_equal fractional_summary_score unit_summary overview sensitivity_delta goldset_prf citation_edges degree pagerank betweenness communities window_citations_k self_citation_excluded dedupe_keep_missing dedupe_collapse_missing dedupe_key_chain union_or_search dense_index title_jaccard_match doi_extract label_normalise year_extract abstract_rebuild select_mode_a select_mode_b select_mode_c select_mode_d reading_lists zscore minmax crosswalk_best authorship_explode sheet_quality bootstrap_ci baseline_errors fuzzy_clusters query_filter_sort bibtex_entries export_rows download_lines visible_graph target_pairs min_metrics histogram_counts dedupe_stats majority_label references_ordered"
+_NAMES = "download_union flat_results html_rows search_flags works_found focal_works fetched_works concept_map crosswalk_check global_baselines sweep_counts records_with_network partition_agreement louvain styled_nodes overview_errors area_confidence topic_texts topic_clusters local_baseline mncs_pp_records integer_summary ppx_top_decile ppx_strict_ties ppx_global hist_mean_quantiles hist_hazen fractional_summary_equal fractional_summary_score unit_summary overview sensitivity_delta goldset_prf citation_edges degree pagerank betweenness communities window_citations_k self_citation_excluded dedupe_keep_missing dedupe_collapse_missing dedupe_key_chain union_or_search dense_index title_jaccard_match doi_extract label_normalise year_extract abstract_rebuild select_mode_a select_mode_b select_mode_c select_mode_d reading_lists zscore minmax crosswalk_best authorship_explode sheet_quality bootstrap_ci baseline_errors fuzzy_clusters query_filter_sort bibtex_entries export_rows download_lines visible_graph target_pairs min_metrics histogram_counts dedupe_stats majority_label references_ordered"
 QUERIES = {name: globals()[name] for name in _NAMES.split()}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,34 @@ def write_bundle(tables: dict[str, DataFrame], folder: str, csv: bool = False) -
             df.write.mode("overwrite").parquet(path)
 
 
+#: Columns of the exported records, in order.
+RECORD_COLUMNS = ["idx", "title", "year", "domain_label", "domain_id", "doi", "cited_by_count", "c_use", "c_use_window", "is_retracted", "c0_mean", "cf", "PPg_top1", "PPg_top10", "PPg_top25", "n_authors", "n_affiliations", "is_focal"]
+
+
+def core_columns(records: DataFrame) -> DataFrame:
+    """The exported columns that records have, in their fixed order."""
+    return records.select(*[c for c in RECORD_COLUMNS if c in records.columns])
+
+
+def write_query(rows: DataFrame, path: str, stats: DataFrame | None = None) -> None:
+    """A search result as CSV with a header, and beside it path.meta.json with the time, the fields and what was left out as duplicates."""
+    rows.write.mode("overwrite").csv(path, header=True, emptyValue="", lineSep="\n")
+    found = stats.first().asDict() if stats is not None else {}  # one row
+    meta = {"timestamp": datetime.now(timezone.utc).isoformat(timespec="seconds"), "dedup_stats": found, "fieldnames": rows.columns}
+    rows.sparkSession.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.meta.json")
+
+
+def write_enrichment(authorships: DataFrame, folder: str) -> None:
+    """authors, institutions and authorships of authorship_rows() as CSV tables."""
+    tables = {
+        "authors": authorships.filter("author_id is not null").groupBy("author_id").agg(F.min("author_name").alias("author_name"), F.min("orcid").alias("orcid")),
+        "institutions": authorships.filter("ror is not null").groupBy("ror").agg(F.min("institution").alias("institution"), F.min("country").alias("country")),
+        "authorships": authorships,
+    }
+    for name, df in tables.items():
+        df.write.mode("overwrite").csv(f"{folder}/{name}", header=True)
+
+
 def read_table(spark: SparkSession, folder: str, *names: str) -> DataFrame | None:
     """The first of the names that the bundle has."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

@@ -6,21 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from impactlake.functions.text import all_dois, blank_to_null, norm_doi, year_of
+from impactlake.operators.corpus import CROSSWALK
+from impactlake.operators.dedupe import keep_missing
 
 RECORD = ["title", "year", "doi", "oa_id", "source", "authors", "abstract", "cited_by_count", "is_retracted", "ref_dois"]
-#: Names that exports give their columns, in order of preference.
+#: Names that exports give their columns, in order of preference, by kind of export.
 NAMES = {
-    "title": ["title", "document_title", "display_name"],
-    "year": ["year", "publication_year", "py"],
-    "doi": ["doi"],
-    "oa_id": ["id", "oa_id"],
-    "source": ["source_title", "source", "journal"],
-    "authors": ["authors", "author"],
-    "abstract": ["abstract", "description"],
-    "cited_by_count": ["cited_by_count", "cited_by", "cites", "citations"],
-    "is_retracted": ["is_retracted"],
-    "references": ["references", "cited_references"],
+    "scopus": {
+        "title": ["title", "document_title", "document_title_"],
+        "year": ["year", "publication_year"],
+        "doi": ["doi"],
+        "authors": ["authors", "author_names", "authors_with_affiliations"],
+        "abstract": ["abstract", "description", "abstract_keywords"],
+        "source": ["source_title", "publication_title", "journal"],
+        "cited_by_count": ["cited_by", "citedby", "cited_by_count"],
+        "references": ["references", "reference", "refs"],
+    },
+    "openalex": {"title": ["title"], "year": ["publication_year"], "doi": ["doi"], "oa_id": ["id"], "cited_by_count": ["cited_by_count"], "is_retracted": ["is_retracted"]},
+    "pop": {"title": ["title"], "year": ["year"], "doi": ["doi"], "authors": ["authors"], "abstract": ["abstract"], "source": ["source"], "cited_by_count": ["cites"]},
 }
+SOURCES = {"wos": "wos", "scopus": "scopus", "csv": "scopus", "openalex": "openalex", "pop": "pop", "publish_or_perish": "pop", "auto": "auto"}
 
 
 def tidy_header(df: DataFrame) -> DataFrame:
@@ -40,28 +45,79 @@ def is_pop_csv(columns: list[str]) -> bool:
     return "gsrank" in columns and "cites" in columns
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV export with a header: the separator (, ; or tab) is the one its first line has most of; broken lines are dropped; all columns are text."""
-    first = spark.read.text(path).limit(1).collect()  # one line
-    line = first[0]["value"] if first else ""
-    sep = max([",", ";", "\t"], key=line.count)
-    df = spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=True, mode="DROPMALFORMED", encoding="UTF-8")
+def encoding_of(head: bytes) -> str:
+    """The encoding of a file that begins with these bytes: by its byte order mark, UTF-8 if they are, else Latin-1."""
+    if head.startswith((b"\xff\xfe", b"\xfe\xff")):
+        return "UTF-16"
+    try:
+        head.decode("utf-8")
+    except UnicodeDecodeError as e:
+        if e.start < len(head) - 3:  # not just cut at the end
+            return "ISO-8859-1"
+    return "UTF-8"
+
+
+def _head(spark: SparkSession, path: str, n: int = 65_536) -> bytes:
+    """The first bytes of a file, or of the first file of a folder."""
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    files = sorted((f.getPath().toString() for f in fs.globStatus(place) or [] if f.isFile()) or (f.getPath().toString() for f in fs.listStatus(place) if f.isFile() and not f.getPath().getName().startswith(("_", "."))))
+    if not files:
+        return b""
+    stream = fs.open(jvm.org.apache.hadoop.fs.Path(files[0]))
+    try:
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, n)))
+    finally:
+        stream.close()
+
+
+def read_csv(spark: SparkSession, path: str, separators: str = ",;\t", multi_line: bool = True) -> DataFrame:
+    """A CSV export with a header, all columns text: the encoding by its first bytes, the separator the one its first line has most of; broken lines are dropped.
+
+    Fields may hold line feeds, so a file is read by one task; multi_line=False splits large files without such fields.
+    An empty file gives an empty table without columns.
+    """
+    head = _head(spark, path)
+    encoding = encoding_of(head)
+    line = head.decode(encoding, "replace").lstrip("\ufeff").split("\n")[0]
+    if not line.strip():
+        return spark.createDataFrame([], "")
+    sep = max(separators, key=line.count)
+    df = spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=multi_line, mode="DROPMALFORMED", encoding=encoding)
     return tidy_header(df)
 
 
-def _column(df: DataFrame, what: str):
-    found = next((c for c in NAMES[what] if c in df.columns), None)
-    return blank_to_null(F.col(f"`{found}`")) if found else F.lit(None).cast("string")
+def kind_of(columns: list[str]) -> str:
+    """pop, openalex or scopus, by a table's column names."""
+    return "pop" if is_pop_csv(columns) else "openalex" if is_works_csv(columns) else "scopus"
+
 
+def csv_records(df: DataFrame, kind: str | None = None) -> DataFrame:
+    """Records of a tidied table of a kind (found by its header if None), once per DOI, all those without one.
 
-def csv_records(df: DataFrame) -> DataFrame:
-    """Records of a tidied table. Without a DOI column a DOI is looked for in all text columns; references give distinct DOIs in order."""
-    doi = norm_doi(_column(df, "doi")) if "doi" in df.columns else F.coalesce(*[norm_doi(F.col(f"`{c}`")) for c in df.columns])
-    retracted = F.coalesce(F.lower(_column(df, "is_retracted")).try_cast("boolean"), F.lit(False))
-    return df.select(
-        _column(df, "title").alias("title"), year_of(_column(df, "year")).alias("year"), doi.alias("doi"), _column(df, "oa_id").alias("oa_id"), _column(df, "source").alias("source"), _column(df, "authors").alias("authors"),
-        _column(df, "abstract").alias("abstract"), _column(df, "cited_by_count").try_cast("double").cast("long").alias("cited_by_count"), retracted.alias("is_retracted"), all_dois(_column(df, "references")).alias("ref_dois"),
+    Without a DOI column that has values a DOI is looked for in all text columns, but for works tables; references give distinct
+    DOIs in order and only scopus tables have any.
+    """
+    kind = kind or kind_of(df.columns)
+    null = F.lit(None).cast("string")
+
+    def column(what: str):
+        found = next((c for c in NAMES[kind].get(what, ()) if c in df.columns), None)
+        return blank_to_null(F.col(f"`{found}`").cast("string")) if found else null
+
+    anywhere = F.coalesce(*[norm_doi(F.col(f"`{c}`")) for c in df.columns], null)
+    own = norm_doi(column("doi"))
+    doi = own
+    if kind != "openalex" and ("doi" not in df.columns or df.filter(column("doi").isNotNull()).isEmpty()):
+        doi = F.coalesce(own, anywhere)
+    retracted = F.coalesce(F.lower(column("is_retracted")).try_cast("boolean"), F.lit(False))
+    refs = all_dois(column("references")) if kind == "scopus" else F.array().cast("array<string>")
+    rows = df.select(
+        column("title").alias("title"), year_of(column("year")).alias("year"), doi.alias("doi"), column("oa_id").alias("oa_id"), column("source").alias("source"), column("authors").alias("authors"),
+        column("abstract").alias("abstract"), column("cited_by_count").try_cast("double").cast("long").alias("cited_by_count"), retracted.alias("is_retracted"), refs.alias("ref_dois"),
     )
+    return keep_missing(rows, "doi", ["title", "year", "authors", "source"])
 
 
 def tagged_records(spark: SparkSession, path: str) -> DataFrame:
@@ -75,7 +131,7 @@ def tagged_records(spark: SparkSession, path: str) -> DataFrame:
     lines = F.split(marked, "\n")
 
     def field(tag: str, joiner: str):
-        own = F.transform(F.filter(lines, lambda x: x.startswith(tag + " ")), lambda x: F.trim(F.substring(x, 4, 1_000_000)))
+        own = F.transform(F.filter(lines, lambda x: x.startswith(tag + " ")), lambda x: F.trim(F.substring(x, F.lit(4), F.length(x))))
         return blank_to_null(F.array_join(F.transform(own, lambda x: F.replace(x, F.lit("\u0001"), F.lit(joiner))), joiner))
 
     rows = chunk.select(field("TI", " ").alias("title"), year_of(field("PY", " ")).alias("year"), norm_doi(field("DI", " ")).alias("doi"), F.lit(None).cast("string").alias("oa_id"), field("SO", " ").alias("source"), field("AU", "; ").alias("authors"), field("AB", " ").alias("abstract"), field("TC", " ").try_cast("long").alias("cited_by_count"), F.lit(False).alias("is_retracted"), all_dois(field("CR", " | ")).alias("ref_dois"))
@@ -83,10 +139,41 @@ def tagged_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_input(spark: SparkSession, path: str, source: str = "auto") -> DataFrame:
-    """Records of a file: source is wos, csv or auto (by the name's ending)."""
-    if source == "wos" or (source == "auto" and path.lower().endswith(".txt")):
+    """Records of a file: source is wos, scopus (or csv), openalex, pop (or publish_or_perish) or auto.
+
+    auto takes .txt for tagged text and else goes by the header; scopus tables that look like one of the other two
+    kinds are read as those, an empty one as pop.
+    """
+    kind = SOURCES.get(source.lower().strip())
+    if kind is None:
+        raise ValueError(f"source must be one of {sorted(SOURCES)}")
+    if kind == "wos" or (kind == "auto" and path.lower().endswith(".txt")):
         return tagged_records(spark, path)
-    return csv_records(read_csv(spark, path))
+    df = read_csv(spark, path)
+    if kind in ("auto", "scopus"):
+        kind = kind_of(df.columns) if df.columns else "pop"
+    return csv_records(df, kind)
+
+
+def gold_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A gold set: CSV with one of four separators, header names tidied."""
+    return read_csv(spark, path, ",;\t|")
+
+
+def crosswalk_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A crosswalk with all its columns (missing ones empty) and the line of each row; empty if the file is missing."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place):
+        return spark.createDataFrame([], ", ".join(f"{c} string" for c in CROSSWALK) + ", line long")
+    df = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True)
+    missing = {c: F.lit("") for c in CROSSWALK if c not in df.columns}
+    return df.withColumns(missing).select(*CROSSWALK, F.monotonically_increasing_id().alias("line"))
+
+
+def topic_documents(records: DataFrame, idx: str = "idx") -> DataFrame:
+    """idx, text: title and abstract in one text; records with neither are left out."""
+    parts = [blank_to_null(F.col(c)) for c in ("title", "abstract") if c in records.columns]
+    return records.select(idx, F.concat_ws(" ", *parts).alias("text")).filter("text != ''")
 
 
 def works_json(spark: SparkSession, path: str) -> DataFrame:
