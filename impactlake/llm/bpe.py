@@ -177,7 +177,8 @@ def encode_and_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", t
     For vocabularies that drop white space and have no decoder: a decoded text is its pieces joined by a space; words
     without an id (a no-break space between blanks) have no pieces.
     A null text is empty (no ids, hashes of nothing); repeated rows, null and repeated ids come out each for
-    itself; an empty table gives no rows; other columns are ignored.
+    itself; an empty table gives no rows; other columns are ignored. docs must be a stored table: it is read twice,
+    and both times its rows have to come in the same tasks and order. Very long texts are whole in their block.
     """
     bounded_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -29,9 +29,11 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); only where that is unset, a temporary one."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where that is unset, a local session gets a temporary one, as in tests; a cluster has none that its machines share, so it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
         folder = getattr(spark.sparkContext, "_llm_folder", None) or tempfile.mkdtemp(prefix="llm-")
         spark.sparkContext._llm_folder = folder
     return folder

@@ -24,7 +24,7 @@ _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 @dataclass(frozen=True)
 class Settings:
-    """sample_rows: training texts per language at most (a documented bound of the fit, never of the prediction), each adding an equal share of dictionary_bytes. block_bytes: what is compressed at once. min_margin: a text is rejected if the runner-up needs less than this share more bytes."""
+    """sample_rows: training texts per language at most (a documented bound of the fit, never of the prediction), each adding an equal share of dictionary_bytes: of a training text longer than four such shares its middle is read. block_bytes: what is compressed at once. min_margin: a text is rejected if the runner-up needs less than this share more bytes."""
 
     sample_rows: int = 400
     dictionary_bytes: int = 112 * 1024
@@ -91,7 +91,8 @@ class Compressors:
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """docs with a struct column `language`: lang_pred, score (0 to 1), rejected.
 
-    Only the text decides. Null texts and texts without a letter are `und`, score 0 and rejected; so is every
+    Only the whole text decides, block by block, however long it is; repeated rows get equal results, an empty table
+    gives no rows, other columns stay as they are. Null texts and texts without a letter are `und`, score 0 and rejected; so is every
     text if nothing was learned. Ties go to the alphabetically first language and are rejected as narrow.
     """
     bounded_batches(docs.sparkSession)

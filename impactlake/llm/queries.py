@@ -92,14 +92,14 @@ def _url_filter_sql() -> str:
     ruled = "CASE " + " ".join(f"WHEN {fits(t)} THEN '{v}'" for v, t in ordered) + " END"
     return f"""WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
       h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{url_filters.UPPER}', '{url_filters.LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
-      hosts AS (SELECT DISTINCT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix FROM h WHERE host <> ''),
+      hosts AS (SELECT DISTINCT host, regexp_extract(host, '{url_filters.domain_pattern(p)}', 0) AS domain, regexp_extract(host, '{url_filters.domain_pattern(p)}', 2) AS suffix FROM h WHERE host <> ''),
       own AS (SELECT host, any_value(domain) AS domain, any_value(suffix) AS suffix, count(*) AS n, sum(CASE WHEN coalesce(toxic, 0) = 1 OR coalesce(quality, 1) = 0 THEN 1 ELSE 0 END) AS k FROM h JOIN labels ON doc_id = page_id JOIN hosts USING (host) GROUP BY host),
       overall AS (SELECT (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2) AS m FROM own),
       s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, any_value(m) AS prior FROM own, overall GROUP BY suffix), sw AS ({rho('s0')}), s AS (SELECT suffix, (w * prior + k) / (w + n) AS mean FROM s0, sw),
       d0 AS (SELECT domain, sum(n) AS n, sum(k) AS k, any_value(mean) AS prior FROM own JOIN s USING (suffix) GROUP BY domain), dw AS ({rho('d0')}), d AS (SELECT domain, (w * prior + k) / (w + n) AS mean FROM d0, dw),
       o0 AS (SELECT host, n, k, mean AS prior FROM own JOIN d USING (domain)), ow AS ({rho('o0')}),
       post AS (SELECT hosts.host, w + coalesce(n, 0) AS size, (w * coalesce(d.mean, s.mean, m) + coalesce(k, 0)) / (w + coalesce(n, 0)) AS mean FROM hosts CROSS JOIN ow CROSS JOIN overall LEFT JOIN own ON own.host = hosts.host LEFT JOIN d ON d.domain = hosts.domain LEFT JOIN s ON s.suffix = hosts.suffix),
-      blocked AS (SELECT host FROM post WHERE mean - {p.z} * sqrt(mean * (1 - mean) / (size + 1)) > {p.threshold})
+      blocked AS (SELECT host FROM post WHERE mean - {p.z} * sqrt(mean * (1 - mean) / (size + 1)) > (SELECT m FROM overall) + {p.excess})
       SELECT page_id, host, path, {rule} AS rule, coalesce({ruled}, CASE WHEN host IN (SELECT host FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict FROM h"""
 
 

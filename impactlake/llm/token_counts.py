@@ -7,6 +7,8 @@ no longer a sure pre-token border, encodes that region alone and updates the sum
 
 from __future__ import annotations
 
+from unicodedata import category
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,19 +23,45 @@ EDITS = "array<struct<start:bigint,deleted:bigint,inserted:string>>"
 
 
 def sure_border(left: str, right: str) -> bool:
-    """Whether pre-tokens surely end between left and right, whatever stands further away: one space between visible characters."""
-    return bool(left) and len(right) > 1 and right[0] == " " and not left[-1].isspace() and not right[1].isspace()
+    """Whether pre-tokens surely end between left and right, whatever stands further away.
+
+    So they do before a single white space between visible characters, and between a letter, a digit and another
+    visible character; but after an apostrophe, and at the characters of added tokens' strings.
+    """
+    if not left or not right:
+        return False
+    a, b = left[-1], right[0]
+    if a.isspace() or a in "<|>'" or b in "<|>":
+        return False
+    if b in " \n\t\r\u3000":
+        return len(right) > 1 and not right[1].isspace()
+    return not b.isspace() and _kind(a) != _kind(b)
+
+
+def _kind(c: str) -> str:
+    kind = category(c)[0]
+    return kind if kind in "LN" else ""
+
+
+def next_border(text: str, at: int, reach: int) -> int:
+    """The first sure border from `at` on; at a space if there is one within `reach`. -1: there is none."""
+    space = text.find(" ", at)
+    while 0 <= space <= at + reach:
+        if space and sure_border(text[space - 1], text[space : space + 2]):
+            return space
+        space = text.find(" ", space + 1)
+    for i in range(max(1, at), len(text)):
+        if sure_border(text[i - 1], text[i : i + 2]):
+            return i
+    return -1
 
 
 def leaves_of(text: str, size: int = LEAF_CHARS) -> list[str]:
-    """The text cut at the first sure border from `size` characters on, again and again."""
-    out, start, at = [], 0, size
-    while (at := text.find(" ", at)) >= 0:
-        if at and sure_border(text[at - 1], text[at : at + 2]):
-            out.append(text[start:at])
-            start, at = at, at + size
-        else:
-            at += 1
+    """The text cut at a sure border from `size` characters on, again and again."""
+    out, start = [], 0
+    while len(text) - start > size and (at := next_border(text, start + size, size)) >= 0:
+        out.append(text[start:at])
+        start = at
     return [*out, text[start:]]
 
 
@@ -111,10 +139,24 @@ class SegmentTree:
             text += self.leaf(right)
             spent.add(right)
             right = self.neighbour(right, 1)
-        for i in spent:
-            self.put(i, "", 0)
         self.encoded += len(text)
-        self.put(first, text, self.count(text))
+        spent.add(first)
+        pieces = [(x, self.count(x)) for x in leaves_of(text)] if len(text) > 2 * LEAF_CHARS else [(text, self.count(text))]
+        if len(pieces) > max(spent) - min(spent) + 1:
+            self.rebuild(min(spent), max(spent), pieces)
+            return
+        for i in range(min(spent), max(spent) + 1):
+            self.put(i, *(pieces[i - min(spent)] if i - min(spent) < len(pieces) else ("", 0)))
+
+    def rebuild(self, first: int, last: int, pieces: list[tuple[str, int]]) -> None:
+        """A tree with more leaves: the pieces in place of the leaves first to last. Only sums are computed anew."""
+        old = [(self.leaf(i), self.tokens[self.size + i]) for i in range(self.size)]
+        leaves = [x for x in [*old[:first], *pieces, *old[last + 1 :]] if x[0]] or [("", 0)]
+        self.size = 1 << max(0, len(leaves) - 1).bit_length()
+        pad = [0] * (self.size - len(leaves))
+        self.chars, self.tokens = self.heap([len(x) for x, _ in leaves] + pad), self.heap([n for _, n in leaves] + pad)
+        self.text, self.changed = "".join(x for x, _ in leaves), {}
+        self.starts = np.concatenate([[0], np.cumsum(self.chars[self.size :])]).tolist()
 
     @property
     def now(self) -> str:
@@ -140,7 +182,8 @@ def _with(df: DataFrame, at: list[str], add: list[tuple[str, object]], run) -> D
 def build_trees(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
     """docs with n_tokens, tree_chars and tree_tokens, the state that apply_edits() goes on from.
 
-    A null or empty text has 0 tokens. If docs has such names already, the new ones get underscores before them.
+    A null or empty text has 0 tokens; an empty table gives no rows; a very long text is cut into many leaves and
+    counted leaf by leaf. If docs has such names already, the new ones get underscores before them.
     """
     names = free_name(docs, "n_tokens", "tree_chars", "tree_tokens")
 
@@ -156,7 +199,8 @@ def apply_edits(trees: DataFrame, tokenizer: str, edits_col: str, text_col: str
 
     edits_col is an array<struct<start, deleted, inserted>>, applied in order, each on the text the ones before
     left; positions are characters and held to the text's limits, null fields count as 0 and empty, null edits
-    change nothing. Ties and repeated rows need no care: each row is edited for itself.
+    change nothing. Ties and repeated rows need no care: each row is edited for itself. An empty table gives no
+    rows. In very long texts an edit encodes the touched leaves alone, and a leaf that grows is cut into several.
     """
     names = free_name(trees, "tokens_after", "chars_encoded", "text_after", "chars_after", "trees_after")[: 5 if with_state else 2]
     kinds = (LongType(), LongType(), StringType(), ArrayType(IntegerType()), ArrayType(IntegerType()))

@@ -1,9 +1,9 @@
 """URL filters: rules by host and path, then an empirical-Bayes reputation of the host.
 
-Bad labelled pages are counted per host, registered domain (the last two labels) and suffix (the last label).
-Each level's rate is shrunk to its parent's by a beta-binomial prior whose weight is estimated from the data by
-moments; a host is blocked if the lower posterior bound of its bad rate exceeds a threshold. All of it is
-DataFrame operations.
+Bad labelled pages are counted per host, registered domain (the suffix and one label) and suffix (the last label, or
+one of a few suffixes of two labels). Each level's rate is shrunk to its parent's by a beta-binomial prior whose weight is estimated from the data by
+moments; a host is blocked if the lower posterior bound of its bad rate exceeds the rate of all pages, that is if it is surely
+worse than pages in general. All of it is DataFrame operations.
 """
 
 from __future__ import annotations
@@ -20,12 +20,13 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 @dataclass(frozen=True)
 class Reputation:
-    """z: how many posterior standard deviations below the mean the bound lies. threshold: bad rate above which the bound blocks. rho: limits of the estimated intra-class correlation; the prior weighs 1 / rho - 1 pages."""
+    """z: how many posterior standard deviations below the mean the bound lies. excess: how far above the overall bad rate the bound has to be to block. rho: limits of the estimated intra-class correlation; the prior weighs 1 / rho - 1 pages. suffixes: those of two labels."""
 
     z: float = 1.645
-    threshold: float = 0.5
+    excess: float = 0.0
     rho_min: float = 0.005
     rho_max: float = 0.5
+    suffixes: tuple[str, ...] = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "co.jp", "co.kr", "co.in", "co.nz", "co.za", "com.br", "com.cn", "com.mx", "com.tr")
 
 
 def host_of(url: Column) -> Column:
@@ -51,13 +52,17 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[
     return rule, verdict
 
 
-def domain_of(host: Column) -> Column:
-    labels = F.split(host, r"\.")
-    return F.when(F.size(labels) >= 2, F.concat_ws(".", F.element_at(labels, -2), F.element_at(labels, -1))).otherwise(host)
+def domain_pattern(settings: Reputation) -> str:
+    """All of it is the registered domain, its second group the suffix."""
+    return r"([^.]+\.)?(" + "|".join(s.replace(".", r"\.") for s in settings.suffixes) + r"|[^.]*)$"
 
 
-def suffix_of(host: Column) -> Column:
-    return F.element_at(F.split(host, r"\."), -1)
+def domain_of(host: Column, settings: Reputation = Reputation()) -> Column:
+    return F.regexp_extract(host, domain_pattern(settings), 0)
+
+
+def suffix_of(host: Column, settings: Reputation = Reputation()) -> Column:
+    return F.regexp_extract(host, domain_pattern(settings), 2)
 
 
 def _shrunk(nodes: DataFrame, settings: Reputation) -> tuple[DataFrame, float]:
@@ -77,7 +82,7 @@ def reputation(outcomes: DataFrame, hosts: DataFrame, settings: Reputation = Rep
     outcome the overall rate is 0.5 and nothing is learned.
     """
     own = outcomes.filter("host != '' and bad is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").cast("long").alias("k"))
-    own = written(own.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "k"), "hosts")
+    own = written(own.select("host", domain_of(F.col("host"), settings).alias("domain"), suffix_of(F.col("host"), settings).alias("suffix"), "n", "k"), "hosts")
     total = own.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
     overall = ((total["k"] or 0) + 1) / ((total["n"] or 0) + 2)
     counts = [F.sum("n").alias("n"), F.sum("k").alias("k")]
@@ -86,12 +91,12 @@ def reputation(outcomes: DataFrame, hosts: DataFrame, settings: Reputation = Rep
     domain, _ = _shrunk(own.groupBy("suffix", "domain").agg(*counts).join(suffix, "suffix").withColumnRenamed("suffix_mean", "prior"), settings)
     domain = domain.select("domain", F.col("mean").alias("domain_mean"))
     _, weight = _shrunk(own.join(domain, "domain").withColumnRenamed("domain_mean", "prior"), settings)
-    all_hosts = hosts.select("host").filter("host != ''").distinct().withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    all_hosts = hosts.select("host").filter("host != ''").distinct().withColumns({"domain": domain_of(F.col("host"), settings), "suffix": suffix_of(F.col("host"), settings)})
     found = all_hosts.join(own.select("host", "n", "k"), "host", "left").join(domain, "domain", "left").join(suffix, "suffix", "left")
     prior, n, k = F.coalesce("domain_mean", "suffix_mean", F.lit(overall)), F.coalesce("n", F.lit(0)), F.coalesce("k", F.lit(0))
     mean, size = (weight * prior + k) / (weight + n), weight + n
     bound = mean - settings.z * F.sqrt(mean * (1 - mean) / (size + 1))
-    return found.select("host", n.alias("n"), k.alias("k"), mean.alias("mean"), bound.alias("bound")).withColumn("blocked", F.col("bound") > settings.threshold)
+    return found.select("host", n.alias("n"), k.alias("k"), mean.alias("mean"), bound.alias("bound")).withColumn("blocked", F.col("bound") > overall + settings.excess)
 
 
 def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], settings: Reputation = Reputation(), id_col: str = "page_id", url_col: str = "url") -> DataFrame:

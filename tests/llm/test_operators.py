@@ -317,6 +317,36 @@ def test_token_counts_follow_edits(docs, no_docs):
     assert token_counts.build_trees(no_docs, BYTE).count() == 0
 
 
+def test_segment_tree_splits_what_grows():
+    from impactlake.llm.tokens import encoder
+
+    e, rng = encoder(BYTE), random.Random(3)
+    japanese = "".join("".join(rng.choices("かきくけこ山川田日本", k=rng.randrange(3, 20))) + "、。"[rng.randrange(2)] for _ in range(3000))
+    for text, grown in ((words(rng, 3000), words(rng, 30_000)), (japanese, japanese * 3)):
+        tree = token_counts.SegmentTree(text, e.count)
+        assert tree.size > len(text) / 2000
+        tree.edit(100, 0, grown)
+        before = tree.encoded
+        ref = text[:100] + grown + text[100:]
+        for at in (50_000, 5, len(ref) - 3):
+            tree.edit(at, 1, "x")
+            ref = ref[:at] + "x" + ref[at + 1 :]
+        assert tree.encoded - before < 3 * 2500 and tree.now == ref
+        assert tree.tokens[1] == len(e.library.encode(ref, add_special_tokens=False).ids)
+
+
+def test_sure_borders_are_borders():
+    """Counts of the two sides add up to that of the whole, whatever stands around."""
+    from impactlake.llm.tokens import encoder
+
+    e, rng = encoder(BYTE), random.Random(6)
+    for _ in range(1500):
+        text = "".join(rng.choices(["a", "it's", "'", "'ll", " ", "  ", "\n", "\t", "\u3000", "7", "½", "é", "e\u0301", "日本", "。", "!", "<|", "|>", "endoftext", "ß", "\u00a0", "Ⅷ", "😀"], k=rng.randrange(2, 9)))
+        for i in range(1, len(text)):
+            if token_counts.sure_border(text[:i], text[i:]):
+                assert e.count(text[:i]) + e.count(text[i:]) == len(e.library.encode(text, add_special_tokens=False).ids), (text, i)
+
+
 def test_segment_tree_random_edits():
     from impactlake.llm.tokens import encoder
 
@@ -368,6 +398,31 @@ def test_html_text_leaves_named_boilerplate_out():
     assert html_text.main_text(f"<body>{ARTICLE.replace('</article>', comments + '</article>')}{cookies}") == KEPT
 
 
+LONG = "This is a sentence of the text, long enough to be told from a menu by its words alone. And here is one more."
+
+
+def test_the_cut_does_better_than_the_costs_alone():
+    """Headings and short lines go with the text around them, a sentence among links with the links."""
+    links = "".join(f"<p><a href={i}>Some other page {i}</a></p>" for i in range(6))
+    page = f"<body><div>{links}</div><div><h2>Heading</h2><p>{LONG}</p><p>Figure 2</p><p>{LONG}</p></div><div>{links}<p>See our shop for more offers.</p>{links}</div>"
+    assert html_text.main_text(page) == f"Heading {LONG} Figure 2 {LONG}"
+    alone = html_text.main_text(page, smooth=0.0)
+    assert "Figure 2" not in alone and "shop" in alone
+
+
+def test_html_text_odd_attributes():
+    page = f"<article><p class=it's>{LONG}</p><p title='a > b' id=x>{LONG}</p><p data-x=\"it's\">{LONG}</p></article>"
+    assert html_text.main_text(page) == " ".join([LONG] * 3)
+    assert html_text.main_text("<p title=\"never closed>" + LONG) == LONG
+    assert html_text.main_text("<a " + 'x="y" ' * 5000) == ""
+
+
+def test_html_text_long_pages_and_clashing_names(spark):
+    page = "<article>" + f"<p>{LONG}</p>" * 4000 + "</article>"
+    df = spark.createDataFrame([(1, "u", page, "t", 5)], "page_id long, url string, html string, text string, n_chars int")
+    assert html_text.extract(df).first()["text"] == " ".join([LONG] * 4000)
+
+
 def test_min_cut_is_least():
     rng = random.Random(2)
     for _ in range(200):
