@@ -25,6 +25,7 @@ import hashlib
 import math
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from impactlake.llm import sketches
-from impactlake.llm.common import WordHashes, bounded_batches, drop, free_name, schema_with, written
+from impactlake.llm.common import bounded_batches, drop, free_name, mix64, schema_with, written
 
 _WORDS = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
+_SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -53,13 +55,79 @@ class Unit:
         raws = [(t or "").encode() for t in texts]
         if self.size == 1:
             return raws
-        hashes = WordHashes()
-        return [hashes.of(r.split()).astype("<u8").tobytes() for r in raws]
+        return [h.tobytes() for h in word_hashes(raws)]
 
 
 BYTES, WORDS = Unit(1, 32, 24, 1 << 19), Unit(8, 4, 4, 1 << 17)
 
 
+_PIECE = 1 << 19
+_P = 0x9E3779B97F4A7C15  # odd, so it has an inverse
+
+
+@lru_cache(maxsize=2)
+def _powers(base: int) -> np.ndarray:
+    factors = np.full(2 * _PIECE + 1, base, np.uint64)
+    factors[0] = 1
+    return np.cumprod(factors)
+
+
+def _pieces(raw: bytes) -> list[bytes]:
+    """A text cut at ASCII white space into pieces of about _PIECE bytes; a longer word is a piece of its own."""
+    out, start = [], 0
+    while len(raw) - start > _PIECE:
+        cut = _SPACE.search(raw, start + _PIECE)
+        if not cut:
+            break
+        out.append(raw[start : cut.end()])
+        start = cut.end()
+    return [*out, raw[start:]]
+
+
+def word_hashes(raws: list[bytes]) -> list[np.ndarray]:
+    """64-bit hashes of each text's words (between ASCII white space): polynomials of their bytes, scrambled."""
+    found: list[list[np.ndarray]] = [[] for _ in raws]
+    held: list[tuple[int, bytes]] = []
+
+    def run():
+        flat = np.frombuffer(b"".join(p + b" " for _, p in held), np.uint8)
+        space = (flat == 32) | (flat - np.uint8(9) < 5)
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], space])))  # starts and ends by turns
+        start, end = edge[0::2], edge[1::2]
+        value = flat.astype(np.uint64) + np.uint64(1)
+        if len(flat) <= 2 * _PIECE:
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * _powers(_P)[: len(flat)], dtype=np.uint64)])
+            h = (total[end] - total[start]) * _powers(pow(_P, -1, 1 << 64))[start]
+        else:  # words of more than _PIECE bytes
+            h = np.array([_polynomial(value[a:b]) for a, b in zip(start, end)], np.uint64)
+        h = mix64(h ^ (end - start).astype(np.uint64) * _C[1])
+        at = np.searchsorted(start, np.cumsum([0] + [len(p) + 1 for _, p in held]))
+        for (i, _), a, b in zip(held, at[:-1], at[1:]):
+            found[i].append(h[a:b])
+        held.clear()
+
+    n = 0
+    for i, raw in enumerate(raws):
+        for piece in _pieces(raw):
+            if held and n + len(piece) + 1 > _PIECE:
+                run()
+                n = 0
+            held.append((i, piece))
+            n += len(piece) + 1
+    if held:
+        run()
+    return [x[0] if len(x) == 1 else np.concatenate(x) if x else np.zeros(0, np.uint64) for x in found]
+
+
+def _polynomial(value: np.ndarray) -> int:
+    """The sum of value[j] * _P**j, piece by piece."""
+    total = 0
+    for at in range(0, len(value), _PIECE):
+        part = value[at : at + _PIECE]
+        total += int((part * _powers(_P)[: len(part)]).sum(dtype=np.uint64)) * pow(_P, at, 1 << 64)
+    return total & 0xFFFFFFFFFFFFFFFF
+
+
 def gram_hashes(raw: bytes, unit: Unit) -> np.ndarray:
     """A 64-bit hash of the 32 bytes from each place on."""
     n = len(raw)
@@ -186,7 +254,7 @@ def _slot(key: bytes, a: int, bits: int) -> int:
 
 
 def repeated_runs(texts: DataFrame, width: int = 400, unit: Unit = BYTES) -> DataFrame:
-    """key, runs: for texts(key, text) the runs (lo, hi) of starts whose windows of `width` units are repeated; key is the text's md5.
+    """key, runs: for texts(key, text) the runs of starts whose windows of `width` units are repeated, as lo, hi, lo, hi, ...; key is the text's md5.
 
     texts must be a stored table (it is read twice), without nulls.
     """
@@ -254,7 +322,7 @@ def repeated_runs(texts: DataFrame, width: int = 400, unit: Unit = BYTES) -> Dat
     twice = written(window_rows.groupBy("span").agg(F.count("*").alias("n")).filter("n > 1").select("span"), "suffix-windows")
     last = window_rows.join(twice, "span").select("key", "lo", F.col("lo").alias("hi"))
     every = whole.unionByName(whole2).unionByName(last)
-    out = written(every.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("runs")), "suffix-repeats")
+    out = written(every.groupBy("key").agg(F.flatten(F.collect_set(F.array("lo", "hi"))).alias("runs")), "suffix-repeats")
     drop(*done, left, around, *done2, window_rows, twice)
     return out
 
@@ -264,15 +332,36 @@ def _digit(raw: bytes, lo: int, a: int, j: int, width: int, unit: Unit) -> int:
     return short_hash(raw[max(0, a - j * unit.cell - lo) * unit.size : (a - (j + 1) * unit.cell + 1 + width - lo) * unit.size])
 
 
-def merged(runs: list, width: int) -> list[tuple[int, int]]:
-    """Maximal byte ranges that windows starting in the runs cover."""
-    out: list[list[int]] = []
-    for lo, hi in sorted(runs):
-        if out and lo <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], hi + width)
+def merged(runs: list[int], width: int) -> list[tuple[int, int]]:
+    """Maximal ranges that windows starting in the runs (lo, hi, lo, hi, ...) cover."""
+    out: list[tuple[int, int]] = []
+    start = end = -1
+    for lo, hi in sorted(zip(runs[0::2], runs[1::2])):
+        if lo > end:
+            if start >= 0:
+                out.append((start, end))
+            start, end = lo, hi + width
         else:
-            out.append([lo, hi + width])
-    return [(a, b) for a, b in out]
+            end = max(end, hi + width)
+    if start >= 0:
+        out.append((start, end))
+    return out
+
+
+class Ranges:
+    """A list of ranges per row, as a column."""
+
+    def __init__(self):
+        self.ends, self.flat = [0], []
+
+    def add(self, found: list[tuple[int, int]]) -> None:
+        for x in found:
+            self.flat += x
+        self.ends.append(len(self.flat) // 2)
+
+    def array(self) -> pa.ListArray:
+        flat = np.array(self.flat, np.int64)
+        return pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), pa.StructArray.from_arrays([pa.array(flat[0::2]), pa.array(flat[1::2])], ["start", "end"]))
 
 
 def _runs(docs: DataFrame, text_col: str, width: int, unit: Unit) -> DataFrame:
@@ -301,25 +390,32 @@ def without_repeats(docs: DataFrame, width: int = 400, text_col: str = "text", u
     if mark_words:
         joined = joined.join(_runs(docs, text_col, mark_words, WORDS).withColumnsRenamed({"key": key, "runs": marks_name}), key, "left")
     else:
-        joined = joined.withColumn(marks_name, F.lit(None).cast("array<struct<lo:bigint,hi:bigint>>"))
+        joined = joined.withColumn(marks_name, F.lit(None).cast("array<bigint>"))
     joined = joined.select(*docs.columns, runs_name, marks_name)
     at, places = docs.columns.index(text_col), len(docs.columns)
 
     def cut(batches):
         for batch in batches:
-            out = []
-            for text, found, marked in zip(*(batch.column(i).to_pylist() for i in (at, places, places + 1))):
+            counts, kept, texts, digests = ([], []), [], [], []
+            spans, passages = Ranges(), Ranges()
+            for text, found, marked in zip(batch.column(at).to_pylist(), batch.column(places).to_pylist(), batch.column(places + 1).to_pylist()):
                 raw = (text or "").encode()
-                spans = merged([(r["lo"], r["hi"]) for r in found or ()], width)
-                spans = _byte_ranges(raw, spans) if by_words else spans
-                passages = _byte_ranges(raw, merged([(r["lo"], r["hi"]) for r in marked or ()], mark_words))
-                ends = [0, *(x for s in spans for x in s), len(raw)]
-                kept = b"".join(raw[a:b] for a, b in zip(ends[0::2], ends[1::2]))
-                ranges = lambda x: [{"start": a, "end": b} for a, b in x]
-                out.append({"n_bytes": len(raw), "n_removed": len(raw) - len(kept), "spans": ranges(spans), "kept": kept, "kept_text": kept.decode("utf-8", "ignore"), "kept_sha256": hashlib.sha256(kept).hexdigest(), "passages": ranges(passages)})
-            span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            kind = pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", span), ("kept", pa.binary()), ("kept_text", pa.string()), ("kept_sha256", pa.string()), ("passages", span)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:places], pa.array(out, kind)], [*batch.schema.names[:places], name])
+                gone = merged(found, width) if found else []
+                gone = _byte_ranges(raw, gone) if by_words else gone
+                passages.add(_byte_ranges(raw, merged(marked, mark_words)) if marked else [])
+                spans.add(gone)
+                left = raw
+                if gone:
+                    ends = [0, *(x for s in gone for x in s), len(raw)]
+                    left = b"".join(raw[a:b] for a, b in zip(ends[0::2], ends[1::2]))
+                counts[0].append(len(raw))
+                counts[1].append(len(raw) - len(left))
+                kept.append(left)
+                texts.append(left.decode("utf-8", "ignore") if gone else text or "")
+                digests.append(hashlib.sha256(left).hexdigest())
+            columns = [pa.array(counts[0], pa.int64()), pa.array(counts[1], pa.int64()), spans.array(), pa.array(kept, pa.binary()), pa.array(texts, pa.string()), pa.array(digests, pa.string()), passages.array()]
+            out = pa.StructArray.from_arrays(columns, ["n_bytes", "n_removed", "spans", "kept", "kept_text", "kept_sha256", "passages"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:places], out], [*batch.schema.names[:places], name])
 
     ranges = "array<struct<start:bigint,end:bigint>>"
     return joined.mapInArrow(cut, schema_with(docs, name, f"n_bytes long, n_removed long, spans {ranges}, kept binary, kept_text string, kept_sha256 string, passages {ranges}"))

@@ -212,6 +212,20 @@ def test_suffix_dedup_random_overlaps(spark):
     assert rows_of(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == Counter((i, *x) for i, x in enumerate(repeats(texts, 64)))
 
 
+def test_word_hashes_tell_words_apart():
+    """Equal words have equal hashes wherever they stand, other words others; pieces and very long words make no difference."""
+    rng = random.Random(1)
+    vocabulary = [bytes(rng.choices(b"ab\x00\xff", k=rng.randrange(1, 6))) for _ in range(300)] + [b"long" * 300_000, b"long" * 300_000 + b"x"]
+    texts = [b"", b" ", b"\x0bone\x0c", *(b"".join(w + rng.choice([b" ", b"\n", b"\t\r"]) for w in rng.choices(vocabulary[:-2], k=n)) for n in (1, 7, 300, 200_000)), b" ".join(vocabulary)]
+    seen = {}
+    for t, h in zip(texts, suffix_dedup.word_hashes(texts)):
+        words_ = t.split()
+        assert len(words_) == len(h)
+        for w, x in zip(words_, h.tolist()):
+            assert seen.setdefault(w, x) == x
+    assert len(set(seen.values())) == len(seen)
+
+
 def test_suffix_dedup_marks_passages_of_words(spark):
     rng = random.Random(8)
     own = lambda n: " ".join("".join(rng.choices("abcdefghij", k=rng.randrange(3, 8))) for _ in range(n))
@@ -578,6 +592,58 @@ def test_bpe_words_without_ids(spark):
 # -- 10 -----------------------------------------------------------------------------------------------------------
 
 
+def test_reputation_blocks_a_host_that_is_surely_worse(spark):
+    """A planted host of bad pages is blocked, its clean neighbour, hosts without labels and odd urls are not; two-label suffixes are suffixes."""
+    pages = [(i, f"https://{h}/p{i}") for i, h in enumerate(["spam.bad.com"] * 60 + ["fine.org"] * 60 + ["Other.NET:80"] * 60 + ["new.example"] * 3 + ["a.shop.co.uk", "b.books.co.uk"] * 30)] + [(900, None), (901, "no host"), (902, "https:///x")]
+    bad = [(u, int(u is not None and ("spam.bad" in u or i % 10 == 0))) for i, u in pages if u is None or "new.example" not in u] + [("https://fine.org/x", None)]
+    df, outcomes = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(bad, "url string, bad int")
+    out = {r["page_id"]: r for r in url_filters.judge_urls(df.withColumn("host", F.lit("clash")), outcomes, []).collect()}
+    assert {out[i]["verdict"] for i in range(60)} == {"block"}
+    assert {out[i]["verdict"] for i in out if i >= 60} == {"allow"} and len(out) == len(pages)
+    hosts = spark.createDataFrame([("a.shop.co.uk",), ("co.uk",), ("x",), ("www.a.b.com",), ("",)], "host string")
+    got = [tuple(r) for r in hosts.select(url_filters.domain_of(F.col("host")), url_filters.suffix_of(F.col("host"))).collect()]
+    assert got == [("shop.co.uk", "co.uk"), ("co.uk", "uk"), ("x", "x"), ("b.com", "com"), ("", "")]
+
+
+def test_other_columns_may_clash(spark):
+    """Extra columns with the names that operators use for themselves change nothing."""
+    rng = random.Random(4)
+    base = words(rng, 120)
+    rows = [(i, t, "en") for i, t in enumerate([base, base + " x", words(rng, 90), None, "", base])]
+    plain = written(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "docs")
+    names = ("key", "c", "n", "h", "map", "u", "v", "label", "prefix", "piece", "start", "length", "rank", "part", "n_tokens", "ids_sha256", "component_id", "language", "repeats", "runs", "marks", "row_mark", "row_key", "sum", "docs", "words", "gram", "Text2")
+    odd = written(plain.withColumns({c: F.lit(c) for c in names}), "docs")
+    from fractions import Fraction
+
+    for run in (lambda d: ngram_join.jaccard_components(d, Fraction(8, 10), 5), lambda d: packing.pack_documents(d, BYTE, 64, 2).drop("sequence_id", "offset"), lambda d: bpe.encode_and_decode(d, WORD)):
+        assert Counter(map(tuple, run(plain).collect())) == Counter(map(tuple, run(odd).collect()))
+    kept = ngram_join.one_of_each(odd, Fraction(8, 10), 5)
+    assert kept.columns == odd.columns and kept.count() == 4
+    assert rows_of(quality_rules.quality(odd).select("doc_id", "quality.n_words", "quality.kept"), "doc_id", "n_words", "kept") == rows_of(quality_rules.quality(plain).select("doc_id", "quality.n_words", "quality.kept"), "doc_id", "n_words", "kept")
+    assert rows_of(suffix_dedup.without_repeats(odd, 64).select("doc_id", "_repeats.kept_sha256"), "doc_id", "kept_sha256") == rows_of(suffix_dedup.without_repeats(plain, 64).select("doc_id", "repeats.kept_sha256"), "doc_id", "kept_sha256")
+
+
+def test_language_ties_and_long_texts(spark):
+    learned = {"aa": b"some words of a language that is here " * 9, "bb": b"some words of a language that is here " * 9}
+    rows = [(1, "some words of a language"), (1, "some words of a language"), (2, "words of a language " * 40_000)]
+    got = [tuple(r["language"]) for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string"), learned).orderBy("doc_id").collect()]
+    assert got[0] == got[1] and all(x[0] == "aa" and x[2] for x in got)
+
+
+def test_parity_maps_bound_overlaps():
+    from fractions import Fraction
+
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        a, b = (np.unique(rng.integers(0, int(rng.integers(10, 4000)), int(rng.integers(1, 900))).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(2))
+        x, y = ngram_join.parity_map(a), ngram_join.parity_map(b)
+        size = min(len(x), len(y))
+        odd = int(np.bitwise_count(ngram_join.folded(x, size) ^ ngram_join.folded(y, size)).sum())
+        assert (len(a) + len(b) - odd) // 2 >= len(set(a.tolist()) & set(b.tolist()))
+        if ngram_join.linked(ngram_join.overlap(a, b), len(a), len(b), Fraction(1, 2)):
+            assert ngram_join.may_link(ngram_join.folded(x, size), ngram_join.folded(y, size), len(a), len(b), Fraction(1, 2))
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(12, 16)) * 3
