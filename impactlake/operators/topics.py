@@ -8,6 +8,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from impactlake.sources.shared import saved
+
 #: How many topics and words each preset has.
 PRESETS = {"coarse": (5, 10), "default": (10, 10), "fine": (25, 10)}
 
@@ -18,8 +20,8 @@ def topics(documents: DataFrame, idx: str = "idx", embedding: str = "embedding",
     Stands in for density clustering of a manifold, which works on one machine. At least five documents are needed.
     """
     k, _ = PRESETS[preset]
-    rows = documents.filter(F.col(embedding).isNotNull()).select(idx, array_to_vector(F.col(embedding).cast("array<double>")).alias("v"))
-    n = rows.count()
+    there = saved(documents.filter(F.col(embedding).isNotNull()).select(idx, F.col(embedding).cast("array<double>").alias("v")), "embeddings")
+    rows, n = there.select(idx, array_to_vector("v").alias("v")), there.count()
     if n < 5:
         raise ValueError("topics need five documents")
     reduced = PCA(k=dims, inputCol="v", outputCol="x").fit(rows).transform(rows)
