@@ -13,7 +13,7 @@ from pyspark.sql.types import StructField, StructType
 
 #: ASCII white space; words are maximal runs of anything else (what bytes.split() does).
 ASCII_SPACE = b" \t\n\r\x0b\x0c"
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

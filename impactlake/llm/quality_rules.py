@@ -109,7 +109,8 @@ def by_language(texts, langs):
 class Counts:
     """Counts of n-grams in a table of fixed size; those whose slot is taken are kept aside, and handed out when they are many."""
 
-    SLOTS, ASIDE = 1 << 19, 400_000
+    BITS, ASIDE = 18, 400_000
+    SLOTS = 1 << BITS
 
     def __init__(self):
         self.keys, self.n = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.int64)
@@ -118,12 +119,12 @@ class Counts:
 
     def add(self, stream: np.ndarray, ends: np.ndarray) -> None:
         key = gram_keys(stream, ends)
-        slot = (key >> np.uint64(64 - 19)).astype(np.int64)
+        slot = (key >> np.uint64(64 - self.BITS)).astype(np.int64)
         hit = self.keys[slot] == key
         self.n += np.bincount(slot[hit], minlength=self.SLOTS)
         key, first, n = np.unique(key[~hit], return_index=True, return_counts=True)
         chars = stream[ends[~hit][first][:, None] + np.arange(1 - ORDER, 1)]
-        slot = (key >> np.uint64(64 - 19)).astype(np.int64)
+        slot = (key >> np.uint64(64 - self.BITS)).astype(np.int64)
         free = self.n[slot] == 0
         free &= np.append(True, slot[1:] != slot[:-1])  # of two new ones with one slot the first gets it: keys are sorted
         self.keys[slot[free]], self.n[slot[free]], self.chars[slot[free]] = key[free], n[free], chars[free]
@@ -286,7 +287,7 @@ class Model:
 class Scorer:
     """Sums of log probabilities of texts; what was looked up lately is at hand in a table of fixed size."""
 
-    BITS = 19
+    BITS = 18
 
     def __init__(self, models: dict[str, Model]):
         self.models, self.seen = models, {}

@@ -103,5 +103,38 @@ def _url_filter_sql() -> str:
       SELECT page_id, host, path, {rule} AS rule, coalesce({ruled}, CASE WHEN host IN (SELECT host FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict FROM h"""
 
 
-#: The others cannot be had in SQL (perplexities, tokens, compressed sizes, cuts, approximate search) or not over whole tables in reasonable time (windows of bytes, set similarity); tests/llm has brute force for them.
-ORACLE_SQL: dict[str, str] = {"op7_url_filters": _url_filter_sql()}
+def _islands(rows: str, width: int) -> str:
+    """Maximal ranges that windows of a width starting at rows(doc_id, i) cover."""
+    new = f"SELECT doc_id, i, CAST(coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {width}, true) AS INTEGER) AS new FROM {rows}"
+    return f"SELECT doc_id, min(i) AS lo, max(i) + {width} AS hi FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM ({new})) GROUP BY doc_id, g"
+
+
+_SPACES = r"'[ \t\n\x0B\x0C\r]+'"
+
+
+def _suffix_dedup_sql() -> str:
+    """op2 in DuckDB's SQL: all windows of 400 bytes and of 50 words counted."""
+    twice = lambda rows: f"SELECT doc_id, i FROM {rows} WHERE h IN (SELECT h FROM {rows} GROUP BY h HAVING count(*) > 1)"
+    return f"""WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS raw, list_filter(string_split_regex(coalesce(text, ''), {_SPACES}), lambda x: x <> '') AS w FROM documents),
+      bw AS (SELECT doc_id, i, md5(raw[i + 1 : i + 400]) AS h FROM (SELECT doc_id, raw, unnest(range(octet_length(raw) - 399)) AS i FROM b)), br AS ({twice("bw")}),
+      ww AS (SELECT doc_id, i, md5(array_to_string(w[i + 1 : i + 50], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(len(w) - 49)) AS i FROM b)), wr AS ({twice("ww")}),
+      s AS ({_islands("br", 400)}), p AS (SELECT doc_id, count(*) AS n FROM ({_islands("wr", 50)}) GROUP BY doc_id),
+      c AS (SELECT doc_id, count(*) AS n, sum(hi - lo) AS gone, list(lo ORDER BY lo) AS lows, list(hi ORDER BY lo) AS highs FROM s GROUP BY doc_id),
+      k AS (SELECT b.doc_id, raw, coalesce(n, 0) AS n, coalesce(gone, 0) AS gone, CASE WHEN n IS NULL THEN [raw] ELSE list_transform(range(n + 1), lambda j: raw[CASE WHEN j = 0 THEN 1 ELSE highs[j] + 1 END : CASE WHEN j = n THEN octet_length(raw) ELSE lows[j + 1] END]) END AS parts FROM b LEFT JOIN c USING (doc_id))
+      SELECT k.doc_id, octet_length(raw) AS n_bytes, CAST(gone AS BIGINT) AS n_removed, k.n AS n_spans, sha256(list_reduce(parts, lambda x, y: x || y)) AS kept_sha256, coalesce(p.n, 0) AS n_passages FROM k LEFT JOIN p USING (doc_id)"""
+
+
+def _ngram_join_sql() -> str:
+    """op8 in DuckDB's SQL: overlaps of all pairs that share a shingle, then reachability."""
+    return f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(text, '{url_filters.UPPER}', '{url_filters.LOWER}'), {_SPACES}), lambda x: x <> '') AS w FROM documents),
+      s AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+      c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+      p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+      e AS (SELECT x, y FROM p JOIN c cx ON cx.doc_id = x JOIN c cy ON cy.doc_id = y WHERE 100 * i >= 90 * (cx.n + cy.n - i)),
+      b AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+      r AS (SELECT doc_id, doc_id AS node FROM documents UNION SELECT r.doc_id, b.y FROM r JOIN b ON r.node = b.x)
+      SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(node) AS component_id FROM r LEFT JOIN c USING (doc_id) GROUP BY doc_id"""
+
+
+#: The others cannot be had in SQL (perplexities, tokens, compressed sizes, cuts, approximate search); tests/llm has brute force for them.
+ORACLE_SQL: dict[str, str] = {"op2_suffix_dedup": _suffix_dedup_sql(), "op7_url_filters": _url_filter_sql(), "op8_ngram_join": _ngram_join_sql()}
