@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from impactlake.llm import bpe, html_text, language_id, neighbours, ngram_join, packing, quality_rules, suffix_dedup, token_counts, url_filters
+from impactlake.llm import bpe, divergence, html_text, language_id, neighbours, ngram_join, packing, quality_rules, simhash, suffix_dedup, token_counts, url_filters, variants
 from impactlake.llm.common import crc_mod
 
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -79,7 +79,23 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_best_fit_packing, op4_token_counts, op5_html_text, op6_language_id, op7_url_filters, op8_ngram_join, op9_bpe, op10_neighbours)}
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"), least_docs=30, top=50)
+
+
+def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"), radius=2, width=3, seed=42)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"), least=5, shortest=6, factor=5, one_in=199)
+
+
+_OPERATORS = (
+    op1_quality_rules, op2_suffix_dedup, op3_best_fit_packing, op4_token_counts, op5_html_text, op6_language_id, op7_url_filters,
+    op8_ngram_join, op9_bpe, op10_neighbours, op11_divergence, op12_simhash_dedup, op13_spelling_variants,
+)
+QUERIES = {f.__name__: f for f in _OPERATORS}
 
 
 def _url_filter_sql() -> str:
@@ -136,5 +152,42 @@ def _ngram_join_sql() -> str:
       SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(node) AS component_id FROM r LEFT JOIN c USING (doc_id) GROUP BY doc_id"""
 
 
-#: The others cannot be had in SQL (perplexities, tokens, compressed sizes, cuts, approximate search); tests/llm has brute force for them.
-ORACLE_SQL: dict[str, str] = {"op2_suffix_dedup": _suffix_dedup_sql(), "op7_url_filters": _url_filter_sql(), "op8_ngram_join": _ngram_join_sql()}
+def _divergence_sql() -> str:
+    """op11 in DuckDB's SQL: every kept term of every group, zeros included, pair by pair."""
+    p = lambda n, of: f"1 + (1000000000 * ({n} + 5)) // ({of})"
+    return f"""WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), '{url_filters.UPPER}', '{url_filters.LOWER}') AS text FROM documents),
+      t AS (SELECT id, lang, source, unnest(regexp_extract_all(text, '[a-z\\x{{80}}-\\x{{10FFFF}}]+')) AS term FROM d),
+      k AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 30),
+      l AS (SELECT lang, sum(n) AS total, count(*) AS v FROM k GROUP BY lang),
+      g AS (SELECT DISTINCT lang, source FROM d),
+      c AS (SELECT g.lang, g.source, k.term, k.n AS all_n, coalesce(o.n, 0) AS n FROM g JOIN k ON g.lang = k.lang LEFT JOIN (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM t GROUP BY ALL) o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term),
+      s AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+      p AS (SELECT c.lang, c.source, c.term, c.n, {p("c.n", "s.total + 5 * l.v")} AS p, {p("c.all_n", "l.total + 5 * l.v")} AS q FROM c JOIN s ON s.lang = c.lang AND s.source = c.source JOIN l ON l.lang = c.lang),
+      f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+      x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+      y AS (SELECT lang, source, 'term' AS part, term AS item, CAST(p - q AS BIGINT) AS value FROM p WHERE n > 0 AND p > q),
+      r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM (SELECT * FROM x UNION ALL SELECT * FROM y))
+      SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 50"""
+
+
+def _variants_sql() -> str:
+    """op13 in DuckDB's SQL: crc32 by its table, near words by equal words with a letter left out or any letter in a place."""
+    return f"""WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, s: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+      r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{url_filters.UPPER}', '{url_filters.LOWER}'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+      d AS (SELECT doc_id, run, count(*) AS n, concat(doc_id, ':', run) AS s FROM r WHERE length(run) >= 6 GROUP BY doc_id, run),
+      b AS (SELECT run, n, flatten(list_transform(range(1, length(s) + 1), lambda i: CASE WHEN unicode(s[i]) < 128 THEN [unicode(s[i])] ELSE [192 | (unicode(s[i]) >> 6), 128 | (unicode(s[i]) & 63)] END)) AS bytes FROM d),
+      h AS (SELECT run, n, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], bytes), lambda c, x: xor(tab[xor(c & 255, x) + 1], c >> 8)), 4294967295) AS h FROM b, crc),
+      e AS (SELECT n, CASE WHEN h % 199 = 0 THEN run[1 : CAST(h % length(run) AS BIGINT)] || run[CAST(h % length(run) AS BIGINT) + 2 : length(run)] ELSE run END AS word FROM h),
+      w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM e WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+      o AS (SELECT word, i, word[1 : i - 1] AS a, word[i + 1 : length(word)] AS z FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+      x AS (SELECT l.word AS a, r.word AS b FROM o l JOIN o r ON l.i = r.i AND l.a = r.a AND l.z = r.z AND l.word <> r.word UNION SELECT o.word, w.word FROM o JOIN w ON w.word = o.a || o.z UNION SELECT w.word, o.word FROM o JOIN w ON w.word = o.a || o.z),
+      m AS (SELECT x.a AS word, count(*) AS n_near, arg_min(struct_pack(form := x.b, n := w.n), struct_pack(k := -w.n, e := encode(x.b))) AS best FROM x JOIN w ON w.word = x.b GROUP BY x.a),
+      f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= 5 * w.n THEN best.form END AS form, CASE WHEN best.n >= 5 * w.n THEN best.n END AS form_n FROM w LEFT JOIN m USING (word)),
+      s AS (SELECT word, word AS at, 0 AS steps FROM f UNION ALL SELECT s.word, f.form, steps + 1 FROM s JOIN f ON f.word = s.at WHERE f.form IS NOT NULL)
+      SELECT f.word, f.form, (SELECT arg_max(s.at, s.steps) FROM s WHERE s.word = f.word) AS root, f.n, f.n_near, f.form_n FROM f"""
+
+
+#: The others cannot be had in SQL (perplexities, tokens, compressed sizes, cuts, XXH64, approximate search); tests/llm has brute force for them.
+ORACLE_SQL: dict[str, str] = {
+    "op2_suffix_dedup": _suffix_dedup_sql(), "op7_url_filters": _url_filter_sql(), "op8_ngram_join": _ngram_join_sql(), "op11_divergence": _divergence_sql(), "op13_spelling_variants": _variants_sql(),
+}
