@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from impactlake.functions.text import blank_to_null, norm_doi
+from impactlake.sources.shared import saved
 
 
 def _first_of(df: DataFrame, key: Column, order: list[Column]) -> DataFrame:
@@ -28,16 +29,25 @@ def collapse_missing(df: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def with_index(df: DataFrame, order: list[str], name: str = "idx") -> DataFrame:
-    """A dense number from 0 in the given order.
+    """A dense number from 0 in the given order; rows that are equal in it get theirs in any order.
 
-    Ranges of the order are numbered each for itself and offset by the rows before them, so no task gets all rows.
+    Ranges of the order are numbered each for itself and offset by the rows before them, so no task gets all rows. The
+    ranges are drawn from samples and may be merged at run time, so the table is written with each row's range once
+    and both sides read that: planned twice they need not be the same.
     """
-    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    local = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row a partition
-    base = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_base"))
-    return parts.withColumn("_local", local).join(F.broadcast(base), "_part").withColumn(name, F.col("_base") + F.col("_local") - 1).drop("_part", "_local", "_base")
+    part, local, base, rows = _free(df, "part", "local", "base", "rows")
+    ranged = saved(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy(part).agg(F.count("*").alias(rows))
+    before = F.sum(rows).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))  # a row a range
+    offset = sizes.select(part, F.coalesce(before, F.lit(0)).alias(base))
+    numbered = ranged.withColumn(local, F.row_number().over(Window.partitionBy(part).orderBy(*order)))
+    return numbered.join(F.broadcast(offset), part).withColumn(name, F.col(base) + F.col(local) - 1).drop(part, local, base)
+
+
+def _free(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for helper columns that df does not have."""
+    have = {c.lower() for c in df.columns}
+    return [next(n for n in (f"{'_' * k}{w}" for k in range(1, len(have) + 2)) if n not in have) for w in wanted]
 
 
 def work_key(doi: Column, work_id: Column) -> Column:

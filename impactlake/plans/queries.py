@@ -261,7 +261,8 @@ def union_or_search(spark, sf_dir):
 
 
 def dense_index(spark, sf_dir):
-    return dedupe.with_index(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), ["n_chars", "doc_id"])
+    """Whole documents are numbered; the text is shown by its md5."""
+    return dedupe.with_index(table(spark, sf_dir, "documents"), ["n_chars", "doc_id"]).withColumn("text", F.md5("text")).select("doc_id", "n_chars", "text", "idx")
 
 
 def title_jaccard_match(spark, sf_dir):
@@ -646,7 +647,7 @@ ORACLE_SQL = {
     "dedupe_key_chain": f"""WITH {KEYED}, k AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND trim(doi) <> '' THEN 'doi:' || trim(lower(doi)) WHEN oa_id IS NOT NULL THEN 'id:' || oa_id WHEN trim(title) <> '' THEN 'tay:' || trim(lower(title)) || '|' || lang || '|' || n_chars END AS key FROM d)
       SELECT doc_id FROM k QUALIFY key IS NULL OR row_number() OVER (PARTITION BY key ORDER BY doc_id) = 1""",
     "union_or_search": f"""WITH {KEYED}, k AS (SELECT doc_id, lang, coalesce(nullif(trim(lower(doi)), ''), oa_id) AS key FROM d WHERE lang = 'en' OR n_chars > 1000) SELECT doc_id, lang FROM k WHERE key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY key ORDER BY doc_id) = 1""",
-    "dense_index": "SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS idx FROM documents",
+    "dense_index": "SELECT doc_id, n_chars, md5(text) AS text, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS idx FROM documents",
     "title_jaccard_match": f"""WITH q AS (SELECT item_id, {_MATCH.format('text')} AS a FROM benchmark), t AS (SELECT doc_id, {_MATCH.format('text')} AS b FROM documents),
       s AS (SELECT item_id, doc_id, len(list_intersect(a, b)) AS i, len(a) + len(b) AS n FROM q, t)
       SELECT item_id, doc_id, round(i / (n - i), 6) AS similarity FROM s WHERE i / (n - i) >= 0.2 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY i / (n - i) DESC, doc_id) = 1""",

@@ -45,47 +45,64 @@ def is_pop_csv(columns: list[str]) -> bool:
     return "gsrank" in columns and "cites" in columns
 
 
-def encoding_of(head: bytes) -> str:
-    """The encoding of a file that begins with these bytes: by its byte order mark, UTF-8 if they are, else Latin-1."""
-    if head.startswith((b"\xff\xfe", b"\xfe\xff")):
-        return "UTF-16"
-    try:
-        head.decode("utf-8")
-    except UnicodeDecodeError as e:
-        if e.start < len(head) - 3:  # not just cut at the end
-            return "ISO-8859-1"
-    return "UTF-8"
-
-
-def _head(spark: SparkSession, path: str, n: int = 65_536) -> bytes:
-    """The first bytes of a file, or of the first file of a folder."""
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """The files that a path, pattern or folder stands for, in order."""
     jvm = spark._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     fs = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    files = sorted((f.getPath().toString() for f in fs.globStatus(place) or [] if f.isFile()) or (f.getPath().toString() for f in fs.listStatus(place) if f.isFile() and not f.getPath().getName().startswith(("_", "."))))
-    if not files:
-        return b""
-    stream = fs.open(jvm.org.apache.hadoop.fs.Path(files[0]))
+    own = [f.getPath().toString() for f in fs.globStatus(place) or [] if f.isFile()]
+    return sorted(own or (f.getPath().toString() for f in fs.listStatus(place) if f.isFile() and not f.getPath().getName().startswith(("_", "."))))
+
+
+def _head(spark: SparkSession, file: str, n: int = 65_536) -> bytes:
+    """The first bytes of a file."""
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(file)
+    stream = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).open(place)
     try:
         return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, n)))
     finally:
         stream.close()
 
 
+def encodings(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The files of a path by encoding: UTF-16 by their byte order mark, UTF-8 if all their bytes are, else Latin-1.
+
+    One parallel pass over the raw lines; the driver gets the names of files that are not UTF-8.
+    """
+    line = spark.read.option("lineSep", "\n").text(path)
+    mark = F.substring(F.col("value").cast("binary"), 1, 2).isin(bytearray(b"\xff\xfe"), bytearray(b"\xfe\xff"))
+    line = line.select(F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("valid"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), mark.alias("mark")).alias("line"))
+    judged = line.groupBy("file").agg(F.bool_and("valid").alias("valid"), F.min("line")["mark"].alias("wide"))  # the mark of its first line
+    odd = judged.filter("wide or not valid").collect()
+    jvm = spark._jvm
+    kind = {jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(r["file"])).toUri().getPath(): "UTF-16" if r["wide"] else "ISO-8859-1" for r in odd}
+    out: dict[str, list[str]] = {}
+    for f in _files(spark, path):
+        out.setdefault(kind.get(jvm.org.apache.hadoop.fs.Path(f).toUri().getPath(), "UTF-8"), []).append(f)
+    return out
+
+
 def read_csv(spark: SparkSession, path: str, separators: str = ",;\t", multi_line: bool = True) -> DataFrame:
-    """A CSV export with a header, all columns text: the encoding by its first bytes, the separator the one its first line has most of; broken lines are dropped.
+    """A CSV export with a header, all columns text: each file in its own encoding, the separator the one the first line has most of; broken lines are dropped.
 
     Fields may hold line feeds, so a file is read by one task; multi_line=False splits large files without such fields.
     An empty file gives an empty table without columns.
     """
-    head = _head(spark, path)
-    encoding = encoding_of(head)
-    line = head.decode(encoding, "replace").lstrip("\ufeff").split("\n")[0]
+    found = encodings(spark, path)
+    if not found:
+        return spark.createDataFrame([], "")
+    first = min(f for files in found.values() for f in files)
+    encoding = next(e for e, files in found.items() if first in files)
+    line = _head(spark, first).decode(encoding, "replace").lstrip("\ufeff").split("\n")[0]
     if not line.strip():
         return spark.createDataFrame([], "")
     sep = max(separators, key=line.count)
-    df = spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=multi_line, mode="DROPMALFORMED", encoding=encoding)
-    return tidy_header(df)
+    parts = [spark.read.csv(files, header=True, sep=sep, quote='"', escape='"', multiLine=multi_line, mode="DROPMALFORMED", encoding=e) for e, files in sorted(found.items())]
+    out = tidy_header(parts[0])
+    for more in parts[1:]:
+        out = out.unionByName(tidy_header(more), allowMissingColumns=True)
+    return out
 
 
 def kind_of(columns: list[str]) -> str:
@@ -124,9 +141,11 @@ def tagged_records(spark: SparkSession, path: str) -> DataFrame:
     """Records of a tagged text export: two-letter tags, continuation lines of three spaces, a line ER after each record.
 
     A continuation belongs to the tag before it; authors are joined by "; ", other lines by " | "; every cited line
-    adds its DOIs.
+    adds its DOIs. Lines may end in CR and LF; bytes that are not UTF-8 are left out.
     """
-    chunk = spark.read.text(path, lineSep="\nER").select(F.col("value").alias("text"))
+    chunk = spark.read.text(path, lineSep="\nER").select(F.col("value").alias("raw"))
+    text = F.when(F.is_valid_utf8("raw"), F.col("raw")).otherwise(F.replace(F.make_valid_utf8("raw"), F.lit("\ufffd"), F.lit("")))
+    chunk = chunk.select(F.regexp_replace(text, r"\r\n?", "\n").alias("text"))
     marked = F.regexp_replace("text", r"\n   +", "\u0001")  # continuation
     lines = F.split(marked, "\n")
 

@@ -68,6 +68,19 @@ def test_dedupe(spark):
     assert [r["idx"] for r in dedupe.with_index(rows, ["i"]).orderBy("i").collect()] == list(range(7))
 
 
+def test_index_of_wide_rows(spark):
+    n = 4000
+    rows = spark.range(n).selectExpr("id * 37 % 4001 _part", "repeat(md5(string(id)), 60) wide", "int(id % 3) local").repartition(9)
+    for adaptive in ("true", "false"):
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        try:
+            found = dedupe.with_index(rows, ["_part"], "n").select("n", "_part", F.length("wide").alias("w")).collect()
+        finally:
+            spark.conf.unset("spark.sql.adaptive.enabled")
+        assert [r["_part"] for r in sorted(found)] == sorted(i * 37 % 4001 for i in range(n))
+        assert [r["n"] for r in sorted(found)] == list(range(n)) and {r["w"] for r in found} == {1920}
+
+
 def test_graph(spark):
     nodes = spark.createDataFrame([(i,) for i in range(5)], "idx long")
     path = spark.createDataFrame([(0, 1), (1, 2), (2, 3)], "src long, dst long")
