@@ -9,6 +9,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from impactlake.functions.text import blank_to_null, norm_doi, norm_title, title_similarity, tokens
+from impactlake.sources.shared import forget, saved
 
 
 def flat_record(works: DataFrame, level: int) -> DataFrame:
@@ -211,15 +212,58 @@ def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) for x, y in zip(a, b)])
 
 
-def fuzzy_clusters(names: DataFrame, column: str, threshold: float = 95.0) -> DataFrame:
-    """name, head: names mapped to the smallest name that is similar enough, or to themselves; independent of row order.
+def fuzzy_clusters(names: DataFrame, column: str, threshold: float = 95.0, order: list[str] | None = None) -> DataFrame:
+    """name, head: the distinct names in first-seen order, gathered greedily around heads; empty and null names are left out.
+
+    order says where a name was seen (its first row by these columns; without them, and among equals, names go by
+    themselves). In that order a name that is similar to no earlier head is a head; every other name belongs to the last
+    head that it is similar to. So heads are their own heads and no two heads are similar. What a loop over the names
+    would give is found in rounds of joins: a name follows once an earlier similar name is known to be a head, and is
+    one once all earlier similar names are known to follow others; each round settles the first of every group at least.
+    """
+    first = F.min(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order or [])], F.col(column).alias("name")))
+    seen = saved(names.filter(F.coalesce(F.col(column) != "", F.lit(False))).groupBy(F.col(column).alias("name")).agg(first.alias("at")), "names")
+    pairs = similar_names(seen.select("name"), threshold)
+    where = lambda k: seen.select(F.col("name").alias(k), F.col("at").alias(f"{k}_at"))
+    both = pairs.join(where("name"), "name").join(where("other"), "other")
+    swap = F.col("name_at") < F.col("other_at")
+    both = saved(both.select(F.when(swap, F.col("other")).otherwise(F.col("name")).alias("later"), F.when(swap, F.col("name")).otherwise(F.col("other")).alias("earlier")), "similar")
+    followers = led(both)
+    heads = seen.join(followers, "name", "left_anti")
+    ends = both.select(F.col("later").alias("name"), F.col("earlier").alias("head")).unionByName(both.select(F.col("earlier").alias("name"), F.col("later").alias("head")))
+    last = ends.join(followers, "name", "left_semi").join(heads.select(F.col("name").alias("head"), "at"), "head").groupBy("name").agg(F.max_by("head", "at").alias("head"))
+    return heads.select("name", F.col("name").alias("head")).unionByName(last)
+
+
+def led(edges: DataFrame) -> DataFrame:
+    """name: the nodes of edges(later, earlier) that a greedy pass in order leaves out, as an earlier neighbour was taken; all others are taken.
+
+    A round takes the nodes without an open earlier neighbour and settles all their later ones. edges are a stored table
+    whose pairs have one order.
+    """
+    left, gone = edges, []
+    while not left.isEmpty():
+        taken = left.select("earlier").distinct().join(left.select(F.col("later").alias("earlier")), "earlier", "left_anti")
+        out = saved(left.join(taken, "earlier", "left_semi").select(F.col("later").alias("name")).distinct(), "followers")
+        rest = saved(left.join(out, F.col("later") == F.col("name"), "left_anti").join(out, F.col("earlier") == F.col("name"), "left_anti"), "similar")
+        if gone:
+            forget(left)
+        left = rest
+        gone.append(out)
+    every = edges.select(F.col("later").alias("name")).limit(0)
+    for more in gone:
+        every = every.unionByName(more)
+    return every
+
+
+def similar_names(distinct: DataFrame, threshold: float = 95.0) -> DataFrame:
+    """name, other: the pairs of distinct names whose ratio reaches the threshold, name after other.
 
     A ratio of t allows (1 - t / 100) times both lengths of single-character edits, each of which spoils two pairs of
     neighbouring characters of the name with sorted words; so of each name's pairs in one common order, rarest
     first, two an edit and one more are enough to share one with every similar name. Names too short for this
     meet by their possible lengths instead. No pair is lost and frequent pairs of characters make no candidates.
     """
-    distinct = names.select(F.col(column).alias("name")).filter("name is not null").distinct()
     sorted_ = F.array_join(F.array_sort(F.filter(F.split(F.lower("name"), r"\s+"), lambda w: w != "")), " ")
     rows = distinct.select("name", sorted_.alias("s")).withColumn("m", F.length("s"))
     slack = (200 - threshold) / threshold  # the longest similar name's length, over this one's
@@ -237,5 +281,5 @@ def fuzzy_clusters(names: DataFrame, column: str, threshold: float = 95.0) -> Da
     by_key = keys.join(keys.select(F.col("name").alias("head"), F.col("m").alias("hm"), "k"), "k").filter("head < name").filter((F.col("m") <= slack * F.col("hm")) & (F.col("hm") <= slack * F.col("m"))).select("name", "head")
     every = rows.select(F.col("name").alias("head"), F.col("m").alias("other"))
     met = reach.join(every, "other").filter("head != name").select(F.greatest("name", "head").alias("name"), F.least("name", "head").alias("head"))
-    best = by_key.unionByName(met).distinct().filter(token_sort_ratio("name", "head") >= threshold).groupBy("name").agg(F.min("head").alias("head"))
-    return distinct.join(best, "name", "left").select("name", F.coalesce("head", "name").alias("head"))
+    pairs = by_key.unionByName(met).distinct().filter(token_sort_ratio("name", "head") >= threshold)
+    return pairs.select("name", F.col("head").alias("other"))

@@ -195,8 +195,34 @@ NATION_EDGES = """c AS (SELECT CAST(c_nationkey AS BIGINT) AS src, CAST(s_nation
   e AS (SELECT src, dst FROM c WHERE n > (SELECT avg(n) FROM c) AND src <> dst), d AS (SELECT idx, count(*) AS deg FROM (SELECT src AS idx FROM e UNION ALL SELECT dst FROM e) GROUP BY idx)"""
 
 
+#: Rounds of PageRank in the query and in its SQL, which has them one by one.
+PAGERANK_ROUNDS = 25
+
+
+def trade_nodes(spark, sf_dir) -> DataFrame:
+    """idx: all customers and suppliers, those without an order too."""
+    c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    return c.select(F.col("c_custkey").cast("long").alias("idx")).unionByName(s.select((F.col("s_suppkey") + 10_000_000).cast("long").alias("idx")))
+
+
+def mutual_trade(spark, sf_dir) -> DataFrame:
+    """src, dst: customers to their orders' suppliers, and suppliers back to customers with several such orders."""
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    often = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).groupBy((F.col("l_suppkey") + 10_000_000).cast("long").alias("src"), F.col("o_custkey").cast("long").alias("dst")).agg(F.count("*").alias("n")).filter("n > 1")
+    return trade(spark, sf_dir).select(F.col("src").cast("long"), F.col("dst").cast("long")).unionByName(often.select("src", "dst"))
+
+
 def pagerank(spark, sf_dir):
-    return rounded(graph.pagerank(*nation_graph(spark, sf_dir)), "pagerank")
+    """Over all customers and suppliers."""
+    return rounded(graph.pagerank(trade_nodes(spark, sf_dir), mutual_trade(spark, sf_dir), iterations=PAGERANK_ROUNDS, tolerance=0.0), "pagerank", digits=9)
+
+
+def _pagerank_sql() -> str:
+    step = lambda i: f"r{i + 1} AS MATERIALIZED (SELECT p.idx, 0.15 / n.n + 0.85 * (coalesce(f.flow, 0) + lost.lost / n.n) AS r FROM p CROSS JOIN n CROSS JOIN (SELECT coalesce(sum(r), 0) AS lost FROM r{i} WHERE idx NOT IN (SELECT src FROM o)) lost LEFT JOIN (SELECT dst, sum(r / o.n) AS flow FROM e JOIN r{i} ON e.src = r{i}.idx JOIN o ON o.src = e.src GROUP BY dst) f ON f.dst = p.idx)"
+    return f"""WITH p AS (SELECT c_custkey AS idx FROM customer UNION ALL SELECT s_suppkey + 10000000 FROM supplier), n AS (SELECT count(*) AS n FROM p),
+      e AS MATERIALIZED (SELECT DISTINCT o_custkey AS src, l_suppkey + 10000000 AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey UNION ALL SELECT l_suppkey + 10000000, o_custkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL HAVING count(*) > 1),
+      o AS MATERIALIZED (SELECT src, count(*) AS n FROM e GROUP BY src), r0 AS (SELECT idx, 1.0::DOUBLE / n.n AS r FROM p CROSS JOIN n), {", ".join(map(step, range(PAGERANK_ROUNDS)))}
+      SELECT idx, round(r, 9) AS pagerank FROM r{PAGERANK_ROUNDS}"""
 
 
 def betweenness(spark, sf_dir):
@@ -374,8 +400,9 @@ def baseline_errors(spark, sf_dir):
 
 
 def fuzzy_clusters(spark, sf_dir):
-    names = table(spark, sf_dir, "part").select(F.concat_ws(" ", F.reverse(F.split("p_name", " "))[0], F.col("p_type"), F.col("p_brand")).alias("name"))
-    return corpus.fuzzy_clusters(names, "name", 96.0)
+    """Names of parts, seen in the order of the parts."""
+    names = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", F.reverse(F.split("p_name", " "))[0], F.col("p_type"), F.col("p_brand")).alias("name"))
+    return corpus.fuzzy_clusters(names, "name", 96.0, ["p_partkey"])
 
 
 def query_filter_sort(spark, sf_dir):
@@ -481,6 +508,20 @@ def louvain(spark, sf_dir):
     return graph.modularity_communities(trade(spark, sf_dir).select(F.explode(F.array("src", "dst")).alias("idx")).distinct(), trade(spark, sf_dir))
 
 
+def leiden(spark, sf_dir):
+    """Customers and suppliers that order together, in connected communities."""
+    from impactlake.operators import communities as found
+
+    return found.leiden(trade_nodes(spark, sf_dir), trade(spark, sf_dir))
+
+
+def greedy_communities(spark, sf_dir):
+    """Customers and suppliers that order together, merged by gain."""
+    from impactlake.operators import communities as found
+
+    return found.greedy(trade_nodes(spark, sf_dir), trade(spark, sf_dir))
+
+
 def styled_nodes(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("idx"), F.concat("p_name", F.lit(" "), F.col("p_type"), F.lit(" "), F.col("p_type"), F.lit(" "), F.col("p_type")).alias("title"), F.col("p_brand").alias("domain_label"), F.col("p_size").alias("deg"))
     return rounded(graph.styled(p), "size").select("idx", "label", "size", "category", "category_rank", "hue", "tooltip")
@@ -647,6 +688,7 @@ ORACLE_SQL = {
     "dedupe_key_chain": f"""WITH {KEYED}, k AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND trim(doi) <> '' THEN 'doi:' || trim(lower(doi)) WHEN oa_id IS NOT NULL THEN 'id:' || oa_id WHEN trim(title) <> '' THEN 'tay:' || trim(lower(title)) || '|' || lang || '|' || n_chars END AS key FROM d)
       SELECT doc_id FROM k QUALIFY key IS NULL OR row_number() OVER (PARTITION BY key ORDER BY doc_id) = 1""",
     "union_or_search": f"""WITH {KEYED}, k AS (SELECT doc_id, lang, coalesce(nullif(trim(lower(doi)), ''), oa_id) AS key FROM d WHERE lang = 'en' OR n_chars > 1000) SELECT doc_id, lang FROM k WHERE key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY key ORDER BY doc_id) = 1""",
+    "pagerank": _pagerank_sql(),
     "dense_index": "SELECT doc_id, n_chars, md5(text) AS text, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS idx FROM documents",
     "title_jaccard_match": f"""WITH q AS (SELECT item_id, {_MATCH.format('text')} AS a FROM benchmark), t AS (SELECT doc_id, {_MATCH.format('text')} AS b FROM documents),
       s AS (SELECT item_id, doc_id, len(list_intersect(a, b)) AS i, len(a) + len(b) AS n FROM q, t)
@@ -682,5 +724,5 @@ ORACLE_SQL = {
     "query_filter_sort": "SELECT doc_id AS id, n_chars AS cited_by_count FROM documents WHERE (lower(text) LIKE '%the%' OR lower(text) LIKE '%les%') AND lower(text) LIKE '%an%' AND lang IN ('en', 'fr') AND source IN ('src1', 'src2') AND NOT regexp_matches(text, '!{2,}')",
 }
 
-_NAMES = "download_union flat_results html_rows search_flags works_found focal_works fetched_works concept_map crosswalk_check global_baselines sweep_counts records_with_network partition_agreement louvain styled_nodes overview_errors area_confidence topic_texts topic_clusters local_baseline mncs_pp_records integer_summary ppx_top_decile ppx_strict_ties ppx_global hist_mean_quantiles hist_hazen fractional_summary_equal fractional_summary_score unit_summary overview sensitivity_delta goldset_prf citation_edges degree pagerank betweenness communities window_citations_k self_citation_excluded dedupe_keep_missing dedupe_collapse_missing dedupe_key_chain union_or_search dense_index title_jaccard_match doi_extract label_normalise year_extract abstract_rebuild select_mode_a select_mode_b select_mode_c select_mode_d reading_lists zscore minmax crosswalk_best authorship_explode sheet_quality bootstrap_ci baseline_errors fuzzy_clusters query_filter_sort bibtex_entries export_rows download_lines visible_graph target_pairs min_metrics histogram_counts dedupe_stats majority_label references_ordered"
+_NAMES = "download_union flat_results html_rows search_flags works_found focal_works fetched_works concept_map crosswalk_check global_baselines sweep_counts records_with_network partition_agreement louvain leiden greedy_communities styled_nodes overview_errors area_confidence topic_texts topic_clusters local_baseline mncs_pp_records integer_summary ppx_top_decile ppx_strict_ties ppx_global hist_mean_quantiles hist_hazen fractional_summary_equal fractional_summary_score unit_summary overview sensitivity_delta goldset_prf citation_edges degree pagerank betweenness communities window_citations_k self_citation_excluded dedupe_keep_missing dedupe_collapse_missing dedupe_key_chain union_or_search dense_index title_jaccard_match doi_extract label_normalise year_extract abstract_rebuild select_mode_a select_mode_b select_mode_c select_mode_d reading_lists zscore minmax crosswalk_best authorship_explode sheet_quality bootstrap_ci baseline_errors fuzzy_clusters query_filter_sort bibtex_entries export_rows download_lines visible_graph target_pairs min_metrics histogram_counts dedupe_stats majority_label references_ordered"
 QUERIES = {name: globals()[name] for name in _NAMES.split()}

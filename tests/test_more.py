@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from impactlake.functions import text as T
-from impactlake.operators import baselines, convert, corpus, graph, search, selection, topics, units
+from impactlake.operators import baselines, communities, convert, corpus, graph, search, selection, topics, units
 from impactlake.sources import bundle, catalog, records
 from impactlake.sources.shared import forget, saved
 
@@ -112,9 +112,36 @@ def test_fuzzy_names_lose_no_pair(spark, threshold):
     rng = random.Random(4)
     base = ["Fraunhofergesellschaft", "University of Somewhere", "Inst. for Brand Studies", "aa", "ab", "X"] + ["".join(rng.choices("abcd ", k=rng.randrange(2, 14))).strip() or "q" for _ in range(40)]
     names = sorted({b for x in base for b in (x, x[:3] + rng.choice("aez") + x[3:], x[: len(x) // 2] + x[len(x) // 2 + 1 :], " ".join(reversed(x.split())))} - {""})
-    got = {r["name"]: r["head"] for r in corpus.fuzzy_clusters(spark.createDataFrame([(n,) for n in names], "n string"), "n", threshold).collect()}
-    assert got == {n: min([m for m in names if m < n and lcs_ratio(m, n) >= threshold], default=n) for n in names}
-    assert threshold > 95 or got["Fraunhofergesellschaft"] != "Fraunhofergesellschaft" or "Fraeunhofergesellschaft" not in names or got["Fraunhofergesellschaft"] == "Fraeunhofergesellschaft"
+    pairs = {tuple(r) for r in corpus.similar_names(spark.createDataFrame([(n,) for n in names], "name string"), threshold).collect()}
+    assert pairs == {(n, m) for n in names for m in names if m < n and lcs_ratio(m, n) >= threshold}
+    assert threshold > 90 or any("ofergesell" in n for n, _ in pairs)
+
+
+def in_turn(names, threshold):
+    """What a loop over the names in first-seen order gives."""
+    of = {}
+    for n in dict.fromkeys(names):
+        if n not in of:
+            for m in names:
+                if lcs_ratio(m, n) >= threshold:
+                    of[m] = n
+    return of
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_fuzzy_clusters_are_those_of_a_loop(spark, seed):
+    rng = random.Random(seed)
+    base = ["".join(rng.choices("abc ", k=12)).strip() or "q" for _ in range(12)]
+    names = [x[:i] + rng.choice("abcd") + x[i + 1 :] for x in rng.choices(base, k=150) for i in [rng.randrange(len(x))]]
+    rows = spark.createDataFrame([(k, n) for k, n in enumerate(names)] + [(-1, None), (-1, "")], "at long, n string").repartition(5)
+    found = {r["name"]: r["head"] for r in corpus.fuzzy_clusters(rows, "n", 80.0, ["at"]).collect()}
+    assert found == in_turn(names, 80) and all(found[h] == h for h in found.values())
+    overwritten = [n for n, h in found.items() if any(names.index(g) < names.index(h) for g in set(found.values()) if lcs_ratio(n, g) >= 80)]
+    assert overwritten and len(set(found.values())) < len(found)
+    if not seed:
+        plain = {r["name"]: r["head"] for r in corpus.fuzzy_clusters(rows, "n", 80.0).collect()}
+        assert plain == in_turn(sorted(set(names)), 80)
+        assert corpus.fuzzy_clusters(rows.limit(0), "n").count() == 0
 
 
 def cliques(spark, sizes, bridges):
@@ -127,7 +154,7 @@ def cliques(spark, sizes, bridges):
 
 def test_communities_of_cliques(spark):
     nodes, edges = cliques(spark, [6, 7, 5], [(0, 6), (7, 13)])
-    found, used, stability = graph.detect_communities(nodes, edges, "auto", seed=1, runs=3)
+    found, used, stability = graph.detect_communities(nodes, edges, "auto", seed=1, runs=2)
     groups = {}
     for r in found.collect():
         groups.setdefault(r["community"], set()).add(r["idx"])
@@ -143,6 +170,93 @@ def test_communities_of_cliques(spark):
         graph.detect_communities(nodes, edges, "magic")
 
 
+def modularity_of(edges, label):
+    deg = {}
+    for e in edges:
+        for i in e:
+            deg[i] = deg.get(i, 0) + 1
+    tot = {}
+    for i, d in deg.items():
+        tot[label[i]] = tot.get(label[i], 0) + d
+    return sum(label[a] == label[b] for a, b in edges) / len(edges) - sum(t * t for t in tot.values()) / (2 * len(edges)) ** 2
+
+
+def merged_in_turn(nodes, edges):
+    """The best merge of all, again and again."""
+    label = {i: i for i in nodes}
+    while True:
+        now, best = modularity_of(edges, label), None
+        for x, y in sorted({tuple(sorted((label[a], label[b]))) for a, b in edges if label[a] != label[b]}):
+            gain = modularity_of(edges, {i: x if c == y else c for i, c in label.items()}) - now
+            if gain > 1e-12 and (best is None or gain > best[0] + 1e-12):
+                best = gain, x, y
+        if best is None:
+            return label
+        label = {i: best[1] if c == best[2] else c for i, c in label.items()}
+
+
+def random_graph(rng, n, groups, inside, outside):
+    return sorted({(a, b) for a, b in itertools.combinations(range(n), 2) if rng.random() < (inside if a % groups == b % groups else outside)})
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_greedy_merges_are_about_as_good_as_in_turn(spark, seed):
+    rng = random.Random(seed)
+    edges = [random_graph(rng, 36, 4, 0.5, 0.05), random_graph(rng, 30, 30, 1, 0.12), [(0, i) for i in range(1, 25)] + [(30, i) for i in range(31, 40)] + [(0, 30)]][seed]
+    ids = sorted({i for e in edges for i in e})
+    nodes = spark.createDataFrame([(i,) for i in [*ids, 99]], "idx long")
+    found = {r["idx"]: r["community"] for r in communities.greedy(nodes, spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert found[99] == 99 and all(found[c] == c for c in found.values())
+    assert modularity_of(edges, found) >= 0.99 * modularity_of(edges, merged_in_turn(ids, edges)) - 1e-9
+
+
+def pieces(edges, members):
+    left, n = set(members), 0
+    while left:
+        todo = [left.pop()]
+        n += 1
+        while todo:
+            x = todo.pop()
+            for a, b in edges:
+                for p, q in ((a, b), (b, a)):
+                    if p == x and q in left:
+                        left.remove(q)
+                        todo.append(q)
+    return n
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_leiden_communities_are_connected(spark, seed):
+    rng = random.Random(seed + 10)
+    edges = [random_graph(rng, 40, 40, 1, 0.06), random_graph(rng, 45, 5, 0.5, 0.03)][seed]
+    nodes = spark.createDataFrame([(i,) for i in range(50)], "idx long")
+    e = spark.createDataFrame(edges, "src long, dst long")
+    found = {r["idx"]: r["community"] for r in communities.leiden(nodes, e, seed=seed).collect()}
+    groups = {c: [i for i in found if found[i] == c] for c in set(found.values())}
+    assert sorted(found) == list(range(50)) and all(pieces(edges, g) == 1 for g in groups.values())
+    assert modularity_of(edges, found) >= 0.97 * modularity_of(edges, merged_in_turn(range(50), edges))
+
+
+def test_refinement_takes_apart_what_is_not_connected(spark):
+    edges = [(0, 1), (1, 2), (0, 2), (3, 4), (4, 5), (3, 5), (2, 6), (6, 3)]  # two triangles that only node 6 joins
+    links = communities.links_of(spark.createDataFrame(edges, "src long, dst long"))
+    k = links.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k"))
+    own = k.select("id", F.when(F.col("id") == 6, 6).otherwise(0).cast("long").alias("c"), "k")  # without it one community
+    parts = {r["id"]: r["c"] for r in communities.refine(links, own, 16.0, 1.0, 3, 0).collect()}
+    assert all(parts[i] not in {parts[j] for j in (3, 4, 5)} for i in (0, 1, 2)) and parts[6] == 6
+    apart = k.select("id", F.when(F.col("id") == 4, 0).otherwise(F.col("id")).cast("long").alias("c"), "k")  # 0 and 4 share no edge
+    moved = communities.move_nodes(links, apart, 16.0, 1.0, 3, 0, 10)
+    assert moved.join(moved.select("c", F.col("id").alias("other")), "c").filter("id = 0 and other = 4").isEmpty()
+    assert communities.quality(links, moved, 16.0, 1.0) > communities.quality(links, apart, 16.0, 1.0)
+
+
+def test_communities_without_edges(spark):
+    nodes, none = spark.createDataFrame([(3,), (4,)], "idx long"), spark.createDataFrame([], "src long, dst long")
+    assert graph.detect_communities(nodes, none, "greedy")[1] == "greedy"
+    for f in (communities.leiden, communities.greedy):
+        assert sorted(tuple(r) for r in f(nodes, none).collect()) == [(3, 3), (4, 4)]
+
+
 def test_louvain_is_about_as_good_as_the_best_split(spark):
     rng = random.Random(8)
     edges = sorted({tuple(sorted(rng.sample(range(9), 2))) for _ in range(14)})
