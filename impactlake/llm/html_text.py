@@ -20,18 +20,20 @@ from pyspark.sql import functions as F
 
 from impactlake.llm.common import bounded_batches
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s>/]*)((?>=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)>|<[!?][^>]*>|<[a-zA-Z/!?][^>]*$", re.S)
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|$))|<(/?)([a-zA-Z][^\s>/]*)((?>=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)>|<[!?][^>]*>|<[a-zA-Z/!?][^>]*$", re.S)
 _NAME = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is not page text.
 DROPPED = set("script style noscript template svg iframe object canvas textarea select button head title audio video map".split())
+#: What a head may hold; any other tag or text ends it.
+IN_HEAD = set("base basefont bgsound link meta title noscript noframes style script template head".split())
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption hr".split())
 BOILER_TAGS = set("nav footer aside menu dialog".split())
 CONTENT_TAGS = {"article", "main"}
 #: Words in class, id or role that speak for a label.
 BOILER_WORDS = set(
-    "ad ads advert advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead comment comments disqus reply replies respond cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended recommendations widget pagination pager toolbar copyright legal disclaimer skip contentinfo complementary dialog outbrain taboola".split()
+    "ad ads advert advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead comment comments disqus reply replies respond response responses cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended recommendations widget pagination pager toolbar copyright legal disclaimer skip contentinfo complementary dialog outbrain taboola".split()
 )
 CONTENT_WORDS = set("article content main post story entry body".split())
 #: The classifier's weights: inside a boilerplate tag, inside a content tag or name, outside of it where the page has one.
@@ -124,6 +126,9 @@ def blocks(page: str) -> list[Block]:
     while at < size:
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else size]
+        if here.tag == "head" and text.strip():
+            here = here.parent
+            owner = block_of(here)
         if text and not here.dropped:
             text = html.unescape(text)
             parts.append(text)
@@ -146,6 +151,16 @@ def blocks(page: str) -> list[Block]:
                 here = e.parent
                 owner = block_of(here)
             continue
+        if here.tag == "head" and tag not in IN_HEAD:
+            here = here.parent
+            owner = block_of(here)
+        if here.dropped and tag in BLOCK:  # a block ends an image that was left open
+            e = here
+            while e.parent and e.tag not in ("svg", "foreignobject"):
+                e = e.parent
+            if e.tag == "svg":
+                here = e.parent
+                owner = block_of(here)
         if tag == "br" or tag == "hr":
             parts.append(" ")
         if tag in VOID:
@@ -159,14 +174,14 @@ def blocks(page: str) -> list[Block]:
                 if e.tag in ends:
                     here = e.parent
                 e = e.parent
-        if tag in ("script", "style", "noscript", "template", "textarea", "iframe", "title", "svg"):  # raw up to the end tag
+        if tag in ("script", "style", "noscript", "template", "textarea", "iframe", "title"):  # raw up to the end tag
             end = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
             at = end.end() if end else size
             continue
         if m[3].endswith("/") and tag not in BLOCK:
             continue
-        if tag == "head" or here.tag == "head" and tag == "body":
-            here = here.parent if here.tag == "head" else here
+        if tag == "head" and here.tag == "head":
+            here = here.parent
         here = _Element(tag, here, m[3])
         owner = block_of(here)
     close()

@@ -24,9 +24,9 @@ _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 @dataclass(frozen=True)
 class Settings:
-    """sample_rows: training texts per language at most (a documented bound of the fit, never of the prediction), each adding an equal share of dictionary_bytes: of a training text longer than four such shares its middle is read. block_bytes: what is compressed at once. min_margin: a text is rejected if the runner-up needs less than this share more bytes."""
+    """sample_pieces: pieces of training texts per language at most (a documented bound of the fit, never of the prediction), each adding an equal share of dictionary_bytes. block_bytes: what is compressed at once. min_margin: a text is rejected if the runner-up needs less than this share more bytes."""
 
-    sample_rows: int = 400
+    sample_pieces: int = 400
     dictionary_bytes: int = 112 * 1024
     block_bytes: int = 2048
     level: int = 6
@@ -34,24 +34,23 @@ class Settings:
 
 
 def fit_dictionaries(labelled: DataFrame, text: Column, lang: Column, settings: Settings = Settings()) -> dict[str, bytes]:
-    """Raw-content dictionaries from a sample of the labelled rows: those of the smallest text hashes.
+    """Raw-content dictionaries from a sample of pieces of the labelled texts: those of the smallest hashes.
 
-    Null or empty texts and null languages take no part. Every row is hashed; a first count sets the hash bound
-    that leaves about twice sample_rows a language, so the driver holds no more than the sample.
+    Every labelled text is cut into pieces of equal length, to its end, and every piece is hashed; a first count sets
+    the hash bound that leaves about twice sample_pieces a language, so the driver holds no more than the sample. Null
+    or empty texts and null languages take no part; equal pieces count once.
     """
     own = labelled.select(text.cast("string").alias("text"), lang.cast("string").alias("lang")).filter("text != '' and lang is not null")
-    counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
+    each = max(64, settings.dictionary_bytes // settings.sample_pieces)
+    counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.sum(F.ceil(F.length("text") / each)).alias("n")).collect()}  # one row a language
     if not counts:
         return {}
-    share = F.create_map(*[F.lit(x) for name, n in sorted(counts.items()) for x in (name, min(1.0, 2.0 * settings.sample_rows / n))])
-    low = own.withColumn("h", F.xxhash64("text")).filter((F.col("h") / F.lit(2.0**64) + F.lit(0.5)) <= share[F.col("lang")])
-    each = max(64, settings.dictionary_bytes // settings.sample_rows)
-    # of a long text its middle: a sample of training text, bounded on the executors already
-    start = F.greatest(F.lit(1), ((F.length("text") - 4 * each) / 2).cast("int") + 1)
-    rows = low.select("lang", "h", F.substring("text", start, F.lit(4 * each)).alias("text")).dropDuplicates(["lang", "h"]).collect()
+    share = F.create_map(*[F.lit(x) for name, n in sorted(counts.items()) for x in (name, min(1.0, 2.0 * settings.sample_pieces / n))])
+    pieces = own.select("lang", F.explode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{each}}}"), F.lit(0))).alias("text")).withColumn("h", F.xxhash64("text"))
+    rows = pieces.filter((F.col("h") / F.lit(2.0**64) + F.lit(0.5)) <= share[F.col("lang")]).dropDuplicates(["lang", "h"]).collect()
     out = {}
     for name in sorted(counts):
-        texts = [letters(r["text"]) for r in sorted((r for r in rows if r["lang"] == name), key=lambda r: (r["h"], r["text"]))[: settings.sample_rows]]
+        texts = [letters(r["text"]) for r in sorted((r for r in rows if r["lang"] == name), key=lambda r: (r["h"], r["text"]))[: settings.sample_pieces]]
         room = settings.dictionary_bytes // max(1, len(texts))
         out[name] = b"".join(t[:room] for t in texts)
     return {k: v for k, v in out.items() if len(v) >= 8}

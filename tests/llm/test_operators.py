@@ -431,6 +431,29 @@ def test_html_text_odd_attributes():
     assert html_text.main_text("<a " + 'x="y" ' * 5000) == ""
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><meta charset=utf-8><title>T</title><article>{}</article>",
+        "<head><title>T</title><style>p{{}}</style><link rel=x><p></p><article>{}</article>",
+        "<head><title>T</title> text in a head ends it <article>{}</article>",
+        "<body><article><svg class=icon/>{}</article>",
+        "<body><article><svg><path d='M0'/><title>icon</title></svg>{}</article>",
+        "<body><svg><g><article>{}</article>",
+        "<body><!--><article>{}</article>",
+        "<body><!---><article>{}</article><!-- end",
+        "<body><!-- a --!><article>{}</article>",
+        "<body><article>{}<section id=responses><p>A reader says that this is a good text to read.</section></article>",
+    ],
+)
+def test_html_text_of_odd_but_allowed_pages(page):
+    assert html_text.main_text(page.format(f"<p>{LONG}</p>")).removeprefix("text in a head ends it ") == LONG
+
+
+def test_html_text_inside_images():
+    assert html_text.main_text(f"<article><svg><foreignObject><div>label</div></foreignObject></svg><p>{LONG}</p></article>") == LONG
+
+
 def test_html_text_long_pages_and_clashing_names(spark):
     page = "<article>" + f"<p>{LONG}</p>" * 4000 + "</article>"
     df = spark.createDataFrame([(1, "u", page, "t", 5)], "page_id long, url string, html string, text string, n_chars int")
@@ -468,6 +491,35 @@ def test_language_id(spark, docs, no_docs):
     assert language_id.identify(no_docs, learned).count() == 0
 
 
+def test_language_id_equals_sizes_computed_one_by_one(spark, docs):
+    import zstandard
+
+    settings = language_id.Settings(block_bytes=100, sample_pieces=9, dictionary_bytes=900)
+    rows = [(i, f"{w} " * 40 + "\n" + w * 3, k) for i, (w, k) in enumerate([("alpha beta", "a"), ("gamma Delta", "b"), ("épsilon zeta", "c"), ("beta alpha", "a")])]
+    learned = language_id.fit_dictionaries(written(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "docs"), F.col("text"), F.col("lang"), settings)
+    found = {(r["doc_id"], r["text"]): r["language"] for r in language_id.identify(docs, learned, settings=settings).collect()}
+    for (_, text), got in found.items():
+        if not text or not any(map(str.isalpha, text)):
+            continue
+        raw = (" " + "".join(c if c.isalpha() else " " for c in text.lower()) + " ").split(" ")
+        raw = " ".join(["", *[w for w in raw if w], ""]).encode()
+        sizes = {}
+        for k in sorted(learned):
+            d = zstandard.ZstdCompressionDict(learned[k], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            one = zstandard.ZstdCompressor(level=settings.level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
+            sizes[k] = sum(len(one.compress(raw[i : i + 100])) for i in range(0, len(raw), 100))
+        first, second = sorted(sizes, key=lambda k: (sizes[k], k))[:2]
+        assert got["lang_pred"] == first and got["rejected"] == (sizes[second] == sizes[first] or sizes[second] - sizes[first] < 0.01 * sizes[first])
+
+
+def test_dictionaries_take_pieces_from_all_over_long_texts(spark):
+    text = " ".join("".join(random.Random(i).choices("abcdefghij", k=7)) for i in range(40_000))
+    learned = language_id.fit_dictionaries(written(spark.createDataFrame([(1, text, "x"), (2, None, "x"), (3, "", "y"), (4, "zz", None)], "doc_id long, text string, lang string"), "docs"), F.col("text"), F.col("lang"))
+    assert set(learned) == {"x"} and len(learned["x"]) > 100_000
+    at = [text.find(w.decode()) / len(text) for w in learned["x"].split() if len(w) == 7]
+    assert all(sum(lo <= x < lo + 0.1 for x in at) > 0.05 * len(at) for lo in (k / 10 for k in range(10)))
+
+
 # -- 7 ------------------------------------------------------------------------------------------------------------
 
 
