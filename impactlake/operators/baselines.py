@@ -2,53 +2,49 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from impactlake.functions.text import number
+from impactlake.operators.resampling import ranked, resampled
 
 TOPS = {"top25": 0.75, "top10": 0.90, "top1": 0.99}
 
 
 def local_baselines(records: DataFrame, by: list[str], score: str) -> DataFrame:
-    """Mean, count and linear quantiles of a score per group, null groups included."""
-    v = number(F.col(score))
-    own = records.groupBy(*by).agg(F.avg(v).alias("c0_mean"), F.count(v).alias("c0_n"))
-    q = quantiles(records, by, v, list(TOPS.values())).select(*[F.col(c).alias(f"_q_{c}") for c in by], "q")
-    out = own.join(q, [F.col(c).eqNullSafe(F.col(f"_q_{c}")) for c in by], "left")
-    return out.select(*by, "c0_mean", *[F.col("q")[i].alias(f"thr_{k}") for i, k in enumerate(TOPS)], "c0_n", F.lit(True).alias("c0_complete"), F.lit("linear").alias("quantile_method"))
+    """Mean, count and linear quantiles of a score per group, null groups included; all from one table of counted values."""
+    rows = _counted(records, by, number(F.col(score)))
+    n = F.sum(F.when(F.col("_v").isNotNull(), F.col("_n")))
+    out = rows.groupBy(*by).agg(F.try_divide(F.sum(F.col("_v") * F.col("_n")), n).alias("c0_mean"), F.coalesce(n, F.lit(0)).alias("c0_n"), *_rank_values(list(TOPS.values())))
+    thresholds = [_between(i, p).alias(f"thr_{k}") for i, (k, p) in enumerate(TOPS.items())]
+    return out.select(*by, "c0_mean", *thresholds, "c0_n", F.lit(True).alias("c0_complete"), F.lit("linear").alias("quantile_method"))
 
 
-def quantiles(records: DataFrame, by: list[str], value: Column, shares: list[float], cells: int = 1024) -> DataFrame:
+def quantiles(records: DataFrame, by: list[str], value: Column, shares: list[float]) -> DataFrame:
     """by, q: linear quantiles of a group's values, exact; groups without a value are left out.
 
-    Values are counted, the counts summed in cells between the group's limits, and only the cells that hold a wanted
-    rank are looked at value by value: no task holds a group, and sums are partial before each shuffle.
+    Values are counted and ranked over ranges of group and value (resampling.ranked): no task holds a group, whatever
+    its distribution, and the records are read once.
     """
-    rows = records.select(*by, value.alias("_v")).filter("_v is not null").groupBy(*by, "_v").agg(F.count("*").alias("_n"))
-    limits = rows.groupBy(*by).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.sum("_n").alias("_all"))
-    keys = [F.col(c).alias(f"_l_{c}") for c in by]
-    same = lambda tag: [F.col(c).eqNullSafe(F.col(f"{tag}{c}")) for c in by] or F.lit(True)
-    share = F.try_divide(F.col("_v") - F.col("_low"), F.col("_high") - F.col("_low"))
-    placed = rows.join(limits.select(*keys, "_low", "_high", "_all"), same("_l_")).withColumn("_cell", F.least(F.lit(cells - 1), F.floor(F.coalesce(share, F.lit(0.0)) * cells)).cast("int"))
-    sizes = placed.groupBy(*by, "_cell").agg(F.sum("_n").alias("_in"), F.first("_all").alias("_total"))
-    before = F.sum("_in").over(Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))  # at most `cells` rows a group
-    ranks = {(p, f): f(F.lit(p) * (F.col("_total") - 1)) for p in shares for f in (F.floor, F.ceil)}
-    sizes = sizes.withColumn("_before", F.coalesce(before, F.lit(0)))
-    holds = lambda low, n: reduce(or_, [(r >= F.col(low)) & (r < F.col(low) + F.col(n)) for r in ranks.values()])
-    wanted = sizes.filter(holds("_before", "_in")).select(*[F.col(c).alias(f"_w_{c}") for c in by], F.col("_cell").alias("_w_cell"), "_before", "_total")
-    near = placed.join(wanted, [*(same("_w_") if by else []), F.col("_cell") == F.col("_w_cell")])
-    inside = F.sum("_n").over(Window.partitionBy(*by, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1))
-    near = near.withColumn("_at", F.col("_before") + F.coalesce(inside, F.lit(0)))
-    at = lambda r: F.max(F.when((r >= F.col("_at")) & (r < F.col("_at") + F.col("_n")), F.col("_v")))
-    found = near.groupBy(*by).agg(F.first("_total").alias("_total"), *[at(ranks[p, f]).alias(f"_{k}{i}") for i, p in enumerate(shares) for k, f in (("a", F.floor), ("b", F.ceil))])
-    between = lambda i, p: F.when(F.col(f"_a{i}") == F.col(f"_b{i}"), F.col(f"_a{i}")).otherwise(F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * (F.lit(p) * (F.col("_total") - 1) - ranks[p, F.floor]))
-    return found.select(*by, F.array(*[between(i, p) for i, p in enumerate(shares)]).alias("q"))
+    found = _counted(records, by, value).filter("_v is not null").groupBy(*by).agg(*_rank_values(shares))
+    return found.select(*by, F.array(*[_between(i, p) for i, p in enumerate(shares)]).alias("q"))
+
+
+def _counted(records: DataFrame, by: list[str], value: Column) -> DataFrame:
+    return ranked(records.select(*by, value.alias("_v")).groupBy(*by, "_v").agg(F.count("*").alias("_n")), by, "_v", "_n")
+
+
+def _rank_values(shares: list[float]) -> list[Column]:
+    """The values below and above each share's place among the group's records."""
+    place = lambda p, f: f(F.lit(p) * (F.col("_all") - 1))
+    at = lambda r: F.max(F.when((r >= F.col("_at")) & (r < F.col("_at") + F.col("_n")) & F.col("_v").isNotNull(), F.col("_v")))
+    return [F.max("_all").alias("_total"), *[at(place(p, f)).alias(f"_{k}{i}") for i, p in enumerate(shares) for k, f in (("a", F.floor), ("b", F.ceil))]]
+
+
+def _between(i: int, p: float) -> Column:
+    place = F.lit(p) * (F.col("_total") - 1)
+    a, b = F.col(f"_a{i}"), F.col(f"_b{i}")
+    return F.when(a == b, a).otherwise(a + (b - a) * (place - F.floor(place)))
 
 
 def histogram(records: DataFrame, by: list[str], score: str) -> DataFrame:
@@ -70,25 +66,13 @@ def distribution(hist: DataFrame, by: list[str], method: str = "cdf_min") -> Dat
     return rows.groupBy(*by).agg(F.try_divide(F.sum(F.col("k") * F.col("n")), F.sum("n")).alias("c0_mean"), *[quantile(p).alias(f"thr_{k}") for k, p in TOPS.items()], F.sum("n").alias("c0_n"))
 
 
-def baseline_errors(hist: DataFrame, by: list[str], replicates: int = 800, seed: int = 42) -> DataFrame:
-    """Relative errors in percent of mean and thresholds, by a multinomial bootstrap of each group's histogram (a group is its distinct counts)."""
-
-    def errors(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("k")
-        k, n = part["k"].to_numpy(float), part["n"].to_numpy(np.int64)
-        draws = np.random.default_rng(seed).multinomial(n.sum(), n / n.sum(), size=replicates)
-        cum = draws.cumsum(axis=1)
-        stats = {"c0": draws @ k / n.sum()}
-        for name, p in TOPS.items():
-            stats[name] = k[np.minimum((cum < p * n.sum()).sum(axis=1), len(k) - 1)]
-        out = {f"err_{name}_pct": [100 * float(x.std(ddof=1)) / m if (m := abs(float(x.mean()))) else None] for name, x in stats.items()}
-        return pd.DataFrame({**{c: [part[c].iloc[0]] for c in by}, **out})
-
-    names = ["c0", *TOPS]
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    schema = StructType([*[hist.schema[c] for c in by], *[StructField(f"err_{n}_pct", DoubleType()) for n in names]])
-    return hist.groupBy(*by).applyInPandas(errors, schema)
+def baseline_errors(hist: DataFrame, by: list[str], replicates: int = 800, seed: int = 42, method: str = "cdf_min") -> DataFrame:
+    """Relative errors in percent of mean and thresholds: the deviation over multinomial draws from each group's histogram, over the estimate itself (resampling.resampled)."""
+    drawn = resampled(hist, by, replicates, seed, tuple(TOPS.values()), {"cdf_min": 0.0, "hazen": 0.5}[method])
+    spread = drawn.groupBy(*by).agg(F.stddev_samp("mean").alias("_c0"), *[F.stddev_samp(F.col("q")[i]).alias(f"_{k}") for i, k in enumerate(TOPS)])
+    known = distribution(hist, by, method).select(*[F.col(c).alias(f"_of_{c}") for c in by], F.col("c0_mean").alias("_hat_c0"), *[F.col(f"thr_{k}").alias(f"_hat_{k}") for k in TOPS])
+    both = spread.join(known, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by] or F.lit(True))
+    return both.select(*by, *[(100 * F.col(f"_{k}") / F.greatest(F.abs(F.col(f"_hat_{k}")), F.lit(1e-12))).alias(f"err_{k}_pct") for k in ("c0", *TOPS)])
 
 
 COUNTS_JSON = "c0_counts_json"
@@ -115,6 +99,6 @@ def global_baselines(works: DataFrame, pairs: DataFrame, ties: str = "closed_ge"
     method, by = "hazen" if ties == "hazen" else "cdf_min", ["domain_id", "year"]
     listed = F.transform(F.array_sort(F.collect_list(F.struct("k", "n"))), lambda x: F.concat(F.lit('"'), x["k"], F.lit('": '), x["n"]))
     counts = hist.groupBy(*by).agg(F.concat(F.lit("{"), F.array_join(listed, ", "), F.lit("}")).alias(COUNTS_JSON))
-    errors = baseline_errors(hist, by, replicates).withColumnsRenamed({f"err_{k}_pct": f"err_thr{k[3:]}_pct" for k in TOPS})
+    errors = baseline_errors(hist, by, replicates, method=method).withColumnsRenamed({f"err_{k}_pct": f"err_thr{k[3:]}_pct" for k in TOPS})
     out = distribution(hist, by, method).join(counts, by).join(errors, by)
     return out.withColumns({"c0_complete": complete, "quantile_method": F.lit(method), "ties_policy": F.lit(ties)}).select(*GLOBAL_COLUMNS)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from impactlake.functions.text import number
+from impactlake.operators.resampling import resampled
 
 FLAGS = ("PPg_top1", "PPg_top10", "PPg_top25")
 
@@ -62,22 +61,26 @@ def fractional_summary(exploded: DataFrame, label: str = "frac_label", year: str
     return exploded.dropna(subset=[label, year]).groupBy(label, year).agg(F.sum("weight").alias("W"), mean("cf").alias("MNCS"), *[mean(c).alias(c.replace("PPg_top", "PP")) for c in FLAGS if c in exploded.columns])
 
 
-def bootstrap_intervals(df: DataFrame, by: list[str], replicates: int = 1000, seed: int = 12345) -> DataFrame:
-    """2.5 and 97.5 % limits of each group's mean c_use over its c0_mean, by a seeded multinomial bootstrap.
+def bootstrap_intervals(df: DataFrame, by: list[str], replicates: int = 1000, seed: int = 12345, most_drawn: int = 10_000) -> DataFrame:
+    """2.5 and 97.5 % limits of each group's mean c_use over its c0_mean, by a seeded multinomial bootstrap; null if c0_mean is not positive.
 
-    A group's distinct counts are drawn from, with their frequencies: what a task holds grows with the distinct
-    counts and not with the records.
+    Where df says that a baseline is not complete (c0_complete) and has its histogram (c0_counts_json), the denominator
+    is drawn too: each replicate's is the mean of as many draws from that histogram as it has works, most_drawn at most;
+    one that is not positive is replaced by c0_mean. Draws go down a tree (resampling.resampled), so no task
+    holds replicates times values.
     """
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    hist = df.withColumn("c_use", number(F.col("c_use"))).dropna(subset=["c_use", "c0_mean"]).groupBy(*by, "c_use").agg(F.count("*").alias("n"), F.avg("c0_mean").alias("c0_mean"))
-
-    def limits(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("c_use")
-        k, n = part["c_use"].to_numpy(float), part["n"].to_numpy(np.int64)
-        c0 = float((part["c0_mean"] * n).sum() / n.sum())
-        draws = np.random.default_rng(seed).multinomial(n.sum(), n / n.sum(), size=replicates) @ k / n.sum()
-        low, high = (np.percentile(draws / c0, [2.5, 97.5]) if c0 > 0 else (None, None))
-        return pd.DataFrame({**{c: [part[c].iloc[0]] for c in by}, "MNCS_low": [low], "MNCS_high": [high]})
-
-    return hist.groupBy(*by).applyInPandas(limits, StructType([*[df.schema[c] for c in by], StructField("MNCS_low", DoubleType()), StructField("MNCS_high", DoubleType())]))
+    rows = df.withColumn("c_use", number(F.col("c_use"))).dropna(subset=["c_use", "c0_mean"])
+    means = resampled(rows.groupBy(*by, F.col("c_use").alias("k")).agg(F.count("*").alias("n")), by, replicates, seed)
+    known = rows.groupBy(*by).agg(F.avg("c0_mean").alias("_c0"))
+    renamed = lambda x, tag: x.select(*[F.col(c).alias(f"{tag}{c}") for c in by], *[c for c in x.columns if c not in by])
+    same = lambda tag: [F.col(c).eqNullSafe(F.col(f"{tag}{c}")) for c in by]
+    drawn = means.join(renamed(known, "_k_"), same("_k_"))
+    below = F.col("_c0")
+    if {"c0_complete", "c0_counts_json"} <= set(df.columns):
+        open_ = rows.groupBy(*by).agg(F.bool_and(F.coalesce("c0_complete", F.lit(False))).alias("_done"), F.first("c0_counts_json", ignorenulls=True).alias("_json")).filter("not _done")
+        hist = open_.select(*by, F.explode(F.from_json("_json", "map<string,long>")).alias("k", "n")).withColumn("k", F.col("k").try_cast("double")).filter("n > 0")
+        other = resampled(hist, by, replicates, seed + 1, most=most_drawn).select(*by, F.col("r").alias("_r"), F.col("mean").alias("_below"))
+        drawn = drawn.join(renamed(other, "_h_"), [*same("_h_"), F.col("r") == F.col("_r")], "left")
+        below = F.when(F.col("_below") > 0, F.col("_below")).otherwise(below)
+    limits = F.percentile(F.when(F.col("_c0") > 0, F.col("mean") / below), F.array(F.lit(0.025), F.lit(0.975)))  # of the replicates
+    return drawn.groupBy(*by).agg(limits.alias("_l")).select(*by, F.col("_l")[0].alias("MNCS_low"), F.col("_l")[1].alias("MNCS_high"))

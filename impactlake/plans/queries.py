@@ -390,13 +390,13 @@ def sheet_quality(spark, sf_dir):
 
 
 def bootstrap_ci(spark, sf_dir):
-    return rounded(counting.bootstrap_intervals(metrics(spark, sf_dir).withColumn("c_use", F.round(F.col("c_use") / 1000)).withColumn("c0_mean", F.col("c0_mean") / 1000), BY, replicates=200), "MNCS_low", "MNCS_high")
+    return rounded(counting.bootstrap_intervals(metrics(spark, sf_dir), BY), "MNCS_low", "MNCS_high")
 
 
 def baseline_errors(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("domain_id"), "l_quantity")
     hist = baselines.histogram(li, ["domain_id"], "l_quantity")
-    return rounded(baselines.baseline_errors(hist, ["domain_id"], 200), *[f"err_{k}_pct" for k in ("c0", "top25", "top10", "top1")])
+    return rounded(baselines.baseline_errors(hist, ["domain_id"]), *[f"err_{k}_pct" for k in ("c0", "top25", "top10", "top1")])
 
 
 def fuzzy_clusters(spark, sf_dir):

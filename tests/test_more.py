@@ -71,7 +71,7 @@ def test_quantiles_are_exact(spark, seed):
     rng = np.random.default_rng(seed)
     rows = [(["a", "b", None][i % 3], float(x)) for i, x in enumerate(np.round(rng.lognormal(1, 2, 900), 2))] + [("a", 1e12), ("one", 5.0), ("none", None), ("nan", float("nan"))]
     df = spark.createDataFrame(rows, "g string, v double")
-    got = {r["g"]: r["q"] for r in baselines.quantiles(df, ["g"], T.number(F.col("v")), [0.0, 0.5, 0.9, 0.995, 1.0], cells=16).collect()}
+    got = {r["g"]: r["q"] for r in baselines.quantiles(df, ["g"], T.number(F.col("v")), [0.0, 0.5, 0.9, 0.995, 1.0]).collect()}
     want = {g: np.quantile([v for h, v in rows if h == g and v is not None and v == v], [0.0, 0.5, 0.9, 0.995, 1.0]) for g in ("a", "b", None, "one")}
     assert set(got) == set(want)
     assert all(np.allclose(got[g], want[g], rtol=1e-12) for g in want)
