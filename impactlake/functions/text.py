@@ -135,3 +135,9 @@ def as_binary(c: Column) -> Column:
     low = F.lower(F.trim(c.cast("string")))
     n = F.coalesce(low.try_cast("double"), F.lit(0.0))
     return F.when(low.isin(*TRUE_WORDS), 1).when(low.isin(*FALSE_WORDS), 0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.floor(n)))).cast("int")
+
+
+def binary_coerced(c: Column) -> Column:
+    """Whether as_binary() has to guess: a missing value, or one that is neither a known word nor a number. Count it with count_if."""
+    low = F.lower(F.trim(c.cast("string")))
+    return ~F.coalesce(low.isin(*TRUE_WORDS) | low.isin(*FALSE_WORDS), F.lit(False)) & low.try_cast("double").isNull()

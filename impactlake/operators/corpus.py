@@ -13,8 +13,8 @@ from impactlake.sources.shared import forget, saved
 
 
 def flat_record(works: DataFrame, level: int) -> DataFrame:
-    """One flat record per nested work: identifiers, counts of authors and affiliations (1 at least), domain, references."""
-    from impactlake.functions.text import best_concept
+    """One flat record per nested work: identifiers, counts of authors and affiliations (1 at least), their ids, domain, concepts of the level, references."""
+    from impactlake.functions.text import best_concept, concepts_at
 
     concept = best_concept(F.col("concepts"), level)
     authors = F.col("authorships")
@@ -23,7 +23,7 @@ def flat_record(works: DataFrame, level: int) -> DataFrame:
     return works.select(
         F.col("id").alias("oa_id"), F.col("doi").alias("doi_raw"), norm_doi(F.col("doi")).alias("doi"), F.col("title"), F.col("publication_year").try_cast("int").alias("year"), F.col("cited_by_count").try_cast("double").alias("c_use"),
         F.coalesce(F.col("is_retracted"), F.lit(False)).alias("is_retracted"), F.col("type"), concept["id"].alias("domain_id"), concept["display_name"].alias("domain_label"), size(authors).alias("n_authors"), size(institutions).alias("n_affiliations"),
-        F.transform(authors, lambda a: a["author"]["id"]).alias("author_ids"), F.col("referenced_works"),
+        F.transform(authors, lambda a: a["author"]["id"]).alias("author_ids"), F.filter(F.transform(institutions, lambda i: i["ror"]), lambda r: r.isNotNull()).alias("inst_ids"), concepts_at(F.col("concepts"), level).alias("concepts_lvl"), F.col("referenced_works"),
     )
 
 

@@ -46,3 +46,17 @@ def topic_words(texts: DataFrame, assigned: DataFrame, idx: str = "idx", text: s
     rows = counts.join(everywhere, "word").join(size, "topic").crossJoin(F.broadcast(mean)).withColumn("weight", weight)
     position = F.row_number().over(Window.partitionBy("topic").orderBy(F.col("weight").desc(), "word"))
     return rows.withColumn("position", position).filter(F.col("position") <= words).select("topic", "position", "word", "weight")
+
+
+def topic_table(assigned: DataFrame, words: DataFrame) -> DataFrame:
+    """Topic, Count, Name: a topic's documents, and its number with its first four words."""
+    counts = assigned.groupBy("topic").agg(F.count("*").alias("Count"))
+    first = words.filter("position <= 4").groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("position", "word"))).alias("w"))  # four at most
+    name = F.concat_ws("_", F.col("topic").cast("string"), F.transform(F.coalesce("w", F.array()), lambda x: x["word"]))
+    return counts.join(first, "topic", "left").select(F.col("topic").alias("Topic"), "Count", name.alias("Name"))
+
+
+def write_topics(assigned: DataFrame, words: DataFrame, folder: str, idx: str = "idx") -> None:
+    """Two folders of CSV files with headers: doc_topics (doc_id, topic, probability) and topics (topic_table())."""
+    assigned.select(F.col(idx).alias("doc_id"), "topic", "probability").write.mode("overwrite").csv(f"{folder}/doc_topics", header=True)
+    topic_table(assigned, words).write.mode("overwrite").csv(f"{folder}/topics", header=True)

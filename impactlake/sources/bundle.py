@@ -69,7 +69,18 @@ def read_table(spark: SparkSession, folder: str, *names: str) -> DataFrame | Non
     return None
 
 
-def run_metadata(spark: SparkSession, values: dict) -> DataFrame:
-    """key, value rows, with a hash of all values."""
+def file_hash(spark: SparkSession, path: str | None) -> str:
+    """The first 16 digits of the SHA-256 of a file (of up to 2 GB), read where Spark reads; empty if there is none."""
+    if not path:
+        return ""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place):
+        return ""
+    return spark.read.format("binaryFile").load(path).select(F.substring(F.sha2("content", 256), 1, 16)).first()[0]
+
+
+def run_metadata(spark: SparkSession, values: dict, files: dict[str, str | None] | None = None) -> DataFrame:
+    """key, value rows, with a hash of all values and one of each file (name: path)."""
     digest = hashlib.sha256(json.dumps(values, sort_keys=True, default=str).encode()).hexdigest()[:16]
-    return spark.createDataFrame([(k, None if v is None else str(v)) for k, v in {**values, "config_hash": digest}.items()], "key string, value string")
+    hashes = {f"{name}_hash": file_hash(spark, path) for name, path in (files or {}).items()}
+    return spark.createDataFrame([(k, None if v is None else str(v)) for k, v in {**values, "config_hash": digest, **hashes}.items()], "key string, value string")
