@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from impactlake.functions.text import all_dois, blank_to_null, norm_doi, year_of
 from impactlake.operators.corpus import CROSSWALK
 from impactlake.operators.dedupe import keep_missing
+from impactlake.sources.quoted import read_quoted, union_all
 
 RECORD = ["title", "year", "doi", "oa_id", "source", "authors", "abstract", "cited_by_count", "is_retracted", "ref_dois"]
 #: Names that exports give their columns, in order of preference, by kind of export.
@@ -83,11 +84,20 @@ def encodings(spark: SparkSession, path: str) -> dict[str, list[str]]:
     return out
 
 
-def read_csv(spark: SparkSession, path: str, separators: str = ",;\t", multi_line: bool = True) -> DataFrame:
+def _large(spark: SparkSession, files: list[str], split_bytes: int) -> list[str]:
+    """The files of more than split_bytes."""
+    jvm = spark._jvm
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    size = lambda f: jvm.org.apache.hadoop.fs.Path(f).getFileSystem(conf).getFileStatus(jvm.org.apache.hadoop.fs.Path(f)).getLen()
+    return [f for f in files if size(f) > split_bytes]
+
+
+def read_csv(spark: SparkSession, path: str, separators: str = ",;\t", multi_line: bool = True, split_bytes: int = 64 << 20) -> DataFrame:
     """A CSV export with a header, all columns text: each file in its own encoding, the separator the one the first line has most of; broken lines are dropped.
 
-    Fields may hold line feeds, so a file is read by one task; multi_line=False splits large files without such fields.
-    An empty file gives an empty table without columns.
+    Fields may hold line feeds. A file of up to split_bytes is read by one task; the records of larger ones are found
+    over their splits in parallel (quoted.py), with the same rows. UTF-16 files and files whose lines end in CR alone
+    cannot be split. multi_line=False takes every line for a record. An empty file gives an empty table without columns.
     """
     found = encodings(spark, path)
     if not found:
@@ -98,11 +108,16 @@ def read_csv(spark: SparkSession, path: str, separators: str = ",;\t", multi_lin
     if not line.strip():
         return spark.createDataFrame([], "")
     sep = max(separators, key=line.count)
-    parts = [spark.read.csv(files, header=True, sep=sep, quote='"', escape='"', multiLine=multi_line, mode="DROPMALFORMED", encoding=e) for e, files in sorted(found.items())]
-    out = tidy_header(parts[0])
-    for more in parts[1:]:
-        out = out.unionByName(tidy_header(more), allowMissingColumns=True)
-    return out
+    parts: list[DataFrame] = []
+    for e, files in sorted(found.items()):
+        large = _large(spark, files, split_bytes) if multi_line and e != "UTF-16" else []
+        large = [f for f in large if b"\n" in (head := _head(spark, f)) or b"\r" not in head]
+        plain = lambda some: spark.read.csv(some, header=True, sep=sep, quote='"', escape='"', multiLine=multi_line, mode="DROPMALFORMED", encoding=e)  # noqa: B023, E731
+        names = plain(files).columns  # the first file's header
+        spark_read = [f for f in files if f not in large]
+        both = ([plain(spark_read).toDF(*names)] if spark_read else []) + ([read_quoted(spark, large, sep, e, names)] if large else [])
+        parts += [tidy_header(df) for df in both]
+    return union_all(parts)
 
 
 def kind_of(columns: list[str]) -> str:
