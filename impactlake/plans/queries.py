@@ -229,6 +229,13 @@ def betweenness(spark, sf_dir):
     return rounded(graph.betweenness(*nation_graph(spark, sf_dir)), "betweenness")
 
 
+def betweenness_sampled(spark, sf_dir):
+    """Over all customers and suppliers, within 0.1 at all of them with probability 0.9."""
+    from impactlake.operators.paths import sampled_betweenness
+
+    return rounded(sampled_betweenness(trade_nodes(spark, sf_dir), mutual_trade(spark, sf_dir), epsilon=0.1), "betweenness", digits=9)
+
+
 def communities(spark, sf_dir):
     return graph.communities(*nation_graph(spark, sf_dir))
 
@@ -724,5 +731,5 @@ ORACLE_SQL = {
     "query_filter_sort": "SELECT doc_id AS id, n_chars AS cited_by_count FROM documents WHERE (lower(text) LIKE '%the%' OR lower(text) LIKE '%les%') AND lower(text) LIKE '%an%' AND lang IN ('en', 'fr') AND source IN ('src1', 'src2') AND NOT regexp_matches(text, '!{2,}')",
 }
 
-_NAMES = "download_union flat_results html_rows search_flags works_found focal_works fetched_works concept_map crosswalk_check global_baselines sweep_counts records_with_network partition_agreement louvain leiden greedy_communities styled_nodes overview_errors area_confidence topic_texts topic_clusters local_baseline mncs_pp_records integer_summary ppx_top_decile ppx_strict_ties ppx_global hist_mean_quantiles hist_hazen fractional_summary_equal fractional_summary_score unit_summary overview sensitivity_delta goldset_prf citation_edges degree pagerank betweenness communities window_citations_k self_citation_excluded dedupe_keep_missing dedupe_collapse_missing dedupe_key_chain union_or_search dense_index title_jaccard_match doi_extract label_normalise year_extract abstract_rebuild select_mode_a select_mode_b select_mode_c select_mode_d reading_lists zscore minmax crosswalk_best authorship_explode sheet_quality bootstrap_ci baseline_errors fuzzy_clusters query_filter_sort bibtex_entries export_rows download_lines visible_graph target_pairs min_metrics histogram_counts dedupe_stats majority_label references_ordered"
+_NAMES = "download_union flat_results html_rows search_flags works_found focal_works fetched_works concept_map crosswalk_check global_baselines sweep_counts records_with_network partition_agreement louvain leiden greedy_communities styled_nodes overview_errors area_confidence topic_texts topic_clusters local_baseline mncs_pp_records integer_summary ppx_top_decile ppx_strict_ties ppx_global hist_mean_quantiles hist_hazen fractional_summary_equal fractional_summary_score unit_summary overview sensitivity_delta goldset_prf citation_edges degree pagerank betweenness betweenness_sampled communities window_citations_k self_citation_excluded dedupe_keep_missing dedupe_collapse_missing dedupe_key_chain union_or_search dense_index title_jaccard_match doi_extract label_normalise year_extract abstract_rebuild select_mode_a select_mode_b select_mode_c select_mode_d reading_lists zscore minmax crosswalk_best authorship_explode sheet_quality bootstrap_ci baseline_errors fuzzy_clusters query_filter_sort bibtex_entries export_rows download_lines visible_graph target_pairs min_metrics histogram_counts dedupe_stats majority_label references_ordered"
 QUERIES = {name: globals()[name] for name in _NAMES.split()}

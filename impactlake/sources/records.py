@@ -93,7 +93,7 @@ def _large(spark: SparkSession, files: list[str], split_bytes: int) -> list[str]
 
 
 def read_csv(spark: SparkSession, path: str, separators: str = ",;\t", multi_line: bool = True, split_bytes: int = 64 << 20) -> DataFrame:
-    """A CSV export with a header, all columns text: each file in its own encoding, the separator the one the first line has most of; broken lines are dropped.
+    """A CSV export with a header, all columns text: each file in its own encoding, the separator the one the first line has most of; lines with more or fewer fields are dropped, whatever columns are used.
 
     Fields may hold line feeds. A file of up to split_bytes is read by one task; the records of larger ones are found
     over their splits in parallel (quoted.py), with the same rows. UTF-16 files and files whose lines end in CR alone
@@ -112,7 +112,7 @@ def read_csv(spark: SparkSession, path: str, separators: str = ",;\t", multi_lin
     for e, files in sorted(found.items()):
         large = _large(spark, files, split_bytes) if multi_line and e != "UTF-16" else []
         large = [f for f in large if b"\n" in (head := _head(spark, f)) or b"\r" not in head]
-        plain = lambda some: spark.read.csv(some, header=True, sep=sep, quote='"', escape='"', multiLine=multi_line, mode="DROPMALFORMED", encoding=e)  # noqa: B023, E731
+        plain = lambda some: spark.read.option("columnPruning", False).csv(some, header=True, sep=sep, quote='"', escape='"', multiLine=multi_line, mode="DROPMALFORMED", encoding=e)  # noqa: B023, E731
         names = plain(files).columns  # the first file's header
         spark_read = [f for f in files if f not in large]
         both = ([plain(spark_read).toDF(*names)] if spark_read else []) + ([read_quoted(spark, large, sep, e, names)] if large else [])
