@@ -1,4 +1,4 @@
-"""A bundle of named tables: a folder of Parquet tables in place of a workbook."""
+"""A bundle of named tables: a folder of Parquet tables, or a workbook."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from impactlake.sources.workbook import read_sheet, sheet_names
+
 #: The tables of a result.
 TABLES = ["Records", "Edges", "Network", "Integer_Summary", "Fractional_Summary", "Baselines", "Run_Metadata"]
 
@@ -58,12 +60,17 @@ def write_enrichment(authorships: DataFrame, folder: str) -> None:
 
 
 def read_table(spark: SparkSession, folder: str, *names: str) -> DataFrame | None:
-    """The first of the names that the bundle has."""
+    """The first of the names that the bundle has, which is a folder or a workbook."""
+    plain = lambda name: re.sub(r"[^a-z0-9]", "", name.lower())
+    if folder.lower().endswith(".xlsx"):
+        sheets = {plain(s): s for s in sheet_names(folder)}
+        found = next((sheets[plain(n)] for n in names if plain(n) in sheets), None)
+        return read_sheet(spark, folder, found) if found else None
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    have = {re.sub(r"[^a-z0-9]", "", f.getPath().getName().lower()): f.getPath().toString() for f in fs.listStatus(path)}
+    have = {plain(f.getPath().getName()): f.getPath().toString() for f in fs.listStatus(path)}
     for name in names:
-        found = have.get(re.sub(r"[^a-z0-9]", "", name.lower()))
+        found = have.get(plain(name))
         if found:
             return spark.read.parquet(found)
     return None

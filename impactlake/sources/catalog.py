@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from impactlake.operators.graph import with_network
 from impactlake.operators.units import completeness, resolve_column
 from impactlake.sources.bundle import read_table
+from impactlake.sources.workbook import read_sheet, sheet_names
 
 
 def _children(spark: SparkSession, folder: str) -> list[str]:
@@ -18,14 +19,24 @@ def _children(spark: SparkSession, folder: str) -> list[str]:
     return sorted(f.getPath().toString() for f in fs.listStatus(path) if f.isDirectory() and not f.getPath().getName().startswith(("_", ".")))
 
 
+def _workbooks(spark: SparkSession, folder: str) -> list[str]:
+    """The workbooks of a folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    files = sorted(f.getPath().toString() for f in fs.listStatus(path) if f.isFile() and not f.getPath().getName().startswith(("_", ".", "~")))
+    return [f for f in files if f.lower().endswith(".xlsx")]
+
+
 def find_tables(spark: SparkSession, folder: str) -> list[tuple[str, str, str]]:
-    """(bundle, table, path) of all Parquet tables two levels below a folder."""
-    return [(b.rsplit("/", 1)[-1], t.rsplit("/", 1)[-1], t) for b in _children(spark, folder) for t in _children(spark, b)]
+    """(bundle, table, path) of all Parquet tables two levels below a folder, and of the sheets of the workbooks in it."""
+    tables = [(b.rsplit("/", 1)[-1], t.rsplit("/", 1)[-1], t) for b in _children(spark, folder) for t in _children(spark, b)]
+    return tables + [(w.rsplit("/", 1)[-1], sheet, w) for w in _workbooks(spark, folder) for sheet in sheet_names(w)]
 
 
 def table_qualities(spark: SparkSession, folder: str) -> DataFrame | None:
     """bundle, table, path and completeness() of each table; None without tables. All rows count."""
-    parts = [completeness(spark.read.parquet(p)).select(F.lit(b).alias("bundle"), F.lit(t).alias("table"), F.lit(p).alias("path"), "*") for b, t, p in find_tables(spark, folder)]
+    read = lambda t, p: read_sheet(spark, p, t) if p.lower().endswith(".xlsx") else spark.read.parquet(p)
+    parts = [completeness(read(t, p)).select(F.lit(b).alias("bundle"), F.lit(t).alias("table"), F.lit(p).alias("path"), "*") for b, t, p in find_tables(spark, folder)]
     return reduce(DataFrame.unionByName, parts) if parts else None
 
 
