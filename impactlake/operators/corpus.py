@@ -90,12 +90,16 @@ def title_matches(queries: DataFrame, titles: DataFrame, query_id: str, query_ti
     With both years, titles within a year of the query's are looked at first and the others only for queries that
     found none. A pair of Jaccard similarity t has sizes within a factor of t and shares one of the query's
     n - ceil(t * n) + 1 rarest tokens, so only these are joined and counted; the counts bound the similarity from
-    above, and what passes is compared in full.
+    above, and what passes is compared in full. The titles' tokens are written once; titles of sizes that no query can
+    reach are left out when that table is read.
     """
     key = lambda c: tokens(norm_title(F.col(c), fold))
     given = lambda c: (F.col(c).try_cast("int") if c else F.lit(None).cast("int"))
     q = queries.select(F.col(query_id).alias("q"), key(query_title).alias("qt"), given(query_year).alias("qy")).filter(F.size("qt") > 0)
-    d = titles.select(F.col(title_id).alias("d"), key(title).alias("dt"), given(year).alias("dy")).filter(F.size("dt") > 0)
+    d = titles.select(F.col(title_id).alias("d"), key(title).alias("dt"), given(year).alias("dy"))
+    ends = q.agg(F.min(F.size("qt")).alias("least"), F.max(F.size("qt")).alias("most"))  # titles of other sizes can match nothing
+    sized = lambda c: ends.select(c).scalar()
+    d = saved(d, "titles").filter((F.size("dt") >= at_least * sized("least")) & (at_least * F.size("dt") <= sized("most")))
     words = q.select("q", "qy", F.size("qt").alias("n"), F.explode("qt").alias("w"))
     each = d.select("d", "dy", F.size("dt").alias("m"), F.explode("dt").alias("w"))
     often = each.join(words.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count("*").alias("df"))

@@ -241,28 +241,26 @@ def communities(spark, sf_dir):
 
 
 def _citing(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Focal works are each customer's first order; later orders of the nation cite it. The author is the customer's segment and nation."""
-    c = table(spark, sf_dir, "customer")
-    o = table(spark, sf_dir, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
-    rows = o.select(F.col("o_orderkey").alias("id"), F.year("o_orderdate").alias("year"), F.col("c_nationkey").alias("nation"), F.array(F.col("c_mktsegment")).alias("author_ids"))
-    focal = rows.groupBy("nation").agg(F.min(F.struct("year", "id", "author_ids")).alias("x")).select("nation", F.col("x.id").alias("id"), F.col("x.year").alias("year"), F.col("x.author_ids").alias("author_ids"))
-    return focal, rows.select(F.col("nation").alias("cited"), "year", "author_ids")
+    """Focal works are each customer's first order; all orders of the customer cite it. The author is an order's priority."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("cust"), F.col("o_orderkey").alias("id"), F.year("o_orderdate").alias("year"), F.array("o_orderpriority").alias("author_ids"))
+    focal = rows.groupBy("cust").agg(F.min(F.struct("year", "id", "author_ids")).alias("x")).select("cust", "x.id", "x.year", "x.author_ids")
+    return focal, rows.select(F.col("cust").alias("cited"), "year", "author_ids")
 
 
 def window_citations_k(spark, sf_dir):
     focal, citing = _citing(spark, sf_dir)
-    return corpus.window_counts(focal, citing, "nation", 3, drop_self=False)
+    return corpus.window_counts(focal, citing, "cust", 3, drop_self=False)
 
 
 def self_citation_excluded(spark, sf_dir):
     focal, citing = _citing(spark, sf_dir)
-    return corpus.window_counts(focal, citing, "nation", 3, drop_self=True)
+    return corpus.window_counts(focal, citing, "cust", 3, drop_self=True)
 
 
 def _citing_sql(extra: str) -> str:
-    return f"""WITH r AS (SELECT o_orderkey AS id, year(o_orderdate) AS y, c_nationkey AS nation, c_mktsegment AS seg FROM orders JOIN customer ON o_custkey = c_custkey),
-      f AS (SELECT nation, min({{'y': y, 'id': id, 'seg': seg}}) AS x FROM r GROUP BY nation)
-      SELECT f.nation, CAST(count(r.id) AS BIGINT) AS c_use_window FROM f LEFT JOIN r ON r.nation = f.nation AND r.y BETWEEN x.y AND x.y + 2 {extra} GROUP BY ALL"""
+    return f"""WITH r AS (SELECT o_orderkey AS id, year(o_orderdate) AS y, o_custkey AS cust, o_orderpriority AS author FROM orders),
+      f AS (SELECT cust, min({{'y': y, 'id': id, 'author': author}}) AS x FROM r GROUP BY cust)
+      SELECT f.cust, CAST(count(r.id) AS BIGINT) AS c_use_window FROM f LEFT JOIN r ON r.cust = f.cust AND r.y BETWEEN x.y AND x.y + 2 {extra} GROUP BY ALL"""
 
 
 def documents_keyed(spark, sf_dir) -> DataFrame:
@@ -689,7 +687,7 @@ ORACLE_SQL = {
       SELECT DISTINCT src, dst FROM r JOIN t USING (ref) WHERE src <> dst""",
     "degree": f"WITH {TRADE}, n AS (SELECT c_custkey AS idx FROM customer UNION ALL SELECT s_suppkey + 10000000 FROM supplier) SELECT idx, coalesce(i, 0) AS deg_in, coalesce(o, 0) AS deg_out, coalesce(i, 0) + coalesce(o, 0) AS deg FROM n LEFT JOIN (SELECT dst, count(*) AS i FROM trade GROUP BY ALL) ON dst = idx LEFT JOIN (SELECT src, count(*) AS o FROM trade GROUP BY ALL) ON src = idx",
     "window_citations_k": _citing_sql(""),
-    "self_citation_excluded": _citing_sql("AND r.seg <> x.seg"),
+    "self_citation_excluded": _citing_sql("AND r.author <> x.author"),
     "dedupe_keep_missing": f"WITH {KEYED} SELECT doc_id, doi FROM d QUALIFY doi IS NULL OR row_number() OVER (PARTITION BY doi ORDER BY doc_id) = 1",
     "dedupe_collapse_missing": f"WITH {KEYED} SELECT doc_id, doi FROM d QUALIFY row_number() OVER (PARTITION BY doi ORDER BY doc_id) = 1",
     "dedupe_key_chain": f"""WITH {KEYED}, k AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND trim(doi) <> '' THEN 'doi:' || trim(lower(doi)) WHEN oa_id IS NOT NULL THEN 'id:' || oa_id WHEN trim(title) <> '' THEN 'tay:' || trim(lower(title)) || '|' || lang || '|' || n_chars END AS key FROM d)
