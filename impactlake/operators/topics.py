@@ -8,6 +8,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from impactlake.operators.density import density_clusters
 from impactlake.sources.shared import saved
 
 #: How many topics and words each preset has.
@@ -17,7 +18,7 @@ PRESETS = {"coarse": (5, 10), "default": (10, 10), "fine": (25, 10)}
 def topics(documents: DataFrame, idx: str = "idx", embedding: str = "embedding", preset: str = "default", dims: int = 5, seed: int = 42) -> DataFrame:
     """idx, topic (from 0, the largest first), probability (softmax of negative distances to all centres), by PCA and k-means.
 
-    Stands in for density clustering of a manifold, which works on one machine. At least five documents are needed.
+    Every document has a topic; density_topics() finds outliers. At least five documents are needed.
     """
     k, _ = PRESETS[preset]
     there = saved(documents.filter(F.col(embedding).isNotNull()).select(idx, F.col(embedding).cast("array<double>").alias("v")), "embeddings")
@@ -35,6 +36,22 @@ def topics(documents: DataFrame, idx: str = "idx", embedding: str = "embedding",
     return found.join(F.broadcast(sizes.select("c", "topic")), "c").select(idx, "topic", "probability")
 
 
+def density_topics(documents: DataFrame, idx: str = "idx", embedding: str = "embedding", least: int = 10, dims: int = 5, cells: int = 1024) -> DataFrame:
+    """idx, topic (from 0, the largest first; -1 for outliers), probability, by PCA and density clusters of at least `least` documents.
+
+    topics() deals every document to a centre; here the number of topics comes from the data and outliers have none. Null
+    embeddings are left out; at least five documents are needed. Working tables stay in the shared folder.
+    """
+    there = saved(documents.filter(F.col(embedding).isNotNull()).select(idx, F.col(embedding).cast("array<double>").alias("v")), "embeddings")
+    if there.limit(5).count() < 5:
+        raise ValueError("topics need five documents")
+    from pyspark.ml.functions import vector_to_array
+
+    rows = there.select(idx, array_to_vector("v").alias("v"))
+    reduced = saved(PCA(k=dims, inputCol="v", outputCol="x").fit(rows).transform(rows).select(idx, vector_to_array("x").alias("x")), "reduced")
+    return density_clusters(reduced, idx, "x", least, cells=cells).select(idx, F.col("cluster").cast("int").alias("topic"), "probability")
+
+
 def topic_words(texts: DataFrame, assigned: DataFrame, idx: str = "idx", text: str = "text", words: int = 10) -> DataFrame:
     """topic, position, word, weight: a topic's words of the greatest count in it times log(1 + mean words of a topic / count in all)."""
     each = texts.join(assigned.select(idx, "topic"), idx).select("topic", F.explode(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 1)).alias("word"))

@@ -556,6 +556,12 @@ def topic_clusters(spark, sf_dir):
     return topics.topics(table(spark, sf_dir, "embeddings"), "vec_id").groupBy("topic").agg(F.count("*").alias("n"))
 
 
+def density_topics(spark, sf_dir):
+    from impactlake.operators import topics
+
+    return topics.density_topics(table(spark, sf_dir, "embeddings"), "vec_id").groupBy("topic").agg(F.count("*").alias("n"), F.round(F.avg("probability"), 6).alias("probability"))
+
+
 def export_rows(spark, sf_dir):
     """Customers as works: their name is the title, their segment the type, the nation the only author."""
     c = table(spark, sf_dir, "customer")
@@ -729,5 +735,5 @@ ORACLE_SQL = {
     "query_filter_sort": "SELECT doc_id AS id, n_chars AS cited_by_count FROM documents WHERE (lower(text) LIKE '%the%' OR lower(text) LIKE '%les%') AND lower(text) LIKE '%an%' AND lang IN ('en', 'fr') AND source IN ('src1', 'src2') AND NOT regexp_matches(text, '!{2,}')",
 }
 
-_NAMES = "download_union flat_results html_rows search_flags works_found focal_works fetched_works concept_map crosswalk_check global_baselines sweep_counts records_with_network partition_agreement louvain leiden greedy_communities styled_nodes overview_errors area_confidence topic_texts topic_clusters local_baseline mncs_pp_records integer_summary ppx_top_decile ppx_strict_ties ppx_global hist_mean_quantiles hist_hazen fractional_summary_equal fractional_summary_score unit_summary overview sensitivity_delta goldset_prf citation_edges degree pagerank betweenness betweenness_sampled communities window_citations_k self_citation_excluded dedupe_keep_missing dedupe_collapse_missing dedupe_key_chain union_or_search dense_index title_jaccard_match doi_extract label_normalise year_extract abstract_rebuild select_mode_a select_mode_b select_mode_c select_mode_d reading_lists zscore minmax crosswalk_best authorship_explode sheet_quality bootstrap_ci baseline_errors fuzzy_clusters query_filter_sort bibtex_entries export_rows download_lines visible_graph target_pairs min_metrics histogram_counts dedupe_stats majority_label references_ordered"
+_NAMES = "download_union flat_results html_rows search_flags works_found focal_works fetched_works concept_map crosswalk_check global_baselines sweep_counts records_with_network partition_agreement louvain leiden greedy_communities styled_nodes overview_errors area_confidence topic_texts topic_clusters density_topics local_baseline mncs_pp_records integer_summary ppx_top_decile ppx_strict_ties ppx_global hist_mean_quantiles hist_hazen fractional_summary_equal fractional_summary_score unit_summary overview sensitivity_delta goldset_prf citation_edges degree pagerank betweenness betweenness_sampled communities window_citations_k self_citation_excluded dedupe_keep_missing dedupe_collapse_missing dedupe_key_chain union_or_search dense_index title_jaccard_match doi_extract label_normalise year_extract abstract_rebuild select_mode_a select_mode_b select_mode_c select_mode_d reading_lists zscore minmax crosswalk_best authorship_explode sheet_quality bootstrap_ci baseline_errors fuzzy_clusters query_filter_sort bibtex_entries export_rows download_lines visible_graph target_pairs min_metrics histogram_counts dedupe_stats majority_label references_ordered"
 QUERIES = {name: globals()[name] for name in _NAMES.split()}

@@ -4,8 +4,6 @@ import math
 import random
 
 import pytest
-from pyspark.sql import functions as F
-
 from impactlake.operators import density, topics
 
 
@@ -137,3 +135,15 @@ def test_small_and_odd_tables(spark):
     two = run([(i, [float(i % 2) * 9, 1.0], None) for i in range(8)])
     assert two == [(i, i % 2, 1.0) for i in range(8)]
     assert run([(1, [0.0], None), (2, [-0.0], None), (3, [5.0], None)]) == [(1, -1, 0.0), (2, -1, 0.0), (3, -1, 0.0)]
+
+
+def test_topics(spark):
+    """Three groups of documents and two far ones."""
+    rng = random.Random(7)
+    rows = [(i, [rng.gauss(9 * (i % 3 == j), 0.1) for j in range(6)]) for i in range(36)] + [(90, [40.0] * 6), (91, [-40.0] * 6), (92, None)]
+    df = spark.createDataFrame(rows, "idx long, embedding array<double>")
+    got = {r["idx"]: r["topic"] for r in topics.density_topics(df, least=5, dims=2, cells=6).collect()}
+    assert got.pop(90) == got.pop(91) == -1 and 92 not in got
+    assert len(set(got.values())) == 3 and all(got[i] == got[i % 3] for i in got)
+    with pytest.raises(ValueError):
+        topics.density_topics(df.limit(3))
