@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, MapType, StringType
 
 from impactlake.functions.text import blank_to_null, norm_doi, norm_title, title_similarity, tokens
 from impactlake.sources.shared import forget, saved
@@ -39,17 +39,28 @@ def references_to_dois(records: DataFrame, idx: str = "idx", refs: str = "refere
     return records.select(idx).join(listed, idx, "left").select(idx, F.coalesce("ref_dois", F.array().cast("array<string>")).alias("ref_dois"))
 
 
+@pandas_udf(MapType(StringType(), ArrayType(IntegerType())))
+def _positions(texts: pd.Series) -> pd.Series:
+    """Each text's words, which stand between spaces, with their places from 0."""
+
+    def index(text):
+        if text is None:
+            return None
+        at: dict = {}
+        for i, word in enumerate(w for w in text.split(" ") if w):
+            at.setdefault(word, []).append(i)
+        return at
+
+    return pd.Series([index(t) for t in texts], dtype=object)
+
+
 def inverted_indexes(works: DataFrame, work_id: str, text: str, name: str = "abstract_inverted_index") -> DataFrame:
     """works with the inverted index map<word, positions> of their texts, whose words stand between spaces.
 
-    A join and two aggregations, so a long text costs no more than its words; a null text has a null index, one
-    without words an empty one. Ids are unique.
+    Each row is indexed where it is, in one pass over its words: nothing is shuffled, whatever the ids are. A null text
+    has a null index, one without words an empty one.
     """
-    words = works.select(work_id, F.posexplode(F.filter(F.split(text, " "), lambda w: w != "")).alias("_at", "_word"))
-    by_word = words.groupBy(work_id, "_word").agg(F.sort_array(F.collect_list("_at")).alias("_at"))
-    index = by_word.groupBy(work_id).agg(F.map_from_entries(F.collect_list(F.struct("_word", "_at"))).alias(name))
-    empty = F.when(F.col(text).isNotNull(), F.create_map().cast("map<string,array<int>>"))
-    return works.join(index, work_id, "left").withColumn(name, F.coalesce(name, empty))
+    return works.withColumn(name, _positions(F.col(text)))
 
 
 def citers(works: DataFrame, focal: DataFrame, types: list[str] | None = None, work_id: str = "oa_id", refs: str = "referenced_works") -> DataFrame:

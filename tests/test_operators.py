@@ -153,3 +153,11 @@ def test_inverted_indexes(spark):
     d = spark.createDataFrame([(1, "b a  b c"), (2, ""), (3, None)], "id long, t string")
     out = {r["id"]: r["abstract_inverted_index"] for r in corpus.inverted_indexes(d, "id", "t").collect()}
     assert out == {1: {"b": [0, 2], "a": [1], "c": [3]}, 2: {}, 3: None}
+
+
+def test_inverted_indexes_stay_with_their_rows(spark):
+    """Equal and null ids mix up nothing, and nothing is shuffled."""
+    d = spark.createDataFrame([(1, "b a"), (1, "c b b"), (None, "x\ty x"), (None, " ")], "id long, t string")
+    indexed = corpus.inverted_indexes(d, "id", "t")
+    assert sorted(r["i"] for r in indexed.select(F.to_json("abstract_inverted_index").alias("i")).collect()) == ['{"b":[0],"a":[1]}', '{"c":[0],"b":[1,2]}', '{"x\\ty":[0],"x":[1]}', "{}"]
+    assert "Exchange" not in indexed._jdf.queryExecution().executedPlan().toString()
