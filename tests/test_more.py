@@ -376,3 +376,33 @@ def test_saved_tables_are_deleted(spark):
     assert t.count() == 3
     forget(t)
     assert not Path(t._saved_path.removeprefix("file:")).exists()
+
+
+def test_a_survey_reads_dealt_links_where_they_are(spark):
+    """Gains, stays and inner weights equal those of the loop; links that are dealt by one end are not shuffled by it again."""
+    from impactlake.sources.shared import dealt, forget
+
+    rng = random.Random(4)
+    w = {}
+    for _ in range(60):
+        a, b = rng.randrange(12), rng.randrange(12)
+        w[a, b] = w[b, a] = float(rng.randrange(1, 4))
+    w[12, 12] = 2.0  # a node with its loop alone
+    label = {i: i % 4 for i in range(13)}
+    k = {i: sum(v for (a, _), v in w.items() if a == i) for i in label}
+    total, gamma = sum(w.values()), 1.1
+    links = dealt(spark.createDataFrame([(a, b, v) for (a, b), v in w.items()], "a long, b long, w double"), "links", "b")
+    own = spark.createDataFrame([(i, c, k[i]) for i, c in label.items()], "id long, c long, k double")
+    seen = communities.survey(links, own, total, gamma)
+    for r in seen.collect():
+        i, c = r["id"], label[r["id"]]
+        into = {x: sum(v for (a, b), v in w.items() if a == i != b and label[b] == x) for x in {label[b] for a, b in w if a == i != b} | {c}}
+        gain = {x: round(v - gamma * k[i] * (sum(k[j] for j in label if label[j] == x) - (k[i] if x == c else 0)) / total, 9) for x, v in into.items()}
+        best = max(gain.items(), key=lambda g: (g[1], -g[0]))
+        assert (r["c"], r["k"], r["to"], r["inside"]) == (c, k[i], best[0], into[c]) and abs(r["gain"] - best[1]) < 1e-8 and abs(r["stay"] - gain[c]) < 1e-8
+    assert seen.count() == 13
+    assert abs(communities.surveyed_quality(seen, communities.loops_of(links), total, gamma) - communities.quality(links, own, total, gamma)) < 1e-12
+    joined = links.join(own.select(F.col("id").alias("b"), "c").hint("shuffle_hash"), "b")
+    assert joined._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1  # own's alone
+    forget(links, seen)
+    assert not spark.catalog.tableExists(links._saved_table)
