@@ -58,3 +58,21 @@ def test_small_and_unconnected(spark):
     assert set(_values(sampled_betweenness(nodes, edges, epsilon=0.3)).values()) == {0.0}
     nodes, edges = _tables(spark, 2, [(0, 1)])
     assert _values(sampled_betweenness(nodes, edges)) == {0: 0.0, 1: 0.0}
+
+
+def test_pairs_walk_from_both_ends(spark, monkeypatch):
+    """A pair on a long way off a tree with many leaves sees few nodes, and the path is the right one."""
+    from impactlake.operators import paths
+    from impactlake.sources.shared import dealt
+
+    # 0 -> 1 -> .. -> 6 -> 7 and a second way 3 -> 8 -> 5; 1 has 300 leaves besides, and 300 nodes lead to 6
+    edges = [(i, i + 1) for i in range(7)] + [(3, 8), (8, 5)] + [(1, i) for i in range(100, 400)] + [(i, 6) for i in range(500, 800)]
+    e = spark.createDataFrame(edges, "at long, to long")
+    ahead = lambda t: t.join(t.groupBy(t["at"].alias("to")).count().withColumnRenamed("count", "ahead"), "to", "left").fillna(0, ["ahead"]).select("at", "to", "ahead")
+    ways = [dealt(ahead(t), "ways", "at") for t in (e, e.select(e["to"].alias("at"), e["at"].alias("to")))]
+    pairs = spark.createDataFrame([(s, 0, 7) for s in range(64)] + [(64, 7, 0), (65, 0, 1), (66, 100, 0), (67, 2, 5)], "s long, u long, v long")
+    found, visited = paths._inner_nodes(pairs, ways, 3)
+    n = {r["id"]: r["n"] for r in found.collect()}
+    assert {i: n.get(i) for i in (1, 2, 3, 5, 6)} == {1: 64, 2: 64, 3: 65, 5: 64, 6: 64} and n[4] + n[8] == 65 and 16 < n[4] < 48 and set(n) == {1, 2, 3, 4, 5, 6, 8}
+    star = spark.createDataFrame([(0, 100, 900)], "s long, u long, v long")
+    assert paths._inner_nodes(star, ways, 3) == (None, 0)
