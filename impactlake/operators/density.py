@@ -4,88 +4,182 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from impactlake.operators.dedupe import with_index
 from impactlake.sources.shared import forget, saved
 
-#: Bounds found with numpy and distances found by Spark may differ in the last digits.
+#: Distances of boxes and of points may differ in the last digits.
 SLACK = 1e-9
 #: The least distance that counts, so that no density is infinite.
 LEAST = 1e-12
 
 
-def _distance(x: str, y: str):
-    return F.sqrt(F.aggregate(F.zip_with(x, y, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
+#: Rows that ask one cell at once, and rows of a block of distances.
+ASKED, BLOCK = 16384, 256
 
 
-def _to_pivots(x: pd.Series, pivots: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.stack([((pivots - np.asarray(v)) ** 2).sum(axis=1) for v in x]))
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """A row a vector."""
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), len(flat) // max(len(column), 1))
 
 
-def _celled(points: DataFrame, k: int, cells: int) -> tuple[DataFrame, np.ndarray, list]:
-    """Points (id, x, m) with their nearest pivot (cell), its distance (own) and an upper bound of the k-th neighbour's distance (reach).
+def _vectors(x: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype="int32") * x.shape[1]), pa.array(x.ravel()))
 
-    Also the pivots' vectors and ids. Pivots are the points of the least hashes, `cells` at most: they alone come to the driver.
-    """
-    found = points.orderBy(F.xxhash64("id"), "id").limit(cells).select("id", "x").collect()
-    pivots, ids = np.array([r["x"] for r in found], dtype=float), [r["id"] for r in found]
 
-    def assign(batches):
-        for b in batches:
-            for part in (b.iloc[i : i + 256] for i in range(0, len(b), 256)):
-                d = _to_pivots(part["x"], pivots)
-                reach = np.partition(d, k, axis=1)[:, k] if len(pivots) > k else np.full(len(part), np.inf)
-                yield part.assign(cell=d.argmin(axis=1).astype("int32"), own=d.min(axis=1), reach=reach)
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Each x to each y; squares are added in the order of the components."""
+    total = np.zeros((len(x), len(y)))
+    for j in range(x.shape[1]):
+        away = x[:, j : j + 1] - y[None, :, j]
+        total += away * away
+    return np.sqrt(total)
 
-    return saved(points.mapInPandas(assign, "id long, x array<double>, m long, cell int, own double, reach double"), "points"), pivots, ids
 
+def _gaps(low: np.ndarray, high: np.ndarray, boxes: tuple) -> np.ndarray:
+    """The distance from each box (low, high; a point is a box) to each box of cells."""
+    total = np.zeros((len(low), len(boxes[0])))
+    for j in range(low.shape[1]):
+        away = np.maximum(np.maximum(boxes[1][None, :, j] - high[:, j : j + 1], low[:, j : j + 1] - boxes[2][None, :, j]), 0.0)
+        total += away * away
+    return np.sqrt(total)
 
-def _visits(asked: DataFrame, pivots: np.ndarray, radius: np.ndarray, bound: str) -> DataFrame:
-    """asked once for each cell (at) that may hold a point within its bound, with the distance of that cell's pivot (far).
 
-    A point of cell c is at least far - radius away, and at least half as far as far exceeds the own pivot's distance.
-    """
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in asked.schema.fields)
+def _split(sample: np.ndarray, parts: int) -> list[tuple]:
+    """A tree of at most `parts` leaves over halves of the sample by its widest component: (axis, at, below, above), or (-1, leaf, 0, 0)."""
+    nodes: list = [None]
+    todo, leaves = [(0, sample, parts)], 0
+    while todo:
+        i, x, n = todo.pop()
+        axis = int(np.argmax(x.max(axis=0) - x.min(axis=0))) if len(x) else 0
+        values = np.unique(x[:, axis])
+        if n < 2 or len(values) < 2:
+            nodes[i], leaves = (-1, float(leaves), 0, 0), leaves + 1
+            continue
+        at = min(np.quantile(x[:, axis], (n // 2) / n, method="lower"), values[-2])
+        nodes[i] = (axis, float(at), len(nodes), len(nodes) + 1)
+        todo += [(len(nodes), x[x[:, axis] <= at], n // 2), (len(nodes) + 1, x[x[:, axis] > at], n - n // 2)]
+        nodes += [None, None]
+    return nodes
 
-    def visit(batches):
-        for b in batches:
-            for part in (b.iloc[i : i + 256] for i in range(0, len(b), 256)):
-                d = _to_pivots(part["x"], pivots)
-                limit = part[bound].to_numpy()[:, None] * (1 + SLACK) + SLACK
-                row, cell = np.nonzero((d - radius <= limit) & ((d - part["own"].to_numpy()[:, None]) / 2 <= limit))
-                yield part.iloc[row].assign(at=cell.astype("int32"), far=d[row, cell])
 
-    return asked.mapInPandas(visit, f"{fields}, at int, far double")
+def _halves(x: np.ndarray, most: int) -> np.ndarray:
+    """The number of each row's part: halves of halves by the widest component, until none has over `most` rows."""
+    out, todo, n = np.zeros(len(x), dtype="int64"), [np.arange(len(x))], 0
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= most:
+            out[rows], n = n, n + 1
+            continue
+        axis = int(np.argmax(x[rows].max(axis=0) - x[rows].min(axis=0)))
+        rows = rows[np.argsort(x[rows, axis], kind="stable")]
+        todo += [rows[: len(rows) // 2], rows[len(rows) // 2 :]]
+    return out
 
 
-def neighbour_lists(points: DataFrame, k: int, cells: int = 1024) -> tuple[DataFrame, DataFrame, np.ndarray, np.ndarray, list]:
+def _celled(points: DataFrame, cells: int, size: int) -> tuple[DataFrame, tuple, list]:
+    """Points (id, x, m, cell), written, in cells of near points, `size` at most; the cells' numbers and boxes; some points' ids, the pivots.
+
+    The points of the least hashes, 16 a part and 16 * `cells` at most, come to the driver and give up to `cells` parts. A
+    task cuts a part into cells at its own medians, so cells are as many as the table asks for. The boxes are on the driver, a row a cell.
+    """
+    parts = max(1, min(cells, -(-2 * points.count() // size)))
+    found = points.orderBy(F.xxhash64("id"), "id").limit(16 * max(parts, 16)).select("id", "x").collect()
+    sample = np.array([r["x"] for r in found], dtype=float)
+    nodes = _split(sample, parts)
+    axis, at, below, above = (np.array(c) for c in zip(*nodes))
+
+    def part(batches):
+        for b in batches:
+            x = _matrix(pa.chunked_array([b.column("x")]))
+            node = np.zeros(len(x), dtype="int64")
+            while len(inner := np.nonzero(axis[node] >= 0)[0]):
+                v = node[inner]
+                node[inner] = np.where(x[inner, axis[v]] > at[v], above[v], below[v])
+            yield b.append_column("part", pa.array(at[node].astype("int64")))
+
+    def cut(t: pa.Table) -> pa.Table:
+        number = t.column("part").to_numpy() * 2**32 + _halves(_matrix(t.column("x")), size)
+        return t.drop_columns("part").append_column("cell", pa.array(number))
+
+    parted = points.select("id", "x", "m").mapInArrow(part, "id long, x array<double>, m long, part long")
+    out = saved(parted.groupBy("part").applyInArrow(cut, "id long, x array<double>, m long, cell long"), "points")
+    ends = [f(F.col("x")[j]).alias(f"{name}{j}") for name, f in (("low", F.min), ("high", F.max)) for j in range(sample.shape[1])]
+    rows = out.groupBy("cell").agg(*ends).orderBy("cell").collect()  # a row a cell
+    return out, (np.array([r["cell"] for r in rows]), *np.hsplit(np.array([tuple(r)[1:] for r in rows]), 2)), [r["id"] for r in found[:1024]]
+
+
+def _reached(x: np.ndarray, bound: np.ndarray, boxes: tuple, skip=None):
+    """Blocks (rows, cells) of the points of one cell with each cell that may hold a point within their bounds; skip(rows, cells) are left out."""
+    limit = bound * (1 + SLACK) + SLACK
+    near = np.nonzero(_gaps(x.min(axis=0)[None], x.max(axis=0)[None], boxes)[0] <= limit.max())[0]
+    some = tuple(b[near] for b in boxes)
+    for i in range(0, len(x), BLOCK):
+        part = x[i : i + BLOCK]
+        inside = _gaps(part, part, some) <= limit[i : i + BLOCK, None]
+        if skip is not None:
+            inside &= ~skip(np.arange(i, i + len(part)), near)
+        row, cell = np.nonzero(inside)
+        yield i + row, boxes[0][near[cell]]
+
+
+def _met(visits: DataFrame, points: DataFrame, meet, schema: str) -> DataFrame:
+    """meet(visits, points) for each cell and at most some ASKED of its visits (written, with at); points has cell."""
+    slices = visits.groupBy("at").agg(F.ceil(F.count("*") / ASKED).alias("slices"))  # a row a cell
+    asking = visits.join(F.broadcast(slices), "at").withColumn("slice", F.pmod(F.xxhash64("id"), "slices")).drop("slices")
+    asked = points.withColumnRenamed("cell", "at").join(F.broadcast(slices), "at").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))).drop("slices")
+    return asking.groupBy("at", "slice").cogroup(asked.groupBy("at", "slice")).applyInArrow(meet, schema)
+
+
+def neighbour_lists(points: DataFrame, k: int, cells: int = 1024, size: int = 2048) -> tuple[DataFrame, DataFrame, tuple, list]:
     """Exact lists of the k nearest other points, all of them at the last distance kept, and each point's core distance.
 
-    points: id, x (array<double>), m (copies), no two at one place. Gives (id, x, m, cell, own, core, listed: the list's
-    last distance, infinite if it holds all) and (a, b, d), both written, and the pivots with the radii of their cells. A
+    points: id, x (array<double>), m (copies), no two at one place. Gives (id, x, m, cell, core, listed: the list's
+    last distance, infinite if it holds all) and (a, b, d), both written, the boxes of the cells and the pivots. A
     point meets its own cell first; the k-th distance there bounds which other cells it visits. The core distance
     is the least that holds k other rows, copies counted.
     """
-    at, pivots, ids = _celled(points, k, cells)
-    widest = {r["cell"]: r["r"] for r in at.groupBy("cell").agg(F.max("own").alias("r")).collect()}  # a row a pivot
-    radius = np.array([widest.get(c, -np.inf) for c in range(len(pivots))])
-    near = at.select(F.col("id").alias("b"), F.col("x").alias("y"), F.col("m").alias("mb"), F.col("cell").alias("at"))
+    at, boxes, pivot_ids = _celled(points, cells, max(size, 4 * k))
+
+    def visit(t: pa.Table) -> pa.Table:
+        x, bound = _matrix(t.column("x")), np.full(len(t), np.inf)
+        for i in range(0, len(x) if len(x) > k else 0, BLOCK):
+            d = _distances(x[i : i + BLOCK], x)
+            d[np.arange(len(d)), i + np.arange(len(d))] = np.inf
+            bound[i : i + BLOCK] = np.partition(d, k - 1, axis=1)[:, k - 1]
+        row, cell = (np.concatenate(c) for c in zip(*_reached(x, bound, boxes)))
+        return pa.table({"id": t.column("id").take(row), "x": _vectors(x[row]), "m": t.column("m").take(row), "bound": bound[row], "at": cell})
+
+    def meet(asking: pa.Table, asked: pa.Table) -> pa.Table:
+        x, y, bound = _matrix(asking.column("x")), _matrix(asked.column("x")), asking.column("bound").to_numpy()
+        ids, others, out = asking.column("id").to_numpy(), asked.column("id").to_numpy(), []
+        for i in range(0, len(x) if len(y) else 0, BLOCK):
+            d = _distances(x[i : i + BLOCK], y)
+            d[ids[i : i + BLOCK, None] == others] = np.nan
+            near = d <= bound[i : i + BLOCK, None]
+            many = np.nonzero(near.sum(axis=1) > k)[0]
+            if len(many):
+                near[many] &= d[many] <= np.partition(d[many], k - 1, axis=1)[:, k - 1 : k]  # nan comes last
+            row, col = np.nonzero(near)
+            out.append((i + row, col, d[row, col]))
+        row, col, d = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0))
+        return pa.table({"id": asking.column("id").take(row), "b": asked.column("id").take(col), "m": asking.column("m").take(row), "mb": asked.column("m").take(col), "d": d})
+
+    visits = saved(at.groupBy("cell").applyInArrow(visit, "id long, x array<double>, m long, bound double, at long"), "visits")
+    pairs = _met(visits, at, meet, "id long, b long, m long, mb long, d double")
     rank = Window.partitionBy("id").orderBy("d")
-    inside = at.join(near, (F.col("cell") == F.col("at")) & (F.col("id") != F.col("b"))).select("id", _distance("x", "y").alias("d"))
-    kth = inside.withColumn("k", F.row_number().over(rank)).filter(F.col("k") <= k).groupBy("id").agg(F.max("d").alias("d"), F.count("*").alias("n")).filter(F.col("n") >= k)
-    asked = at.join(kth.select("id", "d"), "id", "left").select("id", "x", "m", "own", F.least("reach", "d").alias("bound"))
-    pairs = _visits(asked, pivots, radius, "bound").join(near, "at").filter("id != b").withColumn("d", _distance("x", "y"))
-    pairs = pairs.filter(F.col("d") <= F.col("bound") * (1 + SLACK) + SLACK).select("id", "b", "m", "mb", "d")
     lists = saved(pairs.withColumn("k", F.rank().over(rank)).filter(F.col("k") <= k).drop("k"), "lists")
     held = F.col("m") - 1 + F.sum("mb").over(Window.partitionBy("id").orderBy("d"))
     cores = lists.withColumn("held", held).groupBy("id").agg(F.min(F.when(F.col("held") >= k, F.col("d"))).alias("core"), F.max("d").alias("last"), F.count("*").alias("n"))
     core = F.when(F.col("m") > k, 0.0).otherwise(F.coalesce("core", "last", F.lit(0.0)))
-    out = at.join(cores, "id", "left").select("id", "x", "m", "cell", "own", core.alias("core"), F.when(F.col("n") >= k, F.col("last")).otherwise(float("inf")).alias("listed"))
+    out = at.join(cores, "id", "left").select("id", "x", "m", "cell", core.alias("core"), F.when(F.col("n") >= k, F.col("last")).otherwise(float("inf")).alias("listed"))
     out = saved(out, "cores")
-    forget(at)
-    return out, lists.select(F.col("id").alias("a"), "b", "d"), pivots, radius, ids
+    forget(at, visits)
+    return out, lists.select(F.col("id").alias("a"), "b", "d"), boxes, pivot_ids
 
 
 def _roots(pointers: DataFrame) -> DataFrame:
@@ -93,12 +187,13 @@ def _roots(pointers: DataFrame) -> DataFrame:
     at = saved(pointers.select("v", F.col("to").alias("root")), "roots")
     while True:
         up = at.select(F.col("v").alias("root"), F.col("root").alias("next"))
-        new = saved(at.join(up, "root", "left").select("v", F.coalesce("next", "root").alias("root")), "roots")
-        moved = new.join(at.withColumnRenamed("root", "old"), "v").filter("root != old").limit(1).count()
+        moved = F.coalesce(F.col("next") != F.col("root"), F.lit(False))
+        new = saved(at.select("v", "root").join(up, "root", "left").select("v", F.coalesce("next", "root").alias("root"), moved.alias("moved")), "roots")
+        done = new.filter("moved").isEmpty()
         forget(at)
-        if not moved:
-            return new
         at = new
+        if done:
+            return at.select("v", "root")
 
 
 def _hooked(best: DataFrame) -> DataFrame:
@@ -108,11 +203,11 @@ def _hooked(best: DataFrame) -> DataFrame:
     return _roots(best.join(back, "to", "left").select("v", ends.alias("to")))
 
 
-def spanning_tree(points: DataFrame, lists: DataFrame, pivots: np.ndarray, radius: np.ndarray, pivot_ids: list) -> DataFrame:
+def spanning_tree(points: DataFrame, lists: DataFrame, boxes: tuple, pivot_ids: list) -> DataFrame:
     """lo, hi, w (written): the minimum spanning tree over max(distance, both core distances), ties by lo and hi.
 
     A component's least edge in the lists is its least of all if no member's list ends below it. Members whose list does
-    end below search the cells for other components' points within the best bound known, from the lists and from the pivots.
+    end below search the cells for other components' points within the best bound known from the lists, or else from the pivots.
     The component with the most pivots may leave that out in a round: the others still find theirs.
     """
     cores = points.select("id", "core")
@@ -125,15 +220,15 @@ def spanning_tree(points: DataFrame, lists: DataFrame, pivots: np.ndarray, radiu
         named = crossing.join(comp.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a").join(comp.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b").filter("ca != cb")
         named = saved(named, "edges")
         best = saved(named.groupBy("ca").agg(edge.alias("x")), "best")
-        at = points.join(comp, "id")
-        of_pivot = {r["id"]: r for r in at.filter(F.col("id").isin(pivot_ids)).select("id", "comp", "core").collect()}
-        held = [of_pivot[i]["comp"] for i in pivot_ids]
+        at = saved(points.join(comp, "id"), "at")
+        of_pivot = at.filter(F.col("id").isin(pivot_ids)).select("x", "comp", "core").collect()
+        held = [r["comp"] for r in of_pivot]
         most = min(set(held), key=lambda c: (-held.count(c), c))
         unsure = at.join(best.select(F.col("ca").alias("comp"), F.col("x.w").alias("known")), "comp", "left").filter(F.col("known").isNull() | (F.col("listed") < F.col("known")))
-        unsure = saved(unsure.select("id", "x", "own", "core", "comp", "known"), "unsure")
+        unsure = saved(unsure.select("id", "x", "cell", "core", "comp", "known"), "unsure")
         searched = unsure.filter(F.col("comp") != most)
         sure = best.join(unsure.select(F.col("comp").alias("ca")).distinct(), "ca", "left_anti")
-        found = _outside(searched, at, pivots, radius, np.array(held), np.array([of_pivot[i]["core"] for i in pivot_ids]), best, edge)
+        found, visits = _outside(searched, at, boxes, of_pivot, best, edge)
         chosen = saved(sure.unionByName(found).select(F.col("ca").alias("v"), F.col("x.cb").alias("to"), F.struct("x.w", "x.lo", "x.hi").alias("o")), "chosen")
         if chosen.isEmpty():
             break
@@ -141,33 +236,59 @@ def spanning_tree(points: DataFrame, lists: DataFrame, pivots: np.ndarray, radiu
         tree = saved(added if tree is None else tree.unionByName(added), "tree")
         root = _hooked(chosen)
         new = saved(comp.join(root, F.col("comp") == F.col("v"), "left").select("id", F.coalesce("root", "comp").alias("comp")), "components")
-        forget(crossing, comp, best, unsure)
+        forget(crossing, comp, best, unsure, at, visits)
         crossing, comp = named.select("a", "b", "w"), new
         crossing._saved_path = named._saved_path
     return tree
 
 
-def _outside(searched: DataFrame, at: DataFrame, pivots: np.ndarray, radius: np.ndarray, held: np.ndarray, core: np.ndarray, best: DataFrame, edge) -> DataFrame:
-    """ca, x: the least edge out of each component of searched, among all points."""
+def _outside(searched: DataFrame, at: DataFrame, boxes: tuple, pivots: list, best: DataFrame, edge) -> tuple[DataFrame, DataFrame]:
+    """ca, x: the least edge out of each component of searched, among all points. Also a written table that it reads."""
+    x, core, held = np.array([r["x"] for r in pivots]), np.array([r["core"] for r in pivots]), np.array([r["comp"] for r in pivots])
 
     def nearest(batches):
         for b in batches:
-            for part in (b.iloc[i : i + 256] for i in range(0, len(b), 256)):
-                w = np.maximum(np.maximum(_to_pivots(part["x"], pivots), core), part["core"].to_numpy()[:, None])
+            for part in (b.iloc[i : i + BLOCK] for i in range(0, len(b), BLOCK)):
+                w = np.maximum(np.maximum(_distances(np.stack(part["x"]), x), core), part["core"].to_numpy()[:, None])
                 w[part["comp"].to_numpy()[:, None] == held] = np.inf
-                yield pd.DataFrame({"comp": part["comp"].to_numpy(), "bound": np.fmin(w.min(axis=1), part["known"].astype(float).fillna(np.inf).to_numpy())})
-
-    bound = searched.mapInPandas(nearest, "comp long, bound double").groupBy("comp").agg(F.min("bound").alias("bound"))
-    asked = searched.join(bound, "comp").filter(F.col("core") <= F.col("bound") * (1 + SLACK)).select("id", "x", "own", "core", "comp", "bound")
-    limit = F.col("bound") * (1 + SLACK) + SLACK
-    parts = at.groupBy("cell", F.col("comp").alias("cb")).agg(F.min("own").alias("inner"), F.max("own").alias("outer"))
-    visits = _visits(asked, pivots, radius, "bound").join(parts, (F.col("at") == F.col("cell")) & (F.col("comp") != F.col("cb")))
-    visits = visits.filter((F.col("far") - F.col("outer") <= limit) & (F.col("inner") - F.col("far") <= limit)).select(F.col("id").alias("a"), "x", "core", F.col("comp").alias("ca"), "bound", "cell", "cb")
-    others = at.select(F.col("id").alias("b"), F.col("x").alias("y"), F.col("core").alias("kb"), "cell", F.col("comp").alias("cb"))
-    pairs = visits.join(others, ["cell", "cb"]).withColumn("w", F.greatest(_distance("x", "y"), "core", "kb")).filter(F.col("w") <= limit).select("ca", "a", "b", "w", "cb")
+                yield pd.DataFrame({"comp": part["comp"].to_numpy(), "far": w.min(axis=1)})
+
+    far = searched.filter("known is null").select("x", "core", "comp").mapInPandas(nearest, "comp long, far double").groupBy("comp").agg(F.min("far").alias("far"))
+    asked = searched.join(far, "comp", "left").withColumn("bound", F.coalesce("known", "far", F.lit(float("inf")))).filter(F.col("core") <= F.col("bound"))
+    alone = {r["cell"]: r["comp"] for r in at.groupBy("cell").agg(F.min("comp").alias("comp"), F.max("comp").alias("last")).filter("comp = last").collect()}  # a row a cell
+    only = np.array([alone.get(c, -1) for c in boxes[0].tolist()])
+
+    def visit(t: pa.Table) -> pa.Table:
+        x, bound, comp = _matrix(t.column("x")), t.column("bound").to_numpy(), t.column("comp").to_numpy()
+        row, cell = (np.concatenate(c) for c in zip(*_reached(x, bound, boxes, lambda rows, cells: comp[rows, None] == only[cells])))
+        return t.select(["id", "core", "comp", "bound"]).take(row).append_column("x", _vectors(x[row])).append_column("at", pa.array(cell))
+
+    def meet(asking: pa.Table, asked: pa.Table) -> pa.Table:
+        asked = asked.sort_by("id")  # so the first of equal edges is the least
+        x, y = _matrix(asking.column("x")), _matrix(asked.column("x"))
+        a, ka, ca, bound = (asking.column(c).to_numpy() for c in ("id", "core", "comp", "bound"))
+        b, kb, cb = (asked.column(c).to_numpy() for c in ("id", "core", "comp"))
+        out = [(np.zeros(0, "int64"), np.zeros(0), *[np.zeros(0, "int64")] * 3)]
+        for i in range(0, len(x) if len(y) else 0, BLOCK):
+            rows = slice(i, i + BLOCK)
+            w = np.maximum(np.maximum(_distances(x[rows], y), ka[rows, None]), kb)
+            w[ca[rows, None] == cb] = np.inf
+            to = w.argmin(axis=1)
+            w = w[np.arange(len(w)), to]
+            k = np.nonzero((w <= bound[rows]) & (w < np.inf))[0]
+            to, own = to[k], a[rows][k]
+            out.append((ca[rows][k], w[k], np.minimum(own, b[to]), np.maximum(own, b[to]), cb[to]))
+        ca, w, lo, hi, cb = (np.concatenate(c) for c in zip(*out))
+        order = np.lexsort((hi, lo, w, ca))
+        order = order[np.unique(ca[order], return_index=True)[1]]
+        return pa.table({"ca": ca[order], "w": w[order], "lo": lo[order], "hi": hi[order], "cb": cb[order]})
+
+    visits = asked.select("id", "x", "core", "comp", "bound", "cell").groupBy("cell").applyInArrow(visit, "id long, core double, comp long, bound double, x array<double>, at long")
+    visits = saved(visits, "visits")
+    pairs = _met(visits, at.select("id", "x", "core", "comp", "cell"), meet, "ca long, w double, lo long, hi long, cb long").select("ca", F.struct("w", "lo", "hi", "cb").alias("x"))
     # a component's least listed edge stays a candidate beside those of its members that searched
-    every = pairs.groupBy("ca").agg(edge.alias("x")).unionByName(best.join(searched.select(F.col("comp").alias("ca")).distinct(), "ca", "left_semi").select("ca", "x"))
-    return every.groupBy("ca").agg(F.min("x").alias("x"))
+    every = pairs.unionByName(best.join(searched.select(F.col("comp").alias("ca")).distinct(), "ca", "left_semi").select("ca", "x"))
+    return every.groupBy("ca").agg(F.min("x").alias("x")), visits
 
 
 def _components(edges: DataFrame) -> DataFrame:
@@ -234,13 +355,15 @@ def merge_tree(tree: DataFrame, points: DataFrame, rows_at_once: int = 1_000_000
     return saved(ready.groupBy("piece").applyInPandas(join, "node long, left long, right long, w double, left_rows long, right_rows long"), "merges")
 
 
-def condensed(merges: DataFrame, points: DataFrame, least: int) -> DataFrame:
+def condensed(merges: DataFrame, points: DataFrame, least: int, rows_at_once: int = 1_000_000) -> DataFrame:
     """id, cluster (a node, null for outliers), probability: the clusters of most stability, the whole never one of them.
 
     A merge of two sides of at least `least` rows begins two clusters, from its density (1 / w) on; smaller sides are
     rows that leave a cluster. Stability: the sum over rows of the density at which they leave less that of the beginning.
     A cluster is taken unless the clusters within have more in sum. Probability: the density at which a row
     leaves, over the greatest at which any leaves the cluster itself, 1 at most. Copies leave together; `least` of them are a cluster at their core distance.
+    Nodes are numbered in the order of merges, so a cluster comes after those within: pieces of rows_at_once clusters in
+    that order are judged one by one, a task a piece, and the depth of the tree does not matter.
     """
     dense = lambda c: 1 / F.greatest(c, F.lit(LEAST))
     side = lambda v, own, other: merges.select(F.col(v).alias("v"), F.col(own).alias("rows"), F.col(other).alias("beside"), F.col("node").alias("parent"), dense("w").alias("at"))
@@ -257,15 +380,29 @@ def condensed(merges: DataFrame, points: DataFrame, least: int) -> DataFrame:
     leave = up.filter((F.col("rows") < least) | begins).join(parents, "parent").select("of", "rows", "at").unionByName(alone.join(cluster.withColumnRenamed("cluster", "of"), "v").select("of", "rows", "at"))
     sums = leave.groupBy("of").agg(F.sum(F.col("rows") * F.col("at")).alias("mass"), F.max("at").alias("last"))
     born = large.filter(begins).join(parents, "parent").select(F.col("v").alias("c"), F.col("of").alias("parent"), F.col("rows").alias("size"), "at")
-    clusters = saved(born.join(sums, F.col("c") == F.col("of")).select("c", "parent", (F.col("mass") - F.col("size") * F.col("at")).alias("stability"), "last", F.lit(0.0).alias("below")), "clusters")
-    open_, done = clusters, None
-    while not open_.isEmpty():
-        ready = open_.join(open_.select(F.col("parent").alias("c")), "c", "left_anti")
-        ready = saved(ready.withColumn("taken", F.col("stability") >= F.col("below")), "ready")
-        given = ready.groupBy(F.col("parent").alias("c")).agg(F.sum(F.greatest("stability", "below")).alias("more"))
-        rest = open_.join(ready.select("c"), "c", "left_anti").join(given, "c", "left")
-        open_ = saved(rest.select("c", "parent", "stability", "last", (F.col("below") + F.coalesce("more", F.lit(0.0))).alias("below")), "open")
-        done = ready if done is None else saved(done.unionByName(ready), "done")
+    clusters = born.join(sums, F.col("c") == F.col("of")).select("c", "parent", (F.col("mass") - F.col("size") * F.col("at")).alias("stability"), "last")
+    clusters = saved(with_index(clusters, ["c"], "rank").withColumn("piece", F.floor(F.col("rank") / rows_at_once)).drop("rank"), "clusters")
+
+    def judge(piece: pd.DataFrame) -> pd.DataFrame:
+        piece = piece.sort_values("c")
+        below, values, taken = dict(zip(piece["c"], piece["below"])), [], []
+        for c, parent, stability in zip(piece["c"], piece["parent"], piece["stability"]):
+            taken.append(stability >= below[c])
+            values.append(max(stability, below[c]))
+            if parent in below:
+                below[parent] += values[-1]
+        return piece[["c", "parent", "last"]].assign(value=values, taken=taken)
+
+    done = None
+    for i in range(-(-clusters.count() // rows_at_once)):
+        own = clusters.filter(F.col("piece") == i)
+        if done is None:
+            own = own.withColumn("below", F.lit(0.0))
+        else:
+            given = done.groupBy(F.col("parent").alias("c")).agg(F.sum("value").alias("below"))
+            own = own.join(given, "c", "left").fillna(0.0, ["below"])
+        ready = saved(own.groupBy("piece").applyInPandas(judge, "c long, parent long, last double, value double, taken boolean"), "ready")
+        done = ready if done is None else done.unionByName(ready)
     if done is None:
         return points.select("id", F.lit(None).cast("long").alias("cluster"), F.lit(0.0).alias("probability"))
     top = saved(done.select("c", F.col("parent").alias("above"), F.when(F.col("taken"), F.col("c")).alias("top")), "tops")
@@ -279,14 +416,14 @@ def condensed(merges: DataFrame, points: DataFrame, least: int) -> DataFrame:
     return leaves.select(F.col("v").alias("id"), F.col("top").alias("cluster"), F.when(F.col("top").isNotNull(), F.least(density / F.col("last"), F.lit(1.0))).otherwise(0.0).alias("probability"))
 
 
-def density_clusters(rows: DataFrame, idx: str = "idx", vector: str = "x", least: int = 15, neighbours: int | None = None, cells: int = 1024, rows_at_once: int = 1_000_000) -> DataFrame:
+def density_clusters(rows: DataFrame, idx: str = "idx", vector: str = "x", least: int = 15, neighbours: int | None = None, cells: int = 1024, rows_at_once: int = 1_000_000, size: int = 2048) -> DataFrame:
     """idx, cluster (from 0, the largest first, ties by least idx; -1 for outliers), probability (0 for outliers).
 
     Hierarchical density clustering of Campello, Moulavi and Sander: at least `least` rows a cluster, core distances to
     the `neighbours`-th other row (`least` unless given). Exact, ties by the points' order. Equal vectors are one point
     with copies. Null or empty vectors and those with components that are null or not finite are left out; an empty
-    table gives none. Vectors of few dimensions (a reduction's) suit it: pivots prune little in many. idx must be unique.
-    The pivots (`cells` of them) are the only rows on the driver; work grows with the points times the points of the cells that they visit.
+    table gives none. Vectors of few dimensions (a reduction's) suit it: boxes prune little in many. idx must be unique.
+    16 * `cells` points and the cells' boxes are the only rows on the driver; a cell has `size` points at most, so work grows with the points times the cells that they visit.
     """
     k = neighbours or least
     x = F.col(vector).cast("array<double>")
@@ -296,9 +433,9 @@ def density_clusters(rows: DataFrame, idx: str = "idx", vector: str = "x", least
     points = saved(with_index(places, ["row"], "id").select(F.col("id").cast("long").alias("id"), "x", "m", "row"), "places")
     if points.limit(2).count() < 2:
         return own.select(F.col("row").alias(idx), F.lit(-1).cast("long").alias("cluster"), F.lit(0.0).alias("probability"))
-    cores, lists, pivots, radius, ids = neighbour_lists(points.select("id", "x", "m"), k, max(cells, 2))
-    tree = spanning_tree(cores, lists, pivots, radius, ids)
-    found = saved(condensed(merge_tree(tree, cores, rows_at_once), cores, least), "found")
+    cores, lists, boxes, pivot_ids = neighbour_lists(points.select("id", "x", "m"), k, cells, size)
+    tree = spanning_tree(cores, lists, boxes, pivot_ids)
+    found = saved(condensed(merge_tree(tree, cores, rows_at_once), cores, least, rows_at_once), "found")
     member = own.join(points.select("x", "id"), "x").join(found, "id").select("row", "cluster", "probability")
     sizes = member.filter(F.col("cluster").isNotNull()).groupBy("cluster").agg((-F.count("*")).alias("n"), F.min("row").alias("row"))
     numbers = with_index(sizes, ["n", "row"], "number").select("cluster", "number")
