@@ -406,3 +406,30 @@ def test_a_survey_reads_dealt_links_where_they_are(spark):
     assert joined._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1  # own's alone
     forget(links, seen)
     assert not spark.catalog.tableExists(links._saved_table)
+
+
+def crowded_graph(seed):
+    """Customers with suppliers, any with any: the best partner of most is one of a few."""
+    rng = random.Random(seed)
+    return sorted({(i, 1000 + s) for i in range(90) for s in rng.sample(range(12), 4)})
+
+
+def test_weights_beside_communities_after_moves_are_those_counted_anew(spark):
+    rng = random.Random(6)
+    edges = [tuple(rng.sample(range(20), 2)) for _ in range(50)]
+    links = communities.dealt_links(spark.createDataFrame([*edges, *edges[:9], (3, 3)], "src long, dst long"))
+    assert links.count() == 2 * len({frozenset(e) for e in edges})
+    k = links.groupBy(F.col("b").alias("id")).agg(F.sum("w").alias("k"))
+    for many in (False, True):
+        was = communities.sized(k.select("id", (F.col("id") % 4).alias("c"), "k"), many)
+        now = communities.sized(was.select("id", F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(F.col("c")).alias("c"), F.col("c").alias("was"), "k"), many)
+        rows = lambda df: sorted((r["a"], r["to"], r["into"], r["tot"], -1 if r["lone"] is None else r["lone"]) for r in df.collect())
+        assert rows(communities.beside_after(links, communities.beside(links, was, many), now, many)) == rows(communities.beside(links, now, many))
+
+
+def test_greedy_rounds_are_few_where_all_want_the_same(spark, monkeypatch):
+    edges, rounds, saved = crowded_graph(3), [], communities.saved
+    monkeypatch.setattr(communities, "saved", lambda df, name: (rounds.append(1) if name == "pairs" else None, saved(df, name))[1])
+    nodes = spark.createDataFrame([(i,) for i in sorted({i for e in edges for i in e})], "idx long")
+    found = {r["idx"]: r["community"] for r in communities.greedy(nodes, spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert len(rounds) <= 14 and modularity_of(edges, found) >= 0.99 * modularity_of(edges, merged_in_turn(sorted(found), edges))
