@@ -433,3 +433,12 @@ def test_greedy_rounds_are_few_where_all_want_the_same(spark, monkeypatch):
     nodes = spark.createDataFrame([(i,) for i in sorted({i for e in edges for i in e})], "idx long")
     found = {r["idx"]: r["community"] for r in communities.greedy(nodes, spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert len(rounds) <= 14 and modularity_of(edges, found) >= 0.99 * modularity_of(edges, merged_in_turn(sorted(found), edges))
+
+
+@pytest.mark.parametrize("algo", ["leiden"])
+def test_nodes_that_want_the_same_do_not_crowd(spark, algo):
+    edges = crowded_graph(3)
+    nodes, e = spark.createDataFrame([(i,) for i in sorted({i for e in edges for i in e})], "idx long"), spark.createDataFrame(edges, "src long, dst long")
+    found = communities.leiden(nodes, e) if algo == "leiden" else graph.modularity_communities(None, e)
+    found = {r["idx"]: r["community"] for r in found.collect()}
+    assert modularity_of(edges, found) >= 0.95 * modularity_of(edges, merged_in_turn(sorted(found), edges))
